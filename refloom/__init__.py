@@ -1 +1,8 @@
 """Reference verification and bibliographic analytics as Spark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel with the task: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm import decontaminate, licenses, mixing, urls
+from refloom.llm import decontaminate, licenses, minhash, mixing, substrings, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,5 +47,17 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_mixing, op4_decontamination, op5_licenses)}
+
+
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    parsed = substrings.parse(docs, cut=False)
+    return parsed.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.col("_kept_sha256").alias("kept_sha256"))
+
+
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_mixing, op4_decontamination, op5_licenses, op7_minhash, op10_substrings)}
 SQL: dict[str, str] = {}

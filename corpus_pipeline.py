@@ -1,13 +1,63 @@
 """A corpus pipeline of the training-data operators.
 
-Each stage gets what its predecessor kept, written as Parquet and read again.
+Language identification, near-dedup, substring dedup, benchmark decontamination
+and mixing.  Each stage gets what its predecessor kept, written as Parquet in
+the shared folder and read again.
 """
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from refloom.llm import decontaminate, languages, minhash, mixing, substrings
+from refloom.llm.durable import durable
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents without a recognised language."""
+    rejected = languages.identify(docs).filter(~F.col("keep")).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(rejected, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each near-duplicate class."""
+    return minhash.keep_one(docs)
+
+
+def substring_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut the passages that an earlier document has; drop documents cut to nothing."""
+    parsed = substrings.parse(docs)
+    kept = parsed.filter((F.col("_n_removed") == 0) | (F.col("_n_removed") < F.col("_n_words")))
+    length = F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", length.cast("long")).select(*docs.columns)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a window of a benchmark item."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the words that the mix takes of them."""
+    return mixing.mix(docs).filter("taken > 0").select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("substring_duplicates", substring_duplicates),
+    ("benchmark_passages", benchmark_passages),
+    ("source_mix", source_mix),
+]
+
+#: SQL can express neither the language model nor the signatures.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

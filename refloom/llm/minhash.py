@@ -75,7 +75,9 @@ def registers(text: np.ndarray, value: np.ndarray, weight: np.ndarray, texts: in
     while level == 0 or (1 << (level - 1)) < top:
         low = 0 if level == 0 else 1 << (level - 1)
         some = np.flatnonzero(weight > low)
-        parts.append((text[some], mix64(value[some] + _U(level) * _STEP), weight[some], np.full(len(some), low), np.full(len(some), max(low, 1))))
+        with np.errstate(over="ignore"):
+            seeds = mix64(value[some] + _U(level) * _STEP)
+        parts.append((text[some], seeds, weight[some], np.full(len(some), low), np.full(len(some), max(low, 1))))
         level += 1
     doc, seed, limit, low, length = (np.concatenate(x) for x in zip(*parts, strict=True))
     times = np.full(texts * m, np.inf)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm import decontaminate, licenses, minhash, mixing, substrings, urls
+from refloom.llm import decontaminate, kdtree, languages, licenses, minhash, mixing, pitman_yor, substrings, urls, warc
+from refloom.llm.durable import shared_dir
+from refloom.llm.sql import SQL  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,5 +63,28 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_mixing, op4_decontamination, op5_licenses, op7_minhash, op10_substrings)}
-SQL: dict[str, str] = {}
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder, payload=False).drop("payload", "url")
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return kdtree.top_k(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.identify(table(spark, sf_dir, "documents"))
+
+
+def llm_page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = languages.pages_evidence(table(spark, sf_dir, "pages"))
+    return languages.identify(pages, id_col="page_id", host_col="host", suffix_col="suffix")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_mixing, op3_pitman_yor, op4_decontamination, op5_licenses, op6_warc, op7_minhash, op8_topk, op9_language, op10_substrings, llm_page_languages)}

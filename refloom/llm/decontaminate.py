@@ -3,8 +3,8 @@
 The windows of the test items (10 words; a shorter item is one window) form a
 hash set.  Every token window of the training documents is hashed and looked up
 there, each hit is verified word by word, and the words of all verified windows
-are the hit spans.  The set is broadcast only while it has at most
-``broadcast_windows`` rows; beyond that the same join runs as a shuffle.
+are the hit spans.  The set travels with the tasks while it has at most
+``set_windows`` hashes; beyond that the hashes of all windows are joined with it.
 
 Defined cases: null or wordless texts and items have no windows; repeated
 documents each get their row; a null item id marks words but is no item; empty
@@ -16,10 +16,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from refloom.llm.durable import durable
 from refloom.llm.text import plain_words
 
 #: Words in a window.
 WINDOW = 10
+#: Beyond so many windows the hashes of all token windows are joined instead.
+SET_WINDOWS = 50_000
+
+_FOUND = "array<struct<pos:int,len:int,gram_hash:bigint,words:array<string>>>"
 
 
 def item_windows(benchmark: DataFrame, n: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -34,33 +39,44 @@ def item_windows(benchmark: DataFrame, n: int = WINDOW, id_col: str = "item_id",
     )
 
 
-def find_hits(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    n: int = WINDOW,
-    *,
-    text_col: str = "text",
-    broadcast_windows: int = 1_000_000,
-) -> DataFrame:
-    """Verified window occurrences: content (key of the text), pos from 0, len, item."""
-    grams = item_windows(benchmark, n)
-    sizes = {r["len"]: r["count"] for r in grams.groupBy("len").count().collect()}  # at most n rows
-    small = sum(sizes.values()) <= broadcast_windows
-    tokens = docs.select(content_key(text_col), plain_words(F.col(text_col)).alias("w"))
-    found = None
-    for length in sorted(sizes) or [n]:
-        of = grams.filter(F.col("len") == length)
-        windows = (
-            tokens.filter(F.size("w") >= length)
-            .select("content", "w", F.posexplode("w").alias("pos", "_word"))
-            .filter(F.col("pos") <= F.size("w") - length)
-            .withColumn("here", F.slice("w", F.col("pos") + 1, F.lit(length)))
-            .withColumn("gram_hash", F.xxhash64("here"))
-        )
-        hits = windows.join(F.broadcast(of) if small else of, "gram_hash").filter(F.col("here") == F.col("gram"))
-        hits = hits.select("content", "pos", "len", "item")
-        found = hits if found is None else found.unionByName(hits)
-    return found
+def candidates(docs: DataFrame, grams: DataFrame, *, keep: list, text_col: str = "text", set_windows: int = SET_WINDOWS) -> DataFrame:
+    """``keep`` columns, content, n_words, and the windows whose hash is in the set.
+
+    ``found`` is an array of (pos from 0, len, gram_hash, words).
+    """
+    small = grams.limit(set_windows + 1).count() <= set_windows
+    known: dict[int, list[int]] = {}
+    anchors: dict[int, set[str]] = {}
+    lengths = [r["len"] for r in grams.select("len").distinct().collect()]  # at most n
+    if small:
+        longest = F.array_max(F.transform("gram", lambda x: F.struct(F.length(x).alias("l"), x.alias("x"))))["x"]
+        for r in grams.select("len", "gram_hash", longest.alias("anchor")).distinct().collect():
+            known.setdefault(r["len"], []).append(r["gram_hash"])
+            anchors.setdefault(r["len"], set()).add(r["anchor"])
+    tokens = docs.select(*keep, content_key(text_col), plain_words(F.col(text_col)).alias("w"))
+    found = F.array().cast(_FOUND)
+    for length in sorted(lengths):
+        last = F.size("w") - length  # the last start
+        if small:
+            # a window holds its longest word: only windows around such words are hashed
+            places = F.array_compact(F.transform("w", lambda x, i: F.when(x.isin(sorted(anchors[length])), i)))  # noqa: B023
+            around = lambda p: F.sequence(F.greatest(p - length + 1, F.lit(0)), F.least(p, last))  # noqa: B023, E731
+            starts = F.array_distinct(F.flatten(F.transform(places, around)))
+        else:
+            starts = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
+        at = lambda i: F.struct(i.alias("pos"), F.lit(length).alias("len"), F.xxhash64(F.slice("w", i + 1, F.lit(length))).alias("gram_hash"))  # noqa: B023, E731
+        some = F.transform(starts, at)
+        if small:
+            some = F.filter(some, lambda x: x["gram_hash"].isin(known[length]))  # noqa: B023
+        whole = F.transform(some, lambda x: F.struct(x["pos"].alias("pos"), x["len"].alias("len"), x["gram_hash"].alias("gram_hash"), F.slice("w", x["pos"] + 1, x["len"]).alias("words")))
+        found = F.concat(found, F.when(last >= 0, whole).otherwise(F.array().cast(_FOUND)))
+    return tokens.select(*[F.col(c) if isinstance(c, str) else c for c in keep], "content", F.size("w").cast("long").alias("n_words"), found.alias("found"))
+
+
+def verified(found: DataFrame, grams: DataFrame) -> DataFrame:
+    """Verified window occurrences: content, pos, len, item."""
+    spots = found.filter(F.size("found") > 0).select("content", F.inline("found"))
+    return spots.join(grams.select("gram_hash", "gram", "item"), "gram_hash").filter(F.col("words") == F.col("gram")).select("content", "pos", "len", "item")
 
 
 def content_key(text_col: str = "text"):
@@ -68,11 +84,13 @@ def content_key(text_col: str = "text"):
     return F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("content")
 
 
-def judge(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, *, id_col: str = "doc_id", text_col: str = "text", broadcast_windows: int = 1_000_000) -> DataFrame:
+def judge(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, *, id_col: str = "doc_id", text_col: str = "text", set_windows: int = SET_WINDOWS) -> DataFrame:
     """Per document: id, n_words, n_hit, items (sorted array), spans, contaminated.
 
     ``spans`` are the merged hit ranges as (first, last) word numbers.
     """
+    grams = durable(item_windows(benchmark, n), "grams")
+    rows = durable(candidates(docs, grams, keep=[id_col], text_col=text_col, set_windows=set_windows), "windows")
     spot = F.struct(F.col("pos").alias("first"), (F.col("pos") + F.col("len") - 1).alias("last"))
     merge = F.aggregate(
         F.array_sort("spots"),
@@ -86,14 +104,13 @@ def judge(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, *, id_col: str
         ).otherwise(F.concat(a, F.array(s))),
     )
     per_text = (
-        find_hits(docs, benchmark, n, text_col=text_col, broadcast_windows=broadcast_windows)
+        verified(rows, grams)
         .groupBy("content")
         .agg(F.collect_set(spot).alias("spots"), F.array_sort(F.collect_set("item")).alias("items"))
         .select("content", "items", merge.alias("spans"))
     )
-    counted = docs.select(F.col(id_col), content_key(text_col), F.size(plain_words(F.col(text_col))).cast("long").alias("n_words"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"] + 1)
-    return counted.join(per_text, "content", "left").select(
+    return rows.drop("found").join(per_text, "content", "left").select(
         id_col,
         "n_words",
         F.coalesce(n_hit, F.lit(0)).cast("long").alias("n_hit"),
@@ -104,19 +121,24 @@ def judge(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, *, id_col: str
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, *, text_col: str = "text", broadcast_windows: int = 1_000_000) -> DataFrame:
+def _hits(docs: DataFrame, benchmark: DataFrame, n: int, text_col: str, set_windows: int) -> DataFrame:
+    grams = durable(item_windows(benchmark, n), "grams")
+    return verified(candidates(docs, grams, keep=[], text_col=text_col, set_windows=set_windows), grams)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, *, text_col: str = "text", set_windows: int = SET_WINDOWS) -> DataFrame:
     """The documents without any hit, with all their columns."""
-    hit = find_hits(docs, benchmark, n, text_col=text_col, broadcast_windows=broadcast_windows).select(F.col("content").alias("_hit")).distinct()
+    hit = durable(_hits(docs, benchmark, n, text_col, set_windows).select(F.col("content").alias("_hit")).distinct(), "hits")
     return docs.join(hit, content_key(text_col) == F.col("_hit"), "left_anti")
 
 
-def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, *, text_col: str = "text", broadcast_windows: int = 1_000_000) -> DataFrame:
+def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, *, text_col: str = "text", set_windows: int = SET_WINDOWS) -> DataFrame:
     """All documents with the words of hit spans (and the separators before them) taken out."""
     piece = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     tail = F.regexp_extract(text_col, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*$", 0)
     spot = F.sequence(F.col("pos"), F.col("pos") + F.col("len") - 1)
     hit = (
-        find_hits(docs, benchmark, n, text_col=text_col, broadcast_windows=broadcast_windows)
+        _hits(docs, benchmark, n, text_col, set_windows)
         .groupBy(F.col("content").alias("_content"))
         .agg(F.array_distinct(F.flatten(F.collect_list(spot))).alias("_hit"))
     )

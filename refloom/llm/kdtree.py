@@ -107,7 +107,7 @@ def search_shard(shard: bytes, ids: np.ndarray, queries: np.ndarray, best: np.nd
             some = live[leaf == x]
             s, e = int(starts[x]), int(starts[x + 1])
             scores = _product(queries[some], rows[s:e])
-            scores[own[None, s:e] == ids[some, None]] = np.iinfo(_I).min
+            scores[own[None, s:e] == ids[some, None]] = np.iinfo(_I).min + 1  # no score, and can be negated
             better = scores.max(axis=1) >= best[some, -1]
             some, scores = some[better], scores[better]
             if len(some):

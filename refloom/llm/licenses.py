@@ -15,11 +15,10 @@ columns are ignored.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from refloom.llm.durable import durable
 from refloom.llm.text import plain_words
 
 #: The phrases whose places are counted, with their labels.
@@ -46,15 +45,24 @@ TEMPLATES = [
 THRESHOLD = 0.8
 #: Templates are kept by people; beyond this many the index is joined by shuffle.
 BROADCAST_TEMPLATES = 20_000
+#: Sets of at most so many template words travel with the tasks.
+SET_WORDS = 50_000
 
 
 def content_key(text_col: str) -> Column:
     return F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("content")
 
 
-def _blocks(docs: DataFrame, text_col: str) -> DataFrame:
-    lines = F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("block", "line")
-    return docs.select(content_key(text_col), lines).select("content", "block", F.array_distinct(plain_words(F.col("line"))).alias("words"))
+def _blocks(text_col: str):
+    """Array of the distinct words of each line."""
+    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
+    return F.transform(lines, lambda x: F.array_distinct(plain_words(x)))
+
+
+def _small_set(words: DataFrame) -> list[str] | None:
+    """The words, if they are few enough to travel with the tasks."""
+    found = [r[0] for r in words.limit(SET_WORDS + 1).collect()]
+    return found if len(found) <= SET_WORDS else None
 
 
 def fitting_blocks(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD, *, text_col: str = "text", small: bool = True) -> DataFrame:
@@ -66,9 +74,12 @@ def fitting_blocks(docs: DataFrame, templates: DataFrame, threshold: float = THR
         .distinct()
         .withColumn("template", F.xxhash64("label", "set"))
     )
-    blocks = _blocks(docs, text_col)
     vocabulary = sets.select(F.explode("set").alias("word")).distinct()
-    frequency = blocks.select(F.explode("words").alias("word")).join(hint(vocabulary), "word", "left_semi").groupBy("word").count()
+    known = _small_set(vocabulary)
+    held = _blocks(text_col)
+    if known is not None:
+        held = F.transform(held, lambda b: F.filter(b, lambda w: w.isin(known)))
+    frequency = docs.select(F.explode(F.flatten(held)).alias("word")).join(hint(vocabulary), "word", "left_semi").groupBy("word").count()
     need = F.ceil(F.size("set") * F.lit(float(threshold)) - F.lit(1e-9)).cast("int")
     ordered = (
         sets.select("template", "label", F.size("set").alias("n"), need.alias("need"), F.explode("set").alias("word"))
@@ -78,7 +89,12 @@ def fitting_blocks(docs: DataFrame, templates: DataFrame, threshold: float = THR
         .select("template", "label", "n", "need", F.transform("o", lambda x: x["w"]).alias("ordered"))
     )
     prefix = F.posexplode(F.slice("ordered", F.lit(1), F.col("n") - F.col("need") + 1)).alias("at", "word")
-    index = ordered.select("template", "label", "n", "need", "ordered", prefix)
+    index = durable(ordered.select("template", "label", "n", "need", "ordered", prefix), "prefixes")
+    rare = _small_set(index.select("word").distinct())
+    blocks = F.transform(_blocks(text_col), lambda b, i: F.struct(i.alias("block"), b.alias("words")))
+    if rare is not None:  # only blocks with a prefix word leave the row
+        blocks = F.filter(blocks, lambda b: F.exists(b["words"], lambda w: w.isin(rare)))
+    blocks = docs.select(content_key(text_col), F.inline(blocks))
     candidates = (
         blocks.select("content", "block", "words", F.explode("words").alias("word"))
         .join(hint(index), "word")

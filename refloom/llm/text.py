@@ -15,14 +15,19 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z and nothing else."""
-    return F.translate(col, UPPER, UPPER.lower())
+    return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, UPPER.lower()))
+
+
+def _split(col: Column, separators: str) -> Column:
+    """The words between separators; splitting is several times faster than extracting."""
+    return F.array_remove(F.split(col, separators), "")
 
 
 def plain_words(col: Column) -> Column:
     """Array of the plain words of a text, lower-cased; empty for null."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(col, F.lit(""))), F.lit(PLAIN_WORD), F.lit(0))
+    return _split(ascii_lower(F.coalesce(col, F.lit(""))), PLAIN_WORD.replace("[^", "["))
 
 
 def count_spaced(col: Column) -> Column:
     """Number of white-space separated words; 0 for null."""
-    return F.regexp_count(F.coalesce(col, F.lit("")), F.lit(SPACED_WORD)).cast("long")
+    return F.size(_split(F.coalesce(col, F.lit("")), SPACED_WORD.replace("[^", "["))).cast("long")

@@ -22,6 +22,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from refloom.llm.durable import durable
 from refloom.llm.text import ascii_lower
 
 #: Fixed rules of the query: host, path, verdict.
@@ -50,9 +51,8 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), _PARTS, 2)
 
 
-def tokens(url: Column) -> Column:
+def tokens(host: Column, path: Column, url: Column) -> Column:
     """Distinct tokens: host, its parents, path words, query keys; digits as 0."""
-    host, path = host_of(url), path_of(url)
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     parents = F.transform(
         F.filter(F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))), lambda i: i <= F.size(labels)),
@@ -89,6 +89,7 @@ def mine_rules(
     if n < least:
         return spark.createDataFrame([], "items array<string>, support bigint, confidence double")
     sets = FPGrowth(minSupport=least / n, minConfidence=min_confidence).fit(positive).freqItemsets
+    sets = durable(sets, "itemsets")
     sets = sets.filter(F.col("freq") >= least).select(F.array_sort("items").alias("items"), F.col("freq").alias("support"))
     seen = match(labelled.select("tokens"), sets.select("items")).groupBy("items").agg(F.count("*").alias("of"))
     rules = sets.join(seen, "items").withColumn("confidence", F.col("support") / F.col("of")).filter(F.col("confidence") >= min_confidence)
@@ -132,19 +133,20 @@ def judge(
     rule decides is blocked if a mined rule fits, else allowed.
     """
     marks = labels.filter(F.col(label_id).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(label_id).alias("_id")).agg((F.max(label_col) > 0).alias("unwanted"))
-    urls = pages.select(F.col(id_col), F.col(url_col).alias("_url"))
-    labelled = urls.join(marks, urls[id_col] == marks["_id"]).select(tokens(F.col("_url")).alias("tokens"), "unwanted")
-    mined = mine_rules(labelled, **bounds)
-    distinct = urls.select("_url").distinct().select("_url", tokens(F.col("_url")).alias("tokens"))
+    url = F.col(url_col)
+    urls = pages.select(F.col(id_col), url.alias("_url"), host_of(url).alias("_host"), path_of(url).alias("_path"))
+    parts = [F.col("_host"), F.col("_path"), F.col("_url")]
+    labelled = urls.join(marks, urls[id_col] == marks["_id"]).select(tokens(*parts).alias("tokens"), "unwanted")
+    mined = durable(mine_rules(durable(labelled, "labelled"), **bounds), "rules")
+    distinct = urls.drop(id_col).distinct().select("_url", tokens(*parts).alias("tokens"))
     best = match(distinct, mined).groupBy(F.col("_url").alias("_of")).agg(F.max_by(F.struct("items", "confidence"), F.struct("confidence", "support", "items")).alias("mined"))
-    host, path = host_of(F.col("_url")), path_of(F.col("_url"))
     return (
-        urls.withColumn("fixed", fixed_verdict(host, path, rules))
+        urls.withColumn("fixed", fixed_verdict(F.col("_host"), F.col("_path"), rules))
         .join(best, F.col("_url").eqNullSafe(F.col("_of")), "left")
         .select(
             id_col,
-            host.alias("host"),
-            path.alias("path"),
+            F.col("_host").alias("host"),
+            F.col("_path").alias("path"),
             F.col("fixed.rule").alias("rule"),
             F.coalesce("fixed.verdict", F.when(F.col("mined").isNotNull(), "block").otherwise("allow")).alias("verdict"),
             F.col("mined.items").alias("mined_rule"),

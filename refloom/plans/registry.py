@@ -1,10 +1,448 @@
-"""Every query of the library with the SQL that gives the same rows."""
+"""Every query of the library with the SQL that gives the same rows.
+
+The driver's tables hold no citations, so references are built from columns by
+one expression in Spark and the same one in SQL, or are small fixtures.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from refloom.functions import extract, similarity, text
+from refloom.operators import citations, corpus, duplicates, parsing, report, resolve, validate
+from refloom.sources import catalogs
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def query(sql: str | None = None):
+    """Register a query under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# DuckDB building blocks: folding, word sets, similarity of two columns.
+_FOLD = "trim(regexp_replace(lower(strip_accents({0})), '[^a-z0-9_\\s]', '', 'g'), ' ' || chr(10) || chr(9) || chr(13))"
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^a-z0-9_\\s]', '', 'g'), '\\s+'), lambda w: w <> ''))"
+_OVERLAP = "(case when len(x) > 0 and len(y) > 0 then floor(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) * 100 + 0.5) else 0 end)::bigint"
+_STATUS = "case when conf > 80 then 'Verified' when conf > 50 then 'Partial' else 'Mismatch' end"
+
+
+def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five documents with most words in common with each benchmark passage."""
+    refs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ref_id"), F.col("text").alias("title"))
+    docs = table(spark, sf_dir, "documents").select(F.lit("documents").alias("source"), F.lit(1).alias("source_rank"), F.col("doc_id").alias("rec_id"), F.col("text").alias("title"))
+    top = resolve.candidates(refs, docs)
+    return top.join(refs, "ref_id").join(docs.select("rec_id", F.col("title").alias("found")), "rec_id")
+
+
+_TOP_SQL = f"""
+with b as (select item_id, text, list_distinct(list_filter(regexp_split_to_array({_FOLD.format('text')}, '\\s+'), lambda w: length(w) >= 3)) as w from benchmark),
+d as (select doc_id, text, list_distinct(list_filter(regexp_split_to_array({_FOLD.format('text')}, '\\s+'), lambda w: length(w) >= 3)) as w from documents),
+bw as (select item_id, unnest(w) as word from b), dw as (select doc_id, unnest(w) as word from d),
+h as (select item_id, doc_id, count(*) as hits from bw join dw using (word) group by all),
+t as (select *, row_number() over (partition by item_id order by hits desc, doc_id) as rank from h qualify rank <= 5)
+"""
+
+
+@query(
+    _TOP_SQL
+    + f"""select item_id, doc_id, hits::bigint as hits, rank::int as rank, score, {_STATUS.replace('conf', 'score')} as status
+from (select t.*, {_OVERLAP.replace('x', 'b.w').replace('y', 'd.w')} as score from t join b using (item_id) join d using (doc_id))"""
+)
+def verify_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = lambda c: resolve.title_words(F.col(c))
+    share = F.size(F.array_intersect(words("title"), words("found"))) / F.size(F.array_union(words("title"), words("found")))
+    rows = _top(spark, sf_dir).withColumn("score", text.rounded(share * 100))
+    return rows.select(F.col("ref_id").alias("item_id"), F.col("rec_id").alias("doc_id"), "hits", "rank", "score", report.ui_status(F.lit(True), F.col("score")).alias("status"))
+
+
+flagship = verify_flagship
+
+
+@query(f"select doc_id, md5({_FOLD.format('text')}) as folded from documents")
+def fold_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.fold(F.col("text"))).alias("folded"))
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of distinct part names with a first letter in common."""
+    names = table(spark, sf_dir, "part").select("p_name", F.substring("p_name", 1, 1).alias("k")).distinct()
+    return names.withColumnRenamed("p_name", "a").join(names.withColumnRenamed("p_name", "b"), "k")
+
+
+_NAMES_SQL = "with n as (select distinct p_name from part), p as (select u.p_name as a, v.p_name as b from n u join n v on left(u.p_name, 1) = left(v.p_name, 1))"
+
+
+@query(
+    f"""{_NAMES_SQL}, s as (select a, b, {_FOLD.format('a')} as fa, {_FOLD.format('b')} as fb, {_WORDS.format('a')} as x, {_WORDS.format('b')} as y from p)
+select a, b, case when fa = fb then 100 else greatest(floor((1 - levenshtein(fa, fb) / greatest(length(fa), length(fb))) * 100 + 0.5)::bigint, {_OVERLAP}) end::bigint as sim, {_OVERLAP} as overlap from s"""
+)
+def title_similarity_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("a"), F.col("b")
+    return _names(spark, sf_dir).select("a", "b", similarity.similarity(a, b).alias("sim"), similarity.word_overlap(a, b).alias("overlap"))
+
+
+@query(
+    f"""{_NAMES_SQL}, s as (select a, b, {_WORDS.format('a')} as x, {_WORDS.format('b')} as y from p)
+select a, b, case when lower(a) = lower(b) then 100 else floor(len(list_intersect(x, y)) / greatest(len(x), len(y)) * 100 + 0.5) end::bigint as sim from s"""
+)
+def adapter_similarity_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _names(spark, sf_dir).select("a", "b", similarity.adapter_similarity(F.col("a"), F.col("b")).alias("sim"))
+
+
+def _references(spark: SparkSession, sf_dir: str, apa: bool) -> DataFrame:
+    orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    part, customer = table(spark, sf_dir, "part"), table(spark, sf_dir, "customer")
+    rows = items.join(orders, items.l_orderkey == orders.o_orderkey).join(part, items.l_partkey == part.p_partkey).join(customer, orders.o_custkey == customer.c_custkey)
+    year = F.year("o_orderdate").cast("string")
+    if apa:
+        raw = F.concat(F.col("c_name"), F.lit(", A. ("), year, F.lit("). "), F.col("p_name"), F.lit(". Journal of "), F.col("p_type"), F.lit(", 12, 3-9."))
+    else:
+        raw = F.concat(F.lit("["), F.col("l_linenumber").cast("string"), F.lit("]. "), F.col("c_name"), F.lit(" A. "), F.col("p_name"), F.lit(". Annals of "), F.col("p_type"), F.lit(". "), year, F.lit(";12(3):9."))
+    return rows.select("l_orderkey", "l_linenumber", raw.alias("raw"))
+
+
+_REFS_SQL = """with r as (select l_orderkey, l_linenumber, {raw} as raw from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey join customer on o_custkey = c_custkey)"""
+_APA_RAW = "c_name || ', A. (' || year(o_orderdate) || '). ' || p_name || '. Journal of ' || p_type || ', 12, 3-9.'"
+_VAN_RAW = "'[' || l_linenumber || ']. ' || c_name || ' A. ' || p_name || '. Annals of ' || p_type || '. ' || year(o_orderdate) || ';12(3):9.'"
+
+
+@query(
+    _REFS_SQL.format(raw=_APA_RAW)
+    + r""" select l_orderkey, l_linenumber, regexp_extract(raw, '^(.+?)\s*\((\d{4})\)\.\s*(.+?)\.\s*(.+?)$', 3) as title,
+regexp_replace(regexp_extract(raw, '^(.+?)\s*\((\d{4})\)', 1), '\.$', '') as authors, regexp_extract(raw, '\((\d{4})\)', 1) as year,
+trim(regexp_extract(regexp_extract(raw, '\)\.\s*(.+?)\.\s*(.+?)$', 2), '^([^,\d]+)', 1)) as journal from r"""
+)
+def parse_apa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _references(spark, sf_dir, True).withColumn("p", parsing.apa_style(F.col("raw"))).select("l_orderkey", "l_linenumber", "p.title", "p.authors", "p.year", "p.journal")
+
+
+@query(
+    _REFS_SQL.format(raw=_VAN_RAW)
+    + r""", s as (select *, list_filter(regexp_split_to_array(regexp_replace(raw, '^\[\d+\]\.\s*', ''), '\.\s+'), lambda s: length(s) > 3) as p from r)
+select l_orderkey, l_linenumber, l_linenumber::int as ref_number, p[1] as authors, p[2] as title, trim(regexp_extract(p[3], '^([^;,\d]+)', 1)) as journal, regexp_extract(raw, '\b((?:19|20)\d{2})\b', 1) as year from s"""
+)
+def parse_vancouver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _references(spark, sf_dir, False).withColumn("p", parsing.vancouver_style(F.col("raw"))).select("l_orderkey", "l_linenumber", "p.ref_number", "p.authors", "p.title", "p.journal", "p.year")
+
+
+@query()
+def parse_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _references(spark, sf_dir, True).withColumn("p", parsing.generic_style(F.regexp_replace("raw", r"\(\d{4}\)\.", "."))).select("l_orderkey", "l_linenumber", "p.*")
+
+
+@query(
+    r"""select p_partkey, '10.1000/part.' || p_partkey as doi, (2000 + p_size % 25)::varchar as year, lpad((1000 + p_partkey % 9000)::varchar, 4, '0') || '.' || lpad((p_partkey % 100000)::varchar, 5, '0') as arxiv_id from part"""
+)
+def extract_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    number = F.concat(F.lpad((1000 + key % 9000).cast("string"), 4, "0"), F.lit("."), F.lpad((key % 100000).cast("string"), 5, "0"))
+    raw = F.concat(F.lit("See "), F.col("p_name"), F.lit(" ("), (2000 + F.col("p_size") % 25).cast("string"), F.lit("), DOI: 10.1000/part."), key.cast("string"), F.lit(".; arXiv:"), number, F.lit("v2"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"))
+    return rows.select("p_partkey", extract.doi(F.col("raw")).alias("doi"), extract.year(F.col("raw")).alias("year"), extract.arxiv_id(F.col("raw")).alias("arxiv_id"))
+
+
+def _part_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    items = part.select(
+        F.concat(F.lit("10.1000/"), F.col("p_partkey").cast("string")).alias("DOI"),
+        F.array("p_name").alias("title"),
+        F.array(F.struct(F.col("p_brand").alias("family"), F.col("p_type").alias("given"))).alias("author"),
+        F.array("p_type").alias("container_title"),
+        *[F.array(F.array((1990 + F.col("p_size")).cast("int"))).alias(c) for c in ("published", "published_print", "published_online", "issued", "created")],
+        F.concat(F.lit("https://example.org/"), F.col("p_partkey").cast("string")).alias("URL"),
+        F.col("p_brand").alias("publisher"),
+        F.array(F.struct(F.when(F.col("p_size") == 1, "retraction").otherwise("correction").alias("type"))).alias("update_to"),
+        F.array().cast("array<string>").alias("is_retracted_by"),
+        F.col("p_size").alias("is_referenced_by_count"),
+    )
+    return catalogs.crossref(items)
+
+
+def _part_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    wrong = F.when(F.col("p_partkey") % 3 == 0, "10.9999/").otherwise("10.1000/")
+    return part.select(
+        F.col("p_partkey").alias("ref_id"),
+        F.col("p_name").alias("raw"),
+        F.col("p_name").alias("title"),
+        F.col("p_brand").alias("authors"),
+        F.col("p_type").alias("journal"),
+        (1990 + F.col("p_size")).cast("string").alias("year"),
+        F.concat(wrong, F.col("p_partkey").cast("string")).alias("doi"),
+        F.lit(None).cast("string").alias("arxiv_id"),
+    )
+
+
+@query("""select p_partkey as ref_id, 100.0::double as confidence, 100::bigint as title_score, p_size = 1 as retracted from part where p_partkey % 3 <> 0""")
+def doi_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.doi_lookup(_part_references(spark, sf_dir), _part_catalog(spark, sf_dir)).select("ref_id", "confidence", "title_score", "retracted")
+
+
+@query("""select case when p_partkey % 3 <> 0 then 'doi' else 'search' end as path, count(*) as n from part group by 1""")
+def waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.resolve(_part_references(spark, sf_dir), _part_catalog(spark, sf_dir)).groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query(
+    r"""with l as (select doc_id, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) as raw from documents)
+select doc_id, count(*) as n_lines, sum(length(raw))::bigint as n_chars from l where length(raw) > 10 group by doc_id"""
+)
+def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return parsing.reference_lines(docs).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("raw")).alias("n_chars"))
+
+
+@query(
+    """with o as (select l_orderkey, list(l_linenumber || '. ' || p_name || ' ' || p_type || ', volume 7' order by l_linenumber, p_name || ' ' || p_type) as refs
+from lineitem join part on l_partkey = p_partkey group by l_orderkey having count(*) >= 2)
+select l_orderkey, i::int as ref_no, refs[i] as reference from o, unnest(generate_series(1, len(refs))) as u(i)"""
+)
+def sections_and_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    line = F.concat(F.col("l_linenumber").cast("string"), F.lit(". "), F.col("p_name"), F.lit(" "), F.col("p_type"), F.lit(",\nvolume 7"))
+    rows = items.join(part, items.l_partkey == part.p_partkey).groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("x")))), lambda r: r["x"]).alias("refs"))
+    body = F.concat(F.lit("Introduction\nReferences\nare discussed here\nVIII. References\n"), F.array_join("refs", "\n"), F.lit("\nAcknowledgements\nWe thank everyone."))
+    sections = rows.filter(F.size("refs") >= 2).select("l_orderkey", parsing.find_section(body)["section"].alias("section"))
+    return parsing.split_references(sections, "l_orderkey")
+
+
+@query(
+    """with k as (select p_brand as batch_id, p_partkey as seq, trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9_\\s]', '', 'g'), '\\s+', ' ', 'g')) as key from part)
+select x.batch_id, x.seq as orig_seq, y.seq as dup_seq from k x join k y on x.batch_id = y.batch_id and x.seq < y.seq
+and (x.key = y.key or (length(x.key) > 20 and length(y.key) > 20 and (contains(x.key, y.key) or contains(y.key, x.key))))"""
+)
+def duplicate_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = table(spark, sf_dir, "part").select(F.col("p_brand").alias("batch_id"), F.col("p_partkey").alias("seq"), F.col("p_name").alias("raw"), F.col("p_name").alias("title"))
+    return duplicates.duplicate_pairs(refs)
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as checked references: the price gives a confidence."""
+    orders = table(spark, sf_dir, "orders")
+    issues = F.when(F.col("o_orderpriority").startswith("1"), F.array(F.lit("urgent"))).otherwise(F.array().cast("array<string>"))
+    return orders.select(
+        F.col("o_orderkey").alias("ref_id"),
+        (F.col("o_orderstatus") != "P").alias("exists"),
+        F.when(F.col("o_custkey") % 7 == 0, "NotFound").otherwise("CrossRef").alias("source"),
+        (F.floor("o_totalprice") % 101).cast("double").alias("confidence"),
+        issues.alias("issues"),
+        (F.col("o_custkey") % 11 == 0).alias("retracted"),
+        (F.col("o_custkey") % 13 == 0).alias("predatory"),
+        F.year("o_orderdate").cast("string").alias("year"),
+        F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey")).alias("citations"),
+        F.concat(F.lit("venue_"), F.year("o_orderdate").cast("string")).alias("dataset"),
+    )
+
+
+_RESULTS_SQL = """with r as (select o_orderkey as ref_id, o_orderstatus <> 'P' as e, case when o_custkey % 7 = 0 then 'NotFound' else 'CrossRef' end as source,
+(floor(o_totalprice)::bigint % 101)::double as conf, o_orderpriority like '1%' as has_issue, o_custkey % 11 = 0 as retracted, o_custkey % 13 = 0 as predatory,
+year(o_orderdate) as y, case when o_custkey % 5 <> 0 then o_custkey end as citations from orders),
+s as (select *, case when not e then 'Not Found' when conf > 80 then 'Verified' when conf > 50 then 'Partial' else 'Mismatch' end as status,
+case when not e or source = 'NotFound' then 'not_found' when conf >= 80 then 'verified' when conf >= 50 then 'partial_match' else 'mismatch' end as service from r) """
+
+
+@query(
+    _RESULTS_SQL
+    + """select count(*) filter (status = 'Verified') as verified, count(*) filter (status = 'Partial') as partial, count(*) filter (status = 'Mismatch') as mismatch,
+count(*) filter (status = 'Not Found') as not_found, count(*) filter (has_issue) as with_issues, count(*) filter (retracted) as retracted, count(*) filter (predatory) as predatory, count(*) as total from s"""
+)
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.counts(_results(spark, sf_dir))
+
+
+@query(_RESULTS_SQL + "select service as status, count(*) as n from s group by 1")
+def service_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.service_counts(_results(spark, sf_dir))
+
+
+@query(
+    _RESULTS_SQL
+    + """select ref_id, status as ui, service, case when not e then 'Not Found' when conf > 80 then 'Verified' else 'Partial' end as batch,
+case when e then 'Verified' else 'Not Found' end as existence, case when retracted then 'RETRACTED' else status end as badge from s"""
+)
+def status_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, c = F.col("exists"), F.col("confidence")
+    return _results(spark, sf_dir).select(
+        "ref_id", report.ui_status(e, c).alias("ui"), report.service_status(e, F.col("source"), c).alias("service"), report.batch_status(e, c).alias("batch"),
+        report.existence_status(e).alias("existence"), report.report_badge(e, c, F.col("retracted")).alias("badge"),
+    )
+
+
+@query(_RESULTS_SQL + "select ref_id from s where status = 'Partial'")
+def status_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.select_rows(_results(spark, sf_dir), "partial").select("ref_id")
+
+
+@query(_RESULTS_SQL + "select min(y)::int as min_year, max(y)::int as max_year, floor(avg(y) + 0.5)::bigint as avg_year, (max(y) - min(y))::int as span, count(*) as n from s")
+def temporal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.temporal(_results(spark, sf_dir))
+
+
+@query(_RESULTS_SQL + "select sum(citations)::bigint as total, floor(avg(citations) + 0.5)::bigint as mean from s where e and citations is not null")
+def citation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.citations(_results(spark, sf_dir))
+
+
+def _with_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _results(spark, sf_dir).withColumn("status", report.ui_status(F.col("exists"), F.col("confidence")))
+
+
+@query(
+    _RESULTS_SQL
+    + """select case when y in (2016, 2023, 2025) then y::varchar else '2026' end as cohort, count(*) as n, count(*) filter (status = 'Not Found') as not_found,
+count(*) filter (status = 'Not Found') * 100.0::double / count(*) as rate from s group by 1"""
+)
+def cohort_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.cohort_rates(_with_status(spark, sf_dir))
+
+
+@query(_RESULTS_SQL + "select 'venue' as domain, y::varchar as year, avg((status = 'Not Found')::int::double) as rate from s group by y")
+def domain_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.domain_rates(_with_status(spark, sf_dir))
+
+
+@query(
+    _RESULTS_SQL
+    + """, t as (select y, count(*) filter (status = 'Not Found') as a, count(*) filter (status <> 'Not Found') as b from s group by y),
+g as (select sum(a) as sa, sum(b) as sb from t)
+select round(sum(pow(a - (a + b) * sa / (sa + sb), 2) / ((a + b) * sa / (sa + sb)) + pow(b - (a + b) * sb / (sa + sb), 2) / ((a + b) * sb / (sa + sb))), 6) as statistic, (count(*) - 1)::bigint as dof from t, g"""
+)
+def chi_square(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _with_status(spark, sf_dir).withColumn("missing", F.col("status") == "Not Found")
+    return corpus.chi_square(corpus.crosstab(rows, "year", "missing")).select(F.round("statistic", 6).alias("statistic"), "dof")
+
+
+@query(
+    """with c as (select count(*) filter (t and p) as tp, count(*) filter (not t and p) as fp, count(*) filter (t and not p) as fn, count(*) filter (not t and not p) as tn
+from (select toxic = 1 as t, n_chars % 2 = 1 as p from labels join documents using (doc_id))),
+m as (select *, tp / (tp + fp) as precision, tp / (tp + fn) as recall, fp / (fp + tn) as fpr from c)
+select tp, fp, fn, tn, precision, recall, 2 * precision * recall / (precision + recall) as f1, fpr from m"""
+)
+def detector_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    rows = rows.select((F.col("toxic") == 1).alias("truth"), (F.col("n_chars") % 2 == 1).alias("flag"))
+    return corpus.detector_metrics(rows, "truth", "flag")
+
+
+@query(
+    "select p_partkey, contains(trim(regexp_replace(lower(venue), '[^a-z0-9_\\s]', '', 'g')), 'hindawi') as predatory "
+    "from (select p_partkey, case when p_size % 4 = 0 then 'Hindawi ' || p_type else p_type end as venue from part)"
+)
+def denylist_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    venue = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("Hindawi "), F.col("p_type"))).otherwise(F.col("p_type"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", venue.alias("venue"))
+    return duplicates.on_denylist(rows, catalogs.denylist(spark)).select("p_partkey", "predatory")
+
+
+@query("select l_orderkey, l_linenumber from lineitem qualify row_number() over (partition by l_orderkey order by l_linenumber) <= 3")
+def first_k_per_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.first_k(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", 3).select("l_orderkey", "l_linenumber")
+
+
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    return duplicates.not_processed(table(spark, sf_dir, "customer"), done, "c_custkey").select("c_custkey")
+
+
+@query("""select page_id, len(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1))::bigint as n_links, md5(array_to_string(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1), ' ')) as links from pages""")
+def link_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = extract.link_targets(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.size(links).cast("long").alias("n_links"), F.md5(F.array_join(links, " ")).alias("links"))
+
+
+_PART_SQL = "with p as (select p_partkey::varchar as k, p_name as title, p_brand as family, p_type as given, p_type as venue, (1990 + p_size)::varchar as y from part) "
+
+
+@query(
+    _PART_SQL
+    + """select '10.1000/' || k as rec_id, family || ', ' || left(given, 1) || '. (' || y || '). ' || title || '. ' || venue || '. https://doi.org/10.1000/' || k as apa,
+family || ', ' || given || '. "' || title || '." ' || venue || ', ' || y || '. https://doi.org/10.1000/' || k || '.' as mla,
+upper(family) || ', ' || given || '. ' || title || '. ' || venue || ', ' || y || '. https://doi.org/10.1000/' || k as iso690,
+'@article{' || family || y || regexp_replace(string_split(title, ' ')[1], '[^a-zA-Z0-9]', '', 'g') || ',' || chr(10) || '  title={' || title || '},' || chr(10) || '  author={' || family || ', ' || given || '},' || chr(10)
+|| '  year={' || y || '},' || chr(10) || '  journal={' || venue || '},' || chr(10) || '  doi={10.1000/' || k || '}' || chr(10) || '}' as bibtex from p"""
+)
+def export_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return citations.with_citations(_part_catalog(spark, sf_dir)).select("rec_id", "apa", "mla", "iso690", "bibtex")
+
+
+@query(
+    _PART_SQL
+    + """select k as ref, 'TY  - JOUR' || chr(10) || 'TI  - ' || title || chr(10) || 'AU  - ' || family || chr(10) || 'AU  - Doe J, et al' || chr(10) || 'PY  - ' || y || chr(10) || 'JO  - ' || venue || chr(10) || 'ER  - ' as ris from p"""
+)
+def export_ris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    null = F.lit(None).cast("string")
+    rows = _part_catalog(spark, sf_dir).select(F.substring_index("rec_id", "/", -1).alias("ref"), "title", F.concat(F.get("families", 0), F.lit(" and Doe J et al")).alias("_a"), "year", F.col("venue").alias("journal"))
+    rows = rows.select("ref", "title", F.regexp_replace("_a", " et al", ", et al").alias("authors"), "year", "journal", null.alias("doi"), null.alias("url"))
+    return rows.select("ref", citations.ris().alias("ris"))
+
+
+@query(
+    """with r as (select o_custkey as batch_id, o_orderkey as seq, o_orderpriority as apa from orders where o_orderstatus <> 'P'),
+n as (select *, row_number() over (partition by batch_id order by seq) as i from r)
+select batch_id, string_agg('[' || i || '] ' || apa, chr(10) || chr(10) order by seq) as text from n group by batch_id"""
+)
+def export_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("batch_id"), F.col("o_orderkey").alias("seq"), (F.col("o_orderstatus") != "P").alias("exists"), F.col("o_orderpriority").alias("apa"))
+    return citations.joined_text(citations.numbered_list(rows, "apa"))
+
+
+@query("select event_type, count(*) as n, round(sum(value), 3) as total from events group by event_type")
+def progressive_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
+
+
+@query()
+def overlap_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _top(spark, sf_dir).select("ref_id", "rec_id", F.col("found").alias("reference"), F.col("title").alias("found_title"))
+    return corpus.overlap_audit(rows).select("ref_id", "rec_id", F.round("overlap", 6).alias("overlap"))
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    return part.select(
+        "p_partkey",
+        F.col("p_name").alias("title"),
+        F.concat(F.col("p_brand"), F.lit(" and Nobody")).alias("authors"),
+        F.col("p_type").alias("journal"),
+        (2000 + F.col("p_size")).cast("string").alias("year"),
+        F.concat_ws(" ", "p_brand", "p_name", "p_type", (2000 + F.col("p_size")).cast("string")).alias("raw"),
+        F.col("p_name").alias("found_title"),
+        F.array("p_brand").alias("found_families"),
+        F.array(F.lit("")).alias("found_givens"),
+        (2000 + F.col("p_size") + F.col("p_partkey") % 4).cast("string").alias("found_year"),
+        F.array((2000 + F.col("p_size") + F.col("p_partkey") % 4).cast("string")).alias("found_years"),
+        F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise(F.lit("arXiv")).alias("found_venue"),
+        F.lit("").alias("found_publisher"),
+        F.lit(False).alias("found_retracted"),
+    )
+
+
+@query()
+def batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.check_batch(_checked(spark, sf_dir)).select("p_partkey", "title_score", "author_score", "journal_score", "year_score", "confidence", "accepted", "issues")
+
+
+@query()
+def quick_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.check_quick(_checked(spark, sf_dir)).select("p_partkey", "title_score", "author_score", "journal_score", "confidence", "accepted", "issues")
+
+
+@query()
+def bibtex_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = citations.with_citations(_part_catalog(spark, sf_dir)).select("rec_id", F.col("bibtex").alias("text"))
+    return parsing.parse_bibtex(texts).select("rec_id", "entry_type", "citation_key", F.col("tags")["title"].alias("title"), F.col("tags")["year"].alias("year"))

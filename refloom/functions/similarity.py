@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from refloom.functions.text import SPACE, adapter_key, fold, rounded
 
@@ -95,7 +96,7 @@ def windowed_similarity(reference: Column, title: Column) -> Column:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a, b):
     """Matching-blocks ratio of the lower-cased strings; no built-in computes it."""
     import difflib

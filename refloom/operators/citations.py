@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from refloom.functions.text import filled
 from refloom.operators.report import service_status, ui_status
 
-_S = F.lit("")
+def _empty() -> Column:
+    return F.lit("")
 
 
 def _or(col: Column, other) -> Column:
@@ -26,20 +27,20 @@ def _is(source: str) -> Column:
 def _split_name(name: Column, last: Column) -> Column:
     parts = F.split(name, " ")
     initials = F.array_join(F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.concat(F.substring(p, 1, 1), F.lit("."))), " ")
-    return F.concat(F.when(last, F.lit("& ")).otherwise(_S), F.element_at(parts, -1), F.lit(", "), initials)
+    return F.concat(F.when(last, F.lit("& ")).otherwise(_empty()), F.element_at(parts, -1), F.lit(", "), initials)
 
 
 def _year() -> Column:
-    return F.when(F.coalesce(F.col("year").cast("string"), _S).isin("", "0"), F.lit("n.d.")).otherwise(F.col("year").cast("string"))
+    return F.when(F.coalesce(F.col("year").cast("string"), _empty()).isin("", "0"), F.lit("n.d.")).otherwise(F.col("year").cast("string"))
 
 
 def _title() -> Column:
-    return F.when(_is("CrossRef"), _or(F.col("title"), "Untitled")).otherwise(F.coalesce("title", _S))
+    return F.when(_is("CrossRef"), _or(F.col("title"), "Untitled")).otherwise(F.coalesce("title", _empty()))
 
 
 def _link() -> Column:
     address = F.when(_is("OpenAlex"), F.col("doi")).otherwise(F.concat(F.lit("https://doi.org/"), F.col("doi")))
-    return F.when(filled(F.col("doi")).isNotNull(), address).otherwise(F.coalesce("url", _S))
+    return F.when(filled(F.col("doi")).isNotNull(), address).otherwise(F.coalesce("url", _empty()))
 
 
 def _preprint() -> Column:
@@ -47,49 +48,49 @@ def _preprint() -> Column:
 
 
 def _venue(mark: str) -> Column:
-    venue = F.when(_is("arXiv"), _preprint()).otherwise(F.coalesce("venue", _S))
-    return F.when(venue != "", F.concat(F.lit(" "), venue, F.lit(mark))).otherwise(_S)
+    venue = F.when(_is("arXiv"), _preprint()).otherwise(F.coalesce("venue", _empty()))
+    return F.when(venue != "", F.concat(F.lit(" "), venue, F.lit(mark))).otherwise(_empty())
 
 
 def _spaced(col: Column, end: str = "") -> Column:
-    return F.when(col != "", F.concat(F.lit(" "), col, F.lit(end))).otherwise(_S)
+    return F.when(col != "", F.concat(F.lit(" "), col, F.lit(end))).otherwise(_empty())
 
 
 def apa() -> Column:
-    own = F.array_join(F.transform(F.arrays_zip("families", "givens"), lambda a: F.concat(a["families"], F.lit(", "), F.when(F.coalesce(a["givens"], _S) != "", F.concat(F.substring(a["givens"], 1, 1), F.lit("."))).otherwise(_S))), ", ")
+    own = F.array_join(F.transform(F.arrays_zip("families", "givens"), lambda a: F.concat(a["families"], F.lit(", "), F.when(F.coalesce(a["givens"], _empty()) != "", F.concat(F.substring(a["givens"], 1, 1), F.lit("."))).otherwise(_empty()))), ", ")
     n = F.size("authors")
     other = F.array_join(F.transform("authors", lambda a, i: _split_name(a, (i == n - 1) & (n > 1))), ", ")
     names = F.when(_is("CrossRef"), own).otherwise(other)
-    return F.concat(F.coalesce(names, _S), F.lit(" ("), _year(), F.lit("). "), _title(), F.lit("."), _venue("."), _spaced(_link()))
+    return F.concat(F.coalesce(names, _empty()), F.lit(" ("), _year(), F.lit("). "), _title(), F.lit("."), _venue("."), _spaced(_link()))
 
 
 def mla() -> Column:
     n = F.size("authors")
-    fam, giv = (lambda i: F.get("families", i)), (lambda i: F.coalesce(F.get("givens", i), _S))
-    own = F.when(n == 1, F.concat(fam(0), F.lit(", "), giv(0))).when(n == 2, F.concat(fam(0), F.lit(", "), giv(0), F.lit(", and "), giv(1), F.lit(" "), fam(1))).when(n > 2, F.concat(fam(0), F.lit(", "), giv(0), F.lit(", et al"))).otherwise(_S)
+    fam, giv = (lambda i: F.get("families", i)), (lambda i: F.coalesce(F.get("givens", i), _empty()))
+    own = F.when(n == 1, F.concat(fam(0), F.lit(", "), giv(0))).when(n == 2, F.concat(fam(0), F.lit(", "), giv(0), F.lit(", and "), giv(1), F.lit(" "), fam(1))).when(n > 2, F.concat(fam(0), F.lit(", "), giv(0), F.lit(", et al"))).otherwise(_empty())
     full = lambda i: F.get("authors", i)
-    other = F.when(n == 1, full(0)).when(n == 2, F.concat(full(0), F.lit(" and "), full(1))).when(n > 2, F.concat(full(0), F.lit(", et al"))).otherwise(_S)
+    other = F.when(n == 1, full(0)).when(n == 2, F.concat(full(0), F.lit(" and "), full(1))).when(n > 2, F.concat(full(0), F.lit(", et al"))).otherwise(_empty())
     names = F.trim(F.when(_is("CrossRef"), own).otherwise(other))
     dotted = F.when((names != "") & ~names.endswith("."), F.concat(names, F.lit("."))).otherwise(names)
-    return F.concat(F.when(dotted != "", F.concat(dotted, F.lit(" "))).otherwise(_S), F.lit('"'), _title(), F.lit('."'), _venue(","), F.lit(" "), _year(), F.lit("."), _spaced(_link(), "."))
+    return F.concat(F.when(dotted != "", F.concat(dotted, F.lit(" "))).otherwise(_empty()), F.lit('"'), _title(), F.lit('."'), _venue(","), F.lit(" "), _year(), F.lit("."), _spaced(_link(), "."))
 
 
 def iso690() -> Column:
-    own = F.transform(F.arrays_zip("families", "givens"), lambda a: F.concat(F.upper(F.coalesce(a["families"], _S)), F.when(F.coalesce(a["givens"], _S) != "", F.concat(F.lit(", "), a["givens"])).otherwise(_S)))
+    own = F.transform(F.arrays_zip("families", "givens"), lambda a: F.concat(F.upper(F.coalesce(a["families"], _empty())), F.when(F.coalesce(a["givens"], _empty()) != "", F.concat(F.lit(", "), a["givens"])).otherwise(_empty())))
     names = F.array_join(F.when(_is("CrossRef"), own).otherwise(F.transform("authors", F.upper)), "; ")
-    return F.concat(F.when(names != "", F.concat(names, F.lit(". "))).otherwise(_S), _title(), F.lit("."), _venue(","), F.lit(" "), _year(), F.lit("."), _spaced(_link()))
+    return F.concat(F.when(names != "", F.concat(names, F.lit(". "))).otherwise(_empty()), _title(), F.lit("."), _venue(","), F.lit(" "), _year(), F.lit("."), _spaced(_link()))
 
 
 def bibtex() -> Column:
-    own = F.transform(F.arrays_zip("families", "givens"), lambda a: F.concat(a["families"], F.when(F.coalesce(a["givens"], _S) != "", F.concat(F.lit(", "), a["givens"])).otherwise(_S)))
+    own = F.transform(F.arrays_zip("families", "givens"), lambda a: F.concat(a["families"], F.when(F.coalesce(a["givens"], _empty()) != "", F.concat(F.lit(", "), a["givens"])).otherwise(_empty())))
     names = F.array_join(F.when(_is("CrossRef"), own).otherwise(F.col("authors")), " and ")
     first = F.when(_is("CrossRef"), F.get("families", 0)).otherwise(F.element_at(F.split(F.get("authors", 0), " "), -1))
     word = F.regexp_replace(F.get(F.split(_title(), " "), 0), "[^a-zA-Z0-9]", "")
     key = F.concat(_or(first, "Unknown"), _year(), word)
-    meeting = _is("DBLP") & F.lower(F.coalesce("rec_type", _S)).rlike("conference|workshop")
+    meeting = _is("DBLP") & F.lower(F.coalesce("rec_type", _empty())).rlike("conference|workshop")
     kind = F.when(_is("arXiv"), "misc").when(meeting, "inproceedings").otherwise("article")
     line = lambda tag, v: F.concat(F.lit(f",\n  {tag}={{"), v, F.lit("}"))
-    some = lambda tag, col: F.when(filled(col).isNotNull(), line(tag, col)).otherwise(_S)
+    some = lambda tag, col: F.when(filled(col).isNotNull(), line(tag, col)).otherwise(_empty())
     doi = F.when(_is("OpenAlex"), F.regexp_replace("doi", "^https?://doi.org/", "")).otherwise(F.col("doi"))
     venue = F.when(_is("arXiv"), F.concat(line("eprint", F.col("rec_id")), F.lit(",\n  archivePrefix={arXiv}"), some("primaryClass", F.col("category")))).when(meeting, some("booktitle", F.col("venue"))).otherwise(some("journal", F.col("venue")))
     return F.concat(F.lit("@"), kind, F.lit("{"), key, line("title", _title()), line("author", names), line("year", _year()), venue, some("doi", doi), F.lit("\n}"))
@@ -101,7 +102,7 @@ def with_citations(records: DataFrame) -> DataFrame:
 
 def numbered_list(results: DataFrame, style: str, batch: str = "batch_id") -> DataFrame:
     """(batch, seq, line): existing citations, renumbered after the filter."""
-    kept = results.filter(F.col("exists") & (F.coalesce(F.col(style), _S) != ""))
+    kept = results.filter(F.col("exists") & (F.coalesce(F.col(style), _empty()) != ""))
     n = F.row_number().over(Window.partitionBy(batch).orderBy("seq"))
     return kept.select(batch, "seq", F.concat(F.lit("["), n.cast("string"), F.lit("] "), F.col(style)).alias("line"))
 
@@ -114,9 +115,9 @@ def joined_text(lines: DataFrame, batch: str = "batch_id", col: str = "line") ->
 
 def ris(row=F.col) -> Column:
     """The RIS record of a result with title, authors (text), year, journal, doi, url."""
-    names = F.split(F.regexp_replace(F.regexp_replace(F.coalesce(row("authors"), _S), r"\s*&\s*", ", "), r"(?i)\s+and\s+", ", "), r";\s*|,\s*(?=[A-Z])")
+    names = F.split(F.regexp_replace(F.regexp_replace(F.coalesce(row("authors"), _empty()), r"\s*&\s*", ", "), r"(?i)\s+and\s+", ", "), r";\s*|,\s*(?=[A-Z])")
     names = F.filter(F.transform(names, F.trim), lambda a: (F.length(a) > 1) & ~a.rlike(r"(?i)^et\s+al"))
-    tag = lambda t, c: F.when(F.coalesce(c.cast("string"), _S) != "", F.concat(F.lit(f"{t}  - "), c.cast("string")))
+    tag = lambda t, c: F.concat(F.lit(f"{t}  - "), filled(c.cast("string")))
     lines = F.concat(
         F.array(F.lit("TY  - JOUR"), tag("TI", row("title"))),
         F.transform(names, lambda a: F.concat(F.lit("AU  - "), a)),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.stat import ChiSquareTest
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +35,19 @@ def crosstab(rows: DataFrame, key: str, flag: str) -> DataFrame:
 
 def chi_square(table: DataFrame) -> DataFrame:
     """Statistic and degrees of freedom of a (yes, no) table, one row per group."""
-    totals = table.agg(F.sum("yes").alias("y"), F.sum("no").alias("n"))
-    cell = lambda seen, total: F.pow(F.col(seen) - F.col("r") * F.col(total) / F.col("t"), 2) / (F.col("r") * F.col(total) / F.col("t"))
-    rows = table.join(F.broadcast(totals)).withColumn("r", F.col("yes") + F.col("no")).withColumn("t", F.col("y") + F.col("n"))
-    return rows.agg(F.sum(cell("yes", "y") + cell("no", "n")).alias("statistic"), (F.count("*") - 1).alias("dof"))
+    totals = table.agg(F.sum("yes").alias("all_yes"), F.sum("no").alias("all_no"))
+    both = table.select("yes", "no").join(F.broadcast(totals))  # one row of totals
+    share = (F.col("yes") + F.col("no")) / (F.col("all_yes") + F.col("all_no"))
+    cell = lambda seen: F.pow(F.col(seen) - share * F.col(f"all_{seen}"), 2) / (share * F.col(f"all_{seen}"))
+    return both.agg(F.sum(cell("yes") + cell("no")).alias("statistic"), (F.count("*") - 1).alias("dof"))
+
+
+def independence(rows: DataFrame, key: str, flag: str) -> DataFrame:
+    """Chi-square test of a flag against a key: statistic, dof and p value."""
+    keyed = StringIndexer(inputCol=key, outputCol="_key").fit(rows).transform(rows)
+    ready = VectorAssembler(inputCols=["_key"], outputCol="_keys").transform(keyed.withColumn("_flag", F.col(flag).cast("double")))
+    tested = ChiSquareTest.test(ready.select("_keys", "_flag"), "_keys", "_flag", flatten=True)
+    return tested.select("statistic", F.col("degreesOfFreedom").alias("dof"), F.col("pValue").alias("p_value"))
 
 
 def detector_metrics(rows: DataFrame, truth: str, predicted: str) -> DataFrame:

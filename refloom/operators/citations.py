@@ -116,7 +116,7 @@ def joined_text(lines: DataFrame, batch: str = "batch_id", col: str = "line") ->
 def ris(row=F.col) -> Column:
     """The RIS record of a result with title, authors (text), year, journal, doi, url."""
     names = F.split(F.regexp_replace(F.regexp_replace(F.coalesce(row("authors"), _empty()), r"\s*&\s*", ", "), r"(?i)\s+and\s+", ", "), r";\s*|,\s*(?=[A-Z])")
-    names = F.filter(F.transform(names, F.trim), lambda a: (F.length(a) > 1) & ~a.rlike(r"(?i)^et\s+al"))
+    names = F.filter(F.transform(names, lambda a: F.trim(a)), lambda a: (F.length(a) > 1) & ~a.rlike(r"(?i)^et\s+al"))
     tag = lambda t, c: F.concat(F.lit(f"{t}  - "), filled(c.cast("string")))
     lines = F.concat(
         F.array(F.lit("TY  - JOUR"), tag("TI", row("title"))),

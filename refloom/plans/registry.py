@@ -382,12 +382,11 @@ def export_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _PART_SQL
-    + """select k as ref, 'TY  - JOUR' || chr(10) || 'TI  - ' || title || chr(10) || 'AU  - ' || family || chr(10) || 'AU  - Doe J, et al' || chr(10) || 'PY  - ' || y || chr(10) || 'JO  - ' || venue || chr(10) || 'ER  - ' as ris from p"""
+    + """select k as ref, 'TY  - JOUR' || chr(10) || 'TI  - ' || title || chr(10) || 'AU  - ' || family || chr(10) || 'AU  - Doe J, et al' || chr(10) || 'PY  - ' || y || chr(10) || 'JO  - ' || venue || chr(10) || 'DO  - 10.1000/' || k || chr(10) || 'UR  - https://example.org/' || k || chr(10) || 'ER  - ' as ris from p"""
 )
 def export_ris(spark: SparkSession, sf_dir: str) -> DataFrame:
-    null = F.lit(None).cast("string")
-    rows = _part_catalog(spark, sf_dir).select(F.substring_index("rec_id", "/", -1).alias("ref"), "title", F.concat(F.get("families", 0), F.lit(" and Doe J et al")).alias("_a"), "year", F.col("venue").alias("journal"))
-    rows = rows.select("ref", "title", F.regexp_replace("_a", " et al", ", et al").alias("authors"), "year", "journal", null.alias("doi"), null.alias("url"))
+    rows = _part_catalog(spark, sf_dir).select("doi", "url", F.substring_index("rec_id", "/", -1).alias("ref"), "title", F.concat(F.get("families", 0), F.lit(" and Doe J et al")).alias("_a"), "year", F.col("venue").alias("journal"))
+    rows = rows.select("ref", "title", F.regexp_replace("_a", " et al", ", et al").alias("authors"), "year", "journal", "doi", "url")
     return rows.select("ref", citations.ris().alias("ris"))
 
 

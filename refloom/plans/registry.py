@@ -445,3 +445,105 @@ def quick_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bibtex_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = citations.with_citations(_part_catalog(spark, sf_dir)).select("rec_id", F.col("bibtex").alias("text"))
     return parsing.parse_bibtex(texts).select("rec_id", "entry_type", "citation_key", F.col("tags")["title"].alias("title"), F.col("tags")["year"].alias("year"))
+
+
+@query(
+    _PART_SQL
+    + """select k as ref, case when y::int % 3 = 0 then 100 when y::int % 2 = 0 then 100 else 50 end::bigint as score from p"""
+)
+def author_similarity_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    year = F.col("p_size") + 1990
+    expected = F.concat("p_name", F.lit(", X."), F.when(year % 3 == 0, " et al.").when(year % 2 == 0, F.concat(F.lit(" and "), F.col("p_brand"))).otherwise(""))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("ref"), expected.alias("a"), F.array("p_name", F.concat(F.lit("Jo "), F.col("p_brand"), F.lit(" 0001"))).alias("b"))
+    return rows.select("ref", similarity.author_similarity(F.col("a"), F.col("b")).alias("score"))
+
+
+@query(
+    """with c as (select l_orderkey as ref_id, l_linenumber::int as source_rank, least(100, l_quantity * 2)::double as t, (l_partkey % 101)::double as a, year(l_shipdate) as y, 1996 as asked
+from (select l_orderkey, l_linenumber, max(l_quantity) as l_quantity, max(l_partkey) as l_partkey, max(l_shipdate) as l_shipdate from lineitem where l_linenumber <= 5 group by all)),
+s as (select *, (2 * t + a) / 3 + case abs(y - asked) when 0 then 40 when 1 then 15 when 2 then 5 else 0 end as score from c where t >= 70),
+f as (select * from s where source_rank <= 3 qualify row_number() over (partition by ref_id order by score desc, source_rank) = 1),
+sure as (select * from f where a >= 70 and t >= 85),
+rest as (select * from s where ref_id not in (select ref_id from sure) qualify row_number() over (partition by ref_id order by score desc, source_rank) = 1)
+select ref_id, source_rank, round(score, 6) as score from (select * from sure union all select * from rest)"""
+)
+def source_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines stand for the candidates of up to five sources."""
+    names = F.array(*[F.lit(x) for x in sorted(catalogs.SOURCES, key=catalogs.SOURCES.get)])
+    year = F.year("l_shipdate").cast("string")
+    items = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 5").groupBy("l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in ("l_quantity", "l_partkey", "l_shipdate")])
+    lines = items.select(
+        F.col("l_orderkey").alias("ref_id"),
+        F.get(names, F.col("l_linenumber") - 1).alias("source"),
+        F.col("l_linenumber").alias("source_rank"),
+        F.least(F.lit(100), F.col("l_quantity") * 2).cast("double").alias("title_score"),
+        (F.col("l_partkey") % 101).cast("double").alias("author_score"),
+        F.lit(0.0).alias("confidence"),
+        year.alias("y"),
+    )
+    score = resolve.result_score(F.col("title_score"), F.col("author_score"), F.lit("1996"), F.col("y"), F.lit(""), F.lit(""))
+    return resolve.best_overall(lines.withColumn("score", score)).select("ref_id", F.col("source_rank").cast("int").alias("source_rank"), F.round("score", 6).alias("score"))
+
+
+@query(
+    """with k as (select p_brand as batch_id, p_partkey as seq, trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9_\\s]', '', 'g'), '\\s+', ' ', 'g')) as key, p_size as num from part),
+d as (select x.batch_id, y.seq, x.seq as orig, x.num from k x join k y on x.batch_id = y.batch_id and x.seq < y.seq
+and (x.key = y.key or (length(x.key) > 20 and length(y.key) > 20 and (contains(x.key, y.key) or contains(y.key, x.key)))))
+select batch_id, seq, arg_max(coalesce(nullif(num, 0), orig + 1), orig)::bigint as duplicate_of from d group by batch_id, seq"""
+)
+def duplicate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = table(spark, sf_dir, "part").select(F.col("p_brand").alias("batch_id"), F.col("p_partkey").alias("seq"), F.col("p_name").alias("raw"), F.col("p_name").alias("title"), F.col("p_size").alias("ref_number"))
+    return duplicates.duplicate_of(duplicates.duplicate_pairs(refs), refs).select("batch_id", "seq", F.col("duplicate_of").cast("long").alias("duplicate_of"))
+
+
+@query(
+    """with c as (select l_orderkey as ref_id, l_quantity / 50 as t, l_discount * 10 as a, l_tax < 0.04 as y from lineitem)
+select ref_id, case when bool_or(t >= 0.85 and a >= 0.5 and y) then 'Verified'
+when bool_or((t >= 0.5 and t < 0.85) or (t >= 0.85 and a >= 0.5 and not y)) then 'Typo/Fuzzy' else 'Suspicious' end as status from c group by ref_id"""
+)
+def paper_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    return report.paper_status(rows.select(F.col("l_orderkey").alias("ref_id"), (F.col("l_quantity") / 50).alias("title"), (F.col("l_discount") * 10).alias("author"), (F.col("l_tax") < 0.04).alias("year_ok")))
+
+
+@query(
+    """with p as (select l_orderkey as file_id, l_linenumber as page, l_returnflag || l_linenumber as text, max(l_linenumber) over (partition by l_orderkey) as n from lineitem)
+select file_id, string_agg(text, chr(10) || '--- PAGE BREAK ---' || chr(10) order by page, text) as text from p where page > n - 3 group by file_id"""
+)
+def last_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("file_id"), F.col("l_orderkey").cast("string").alias("file_name"), F.col("l_linenumber").alias("page"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("text")
+    )
+    return catalogs.page_text(pages, last=3).select("file_id", "text")
+
+
+@query(
+    """select doc_id, md5(replace(replace(replace(text, 'fi', 'ﬁ'), 'fl', 'ﬂ'), 'ff', 'ﬀ')) as ligatures, md5(replace(text, ' ', '  ')) as spaces,
+md5(array_to_string(list_concat(list_concat(w[1:3], ['of Nothing']), w[-3:]), ' ')) as mutated
+from (select doc_id, text, string_split(text, ' ') as w from documents where text is not null) where len(w) >= 3"""
+)
+def adversarial_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").filter(F.size(F.split("text", " ")) >= 3)
+    text_ = F.col("text")
+    return docs.select("doc_id", F.md5(corpus.with_ligatures(text_)).alias("ligatures"), F.md5(corpus.with_odd_spaces(text_)).alias("spaces"), F.md5(corpus.mutated_title(text_, "of Nothing")).alias("mutated"))
+
+
+@query(
+    """select o_orderkey as ref_id, case when o_orderkey % 3 = 0 then 'edited' else o_orderpriority end as apa, 'm' as mla, 'i' as iso690, 'b' as bibtex from orders"""
+)
+def edited_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ref_id"), F.col("o_orderpriority").alias("apa"), F.lit("m").alias("mla"), F.lit("i").alias("iso690"), F.lit("b").alias("bibtex"))
+    null = F.lit(None).cast("string")
+    edits = rows.filter("ref_id % 3 = 0").select("ref_id", F.lit("edited").alias("apa"), null.alias("mla"), null.alias("iso690"), null.alias("bibtex"))
+    return report.apply_overrides(rows, edits)
+
+
+@query(
+    _RESULTS_SQL
+    + """, q as (select s.*, o_orderpriority as raw from s join orders on ref_id = o_orderkey)
+select ref_id as seq, '- **' || service || '** ' || left(raw, 120) as markdown from q"""
+)
+def service_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ref_id"), F.col("o_orderpriority").alias("raw"))
+    rows = _results(spark, sf_dir).join(raw, "ref_id").withColumnRenamed("ref_id", "seq").withColumns({"title": F.col("raw"), "doi": F.lit("")})
+    return citations.service_report(rows).select("seq", "markdown")

@@ -136,7 +136,7 @@ def identify(
 
     alone = rows.withColumn("p", _softmax("likelihood"))
     sums = [F.sum(F.when(F.col("letters") > 0, F.col("p")[i])).alias(f"s{i}") for i in range(len(languages))]
-    every = alone.agg(*sums).first()
+    every = alone.agg(F.count("*"), *sums).first()[1:]
     total = sum(x or 0.0 for x in every) + 1.0
     overall = [((x or 0.0) + 1.0 / max(len(languages), 1)) / total for x in every]
     # host, then its parent (what follows the first dot), then everything

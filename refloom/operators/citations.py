@@ -31,7 +31,7 @@ def _split_name(name: Column, last: Column) -> Column:
 
 
 def _year() -> Column:
-    return F.when(F.coalesce(F.col("year").cast("string"), _empty()).isin("", "0"), F.lit("n.d.")).otherwise(F.col("year").cast("string"))
+    return F.when(F.coalesce("cited_year", _empty()).isin("", "0"), F.lit("n.d.")).otherwise(F.col("cited_year"))
 
 
 def _title() -> Column:
@@ -40,7 +40,7 @@ def _title() -> Column:
 
 def _link() -> Column:
     address = F.when(_is("OpenAlex"), F.col("doi")).otherwise(F.concat(F.lit("https://doi.org/"), F.col("doi")))
-    return F.when(filled(F.col("doi")).isNotNull(), address).otherwise(F.coalesce("url", _empty()))
+    return F.when(filled(F.col("doi")).isNotNull(), address).otherwise(F.coalesce("link", _empty()))
 
 
 def _preprint() -> Column:

@@ -51,6 +51,7 @@ def docx_text(spark: SparkSession, path: str) -> DataFrame:
     """Raw text of .docx files: path, text; paragraphs end in a newline."""
 
     def run(batches):
+        import html
         import io
         import re
         import zipfile
@@ -61,7 +62,7 @@ def docx_text(spark: SparkSession, path: str) -> DataFrame:
             texts = []
             for content in pdf["content"]:
                 xml = zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml").decode("utf-8")
-                texts.append(re.sub(r"<[^>]+>", "", re.sub(r"</w:p>", "\n", xml)))
+                texts.append(html.unescape(re.sub(r"<[^>]+>", "", re.sub(r"</w:p>", "\n", xml))))
             yield pd.DataFrame({"path": pdf["path"], "text": texts})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).select("path", "content")
@@ -79,9 +80,10 @@ def page_text(pages: DataFrame, last: int = 50) -> DataFrame:
 def _unified(df: DataFrame, source: str, **columns) -> DataFrame:
     names = {
         "rec_id": "string", "title": "string", "authors": "array<string>", "families": "array<string>", "givens": "array<string>", "year": "string",
-        "years": "array<string>", "venue": "string", "publisher": "string", "doi": "string", "arxiv_id": "string", "url": "string", "citations": "bigint",
+        "years": "array<string>", "cited_year": "string", "venue": "string", "publisher": "string", "doi": "string", "arxiv_id": "string", "url": "string", "link": "string", "citations": "bigint",
         "category": "string", "rec_type": "string", "retracted": "boolean", "related": "boolean",
     }
+    columns.setdefault("cited_year", columns["year"])
     values = [F.lit(source).alias("source"), F.lit(SOURCES[source]).alias("source_rank")]
     return df.select(*values, *[columns.get(n, F.lit(None)).cast(t).alias(n) for n, t in names.items()])
 
@@ -99,11 +101,13 @@ def crossref(items: DataFrame) -> DataFrame:
         families=F.transform("author", lambda a: a["family"]),
         givens=F.transform("author", lambda a: a["given"]),
         year=F.coalesce(date("published_print"), date("published"), date("issued")),
+        cited_year=date("published"),
         years=E.catalog_years(date("published"), date("published_print"), date("published_online"), date("issued"), date("created")),
         venue=first("container_title"),
         publisher=F.col("publisher"),
         doi=F.col("DOI"),
         url=F.col("URL"),
+        link=F.col("URL"),
         citations=F.col("is_referenced_by_count"),
         retracted=F.exists("update_to", lambda u: u["type"] == "retraction"),
         related=F.size("is_retracted_by") > 0,
@@ -134,7 +138,7 @@ def arxiv(entries: DataFrame) -> DataFrame:
         entries,
         "arXiv",
         rec_id=F.col("id"), title=F.col("title"), authors=F.col("authors"), year=F.col("year"), venue=F.lit("arXiv"), doi=F.col("doi"),
-        arxiv_id=F.regexp_replace("id", r"v\d+$", ""), url=F.col("url"), category=F.col("category"), retracted=F.lit(False),
+        arxiv_id=F.regexp_replace("id", r"v\d+$", ""), url=F.col("url"), link=F.col("url"), category=F.col("category"), retracted=F.lit(False),
     )
 
 
@@ -143,7 +147,7 @@ def dblp(hits: DataFrame) -> DataFrame:
         hits,
         "DBLP",
         rec_id=F.col("key"), title=catalog_title(F.col("title")), authors=F.filter(F.transform("authors", catalog_author), lambda a: a != ""),
-        year=F.col("year"), venue=F.col("venue"), doi=F.coalesce(filled(F.col("doi")), E.doi_of_link(F.col("eeUrl"))), url=F.col("url"),
+        year=F.col("year"), venue=F.col("venue"), doi=F.coalesce(filled(F.col("doi")), E.doi_of_link(F.col("eeUrl"))), url=F.coalesce(filled(F.col("eeUrl")), F.col("url")), link=F.col("eeUrl"),
         rec_type=F.col("type"), retracted=F.lit(False),
     )
 
@@ -164,7 +168,7 @@ def atom_entries(feeds: DataFrame, xml_col: str = "xml") -> DataFrame:
     return entries.select(
         F.regexp_extract(tag("id"), r"abs/(.+)$", 1).alias("id"),
         tag("title").alias("title"),
-        F.transform(F.regexp_extract_all("e", F.lit(r"(?s)<author>\s*<name>(.*?)</name>"), F.lit(1)), F.trim).alias("authors"),
+        F.transform(F.regexp_extract_all("e", F.lit(r"(?s)<author>\s*<name>(.*?)</name>"), F.lit(1)), lambda a: F.trim(a)).alias("authors"),
         filled(F.substring(tag("published"), 1, 4)).cast("int").alias("year"),
         filled(F.regexp_extract("e", r'<arxiv:primary_category[^>]*term="([^"]*)"', 1)).alias("category"),
         filled(tag("arxiv:doi")).alias("doi"),

@@ -123,7 +123,8 @@ def judge(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, *, id_col: str
 
 def _hits(docs: DataFrame, benchmark: DataFrame, n: int, text_col: str, set_windows: int) -> DataFrame:
     grams = durable(item_windows(benchmark, n), "grams")
-    return verified(candidates(docs, grams, keep=[], text_col=text_col, set_windows=set_windows), grams)
+    found = candidates(docs, grams, keep=[], text_col=text_col, set_windows=set_windows)
+    return verified(durable(found, "windows"), grams)  # a filter pushed below it would split the texts anew for each word
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, *, text_col: str = "text", set_windows: int = SET_WINDOWS) -> DataFrame:

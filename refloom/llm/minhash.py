@@ -10,12 +10,14 @@ once it is past the latest register, so a document costs about one point for
 each shingle.  Two registers agree with the probability of the weighted Jaccard
 similarity.
 
-Registers are banded.  Equal texts are one node.  In every bucket, all nodes are
-paired with up to three leaders; pairs whose registers leave the threshold
-possible are verified on the multisets themselves, and links give components.
-Then every pair of nodes from *different* components that meets in a bucket and
-passes the register estimate is verified too: no link between components is
-lost, yet a large group of copies costs a few pairs for each member.
+Registers are banded.  Equal texts are one node.  In rounds, the nodes of every
+bucket are paired with the bucket's leader in that round's order, unless both
+are in one component already; links are verified on the multisets themselves and
+joined into components.  Then every pair of nodes from *different* components
+that meets in a bucket is tried too: no link between components is lost, yet a
+large group of copies costs a few pairs for each member.  Before the multisets
+are fetched, sketches (the least element hash of each bin, four bits kept) rule
+out pairs that are SIGMAS standard errors below the threshold.
 
 Defined cases: null and wordless texts have no shingles and are alone in their
 class, even among each other; a text of fewer than five words is one shingle;
@@ -38,8 +40,12 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 32
 ROWS = 4
-#: Pairs whose share of equal registers is so many standard errors below the
-#: threshold are not verified (a true link passes with probability > 0.9999).
+#: Orders of leaders, one round each.
+ROUNDS = 2
+#: Bins of a sketch, 16 to a long.
+BINS = 512
+#: Pairs whose sketches are so many standard errors below the threshold are not
+#: verified (a true link passes with probability > 0.9999).
 SIGMAS = 4.0
 
 _U = np.uint64
@@ -100,12 +106,29 @@ def registers(text: np.ndarray, value: np.ndarray, weight: np.ndarray, texts: in
     return times.reshape(texts, m)
 
 
+def sketches(text: np.ndarray, value: np.ndarray, weight: np.ndarray, texts: int) -> np.ndarray:
+    """texts x BINS/16 longs: four bits of the least hash of each bin, 0 for an empty bin.
+
+    The elements are the copies of the shingles, so that common elements over
+    all elements are the weighted Jaccard similarity.
+    """
+    first = np.repeat(np.cumsum(weight) - weight, weight)
+    with np.errstate(over="ignore"):
+        h = mix64(np.repeat(value, weight) + (np.arange(len(first)) - first + 1).astype(_U) * _STEP)
+    cell = np.repeat(text, weight).astype(np.int64) * BINS + (h % _U(BINS)).astype(np.int64)
+    least = np.full(texts * BINS, ~_U(0))
+    np.minimum.at(least, cell, h // _U(BINS))
+    bits = np.where(least == ~_U(0), _U(0), mix64(least) % _U(15) + _U(1)).reshape(texts, BINS // 16, 16)
+    return (bits << (_U(4) * np.arange(16, dtype=_U))).sum(axis=2, dtype=_U).view(np.int64)
+
+
 def _sign(bands: int, rows: int):
     m = bands * rows
+    longs = BINS // 16
 
     def run(batches):
         for batch in batches:
-            size, signs, keys = [], [], []
+            size, signs, keys = [np.zeros(0, np.int64)], [np.zeros((0, longs), np.int64)], [np.zeros((0, bands), np.int64)]
             for w in words_of(batch.column(2)):
                 texts = len(w.text_start) - 1
                 text, value, weight = shingles(w)
@@ -117,22 +140,11 @@ def _sign(bands: int, rows: int):
                     for r in range(rows):
                         key = mix64(key * _STEP + band[:, :, r])
                 size.append(np.bincount(text, weight, texts).astype(np.int64))
-                signs.append(sign)
+                signs.append(sketches(text, value, weight, texts))
                 keys.append(key.view(np.int64))
-            total = np.concatenate(size) if size else np.zeros(0, np.int64)
-            sign = np.concatenate(signs).view(np.int32) if signs else np.zeros((0, m), np.int32)
-            key = np.concatenate(keys) if keys else np.zeros((0, bands), np.int64)
-            n = len(total)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(total),
-                    pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * m), pa.array(sign.ravel())),
-                    pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(key.ravel())),
-                ],
-                ["id", "node", "n", "sign", "keys"],
-            )
+            total = np.concatenate(size)
+            packed = lambda x, k: pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1, dtype=np.int32) * k), pa.array(np.concatenate(x).ravel()))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total), packed(signs, longs), packed(keys, bands)], ["id", "node", "n", "sketch", "keys"])
 
     return run
 
@@ -157,20 +169,44 @@ def _overlaps(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(similarity)], ["a", "b", "similarity"])
 
 
-def _agree(threshold: float, m: int):
-    """Whether sizes and registers of both sides leave the threshold possible."""
-    least = threshold - SIGMAS * (threshold * (1 - threshold) / m) ** 0.5
-    equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return (F.least("na", "nb") >= F.greatest("na", "nb") * threshold) & (equal >= least * m)
+def _agree(threshold: float):
+    """Whether sizes and sketches of both sides leave the threshold possible.
+
+    Equal bits of bins that both fill, less those equal by chance (1 in 15), over
+    the bins that either fills estimate the similarity: a sample of the union
+    without replacement, plus the chance matches' own error.
+    """
+    mask = F.lit(0x1111111111111111)
+    some = lambda v: (v.bitwiseOR(F.shiftrightunsigned(v, 1)).bitwiseOR(F.shiftrightunsigned(v, 2)).bitwiseOR(F.shiftrightunsigned(v, 3))).bitwiseAND(mask)
+    count = lambda v: F.bit_count(v).cast("long")
+
+    def counts(x, y):
+        both = some(x).bitwiseAND(some(y))
+        equal = both.bitwiseAND(F.bitwise_not(some(x.bitwiseXOR(y))))
+        return count(equal) + F.lit(1 << 20) * count(both) + F.lit(1 << 40) * count(some(x).bitwiseOR(some(y)))
+
+    def possible(z):
+        equal, both, either = z % (1 << 20), F.floor(z / (1 << 20)) % (1 << 20), F.floor(z / (1 << 40))
+        found = (equal - both / 15) * (15 / 14)
+        whole = (F.col("na") + F.col("nb")) / (1 + threshold)  # size of the union at the threshold
+        error = F.sqrt(threshold * (1 - threshold) * F.greatest(F.lit(0.0), 1 - either / whole) * either + (1 - threshold) / 14 * either)
+        return found + 1e-6 >= threshold * either - SIGMAS * error
+
+    total = F.aggregate(F.zip_with("sa", "sb", counts), F.lit(0).cast("long"), lambda s, x: s + x)
+    return (F.least("na", "nb") >= F.greatest("na", "nb") * threshold) & F.exists(F.array(total), possible)
 
 
-def links(pairs: DataFrame, signs: DataFrame, texts: DataFrame, threshold: float, m: int) -> DataFrame:
-    """Verified pairs (a, b, similarity) among candidate pairs (a, b)."""
-    side = lambda x: signs.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("sign").alias("s" + x))
-    likely = durable(pairs.join(side("a"), "a").join(side("b"), "b").filter(_agree(threshold, m)).select("a", "b"), "pairs")
-    nodes = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+def likely(pairs: DataFrame, signs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sketches leave the threshold possible."""
+    side = lambda x: signs.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_agree(threshold)).select("a", "b")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b, similarity) whose multisets reach the threshold."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = texts.join(nodes, "node", "left_semi")
-    whole = likely.join(wanted.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(wanted.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    whole = pairs.join(wanted.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(wanted.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     return whole.select("a", "b", "ta", "tb").mapInArrow(_overlaps, "a binary, b binary, similarity double").filter(F.col("similarity") >= threshold)
 
 
@@ -187,39 +223,47 @@ def classes(
 
     ``kept`` marks the rows that stay if one text of each class stays.
     """
-    m = bands * rows
     node = F.unhex(F.substring(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), 1, 32))
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("id"), node.alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    every = durable(docs.mapInArrow(_sign(bands, rows), f"id {kind}, node binary, n long, sign array<int>, keys array<long>"), "every")
+    every = durable(docs.mapInArrow(_sign(bands, rows), f"id {kind}, node binary, n long, sketch array<long>, keys array<long>"), "every")
     ids = durable(every.select("id", "node"), "ids")
-    signs = every.filter("n > 0").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("sign").alias("sign"), F.any_value("keys").alias("keys"), F.min("id").alias("holder"))
+    signs = every.filter("n > 0").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"), F.any_value("keys").alias("keys"), F.min("id").alias("holder"))
     signs = durable(signs, "signs")
     release(every)
     holder = signs.select("node", F.col("holder").alias("id"))
 
     members = signs.select("node", F.explode("keys").alias("key"))
-    orders = [F.col("node"), F.xxhash64("node", F.lit(1)), F.xxhash64("node", F.lit(2))]
-    heads = members.groupBy("key").agg(F.count("*").alias("size"), *[F.min_by("node", o).alias(f"h{i}") for i, o in enumerate(orders)]).filter("size > 1")
-    shared = durable(members.join(heads, "key").select("key", "node", "h0", "h1", "h2"), "shared")
+    leaders = [f"h{i}" for i in range(ROUNDS)]
+    heads = members.groupBy("key").agg(F.count("*").alias("size"), *[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(h) for i, h in enumerate(leaders)]).filter("size > 1")
+    shared = durable(members.join(heads, "key").select("key", "node", *leaders), "shared")
     # the texts of all nodes that share a bucket, each once
     meet = shared.select("node").distinct().join(holder, "node").select(F.col("id").alias("_id"), F.col("node").alias("_node"))
     texts = docs.join(meet, docs["id"].eqNullSafe(F.col("_id")) & (docs["node"] == F.col("_node")), "left_semi").dropDuplicates(["id", "node"])
     texts = durable(texts.select("node", "text"), "texts")
-    starred = shared.select("node", F.explode(F.array_distinct(F.array("h0", "h1", "h2"))).alias("head")).filter(F.col("node") != F.col("head"))
-    tried = durable(starred.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), "tried")
-    first = durable(links(tried, signs, texts, threshold, m).select("a", "b"), "links")
-    parts = durable(components(first), "parts")
+    tried, parts = [], None
+    for leader in leaders:
+        starred = shared.filter(F.col("node") != F.col(leader)).select(F.least("node", leader).alias("a"), F.greatest("node", leader).alias("b")).distinct()
+        if parts is not None:
+            label = lambda x: parts.select(F.col("node").alias(x), F.col("label").alias("l" + x))  # noqa: B023, E731
+            apart = F.coalesce("la", "a") != F.coalesce("lb", "b")
+            starred = starred.join(label("a"), "a", "left").join(label("b"), "b", "left").filter(apart).select("a", "b")
+        pairs = durable(likely(starred, signs, threshold), "pairs")
+        tried.append(pairs)
+        found = verified(pairs, texts, threshold).select("a", "b")
+        if parts is not None:
+            found = found.unionByName(parts.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        parts = durable(components(found), "parts")
 
     # pairs across components that share a bucket
     placed = shared.select("key", "node").join(parts, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = placed.groupBy("key").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("key")
-    placed = durable(placed.join(mixed, "key", "left_semi").join(signs.select("node", "n", "sign"), "node"), "placed")
-    left = placed.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("sign").alias("sa"))
-    right = placed.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("sign").alias("sb"))
-    across = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _agree(threshold, m)).select("a", "b").distinct()
-    across = durable(across.join(tried, ["a", "b"], "left_anti"), "across")
-    second = links(across, signs, texts, threshold, m).select("a", "b")
+    placed = durable(placed.join(mixed, "key", "left_semi").join(signs.select("node", "n", "sketch"), "node"), "placed")
+    side = lambda x: placed.select("key", F.col("node").alias(x), F.col("label").alias("l" + x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x))
+    across = side("a").join(side("b"), "key").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _agree(threshold)).select("a", "b").distinct()
+    for pairs in tried:
+        across = across.join(pairs, ["a", "b"], "left_anti")
+    second = verified(durable(across, "across"), texts, threshold).select("a", "b")
     parts = components(parts.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(second))
 
     wordless = ids.join(signs.select("node"), "node", "left_anti").select("id", "node", F.col("id").alias("class_id"), F.lit(True).alias("kept"))

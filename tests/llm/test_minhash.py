@@ -81,6 +81,25 @@ def test_registers_estimate_the_weighted_similarity(level):
     assert abs(estimate - truth) < 0.02
 
 
+@pytest.mark.parametrize(("size", "level"), [(40, 0.8), (300, 0.8), (3000, 0.8), (300, 0.5)])
+def test_sketches_estimate_the_weighted_similarity(size, level):
+    rng = np.random.default_rng(4)
+    pairs = []
+    for _ in range(200):
+        value = rng.integers(0, 2**63, size).astype(np.uint64)
+        weight = rng.integers(1, 3, size)
+        both = int(size * 2 * level / (1 + level))
+        ones = np.arange(size)
+        cut = (size - both) // 2
+        sides = [minhash.sketches(np.zeros(keep.sum(), np.int64), value[keep], weight[keep], 1)[0].view(np.uint64) for keep in (ones < size - cut, ones >= cut)]
+        truth = weight[cut : size - cut].sum() / weight.sum()
+        x, y = (((s[:, None] >> (np.uint64(4) * np.arange(16, dtype=np.uint64))) & np.uint64(15)).ravel() for s in sides)
+        filled, either = (x > 0) & (y > 0), (x > 0) | (y > 0)
+        pairs.append((((filled & (x == y)).sum() - filled.sum() / 15) * 15 / 14 / either.sum(), truth))
+    estimate, truth = np.array(pairs).T
+    assert abs((estimate - truth).mean()) < 0.01 and (estimate - truth).std() < 0.03
+
+
 def test_shingles_are_those_of_the_words():
     rows = ["a b c d e f a b c d e", "a b", "", "é  b\tc\nd e"]
     for w in words_of(pa.array(rows)):

@@ -84,8 +84,11 @@ def train(docs: DataFrame, *, id_col: str, text_col: str, declared_col: str, sam
     if not languages:
         return [], np.zeros((0, BINS))
     number = F.coalesce(*[F.when(F.col(declared_col) == l, i) for i, l in enumerate(languages)])
-    narrow = labelled.select(F.col(id_col).alias("_id"), number.cast("int").alias("_label")).filter("_label is not null")
-    order = Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id")
+    # four times the sample passes a bound on the hash, so that no task ranks a whole language
+    share = F.element_at(F.array(*[F.lit(min(1.0, 4 * sample / r["count"])) for r in sorted(counts, key=lambda r: r.l)]), F.col("_label") + 1)
+    draw = F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 1).cast("double") / 2.0**63
+    narrow = labelled.select(F.col(id_col).alias("_id"), number.cast("int").alias("_label"), draw.alias("_draw")).filter(F.col("_label").isNotNull()).filter(F.col("_draw") <= share)
+    order = Window.partitionBy("_label").orderBy("_draw", "_id")
     chosen = narrow.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= sample).select("_id", "_label").distinct()
     picked = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select("_label", F.col(text_col).alias("_text"))
     got = picked.mapInArrow(_train, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()  # at most languages x bins

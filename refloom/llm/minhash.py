@@ -41,7 +41,7 @@ THRESHOLD = 0.8
 BANDS = 32
 ROWS = 4
 #: Orders of leaders, one round each.
-ROUNDS = 2
+ROUNDS = 3
 #: Bins of a sketch, 16 to a long.
 BINS = 512
 #: Pairs whose sketches are so many standard errors below the threshold are not
@@ -258,9 +258,10 @@ def classes(
     # pairs across components that share a bucket
     placed = shared.select("key", "node").join(parts, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = placed.groupBy("key").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("key")
-    placed = durable(placed.join(mixed, "key", "left_semi").join(signs.select("node", "n", "sketch"), "node"), "placed")
-    side = lambda x: placed.select("key", F.col("node").alias(x), F.col("label").alias("l" + x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x))
-    across = side("a").join(side("b"), "key").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _agree(threshold)).select("a", "b").distinct()
+    placed = durable(placed.join(mixed, "key", "left_semi").join(signs.select("node", "n", "sketch", "keys"), "node"), "placed")
+    side = lambda x: placed.select("key", F.col("node").alias(x), F.col("label").alias("l" + x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x), F.col("keys").alias("k" + x))
+    once = F.array_min(F.array_intersect("ka", "kb")) == F.col("key")  # a pair comes from one of the buckets it shares
+    across = side("a").join(side("b"), "key").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _agree(threshold) & once).select("a", "b")
     for pairs in tried:
         across = across.join(pairs, ["a", "b"], "left_anti")
     second = verified(durable(across, "across"), texts, threshold).select("a", "b")

@@ -39,6 +39,8 @@ RULES = [
 MIN_COUNT = 20
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.8
+#: The index travels with the tasks up to so many rules; beyond, urls are shuffled by token.
+BROADCAST_RULES = 50_000
 
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -111,6 +113,8 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
         .groupBy(*rules.columns)
         .agg(F.min_by("token", F.struct("count", "token")).alias("anchor"))
     )
+    if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
+        listed = F.broadcast(listed)
     posted = urls.select("*", F.explode("tokens").alias("anchor"))
     held = F.size(F.array_intersect("items", "tokens")) == F.size("items")
     return posted.join(listed, "anchor").filter(held).drop("anchor")

@@ -5,8 +5,10 @@ declared language (markup or metadata), the address suffix, and a prior of the
 host.  Priors come from grouped aggregation of the text-only posteriors and are
 smoothed hierarchically, host -> parent -> everything:
 (sum of posteriors + strength x parent's prior) / (documents + strength).
-A further class "und" has a uniform likelihood; what falls to it, or has no
-text, is rejected.
+A further class "und" scores each trigram at the rejection level of the text's
+likeliest language; what falls to it, or has no text, is rejected.  The level
+comes from the language's own held-out likelihood.  A text whose likeliest
+language is the declared one is never "und".
 
 The models are trained on at most ``SAMPLE`` documents of each declared language
 (and at most ``MOST_LANGUAGES`` languages), picked by a hash of the id; training
@@ -76,13 +78,13 @@ def _train(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], ["key", "n"])
 
 
-def train(docs: DataFrame, *, id_col: str, text_col: str, declared_col: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities of the trigram bins."""
+def train(docs: DataFrame, *, id_col: str, text_col: str, declared_col: str, sample: int = SAMPLE) -> tuple[list[str], DataFrame | None]:
+    """Languages, and counts of the trigram bins of each half of their samples."""
     labelled = docs.filter(F.col(declared_col).isNotNull() & (F.length(text_col) > 0))
     counts = labelled.groupBy(F.col(declared_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).collect()
     languages = sorted(r.l for r in counts)
     if not languages:
-        return [], np.zeros((0, BINS))
+        return [], None
     number = F.coalesce(*[F.when(F.col(declared_col) == l, i) for i, l in enumerate(languages)])
     # four times the sample passes a bound on the hash, so that no task ranks a whole language
     share = F.element_at(F.array(*[F.lit(min(1.0, 4 * sample / r["count"])) for r in sorted(counts, key=lambda r: r.l)]), F.col("_label") + 1)
@@ -90,20 +92,36 @@ def train(docs: DataFrame, *, id_col: str, text_col: str, declared_col: str, sam
     narrow = labelled.select(F.col(id_col).alias("_id"), number.cast("int").alias("_label"), draw.alias("_draw")).filter(F.col("_label").isNotNull()).filter(F.col("_draw") <= share)
     order = Window.partitionBy("_label").orderBy("_draw", "_id")
     chosen = narrow.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= sample).select("_id", "_label").distinct()
-    picked = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select("_label", F.col(text_col).alias("_text"))
-    got = picked.mapInArrow(_train, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()  # at most languages x bins
-    table = np.bincount(got.key, got.n, len(languages) * BINS).reshape(len(languages), BINS) + 0.05
-    return languages, np.log(table / table.sum(axis=1, keepdims=True))
+    half = F.col("_label") * 2 + F.pmod(F.xxhash64(F.col("_id")), F.lit(2)).cast("int")
+    picked = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select(half.alias("_half"), F.col(text_col).alias("_text"))
+    return languages, picked.mapInArrow(_train, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _likelihoods(model: np.ndarray):
-    uniform = -math.log(2000.0)  # about as many bins as one language uses often
+def fit(counts: DataFrame | None, languages: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities of the bins of each language, and its rejection level.
 
+    The level is halfway between what a trigram of the language scores in the
+    half of the sample that the model was not fitted on, and what a bin drawn at
+    random scores.
+    """
+    if not languages:
+        return np.zeros((0, BINS)), np.zeros(0)
+    got = counts.toPandas()  # at most languages x bins x halves
+    halves = np.bincount(got.key, got.n, languages * 2 * BINS).reshape(languages, 2, BINS)
+    log = lambda x: np.log((x + 0.05) / (x + 0.05).sum(axis=-1, keepdims=True))
+    held = (halves * log(halves[:, ::-1])).sum(axis=(1, 2)) / np.maximum(halves.sum(axis=(1, 2)), 1)
+    model = log(halves.sum(axis=1))
+    return model, (held + model.mean(axis=1)) / 2
+
+
+def _likelihoods(model: np.ndarray, level: np.ndarray):
     def run(batches):
         for batch in batches:
             scores, sizes = [], []
             for _, text, bins, letters, n in _trigrams(batch.column(1)):
-                scores.append(np.stack([np.bincount(text, row[bins], n) for row in model] + [np.bincount(text, minlength=n) * uniform], axis=1) * TEMPER)
+                of = np.stack([np.bincount(text, row[bins], n) for row in model], axis=1) if len(model) else np.zeros((n, 0))
+                und = np.bincount(text, minlength=n) * (level[of.argmax(axis=1)] if len(model) else 0.0)
+                scores.append(np.c_[of, und] * TEMPER)
                 sizes.append(letters)
             values = np.concatenate(scores) if scores else np.zeros((0, len(model) + 1))
             n = len(values)
@@ -128,13 +146,13 @@ def identify(
     sample: int = SAMPLE,
 ) -> DataFrame:
     """One row per document: id, declared, language, posterior, text_language, keep."""
-    languages, model = train(docs, id_col=id_col, text_col=text_col, declared_col=declared_col, sample=sample)
+    languages, counts = train(docs, id_col=id_col, text_col=text_col, declared_col=declared_col, sample=sample)
     names = [*languages, "und"]
     host = F.col(host_col) if host_col else F.lit(None).cast("string")
     suffix = F.col(suffix_col) if suffix_col else F.lit(None).cast("string")
     facts = F.struct(F.col(id_col).alias("id"), F.col(declared_col).alias("declared"), host.alias("host"), suffix.alias("suffix"))
     kinds = docs.select(facts.alias("row")).schema["row"].dataType.simpleString()
-    rows = docs.select(facts.alias("row"), F.col(text_col).alias("t")).mapInArrow(_likelihoods(model), f"row {kinds}, likelihood array<double>, letters long")
+    rows = docs.select(facts.alias("row"), F.col(text_col).alias("t")).mapInArrow(_likelihoods(*fit(counts, len(languages))), f"row {kinds}, likelihood array<double>, letters long")
     rows = durable(rows.select("row.*", "likelihood", "letters"), "likelihoods")
 
     alone = rows.withColumn("p", _softmax("likelihood"))
@@ -152,12 +170,15 @@ def identify(
 
     told = lambda col, i, rate: F.when(col == languages[i], math.log(rate)).when(col.isin(languages), math.log((1 - rate) / max(len(languages) - 1, 1))).otherwise(0.0)
     by_suffix = F.coalesce(*[F.when(F.col("suffix") == s, l) for s, l in SUFFIXES.items()])
+    # a declaration that the text bears out is evidence against "und" too
+    spoken = F.slice("likelihood", 1, len(languages))
+    agrees = F.get(F.lit(names), F.array_position(spoken, F.array_max(spoken)).cast("int") - 1) == F.col("declared")
     fused = F.array(
         *[
             F.col("likelihood")[i] + told(F.col("declared"), i, DECLARED) + F.coalesce(told(by_suffix, i, SUFFIX), F.lit(0.0)) + F.log(F.coalesce(F.col("prior")[i], F.lit(overall[i])) * (1 - UNDETERMINED))
             for i in range(len(languages))
         ],
-        F.col("likelihood")[len(languages)] + math.log(UNDETERMINED),
+        F.when(agrees, float("-inf")).otherwise(F.col("likelihood")[len(languages)] + math.log(UNDETERMINED)),
     )
     best = F.array_max("posterior")
     named = lambda x: F.array(*[F.lit(n) for n in names])[F.array_position(x, F.array_max(x)).cast("int") - 1]

@@ -56,3 +56,17 @@ def test_pages_give_markup_host_and_suffix(spark):
     got = {r.page_id: r for r in languages.pages_evidence(pages).collect()}
     assert (got[1].lang, got[1].host, got[1].suffix) == ("de", "www.x.de", "de") and "gut" in got[1].text and "p{}" not in got[1].text
     assert (got[2].lang, got[2].host, got[2].text) == (None, None, "")
+
+
+def test_only_texts_that_resemble_no_language_are_rejected(spark):
+    junk = "".join(chr(97 + (i * i * 7 + i // 3 * 11) % 26) for i in range(400))
+    clean = [(1, EN + DE, "en", "a.org"), (2, "They were happy 2353820953013749 4550997810720808 2353820953013749", "en", "a.org"), (3, 'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" the weather', "en", None)]
+    extra = [*clean, (4, "ruhig 5755695738806562 4644348398010899 9597024294303453", "de", None), (5, junk, None, None), (6, " ", "en", "a.org"), (7, "?!", "de", "b.de")]
+    got = languages.identify(frame(spark, rows() + [(i + 5000, *x) for i, *x in extra])).collect()
+    assert sorted(r.doc_id for r in got if not r.keep) == [5005, 5006, 5007]
+
+
+def test_no_given_document_with_letters_is_rejected(spark):
+    docs = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet")
+    want = {r.doc_id for r in docs.select("doc_id", "text").collect() if not any(c.isalnum() for c in r.text or "")}
+    assert {r.doc_id for r in languages.identify(docs).filter("not keep").collect()} == want

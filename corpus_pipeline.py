@@ -7,6 +7,8 @@ the shared folder and read again.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,13 @@ from refloom.llm.durable import durable
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents without a recognised language."""
-    rejected = languages.identify(docs).filter(~F.col("keep")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    # ids may be null or repeated: a verdict holds for the rows that share all that it depends on
+    marked = docs.withColumn("_text", F.sha2("text", 256))
+    keys = ["doc_id", "_text", "lang", "source"]
+    judged = languages.identify(marked, carry=("_text", "source")).filter(~F.col("keep"))
+    rejected = judged.select("doc_id", "_text", F.col("declared").alias("lang"), "source").distinct().toDF(*[f"_r{k}" for k in keys])
+    same = functools.reduce(lambda a, b: a & b, [marked[k].eqNullSafe(rejected[f"_r{k}"]) for k in keys])
+    return marked.join(rejected, same, "left_anti").drop("_text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ everything with text is "und"; other columns are kept.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -144,13 +145,14 @@ def identify(
     host_col: str | None = "source",
     suffix_col: str | None = None,
     sample: int = SAMPLE,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per document: id, declared, language, posterior, text_language, keep."""
+    """One row per document: id, declared, language, posterior, text_language, keep, and the columns to carry."""
     languages, counts = train(docs, id_col=id_col, text_col=text_col, declared_col=declared_col, sample=sample)
     names = [*languages, "und"]
     host = F.col(host_col) if host_col else F.lit(None).cast("string")
     suffix = F.col(suffix_col) if suffix_col else F.lit(None).cast("string")
-    facts = F.struct(F.col(id_col).alias("id"), F.col(declared_col).alias("declared"), host.alias("host"), suffix.alias("suffix"))
+    facts = F.struct(F.col(id_col).alias("id"), F.col(declared_col).alias("declared"), host.alias("host"), suffix.alias("suffix"), *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)])
     kinds = docs.select(facts.alias("row")).schema["row"].dataType.simpleString()
     rows = docs.select(facts.alias("row"), F.col(text_col).alias("t")).mapInArrow(_likelihoods(*fit(counts, len(languages))), f"row {kinds}, likelihood array<double>, letters long")
     rows = durable(rows.select("row.*", "likelihood", "letters"), "likelihoods")
@@ -192,6 +194,7 @@ def identify(
         F.when(F.col("letters") > 0, best).otherwise(1.0).alias("posterior"),
         F.when(F.col("letters") > 0, named(F.col("likelihood"))).otherwise("und").alias("text_language"),
         (language != "und").alias("keep"),
+        *[F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)],
     )
 
 

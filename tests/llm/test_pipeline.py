@@ -45,3 +45,12 @@ def test_stages(spark):
 def test_run_gives_the_rows_of_the_last_stage(spark):
     got = corpus_pipeline.run(spark, DATA)
     assert got.columns == ["doc_id", "source", "size", "source_size", "target", "taken"] and got.count() > 0
+
+
+def test_a_rejected_row_takes_no_clean_row_of_its_id(spark):
+    text = "the cat sat on the mat and they were happy with the weather of that day"
+    rows = [(None, text, "en", "a", 1), (None, " ", "en", "a", 1), (None, None, None, None, 1), (7, text, "en", "a", 1), (7, "", "en", "a", 1), (7, "?!", None, "b", 1), (7, text, "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.language_id(spark, docs, DATA)
+    assert got.columns == docs.columns
+    assert sorted([tuple(r) for r in got.collect()], key=str) == sorted([rows[0], rows[3], rows[6]], key=str)

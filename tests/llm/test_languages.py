@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from refloom.llm import languages
@@ -70,3 +72,17 @@ def test_no_given_document_with_letters_is_rejected(spark):
     docs = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet")
     want = {r.doc_id for r in docs.select("doc_id", "text").collect() if not any(c.isalnum() for c in r.text or "")}
     assert {r.doc_id for r in languages.identify(docs).filter("not keep").collect()} == want
+
+
+def test_every_declared_language_has_a_model(spark, monkeypatch):
+    rng = random.Random(3)
+    codes = [f"{a}{b}" for a in "abcdefgh" for b in "klmnopqrs"][:70]
+    words = {c: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)] for c in codes}
+    docs = [(n * 100 + i, " ".join(rng.choices(words[c], k=20)), [c, c.upper(), f"{c}-XX", f"{c}_yy"][i % 4], None) for n, c in enumerate(codes) for i in range(9 if n < 69 else 3)]
+    docs += [(10000 + n, " ".join(rng.choices(words[c], k=20)), None, None) for n, c in enumerate(codes)]
+    run = lambda: sorted(tuple(r) for r in languages.identify(frame(spark, docs)).select("doc_id", "language", "text_language", F.round("posterior", 9), "keep").collect())
+    want = sorted((i, codes[i - 10000 if i >= 10000 else i // 100]) for i, *_ in docs)
+    whole = run()
+    assert [r[:2] for r in whole] == want and all(r[4] for r in whole)
+    monkeypatch.setattr(languages, "CHUNK", 32)
+    assert run() == whole

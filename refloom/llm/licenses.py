@@ -1,7 +1,9 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
 A block is a line of a text, a set of plain words.  A template fits a block if
-at least ``threshold`` of the template's words are in it.  The join is exact and
+at least ``threshold`` of the template's words are in it.  Notices wrapped over
+lines are found in windows of as many words as the template has, which span the
+line breaks.  The join is exact and
 uses three filters: the template's words are ordered by how many blocks of the
 corpus hold them, rarest first, and a fitting block must hold one of the first
 ``size - need + 1`` of them (prefix filter); it must have at least ``need`` words
@@ -65,13 +67,14 @@ def _small_set(words: DataFrame) -> list[str] | None:
     return found if len(found) <= SET_WORDS else None
 
 
-def fitting_blocks(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD, *, text_col: str = "text", small: bool = True) -> DataFrame:
-    """Every (content, block, template, label, containment) at or above the threshold."""
-    hint = F.broadcast if small else (lambda df: df)
+def _prefixes(docs: DataFrame, templates: DataFrame, threshold: float, text_col: str, hint) -> tuple[DataFrame, list[str] | None, list[str] | None]:
+    """The templates by their prefix words; all their words and the prefix words, where few."""
+    words = plain_words(F.col("text"))
     sets = (
-        templates.select("label", F.array_sort(F.array_distinct(plain_words(F.col("text")))).alias("set"))
+        templates.select("label", F.array_sort(F.array_distinct(words)).alias("set"), F.size(words).alias("span"))
         .filter(F.size("set") > 0)
-        .distinct()
+        .groupBy("label", "set")
+        .agg(F.max("span").alias("span"))
         .withColumn("template", F.xxhash64("label", "set"))
     )
     vocabulary = sets.select(F.explode("set").alias("word")).distinct()
@@ -82,15 +85,21 @@ def fitting_blocks(docs: DataFrame, templates: DataFrame, threshold: float = THR
     frequency = docs.select(F.explode(F.flatten(held)).alias("word")).join(hint(vocabulary), "word", "left_semi").groupBy("word").count()
     need = F.ceil(F.size("set") * F.lit(float(threshold)) - F.lit(1e-9)).cast("int")
     ordered = (
-        sets.select("template", "label", F.size("set").alias("n"), need.alias("need"), F.explode("set").alias("word"))
+        sets.select("template", "label", "span", F.size("set").alias("n"), need.alias("need"), F.explode("set").alias("word"))
         .join(frequency, "word", "left")
-        .groupBy("template", "label", "n", "need")
+        .groupBy("template", "label", "span", "n", "need")
         .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("f"), F.col("word").alias("w")))).alias("o"))
-        .select("template", "label", "n", "need", F.transform("o", lambda x: x["w"]).alias("ordered"))
+        .select("template", "label", "span", "n", "need", F.transform("o", lambda x: x["w"]).alias("ordered"))
     )
     prefix = F.posexplode(F.slice("ordered", F.lit(1), F.col("n") - F.col("need") + 1)).alias("at", "word")
-    index = durable(ordered.select("template", "label", "n", "need", "ordered", prefix), "prefixes")
-    rare = _small_set(index.select("word").distinct())
+    index = durable(ordered.select("template", "label", "span", "n", "need", "ordered", prefix), "prefixes")
+    return index, known, _small_set(index.select("word").distinct())
+
+
+def fitting_blocks(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD, *, text_col: str = "text", small: bool = True, prefixes=None) -> DataFrame:
+    """Every (content, block, template, label, containment) at or above the threshold."""
+    hint = F.broadcast if small else (lambda df: df)
+    index, _, rare = prefixes or _prefixes(docs, templates, threshold, text_col, hint)
     blocks = F.transform(_blocks(text_col), lambda b, i: F.struct(i.alias("block"), b.alias("words")))
     if rare is not None:  # only blocks with a prefix word leave the row
         blocks = F.filter(blocks, lambda b: F.exists(b["words"], lambda w: w.isin(rare)))
@@ -106,6 +115,35 @@ def fitting_blocks(docs: DataFrame, templates: DataFrame, threshold: float = THR
     return candidates.withColumn("overlap", overlap).filter("overlap >= need").select("content", "block", "template", "label", (F.col("overlap") / F.col("n")).alias("containment"))
 
 
+def fitting_windows(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD, *, text_col: str = "text", small: bool = True, prefixes=None) -> DataFrame:
+    """Every (content, template, label, containment) of the best window of a text of several lines.
+
+    A window has as many words as the template and does not stop at line breaks.
+    The same filters choose the texts, each taken as one set; a best window
+    starts at a word of the template.
+    """
+    hint = F.broadcast if small else (lambda df: df)
+    index, known, rare = prefixes or _prefixes(docs, templates, threshold, text_col, hint)
+    held = F.transform(plain_words(F.col(text_col)), lambda w, i: F.struct(i.alias("at"), w.alias("w")))
+    if known is not None:
+        held = F.filter(held, lambda x: x["w"].isin(known))
+    texts = docs.filter(F.contains(F.col(text_col), F.lit("\n"))).select(content_key(text_col), held.alias("held"))
+    texts = texts.withColumn("words", F.array_distinct("held.w"))
+    first = F.col("words") if rare is None else F.filter("words", lambda w: w.isin(rare))
+    candidates = (
+        texts.select("content", "held", "words", F.explode(first).alias("word"))
+        .join(hint(index.withColumnRenamed("at", "nth")), "word")
+        .filter(F.size("words") >= F.col("need"))
+        .filter(F.col("n") - F.col("nth") >= F.col("need"))
+        .filter(~F.arrays_overlap(F.slice("ordered", F.lit(1), F.col("nth")), "words"))  # its first match only
+        .filter(F.size(F.array_intersect("ordered", "words")) >= F.col("need"))
+        .withColumn("own", F.filter("held", lambda x: F.array_contains("ordered", x["w"])))
+    )
+    within = lambda x, j: F.filter(F.slice("own", j + 1, F.col("span")), lambda y: y["at"] < x["at"] + F.col("span"))
+    overlap = F.array_max(F.transform("own", lambda x, j: F.size(F.array_distinct(F.transform(within(x, j), lambda y: y["w"])))))
+    return candidates.withColumn("overlap", overlap).filter("overlap >= need").select("content", "template", "label", (F.col("overlap") / F.col("n")).alias("containment"))
+
+
 def _places(words: str) -> Column:
     """Array of (at, label) for every place of a phrase in the word array."""
     found = F.array().cast("array<struct<at:bigint,label:string>>")
@@ -127,8 +165,11 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, threshold: float =
     if templates is None:
         templates = docs.sparkSession.createDataFrame(TEMPLATES, "label string, text string")
     small = templates.limit(BROADCAST_TEMPLATES + 1).count() <= BROADCAST_TEMPLATES
+    prefixes = _prefixes(docs, templates, threshold, text_col, F.broadcast if small else (lambda df: df))
+    found = [f(docs, templates, threshold, text_col=text_col, small=small, prefixes=prefixes).select("content", "label", "containment") for f in (fitting_blocks, fitting_windows)]
     fits = (
-        fitting_blocks(docs, templates, threshold, text_col=text_col, small=small)
+        found[0]
+        .union(found[1])
         .groupBy("content")
         .agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
     )

@@ -56,3 +56,31 @@ def test_phrases(spark):
 def test_empty(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
     assert licenses.scan(frame(spark, [(1, "mit license")]), spark.createDataFrame([], "label string, text string")).first().score == 1.0
+
+
+def test_notices_wrapped_over_lines(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    far = "Redistribution and use in source and binary forms\n" + "x " * 20 + "\nwith or without modification, are permitted"
+    rows = [(1, "Copyright (c) The Regents.\n" + bsd), (2, " * " + bsd.replace("\n", "\r\n * ")), (3, far), (4, "Licensed\nunder\nCC\n\nBY-NC\n4.0"), (4, None), (None, bsd)]
+    got = sorted((str(r.doc_id), list(r.labels), r.score) for r in licenses.scan(frame(spark, rows)).collect())
+    assert got == sorted([("1", ["bsd"], 1.0), ("2", ["bsd"], 1.0), ("3", [], 0.0), ("4", ["cc-by-nc"], 1.0), ("4", [], 0.0), ("None", ["bsd"], 1.0)])
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_every_window_that_fits(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(licenses, "SET_WORDS", 0)
+    rng = random.Random(5)
+    pool = [f"k{i}" for i in range(9)]
+    templates = [(f"l{i}", " ".join(rng.choices(pool, k=rng.choice([1, 3, 6])))) for i in range(12)]
+    docs = [(i, "\n".join(" ".join(rng.choices([*pool, "o"], k=rng.randrange(4))) for _ in range(rng.randrange(6)))) for i in range(60)]
+    got = licenses.fitting_windows(frame(spark, docs), spark.createDataFrame(templates, "label string, text string"), 0.8, small=small)
+    got = got.join(frame(spark, docs).select("doc_id", licenses.content_key("text")), "content").select("doc_id", "label", F.round("containment", 9)).distinct()
+    want = set()
+    for d, t in docs:
+        for label, template in templates if "\n" in t else []:
+            w, n, s = words(t), len(words(template)), set(words(template))
+            o = max([len(s & set(w[i : i + n])) for i in range(len(w))], default=0)
+            if o >= math.ceil(len(s) * 0.8 - 1e-9):
+                want.add((d, label, round(o / len(s), 9)))
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 20

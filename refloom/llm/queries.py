@@ -56,7 +56,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     parsed = substrings.parse(docs, cut=False)
-    return parsed.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.col("_kept_sha256").alias("kept_sha256"))
+    return parsed.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,32 +1,41 @@
-"""Substring dedup: documents parsed relative to every earlier document.
+"""Substring dedup by relative Lempel-Ziv parsing against all earlier documents.
 
 A window of ``n`` words is a duplicate if its word sequence also starts in a
-document with a smaller id.  Documents are factored greedily against the whole
-corpus, relative-Lempel-Ziv style: a factor is a maximal run of windows that
-stand in one earlier reference document; where a factor ends, the windows that
-straddle the boundary are checked on their own, so no window is missed.
-
-Factoring each document against each reference block would be quadratic.  The
-index is therefore routed: each window names its anchor, the 5-gram of least
-hash in it, and an anchor with up to 8 words on either side (its snippet) is an
-index entry.  Documents live in blocks of some hundred; a block sends each
-distinct (anchor, snippet) once, packed into one row per index partition, and
-is told the smallest id that holds it.
-
-1. entries of a block go to the index; the index answers the ones whose anchor
-   stands in several documents with the smallest id of the snippet;
-2. a document later than that id has all windows of the snippet as duplicates;
-   the first holder of a snippet asks for its windows one by one if the anchor
-   also stands in other snippets (the ends of factors);
-3. words inside duplicate windows are removed.
-
-Windows and snippets are compared by two independent 64-bit hashes.  A hot
-passage costs one entry per block, not one per document, and nothing is
-collected on the driver.
-
-Defined cases: null is an empty text without words; a null id is smaller than
-no id and never makes others duplicates; documents with equal ids do not affect
-each other; empty tables give empty results; other columns are kept.
+document with a smaller id.  Every document is factored greedily, left to right:
+a factor refers to a place in one earlier document and is extended as long as
+the words at the same distance from that place go on agreeing; where they stop,
+the next factor begins.  Factors of at least ``n`` words are duplicate spans.
+Windows that straddle the end of a factor, or that no factor reaches, may still
+stand in some other document; those are checked one by one, so no window is
+missed.  The words removed are those that the factors cover.
+
+The reference is every document, held in blocks of some megabytes.  Factoring
+each document against each block would be quadratic, so the index says which
+places of the reference can matter.  Each window names its anchor, the 5-gram
+of least hash in it; an anchor with up to 8 words on either side is its snippet,
+and holds all windows of the anchor.
+
+1. a block tells the index its anchors; the index answers those that stand in
+   several documents, and whether their snippets differ;
+2. for these the block sends its snippets with their first place; the index
+   answers with the smallest id, and the place there: the reference;
+3. the first holder of a snippet whose anchor has other snippets, and any snippet
+   that has no reference, is at the end of factors: its windows are sent, and the
+   index answers with the smallest id and place of each;
+4. factors are parsed from these references.
+
+Anchors, snippets and windows are index entries of their own, spread by their
+hash, and a block sends each once, so a passage that many documents share costs
+an entry for each block and never gathers in one task.  Rows travel packed, one
+for each block and index partition.  Words are hashed to 64 bits; snippets and
+windows are compared by two 64-bit hashes of their words.
+
+Defined cases: null is an empty text without words; a null id sorts after every
+id and never makes others duplicates; documents with equal ids do not affect each
+other; texts of any length are one document, parsed some megabytes at a time with
+others, and one text is never split; repeated rows each give a row; ids must be
+of a whole-number type, others raise ``ValueError``; empty tables give empty
+results; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,17 +46,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegralType, StructType
 
 from refloom.llm.tokens import RangeHash, Words, mix64, words_of
 
 WINDOW = 13
 GRAM = 5
-#: Documents in a block, and documents whose entries share an index partition.
-BLOCK_DOCS = 256
-INDEX_DOCS = 2000
+#: Bytes and documents in a block at most (on average), and bytes of text whose entries share an index partition.
+BLOCK_BYTES = 2_000_000
+BLOCK_DOCS = 1000
+INDEX_BYTES = 8_000_000
 
 _NO_ID = np.iinfo(np.int64).max
 _PACKED = "part long, block long, n long, blob binary"
+_ANSWER = "block long, n long, blob binary"
+_FACTOR = StructType().add("first", "integer").add("last", "integer").add("ref", "long").add("ref_word", "integer")
+_FIELDS = StructType().add("text", "string").add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("factors", ArrayType(_FACTOR))
 
 
 def _ids(column) -> np.ndarray:
@@ -93,7 +107,7 @@ def _rows(part: np.ndarray, block: int, arrays: list[np.ndarray]) -> pa.Table:
     order = np.argsort(part, kind="stable")
     part = part[order]
     cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, int)
-    ends = np.r_[cut[1:], len(part)]
+    ends = np.r_[cut[1:], len(part)] if len(part) else cut
     arrays = [a[order] for a in arrays]
     blobs = [b"".join(a[s:e].tobytes() for a in arrays) for s, e in zip(cut, ends, strict=True)]
     return pa.table(
@@ -134,40 +148,114 @@ def _least(values: np.ndarray, group: np.ndarray, ufunc=np.minimum) -> np.ndarra
     return ufunc.reduceat(values, np.flatnonzero(np.r_[True, group[1:] != group[:-1]])) if len(values) else values
 
 
-_U, _I, _B = np.uint64, np.int64, np.uint8
+_U, _I, _N, _B = np.uint64, np.int64, np.int32, np.uint8
+_SPOT = [_U, _U, _I, _N]  # two hashes, the id and the word number of a place
 
 
-def _entries(n: int, parts: int):
+def _parsed(table: pa.Table, n: int):
+    """The texts of a block, some at a time."""
+    ids = _ids(table["id"])
+    return ((w, _Parse(w, ids, n)) for w in words_of(table["text"]))
+
+
+def _joined(found: list, kinds: list) -> list[np.ndarray]:
+    return [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, k) for k in kinds]
+
+
+def _firsts(group: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else group
+
+
+def _send(key, parts: int, arrays: list[np.ndarray]) -> pa.Table:
+    return _rows((arrays[0] % _U(parts)).astype(_I), key[0].as_py(), arrays)
+
+
+def _reply(block: np.ndarray, arrays: list[np.ndarray]) -> pa.Table:
+    out = _rows(block, 0, arrays)
+    return pa.table({"block": out["part"], "n": out["n"], "blob": out["blob"]})
+
+
+def _anchors(n: int, parts: int):
+    """Each anchor of a block, one of its snippets, and whether it has several documents (1) or snippets (2) here."""
+
     def run(key, table):
-        found = []
-        ids = _ids(table["_id"])
-        for w in words_of(table["_text"]):
-            p = _Parse(w, ids, n)
-            found.append((p.anchor, p.snippet, p.doc))
-        anchor, snippet, doc = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, _I))
+        anchor, snippet, doc = _joined([(p.anchor, p.snippet, p.doc) for _, p in _parsed(table, n)], [_U, _U, _I])
         order, group = _groups(anchor, snippet)
-        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else group
-        low, high = _least(doc[order], group), _least(doc[order], group, np.maximum)
-        anchor, snippet = anchor[order][first], snippet[order][first]
-        return _rows((anchor % _U(parts)).astype(_I), key[0].as_py(), [anchor, snippet, low, (low != high).astype(_B)])
+        anchor, snippet, doc = anchor[order], snippet[order], doc[order]
+        by_anchor = np.cumsum(np.r_[False, anchor[1:] != anchor[:-1]])[: len(anchor)]
+        first = _firsts(by_anchor)
+        docs = _least(doc, by_anchor) != _least(doc, by_anchor, np.maximum)
+        snippets = _least(group, by_anchor) != _least(group, by_anchor, np.maximum)
+        return _send(key, parts, [anchor[first], snippet[first], docs.astype(_B) + 2 * snippets.astype(_B)])
 
     return run
 
 
-def _index(table):
-    """Smallest id of each snippet whose anchor stands in several documents."""
-    (anchor, snippet, low, several), block = _unpack(table, [_U, _U, _I, _B])
-    if not len(anchor):
-        return _rows(np.zeros(0, _I), 0, []).select(["block", "n", "blob"])
-    order, group = _groups(anchor, snippet)
-    anchor, snippet, low, several, block = (x[order] for x in (anchor, snippet, low, several, block))
-    least = _least(low, group)[group]
-    a_group = np.cumsum(np.r_[False, anchor[1:] != anchor[:-1]])
-    mixed = (_least(low, a_group) != _least(low, a_group, np.maximum)) | (_least(several, a_group, np.maximum) > 0)
-    snippets = (_least(group, a_group) != _least(group, a_group, np.maximum))[a_group]
-    keep = mixed[a_group]
-    out = _rows(block[keep], 0, [anchor[keep], snippet[keep], least[keep], snippets[keep].astype(_B)])
-    return pa.table({"block": out["part"], "n": out["n"], "blob": out["blob"]})
+def _shared_anchors(table):
+    """The anchors that stand in several documents, with whether their snippets differ."""
+    (anchor, snippet, flags), block = _unpack(table, [_U, _U, _B])
+    order = np.argsort(anchor, kind="stable")
+    anchor, snippet, flags, block = (x[order] for x in (anchor, snippet, flags, block))
+    group = np.cumsum(np.r_[False, anchor[1:] != anchor[:-1]])[: len(anchor)]
+    size = np.bincount(group)[group] if len(group) else group
+    flag = np.bitwise_or.reduceat(flags, _firsts(group))[group] if len(group) else flags
+    differ = ((flag & 2) > 0) | (_least(snippet, group) != _least(snippet, group, np.maximum))[group]
+    keep = (size > 1) | ((flag & 1) > 0)
+    return _reply(block[keep], [anchor[keep], differ[keep].astype(_B)])
+
+
+def _first_places(one: np.ndarray, other: np.ndarray, doc: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    """Of each pair of hashes the least (id, place), and whether several ids hold it."""
+    order = np.lexsort((place, doc, other, one))
+    one, other, doc, place = one[order], other[order], doc[order], place[order]
+    group = np.cumsum(np.r_[False, (one[1:] != one[:-1]) | (other[1:] != other[:-1])])[: len(one)]
+    first = _firsts(group)
+    several = (doc[first] != _least(doc, group, np.maximum)).astype(_B)
+    return [one[first], other[first], doc[first], place[first], several]
+
+
+def _snippets(n: int, parts: int):
+    """The snippets of a block whose anchor stands in several documents, each with its first place here."""
+
+    def run(key, table, answers):
+        anchor, differ = _answers(answers, 0, [_U, _B])
+        found = []
+        for w, p in _parsed(table, n):
+            known, _ = _lookup((anchor, np.zeros_like(anchor)), [differ], (p.anchor, np.zeros_like(p.anchor)))
+            place = (p.place - w.first_word[w.text_of[p.place]]).astype(_N) if len(p.place) else p.place.astype(_N)
+            found.append((p.snippet[known], p.anchor[known], p.doc[known], place[known]))
+        return _send(key, parts, _first_places(*_joined(found, _SPOT)))
+
+    return run
+
+
+def _windows(n: int, parts: int):
+    """The windows of a block that stand at ends of factors: their anchor is shared in other snippets, their own has no reference."""
+
+    def run(key, table, answers):
+        anchor, differ = _answers(answers, 0, [_U, _B])
+        snippet, anchor2, least, _ = _answers(answers, 1, _SPOT)
+        found = []
+        for w, p in _parsed(table, n):
+            shared, (several,) = _lookup((anchor, np.zeros_like(anchor)), [differ], (p.anchor, np.zeros_like(p.anchor)))
+            known, (low,) = _lookup((snippet, anchor2), [least], (p.snippet, p.anchor))
+            wanted = (shared & (several > 0) & ~(known & (low < p.doc)))[p.of_window]
+            place = (p.window - w.first_word[w.text_of[p.window]]).astype(_N) if len(p.window) else p.window.astype(_N)
+            found.append((p.window_hash[wanted], p.anchor[p.of_window][wanted], p.doc[p.of_window][wanted], place[wanted]))
+        return _send(key, parts, _first_places(*_joined(found, _SPOT)))
+
+    return run
+
+
+def _references(table):
+    """The first place of each snippet or window that stands in several documents."""
+    (one, other, doc, place, several), block = _unpack(table, [*_SPOT, _B])
+    order = np.lexsort((place, doc, other, one))
+    one, other, doc, place, several, block = (x[order] for x in (one, other, doc, place, several, block))
+    group = np.cumsum(np.r_[False, (one[1:] != one[:-1]) | (other[1:] != other[:-1])])[: len(one)]
+    first = _firsts(group)
+    keep = ((doc[first] != _least(doc, group, np.maximum)) | (_least(several, group, np.maximum) > 0))[group]
+    return _reply(block[keep], [one[keep], other[keep], doc[first][group][keep], place[first][group][keep]])
 
 
 def _lookup(keys: tuple[np.ndarray, np.ndarray], values: list[np.ndarray], ask: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -186,71 +274,51 @@ def _answers(table: pa.Table, kind: int, kinds: list) -> list[np.ndarray]:
     return _unpack(table, kinds)[0]
 
 
-def _ends(n: int, parts: int):
-    """Windows of first-held snippets whose anchor also stands in other snippets."""
+def factors(w: Words, p: _Parse, snippets: list[np.ndarray], windows: list[np.ndarray], n: int) -> tuple[np.ndarray, ...]:
+    """The greedy parse of some texts: first word, last word, reference id and reference word of each factor.
 
-    def run(key, table, answers):
-        anchor, snippet, least, ask = _answers(answers, 1, [_U, _U, _I, _B])
-        found = []
-        ids = _ids(table["_id"])
-        for w in words_of(table["_text"]):
-            p = _Parse(w, ids, n)
-            known, (low, asks) = _lookup((anchor, snippet), [least, ask], (p.anchor, p.snippet))
-            wanted = (known & (asks > 0) & (low == p.doc))[p.of_window]
-            found.append((p.window_hash[wanted], p.anchor[p.of_window][wanted], p.doc[p.of_window][wanted]))
-        h, a, doc = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, _I))
-        order, group = _groups(h, a, doc.astype(_U))
-        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else group
-        h, a, doc = h[order][first], a[order][first], doc[order][first]
-        return _rows((h % _U(parts)).astype(_I), key[0].as_py(), [h, a, doc])
-
-    return run
-
-
-def _window_index(table):
-    (h, a, doc), block = _unpack(table, [_U, _U, _I])
-    if not len(h):
-        return _rows(np.zeros(0, _I), 0, []).select(["block", "n", "blob"])
-    order, group = _groups(h, a)
-    h, a, doc, block = (x[order] for x in (h, a, doc, block))
-    least = _least(doc, group)[group]
-    keep = least < doc
-    out = _rows(block[keep], 0, [h[keep], a[keep], doc[keep], least[keep]])
-    return pa.table({"block": out["part"], "n": out["n"], "blob": out["blob"]})
-
-
-def _cut(n: int, columns: list[str], text_col: str | None):
+    Word numbers count from the start of the slice.  The reference of a window is
+    the place of its snippet, or else its own; a factor goes on while the next
+    window's reference is one word further in the same document.
+    """
+    one, other, least, place = snippets
+    known, (low, at) = _lookup((one, other), [least, place], (p.snippet, p.anchor))
+    doc, start, anchor_at = p.doc[p.of_window], p.window, p.place[p.of_window]
+    earlier = (known & (low < p.doc))[p.of_window]
+    ref, shift = low[p.of_window], at[p.of_window].astype(_I) - anchor_at
+    one, other, least, place = windows
+    own, (wlow, wat) = _lookup((one, other), [least, place], (p.window_hash, p.anchor[p.of_window]))
+    alone = own & (wlow < doc) & ~earlier
+    ref, shift = np.where(alone, wlow, ref), np.where(alone, wat.astype(_I) - start, shift)
+    hit = earlier | alone
+    start, ref, shift = start[hit], ref[hit], shift[hit]
+    text = w.text_of[start] if len(start) else start
+    new = np.ones(len(start), bool)
+    new[1:] = (start[1:] != start[:-1] + 1) | (ref[1:] != ref[:-1]) | (shift[1:] != shift[:-1]) | (text[1:] != text[:-1])
+    head = np.flatnonzero(new)
+    last = start[np.r_[head[1:], len(start)] - 1] + n - 1 if len(start) else start
+    first, ref, begin = start[head], ref[head], (start + shift)[head]
+    long_enough = last - first + 1 >= n  # a single window is the shortest factor that counts
+    return first[long_enough], last[long_enough], ref[long_enough], begin[long_enough]
+
+
+def _cut(n: int, with_text: bool):
     """Factors, removed words and what is left of each document."""
 
     def run(key, table, answers):
-        anchor, snippet, least, ask = _answers(answers, 1, [_U, _U, _I, _B])
-        wh, wa, wdoc, wleast = _answers(answers, 2, [_U, _U, _I, _I])
-        ids = _ids(table["_id"])
+        snippets, windows = _answers(answers, 1, _SPOT), _answers(answers, 2, _SPOT)
         n_words, n_removed, digests, spans, texts = [], [], [], [], []
-        for w in words_of(table["_text"]):
-            p = _Parse(w, ids, n)
-            known, (low,) = _lookup((anchor, snippet), [least], (p.anchor, p.snippet))
-            doc = p.doc[p.of_window]
-            reference = np.where(known, low, _NO_ID)[p.of_window]
-            reference = np.where(reference < doc, reference, _NO_ID)
-            own, (wlow,) = _lookup((wh, wa ^ mix64(wdoc.astype(_U))), [wleast], (p.window_hash, p.anchor[p.of_window] ^ mix64(doc.astype(_U))))
-            reference = np.where(own & (wlow < doc) & (reference == _NO_ID), wlow, reference)
-            hit = reference != _NO_ID
+        for w, p in _parsed(table, n):
+            first, last, ref, begin = factors(w, p, snippets, windows, n)
             edge = np.zeros(len(w.hash) + 1, np.int64)
-            np.add.at(edge, p.window[hit], 1)
-            np.add.at(edge, p.window[hit] + n, -1)
+            np.add.at(edge, first, 1)
+            np.add.at(edge, last + 1, -1)
             gone = np.cumsum(edge[:-1]) > 0
-            starts, refs = p.window[hit], reference[hit]
-            text = w.text_of[starts] if len(starts) else starts
-            new = np.ones(len(starts), bool)
-            new[1:] = (starts[1:] != starts[:-1] + 1) | (refs[1:] != refs[:-1]) | (text[1:] != text[:-1])
-            first = np.flatnonzero(new)
-            last = np.r_[first[1:], len(starts)] - 1
-            factors: dict[int, list] = {}
-            for f, e in zip(first, last, strict=True) if len(starts) else ():
-                t = int(text[f])
+            of: dict[int, list] = {}
+            for f, e, r, b in zip(first.tolist(), last.tolist(), ref.tolist(), begin.tolist(), strict=True):
+                t = int(w.text_of[f])
                 base = int(w.first_word[t])
-                factors.setdefault(t, []).append({"first": int(starts[f]) - base, "last": int(starts[e]) + n - 1 - base, "ref": int(refs[f])})
+                of.setdefault(t, []).append({"first": f - base, "last": e - base, "ref": r, "ref_word": b})
             raw = w.data.tobytes()
             total = np.r_[0, np.cumsum(gone)]
             for t in range(len(w.text_start) - 1):
@@ -263,8 +331,8 @@ def _cut(n: int, columns: list[str], text_col: str | None):
                 n_words.append(b - a)
                 n_removed.append(removed)
                 digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                spans.append(factors.get(t, []))
-                if text_col:
+                spans.append(of.get(t, []))
+                if with_text:
                     if removed:
                         keep = np.ones(len(body), bool)
                         after = np.r_[w.start[a + 1 : b], w.text_start[t + 1]]
@@ -274,15 +342,14 @@ def _cut(n: int, columns: list[str], text_col: str | None):
                         keep = np.cumsum(mark[:-1]) == 0
                         body = np.frombuffer(body, np.uint8)[keep].tobytes()
                     texts.append(body.decode("utf-8", "replace"))
-        out = {c: table[c] for c in columns}
-        if text_col:
-            was_null = table[text_col].is_null()
-            out[text_col] = pa.compute.if_else(was_null.combine_chunks(), pa.scalar(None, pa.string()), pa.array(texts, pa.string()))
+        out = {"row": table["row"]}
+        if with_text:
+            out["text"] = pa.compute.if_else(table["text"].is_null().combine_chunks(), pa.scalar(None, pa.string()), pa.array(texts, pa.string()))
         out |= {
-            "_n_words": pa.array(n_words, pa.int64()),
-            "_n_removed": pa.array(n_removed, pa.int64()),
-            "_kept_sha256": pa.array(digests, pa.string()),
-            "_factors": pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("ref", pa.int64())]))),
+            "n_words": pa.array(n_words, pa.int64()),
+            "n_removed": pa.array(n_removed, pa.int64()),
+            "kept_sha256": pa.array(digests, pa.string()),
+            "factors": pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("ref", pa.int64()), ("ref_word", pa.int32())]))),
         }
         return pa.table(out)
 
@@ -290,31 +357,32 @@ def _cut(n: int, columns: list[str], text_col: str | None):
 
 
 def parse(docs: DataFrame, n: int = WINDOW, *, id_col: str = "doc_id", text_col: str = "text", cut: bool = True) -> DataFrame:
-    """The columns of ``docs``, the text cut, and _n_words, _n_removed, _kept_sha256, _factors.
+    """``row`` (a struct of the columns of ``docs`` but the text), text (cut), n_words, n_removed, kept_sha256, factors.
 
-    _factors are (first word, last word, reference id); with ``cut=False`` the
-    text column is left out.
+    factors are (first word, last word, reference id, reference word); with
+    ``cut=False`` the text is left out.
     """
     if n < GRAM:
         raise ValueError(f"a window needs at least {GRAM} words")
-    count = docs.count()
-    blocks, parts = max(1, -(-count // BLOCK_DOCS)), max(1, -(-count // INDEX_DOCS))
-    columns = [c for c in docs.columns if cut or c != text_col]
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise ValueError(f"ids are compared: {id_col} must be of a whole-number type")
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text_col)).alias("bytes")).first()
+    text_bytes = size["bytes"] or 0
+    blocks, parts = max(1, -(-text_bytes // BLOCK_BYTES), -(-size["n"] // BLOCK_DOCS)), max(1, -(-text_bytes // INDEX_BYTES))
     kept = docs.select(
-        *([c for c in docs.columns if c != text_col] if cut else columns),
-        F.col(id_col).cast("long").alias("_id"),
-        F.col(text_col).alias("_text"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).alias("_block"),
-        *([F.col(text_col)] if cut else []),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"),
+        F.col(id_col).cast("long").alias("id"),
+        F.col(text_col).alias("text"),
+        # null and repeated ids spread by their texts
+        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(blocks)).alias("block"),
     )
-    by_block = kept.groupBy("_block")
-    answer = "block long, n long, blob binary"
-    entries = by_block.applyInArrow(_entries(n, parts), _PACKED)
-    first = entries.groupBy("part").applyInArrow(_index, answer).withColumn("kind", F.lit(1))
-    ends = by_block.cogroup(first.groupBy("block")).applyInArrow(_ends(n, parts), _PACKED)
-    second = ends.groupBy("part").applyInArrow(_window_index, answer).withColumn("kind", F.lit(2))
-    fields = [f for c in columns for f in docs.schema if f.name == c]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    schema += ", _n_words long, _n_removed long, _kept_sha256 string, _factors array<struct<first:int,last:int,ref:bigint>>"
-    every = first.unionByName(second)
-    return by_block.cogroup(every.groupBy("block")).applyInArrow(_cut(n, columns, text_col if cut else None), schema)
+    by_block = kept.groupBy("block")
+    told = lambda sent, index, kind: sent.groupBy("part").applyInArrow(index, _ANSWER).withColumn("kind", F.lit(kind))
+    shared = told(by_block.applyInArrow(_anchors(n, parts), _PACKED), _shared_anchors, 0)
+    places = told(by_block.cogroup(shared.groupBy("block")).applyInArrow(_snippets(n, parts), _PACKED), _references, 1)
+    ends = shared.unionByName(places)
+    windows = told(by_block.cogroup(ends.groupBy("block")).applyInArrow(_windows(n, parts), _PACKED), _references, 2)
+    results = _FIELDS.fieldNames()[0 if cut else 1 :]
+    schema = StructType([kept.schema["row"], *[_FIELDS[c] for c in results]])
+    return by_block.cogroup(places.unionByName(windows).groupBy("block")).applyInArrow(_cut(n, cut), schema)
+

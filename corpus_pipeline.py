@@ -35,9 +35,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def substring_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut the passages that an earlier document has; drop documents cut to nothing."""
     parsed = substrings.parse(docs)
-    kept = parsed.filter((F.col("_n_removed") == 0) | (F.col("_n_removed") < F.col("_n_words")))
-    length = F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
-    return kept.withColumn("n_chars", length.cast("long")).select(*docs.columns)
+    kept = parsed.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars").cast("long"))
+    new = {"text": F.col("text"), "n_chars": length}
+    return kept.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

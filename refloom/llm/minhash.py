@@ -10,19 +10,29 @@ once it is past the latest register, so a document costs about one point for
 each shingle.  Two registers agree with the probability of the weighted Jaccard
 similarity.
 
-Registers are banded.  Equal texts are one node.  In rounds, the nodes of every
-bucket are paired with the bucket's leader in that round's order, unless both
-are in one component already; links are verified on the multisets themselves and
-joined into components.  Then every pair of nodes from *different* components
-that meets in a bucket is tried too: no link between components is lost, yet a
-large group of copies costs a few pairs for each member.  Before the multisets
-are fetched, sketches (the least element hash of each bin, four bits kept) rule
-out pairs that are SIGMAS standard errors below the threshold.
+Registers are banded, and equal texts are one node.  Nodes that share a bucket are
+candidates.  Their similarity is estimated from sketches (the least element hash
+of each bin, four bits kept), and a pair is possible unless its sketches are
+SIGMAS standard errors below the threshold.  Links are found in two steps:
+
+1. a maximum spanning forest of the possible pairs of each bucket, by estimated
+   similarity, so that a group of copies costs about one pair for each member; its
+   pairs are verified on the multisets themselves and joined into components;
+2. every possible pair of nodes from *different* components that share a bucket is
+   verified too, so that no link between components is lost, however estimates
+   ranked it.
+
+Buckets of more than CHUNK nodes are split into chunks by a hash of node and
+bucket.  In step 1 a chunk has a forest of its own; in step 2 the nodes outside a
+bucket's largest component travel to each of its chunks.  So no task holds more
+than a chunk, and nothing is dropped.
 
 Defined cases: null and wordless texts have no shingles and are alone in their
-class, even among each other; a text of fewer than five words is one shingle;
-null ids are allowed and never name a class with other ids; repeated rows are
-copies; empty tables give empty results; other columns are kept or ignored.
+class, even among each other; a text of fewer than five words is one shingle; a
+text of any length is one document; null ids are allowed and never name a class
+with other ids; repeated rows are copies, and of equal ids the class has one;
+empty tables give empty results; other columns are kept or ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -40,8 +50,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 32
 ROWS = 4
-#: Orders of leaders, one round each.
-ROUNDS = 3
+#: Nodes of a bucket that one group holds (on average, where a bucket has more).
+CHUNK = 128
 #: Bins of a sketch, 16 to a long.
 BINS = 512
 #: Pairs whose sketches are so many standard errors below the threshold are not
@@ -169,37 +179,105 @@ def _overlaps(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(similarity)], ["a", "b", "similarity"])
 
 
-def _agree(threshold: float):
-    """Whether sizes and sketches of both sides leave the threshold possible.
+def _unpacked(sketch: pa.Array) -> np.ndarray:
+    """Sketches as nodes x BINS small numbers."""
+    packed = np.asarray(sketch.flatten(), np.int64).view(np.uint8).reshape(len(sketch), BINS // 2)
+    return np.stack([packed & 15, packed >> 4], axis=2).reshape(len(packed), BINS)
+
+
+def _estimates(x: np.ndarray, nx, y: np.ndarray, ny, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Similarity of sketches x and y by rows, and whether sizes and sketches leave the threshold possible.
 
     Equal bits of bins that both fill, less those equal by chance (1 in 15), over
     the bins that either fills estimate the similarity: a sample of the union
     without replacement, plus the chance matches' own error.
     """
-    mask = F.lit(0x1111111111111111)
-    some = lambda v: (v.bitwiseOR(F.shiftrightunsigned(v, 1)).bitwiseOR(F.shiftrightunsigned(v, 2)).bitwiseOR(F.shiftrightunsigned(v, 3))).bitwiseAND(mask)
-    count = lambda v: F.bit_count(v).cast("long")
+    both = ((x > 0) & (y > 0)).sum(axis=-1)
+    either = ((x > 0) | (y > 0)).sum(axis=-1)
+    equal = ((x == y) & (x > 0)).sum(axis=-1)
+    found = (equal - both / 15) * (15 / 14)
+    whole = (nx + ny) / (1 + threshold)  # size of the union at the threshold
+    error = np.sqrt(threshold * (1 - threshold) * np.maximum(0.0, 1 - either / whole) * either + (1 - threshold) / 14 * either)
+    possible = (found + 1e-6 >= threshold * either - SIGMAS * error) & (np.minimum(nx, ny) >= np.maximum(nx, ny) * threshold)
+    return found / np.maximum(either, 1), possible
+
+
+def _forest(bits: np.ndarray, n: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Edges of a maximum spanning forest of the possible pairs (Prim's way)."""
+    best, near = np.full(len(n), -np.inf), np.full(len(n), -1)
+    left, edges = np.ones(len(n), bool), []
+    for _ in range(len(n)):
+        at = int(np.argmax(np.where(left, best, -np.inf))) if (left & (best > -np.inf)).any() else int(np.argmax(left))
+        if near[at] >= 0:
+            edges.append((int(near[at]), at))
+        left[at] = False
+        rest = np.flatnonzero(left)
+        value, possible = _estimates(bits[rest], n[rest], bits[at], n[at], threshold)
+        better = possible & (value > best[rest])
+        best[rest[better]], near[rest[better]] = value[better], at
+    return edges
+
+
+def _crossing(bits: np.ndarray, n: np.ndarray, node: list, label: list, main: list, guest: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Possible pairs of a guest and a member from different components, each once."""
+    edges, members = [], np.flatnonzero(~guest)
+    for x in np.flatnonzero(guest):
+        some = [m for m in members if label[m] != label[x] and (label[m] == main[m] or node[x] < node[m])]
+        if some:
+            _, possible = _estimates(bits[some], n[some], bits[x], n[x], threshold)
+            edges += [(int(x), m) for m, p in zip(some, possible, strict=True) if p]
+    return edges
+
+
+def _in_groups(threshold: float, crossing: bool):
+    """Pairs (a, b) inside the groups of rows sorted by (key, chunk); a group may go on in the next batch."""
+
+    def pairs(table: pa.Table):
+        key, chunk, n = (np.asarray(table[c], np.int64) for c in ("key", "chunk", "n"))
+        node = table["node"].to_pylist()
+        bits = _unpacked(table["sketch"].combine_chunks())
+        if crossing:
+            label, main, guest = table["label"].to_pylist(), table["main"].to_pylist(), np.asarray(table["guest"], bool)
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])])
+        last = np.r_[first[1:], len(key)]
+        found: list[tuple[int, int]] = []
+        if not crossing:  # groups of two at once
+            twos = first[last - first == 2]
+            for at in range(0, len(twos), 1000):
+                some = twos[at : at + 1000]
+                _, possible = _estimates(bits[some], n[some], bits[some + 1], n[some + 1], threshold)
+                found += [(int(s), int(s) + 1) for s in some[possible]]
+        for s, e in zip(first.tolist(), last.tolist(), strict=True):
+            if crossing and e - s > 1:
+                some = _crossing(bits[s:e], n[s:e], node[s:e], label[s:e], main[s:e], guest[s:e], threshold)
+            elif not crossing and e - s > 2:
+                some = _forest(bits[s:e], n[s:e], threshold)
+            else:
+                continue
+            found += [(s + x, s + y) for x, y in some]
+        sides = [(min(node[x], node[y]), max(node[x], node[y])) for x, y in found if node[x] != node[y]]
+        return pa.table({"a": pa.array([x[0] for x in sides], pa.binary()), "b": pa.array([x[1] for x in sides], pa.binary())})
 
-    def counts(x, y):
-        both = some(x).bitwiseAND(some(y))
-        equal = both.bitwiseAND(F.bitwise_not(some(x.bitwiseXOR(y))))
-        return count(equal) + F.lit(1 << 20) * count(both) + F.lit(1 << 40) * count(some(x).bitwiseOR(some(y)))
-
-    def possible(z):
-        equal, both, either = z % (1 << 20), F.floor(z / (1 << 20)) % (1 << 20), F.floor(z / (1 << 40))
-        found = (equal - both / 15) * (15 / 14)
-        whole = (F.col("na") + F.col("nb")) / (1 + threshold)  # size of the union at the threshold
-        error = F.sqrt(threshold * (1 - threshold) * F.greatest(F.lit(0.0), 1 - either / whole) * either + (1 - threshold) / 14 * either)
-        return found + 1e-6 >= threshold * either - SIGMAS * error
+    def run(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]) if held is not None else table
+            key, chunk = (np.asarray(table[c], np.int64) for c in ("key", "chunk"))
+            end = int(np.flatnonzero((key != key[-1]) | (chunk != chunk[-1]))[-1]) + 1 if len(key) and ((key != key[-1]) | (chunk != chunk[-1])).any() else 0
+            held = table.slice(end)
+            if end:
+                yield from pairs(table.slice(0, end)).to_batches()
+        if held is not None and held.num_rows:
+            yield from pairs(held).to_batches()
 
-    total = F.aggregate(F.zip_with("sa", "sb", counts), F.lit(0).cast("long"), lambda s, x: s + x)
-    return (F.least("na", "nb") >= F.greatest("na", "nb") * threshold) & F.exists(F.array(total), possible)
+    return run
 
 
-def likely(pairs: DataFrame, signs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose sketches leave the threshold possible."""
-    side = lambda x: signs.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x))
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_agree(threshold)).select("a", "b")
+def _grouped(rows: DataFrame, threshold: float, crossing: bool) -> DataFrame:
+    """Distinct pairs (a, b) found inside the groups (key, chunk) of the rows."""
+    at_hand = rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk")
+    return at_hand.mapInArrow(_in_groups(threshold, crossing), "a binary, b binary").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -234,41 +312,31 @@ def classes(
     holder = signs.select("node", F.col("holder").alias("id"))
 
     members = signs.select("node", F.explode("keys").alias("key"))
-    leaders = [f"h{i}" for i in range(ROUNDS)]
-    heads = members.groupBy("key").agg(F.count("*").alias("size"), *[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(h) for i, h in enumerate(leaders)]).filter("size > 1")
-    shared = durable(members.join(heads, "key").select("key", "node", *leaders), "shared")
+    sizes = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    drawn = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("size") / CHUNK)).alias("chunk")
+    shared = members.join(sizes, "key").join(signs.select("node", "n", "sketch"), "node").select("key", drawn, "size", "node", "n", "sketch")
+    shared = durable(shared, "shared")
     # the texts of all nodes that share a bucket, each once
     meet = shared.select("node").distinct().join(holder, "node").select(F.col("id").alias("_id"), F.col("node").alias("_node"))
     texts = docs.join(meet, docs["id"].eqNullSafe(F.col("_id")) & (docs["node"] == F.col("_node")), "left_semi").dropDuplicates(["id", "node"])
     texts = durable(texts.select("node", "text"), "texts")
-    tried, parts = [], None
-    for leader in leaders:
-        starred = shared.filter(F.col("node") != F.col(leader)).select(F.least("node", leader).alias("a"), F.greatest("node", leader).alias("b")).distinct()
-        if parts is not None:
-            label = lambda x: parts.select(F.col("node").alias(x), F.col("label").alias("l" + x))  # noqa: B023, E731
-            apart = F.coalesce("la", "a") != F.coalesce("lb", "b")
-            starred = starred.join(label("a"), "a", "left").join(label("b"), "b", "left").filter(apart).select("a", "b")
-        pairs = durable(likely(starred, signs, threshold), "pairs")
-        tried.append(pairs)
-        found = verified(pairs, texts, threshold).select("a", "b")
-        if parts is not None:
-            found = found.unionByName(parts.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        parts = durable(components(found), "parts")
-
-    # pairs across components that share a bucket
-    placed = shared.select("key", "node").join(parts, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = placed.groupBy("key").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("key")
-    placed = durable(placed.join(mixed, "key", "left_semi").join(signs.select("node", "n", "sketch", "keys"), "node"), "placed")
-    side = lambda x: placed.select("key", F.col("node").alias(x), F.col("label").alias("l" + x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x), F.col("keys").alias("k" + x))
-    once = F.array_min(F.array_intersect("ka", "kb")) == F.col("key")  # a pair comes from one of the buckets it shares
-    across = side("a").join(side("b"), "key").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _agree(threshold) & once).select("a", "b")
-    for pairs in tried:
-        across = across.join(pairs, ["a", "b"], "left_anti")
-    second = verified(durable(across, "across"), texts, threshold).select("a", "b")
-    parts = components(parts.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(second))
-
+    likely = durable(_grouped(shared.drop("size"), threshold, crossing=False), "likely")
+    parts = durable(components(verified(likely, texts, threshold).select("a", "b")), "parts")
+
+    # possible pairs across components: what is outside a bucket's largest component against the whole bucket
+    placed = shared.join(parts, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    largest = placed.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts"))
+    placed = durable(placed.join(largest.filter("parts > 1").drop("parts"), "key"), "placed")
+    guests = placed.filter(F.col("label") != F.col("main")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / CHUNK) - 1).cast("array<long>")))
+    met = placed.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True))).drop("size")
+    across = durable(_grouped(met, threshold, crossing=True), "across")
+    second = verified(across, texts, threshold)
+    name = lambda x: parts.select(F.col("node").alias(x), F.col("label").alias("l" + x))
+    joined = second.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    merged = components(joined).select(F.col("node").alias("label"), F.col("label").alias("into"))
+    nodes = holder.join(parts, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = nodes.join(merged, "label", "left").select("node", "id", F.coalesce("into", "label").alias("label"))
     wordless = ids.join(signs.select("node"), "node", "left_anti").select("id", "node", F.col("id").alias("class_id"), F.lit(True).alias("kept"))
-    named = holder.join(parts, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("id").alias("class_id"))
     named = named.join(least, "label").select("node", "class_id", F.col("id").alias("holder"))
     rows_ = ids.join(named, "node").select("id", "node", "class_id", (F.col("id").eqNullSafe(F.col("class_id")) & F.col("holder").eqNullSafe(F.col("class_id"))).alias("kept"))
@@ -280,8 +348,8 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, *, id_col: str = "do
 
     Rows repeated under one id are one document: one of them stays.
     """
-    kept = classes(docs, threshold, id_col=id_col, text_col=text_col, **signature).filter("kept").select(F.col(id_col).alias("_id"), F.col("node").alias("_node")).distinct()
+    kept = classes(docs, threshold, id_col=id_col, text_col=text_col, **signature).filter("kept").select(F.col(id_col).alias("id"), "node").distinct()
     node = F.unhex(F.substring(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), 1, 32))
-    marked = docs.withColumn("_of", node)
-    joined = marked.join(kept, marked[id_col].eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_node")), "left_semi")
-    return joined.dropDuplicates([id_col, "_of"]).drop("_of")
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("of"), node.alias("of_node"))
+    joined = marked.join(kept, F.col("of").eqNullSafe(F.col("id")) & (F.col("of_node") == F.col("node")), "left_semi")
+    return joined.dropDuplicates(["of", "of_node"]).select("row.*")

@@ -112,3 +112,41 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7)] + [(200, 200 + i) for i in range(50)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100, **{200 + i: 200 for i in range(50)}}
+
+
+def test_recall_at_the_threshold():
+    rng, size, half, pairs = np.random.default_rng(5), 180, 20, 1500  # 160 of 200 shingles are common: 0.8 exactly
+    value = rng.integers(0, 2**63, (pairs, size + half)).astype(np.uint64)
+    found = np.zeros(pairs, bool)
+    sides = []
+    for keep in (slice(0, size), slice(half, size + half)):
+        v = value[:, keep].ravel()
+        text, weight = np.repeat(np.arange(pairs), size), np.ones(len(v), np.int64)
+        times = minhash.registers(text, v, weight, pairs, minhash.BANDS * minhash.ROWS).reshape(pairs, minhash.BANDS, minhash.ROWS)
+        sketch = minhash.sketches(text, v, weight, pairs)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(pairs + 1, dtype=np.int32) * sketch.shape[1]), pa.array(sketch.ravel()))
+        sides.append((times, minhash._unpacked(lists)))
+    met = (sides[0][0] == sides[1][0]).all(axis=2).any(axis=1)
+    n = np.full(pairs, size)
+    _, found = minhash._estimates(sides[0][1], n, sides[1][1], n, minhash.THRESHOLD)
+    assert (met & found).mean() > 0.999
+
+
+def test_clashing_columns_stay(spark):
+    schema = "doc_id long, text string, _id long, _node string, _of int, id string, node string, `row` string, label int"
+    rows = [(i, f"a b c d e f g h {i % 2}", 7, "n", 8, "i", "m", "r", 9) for i in range(4)]
+    source = spark.createDataFrame(rows, schema)
+    kept = minhash.keep_one(source)
+    assert kept.columns == source.columns and sorted(tuple(r) for r in kept.collect()) == rows[:2]
+
+
+def test_chunks_of_large_buckets_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CHUNK", 5)
+    rng = random.Random(9)
+    rows, words = [], [f"w{i}" for i in range(120)]
+    for i in range(150):  # a chain of near copies: neighbours are links, far ones are not
+        words = [*words]
+        words[rng.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: r.class_id for r in minhash.classes(frame(spark, rows)).collect()}
+    assert got == classes(rows)

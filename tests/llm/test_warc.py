@@ -87,3 +87,19 @@ def test_null_ids_repeated_rows_and_empty_tables(spark, tmp_path):
     warc.write(frame(spark, []), str(tmp_path / "e"))
     assert warc.read(spark, str(tmp_path / "e")).count() == 0
     assert Path(tmp_path / "e").exists()
+
+
+def test_ids_far_apart_hot_ids_and_clashing_columns(spark, tmp_path):
+    rows = [(-(2**63), "a", "x" * 500), (2**63 - 1, "b", "y" * 500), *[(None, f"n{i}", f"{i}" * 300) for i in range(100)]]
+    schema = "page_id long, url string, html string, spot string, part int, refers_to long, size string"
+    source = spark.createDataFrame([(*r, "s", 1, 2, "t") for r in rows], schema)
+    listed = warc.write(source, str(tmp_path / "w"), shard_bytes=5000).collect()
+    assert len({r.shard for r in listed}) > 5 and max(r.records for r in listed) < 30  # the null id fills many shards
+    got = warc.read(spark, str(tmp_path / "w")).collect()
+    assert sorted((r.page_id is None, r.page_id or 0, r.payload_bytes) for r in got) == sorted((i is None, i or 0, len(h)) for i, _, h in rows)
+
+
+def test_a_file_of_many_members_is_read_in_turn():
+    records = [warc.record(i, 0, "u", bytes([65 + i % 26]) * (i * 37), (False, None)) for i in range(300)]
+    data = b"".join(gzip.compress(r) for r in records)
+    assert list(warc._members(data)) == records

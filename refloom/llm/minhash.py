@@ -11,9 +11,11 @@ each shingle.  Two registers agree with the probability of the weighted Jaccard
 similarity.
 
 Registers are banded, and equal texts are one node.  Nodes that share a bucket are
-candidates.  Their similarity is estimated from sketches (the least element hash
-of each bin, four bits kept), and a pair is possible unless its sketches are
-SIGMAS standard errors below the threshold.  Links are found in two steps:
+candidates; buckets with the very same nodes count once.  Similarity is estimated
+from sketches, the SKETCH least element hashes of a text: for texts of up to that
+many shingles the sketch is the whole multiset, and for longer ones a pair is
+possible unless its sketches are SIGMAS standard errors below the threshold.
+Links are found in two steps:
 
 1. a maximum spanning forest of the possible pairs of each bucket, by estimated
    similarity, so that a group of copies costs about one pair for each member; its
@@ -24,8 +26,8 @@ SIGMAS standard errors below the threshold.  Links are found in two steps:
 
 Buckets of more than CHUNK nodes are split into chunks by a hash of node and
 bucket.  In step 1 a chunk has a forest of its own; in step 2 the nodes outside a
-bucket's largest component travel to each of its chunks.  So no task holds more
-than a chunk, and nothing is dropped.
+bucket's largest component travel to each of its chunks, and are compared with it
+some at a time.  So no task holds more than a chunk, and nothing is dropped.
 
 Defined cases: null and wordless texts have no shingles and are alone in their
 class, even among each other; a text of fewer than five words is one shingle; a
@@ -52,8 +54,8 @@ BANDS = 32
 ROWS = 4
 #: Nodes of a bucket that one group holds (on average, where a bucket has more).
 CHUNK = 128
-#: Bins of a sketch, 16 to a long.
-BINS = 512
+#: Element hashes in a sketch.
+SKETCH = 512
 #: Pairs whose sketches are so many standard errors below the threshold are not
 #: verified (a true link passes with probability > 0.9999).
 SIGMAS = 4.0
@@ -116,29 +118,41 @@ def registers(text: np.ndarray, value: np.ndarray, weight: np.ndarray, texts: in
     return times.reshape(texts, m)
 
 
-def sketches(text: np.ndarray, value: np.ndarray, weight: np.ndarray, texts: int) -> np.ndarray:
-    """texts x BINS/16 longs: four bits of the least hash of each bin, 0 for an empty bin.
+def sketches(text: np.ndarray, value: np.ndarray, weight: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least element hashes of every text, sorted, end to end, and the offsets of the texts.
 
     The elements are the copies of the shingles, so that common elements over
     all elements are the weighted Jaccard similarity.
     """
     first = np.repeat(np.cumsum(weight) - weight, weight)
     with np.errstate(over="ignore"):
-        h = mix64(np.repeat(value, weight) + (np.arange(len(first)) - first + 1).astype(_U) * _STEP)
-    cell = np.repeat(text, weight).astype(np.int64) * BINS + (h % _U(BINS)).astype(np.int64)
-    least = np.full(texts * BINS, ~_U(0))
-    np.minimum.at(least, cell, h // _U(BINS))
-    bits = np.where(least == ~_U(0), _U(0), mix64(least) % _U(15) + _U(1)).reshape(texts, BINS // 16, 16)
-    return (bits << (_U(4) * np.arange(16, dtype=_U))).sum(axis=2, dtype=_U).view(np.int64)
+        h = mix64(np.repeat(value, weight) + (np.arange(len(first)) - first + 1).astype(_U) * _STEP) >> _U(32)
+    of = np.repeat(text, weight).astype(np.int64)
+    both = np.unique((of.astype(_U) << _U(32)) | h)
+    of, h = (both >> _U(32)).astype(np.int64), (both & _U(0xFFFFFFFF)).astype(np.uint32)
+    start = np.searchsorted(of, np.arange(texts))
+    keep = np.arange(len(of)) - start[of] < SKETCH
+    return h[keep], np.r_[0, np.cumsum(np.bincount(of[keep], minlength=texts))]
+
+
+def _sketch(batches):
+    """node, n and sketch of texts."""
+    for batch in batches:
+        for w in words_of(batch.column(1)):
+            texts = len(w.text_start) - 1
+            text, value, weight = shingles(w)
+            h, offsets = sketches(text, value, weight, texts)
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(h.view(np.int32)))
+            n = np.bincount(text, weight, texts).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first_text, texts), pa.array(n), lists], ["node", "n", "sketch"])
 
 
 def _sign(bands: int, rows: int):
     m = bands * rows
-    longs = BINS // 16
 
     def run(batches):
         for batch in batches:
-            size, signs, keys = [np.zeros(0, np.int64)], [np.zeros((0, longs), np.int64)], [np.zeros((0, bands), np.int64)]
+            size, keys = [np.zeros(0, np.int64)], [np.zeros((0, bands), np.int64)]
             for w in words_of(batch.column(2)):
                 texts = len(w.text_start) - 1
                 text, value, weight = shingles(w)
@@ -150,11 +164,10 @@ def _sign(bands: int, rows: int):
                     for r in range(rows):
                         key = mix64(key * _STEP + band[:, :, r])
                 size.append(np.bincount(text, weight, texts).astype(np.int64))
-                signs.append(sketches(text, value, weight, texts))
                 keys.append(key.view(np.int64))
             total = np.concatenate(size)
-            packed = lambda x, k: pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1, dtype=np.int32) * k), pa.array(np.concatenate(x).ravel()))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total), packed(signs, longs), packed(keys, bands)], ["id", "node", "n", "sketch", "keys"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1, dtype=np.int32) * bands), pa.array(np.concatenate(keys).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total), lists], ["id", "node", "n", "keys"])
 
     return run
 
@@ -179,105 +192,153 @@ def _overlaps(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(similarity)], ["a", "b", "similarity"])
 
 
-def _unpacked(sketch: pa.Array) -> np.ndarray:
-    """Sketches as nodes x BINS small numbers."""
-    packed = np.asarray(sketch.flatten(), np.int64).view(np.uint8).reshape(len(sketch), BINS // 2)
-    return np.stack([packed & 15, packed >> 4], axis=2).reshape(len(packed), BINS)
+class Sketches:
+    """The sketches of some nodes, and the sizes of their multisets."""
+
+    def __init__(self, table: pa.Table | pa.RecordBatch):
+        column = table["sketch"].combine_chunks() if isinstance(table, pa.Table) else table["sketch"]
+        self.values = column.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
+        self.offsets = np.r_[0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+        self.n = np.asarray(table["n"], np.int64)
+
+    def some(self, at: np.ndarray | slice) -> Sketches:
+        out = object.__new__(Sketches)
+        rows = np.arange(len(self.n))[at]
+        out.values = np.concatenate([self.values[self.offsets[r] : self.offsets[r + 1]] for r in rows]) if len(rows) else self.values[:0]
+        out.n, size = self.n[rows], np.diff(self.offsets)[rows]
+        out.offsets = np.r_[0, np.cumsum(size)]
+        return out
 
 
-def _estimates(x: np.ndarray, nx, y: np.ndarray, ny, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Similarity of sketches x and y by rows, and whether sizes and sketches leave the threshold possible.
+def similarities(x: Sketches, y: Sketches, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated similarity of each x and y, and whether sizes and sketches leave the threshold possible.
 
-    Equal bits of bins that both fill, less those equal by chance (1 in 15), over
-    the bins that either fills estimate the similarity: a sample of the union
-    without replacement, plus the chance matches' own error.
+    Below the lesser of both sketches' ends, common hashes over all hashes
+    estimate the similarity: a sample of the union without replacement, and the
+    union itself where both sketches are whole.
     """
-    both = ((x > 0) & (y > 0)).sum(axis=-1)
-    either = ((x > 0) | (y > 0)).sum(axis=-1)
-    equal = ((x == y) & (x > 0)).sum(axis=-1)
-    found = (equal - both / 15) * (15 / 14)
+    _, inverse = np.unique(np.r_[x.values, y.values], return_inverse=True)
+    left, right = inverse[: len(x.values)], inverse[len(x.values) :]
+    size = int(inverse.max(initial=-1)) + 1
+    shared = np.zeros(size, bool)
+    shared[left] = True
+    both = np.zeros(size, bool)
+    both[right] = True
+    shared &= both
+    column = np.cumsum(shared) - 1
+
+    def dense(part, of):
+        out = np.zeros((len(of) - 1, max(1, int(shared.sum()))), np.float32)
+        row, keep = np.repeat(np.arange(len(of) - 1), np.diff(of)), shared[part]
+        out[row[keep], column[part[keep]]] = 1
+        return out
+
+    common = (dense(left, x.offsets) @ dense(right, y.offsets).T).astype(np.float64)
+    full = lambda s: np.diff(s.offsets) == SKETCH
+    end = lambda s: np.where(full(s), s.values[np.maximum(s.offsets[1:] - 1, 0)].astype(np.int64) if len(s.values) else 0, np.int64(1 << 32))
+    ends_x, ends_y = end(x), end(y)
+    below = lambda s, ends: np.stack([np.searchsorted(s.values[a:b].astype(np.int64), ends, "right") for a, b in zip(s.offsets[:-1], s.offsets[1:], strict=True)])
+    either = np.minimum(below(x, ends_y), np.diff(x.offsets)[:, None]) + np.minimum(below(y, ends_x), np.diff(y.offsets)[:, None]).T - common
+    nx, ny = x.n[:, None], y.n[None, :]
     whole = (nx + ny) / (1 + threshold)  # size of the union at the threshold
-    error = np.sqrt(threshold * (1 - threshold) * np.maximum(0.0, 1 - either / whole) * either + (1 - threshold) / 14 * either)
-    possible = (found + 1e-6 >= threshold * either - SIGMAS * error) & (np.minimum(nx, ny) >= np.maximum(nx, ny) * threshold)
-    return found / np.maximum(either, 1), possible
+    error = np.sqrt(threshold * (1 - threshold) * np.maximum(0.0, 1 - either / whole) * either)
+    error[~full(x)[:, None] & ~full(y)[None, :]] = 0.0
+    possible = (common + 1e-6 >= threshold * either - SIGMAS * error) & (np.minimum(nx, ny) >= np.maximum(nx, ny) * threshold)
+    return common / np.maximum(either, 1), possible
 
 
-def _forest(bits: np.ndarray, n: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+def _forest(sketch: Sketches, threshold: float) -> list[tuple[int, int]]:
     """Edges of a maximum spanning forest of the possible pairs (Prim's way)."""
-    best, near = np.full(len(n), -np.inf), np.full(len(n), -1)
-    left, edges = np.ones(len(n), bool), []
-    for _ in range(len(n)):
-        at = int(np.argmax(np.where(left, best, -np.inf))) if (left & (best > -np.inf)).any() else int(np.argmax(left))
-        if near[at] >= 0:
+    value, possible = similarities(sketch, sketch, threshold)
+    value[~possible] = -np.inf
+    size, edges = len(value), []
+    best, near, left = np.full(size, -np.inf), np.full(size, -1), np.ones(size, bool)
+    for _ in range(size):
+        at = int(np.argmax(np.where(left, best, -np.inf)))
+        if best[at] == -np.inf or not left[at]:
+            at = int(np.argmax(left))
+        elif near[at] >= 0:
             edges.append((int(near[at]), at))
         left[at] = False
-        rest = np.flatnonzero(left)
-        value, possible = _estimates(bits[rest], n[rest], bits[at], n[at], threshold)
-        better = possible & (value > best[rest])
-        best[rest[better]], near[rest[better]] = value[better], at
+        better = left & (value[at] > best)
+        best[better], near[better] = value[at][better], at
     return edges
 
 
-def _crossing(bits: np.ndarray, n: np.ndarray, node: list, label: list, main: list, guest: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """Possible pairs of a guest and a member from different components, each once."""
-    edges, members = [], np.flatnonzero(~guest)
-    for x in np.flatnonzero(guest):
-        some = [m for m in members if label[m] != label[x] and (label[m] == main[m] or node[x] < node[m])]
-        if some:
-            _, possible = _estimates(bits[some], n[some], bits[x], n[x], threshold)
-            edges += [(int(x), m) for m, p in zip(some, possible, strict=True) if p]
-    return edges
+def _pairs_of(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.binary()), pa.array([max(p) for p in pairs], pa.binary())], ["a", "b"])
+
+
+def _runs(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of the runs of equal keys."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    first = np.flatnonzero(new)
+    return list(zip(first.tolist(), [*first[1:].tolist(), len(new)], strict=True)) if len(new) else []
+
 
+def _forests(threshold: float):
+    """Pairs (a, b) of the forests of the groups (key, chunk); a group may go on in the next batch."""
 
-def _in_groups(threshold: float, crossing: bool):
-    """Pairs (a, b) inside the groups of rows sorted by (key, chunk); a group may go on in the next batch."""
-
-    def pairs(table: pa.Table):
-        key, chunk, n = (np.asarray(table[c], np.int64) for c in ("key", "chunk", "n"))
-        node = table["node"].to_pylist()
-        bits = _unpacked(table["sketch"].combine_chunks())
-        if crossing:
-            label, main, guest = table["label"].to_pylist(), table["main"].to_pylist(), np.asarray(table["guest"], bool)
-        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])])
-        last = np.r_[first[1:], len(key)]
-        found: list[tuple[int, int]] = []
-        if not crossing:  # groups of two at once
-            twos = first[last - first == 2]
-            for at in range(0, len(twos), 1000):
-                some = twos[at : at + 1000]
-                _, possible = _estimates(bits[some], n[some], bits[some + 1], n[some + 1], threshold)
-                found += [(int(s), int(s) + 1) for s in some[possible]]
-        for s, e in zip(first.tolist(), last.tolist(), strict=True):
-            if crossing and e - s > 1:
-                some = _crossing(bits[s:e], n[s:e], node[s:e], label[s:e], main[s:e], guest[s:e], threshold)
-            elif not crossing and e - s > 2:
-                some = _forest(bits[s:e], n[s:e], threshold)
-            else:
-                continue
-            found += [(s + x, s + y) for x, y in some]
-        sides = [(min(node[x], node[y]), max(node[x], node[y])) for x, y in found if node[x] != node[y]]
-        return pa.table({"a": pa.array([x[0] for x in sides], pa.binary()), "b": pa.array([x[1] for x in sides], pa.binary())})
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        node, sketch, found = table["node"].to_pylist(), Sketches(table), []
+        for s, e in _runs(np.asarray(table["key"], np.int64), np.asarray(table["chunk"], np.int64)):
+            if e - s > 1:
+                found += [(node[s + x], node[s + y]) for x, y in _forest(sketch.some(slice(s, e)), threshold)]
+        return _pairs_of(found)
 
     def run(batches):
         held = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = pa.concat_tables([held, table]) if held is not None else table
-            key, chunk = (np.asarray(table[c], np.int64) for c in ("key", "chunk"))
-            end = int(np.flatnonzero((key != key[-1]) | (chunk != chunk[-1]))[-1]) + 1 if len(key) and ((key != key[-1]) | (chunk != chunk[-1])).any() else 0
-            held = table.slice(end)
-            if end:
-                yield from pairs(table.slice(0, end)).to_batches()
+            start = _runs(np.asarray(table["key"], np.int64), np.asarray(table["chunk"], np.int64))[-1][0] if table.num_rows else 0
+            held = table.slice(start)
+            if start:
+                yield pairs(table.slice(0, start))
         if held is not None and held.num_rows:
-            yield from pairs(held).to_batches()
+            yield pairs(held)
+
+    return run
+
+
+def _crossings(threshold: float):
+    """Possible pairs (a, b) of a guest and a member of its group from different components.
+
+    In a group the members come first; guests are compared with them as they come.
+    """
+
+    def run(batches):
+        group, members = None, []
+        for batch in batches:
+            key, chunk, guest = (np.asarray(batch[c], np.int64) for c in ("key", "chunk", "guest"))
+            for s, e in _runs(key, chunk, guest):
+                here, part = (key[s], chunk[s]), batch.slice(s, e - s)
+                members = members if here == group else []
+                group = here
+                if not guest[s]:
+                    members.append(part)
+                    continue
+                if not members:
+                    continue
+                table = pa.Table.from_batches(members)
+                node, label, main, sketch = table["node"].to_pylist(), table["label"].to_pylist(), table["main"][0].as_py(), Sketches(table)
+                for at in range(0, part.num_rows, 256):
+                    some = part.slice(at, 256)
+                    names, labels = some["node"].to_pylist(), some["label"].to_pylist()
+                    _, possible = similarities(Sketches(some), sketch, threshold)
+                    # two guests meet in each other's chunk: once is enough
+                    yield _pairs_of([(names[x], node[y]) for x, y in np.argwhere(possible).tolist() if labels[x] != label[y] and (label[y] == main or names[x] < node[y])])
 
     return run
 
 
-def _grouped(rows: DataFrame, threshold: float, crossing: bool) -> DataFrame:
+def _grouped(rows: DataFrame, find, *order: str) -> DataFrame:
     """Distinct pairs (a, b) found inside the groups (key, chunk) of the rows."""
-    at_hand = rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk")
-    return at_hand.mapInArrow(_in_groups(threshold, crossing), "a binary, b binary").distinct()
+    at_hand = rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", *order)
+    return at_hand.mapInArrow(find, "a binary, b binary").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -304,23 +365,25 @@ def classes(
     node = F.unhex(F.substring(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), 1, 32))
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("id"), node.alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    every = durable(docs.mapInArrow(_sign(bands, rows), f"id {kind}, node binary, n long, sketch array<long>, keys array<long>"), "every")
+    every = durable(docs.mapInArrow(_sign(bands, rows), f"id {kind}, node binary, n long, keys array<long>"), "every")
     ids = durable(every.select("id", "node"), "ids")
-    signs = every.filter("n > 0").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"), F.any_value("keys").alias("keys"), F.min("id").alias("holder"))
+    signs = every.filter("n > 0").groupBy("node").agg(F.any_value("keys").alias("keys"), F.min("id").alias("holder"))
     signs = durable(signs, "signs")
     release(every)
     holder = signs.select("node", F.col("holder").alias("id"))
 
     members = signs.select("node", F.explode("keys").alias("key"))
-    sizes = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    prints = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"print{i}") for i in range(2)]
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"), *prints).filter("size > 1")
+    sizes = sizes.groupBy("size", "print0", "print1").agg(F.min("key").alias("key")).select("key", "size")  # buckets of the same nodes have the same pairs
     drawn = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("size") / CHUNK)).alias("chunk")
-    shared = members.join(sizes, "key").join(signs.select("node", "n", "sketch"), "node").select("key", drawn, "size", "node", "n", "sketch")
-    shared = durable(shared, "shared")
+    shared = durable(members.join(sizes, "key").select("key", drawn, "size", "node"), "shared")
     # the texts of all nodes that share a bucket, each once
     meet = shared.select("node").distinct().join(holder, "node").select(F.col("id").alias("_id"), F.col("node").alias("_node"))
     texts = docs.join(meet, docs["id"].eqNullSafe(F.col("_id")) & (docs["node"] == F.col("_node")), "left_semi").dropDuplicates(["id", "node"])
     texts = durable(texts.select("node", "text"), "texts")
-    likely = durable(_grouped(shared.drop("size"), threshold, crossing=False), "likely")
+    sketched = durable(texts.select("node", "text").mapInArrow(_sketch, "node binary, n long, sketch array<int>"), "sketches")
+    likely = durable(_grouped(shared.drop("size").join(sketched, "node"), _forests(threshold)), "likely")
     parts = durable(components(verified(likely, texts, threshold).select("a", "b")), "parts")
 
     # possible pairs across components: what is outside a bucket's largest component against the whole bucket
@@ -328,8 +391,8 @@ def classes(
     largest = placed.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts"))
     placed = durable(placed.join(largest.filter("parts > 1").drop("parts"), "key"), "placed")
     guests = placed.filter(F.col("label") != F.col("main")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / CHUNK) - 1).cast("array<long>")))
-    met = placed.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True))).drop("size")
-    across = durable(_grouped(met, threshold, crossing=True), "across")
+    met = placed.withColumn("guest", F.lit(0)).unionByName(guests.withColumn("guest", F.lit(1))).drop("size")
+    across = durable(_grouped(met.join(sketched, "node"), _crossings(threshold), "guest"), "across")
     second = verified(across, texts, threshold)
     name = lambda x: parts.select(F.col("node").alias(x), F.col("label").alias("l" + x))
     joined = second.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))

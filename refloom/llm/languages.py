@@ -211,7 +211,7 @@ def identify(
     rows = _score(told.select(F.struct(*facts).alias("row"), F.col(text_col).alias("t")), counts, n)
 
     # sums of the posteriors by host and language; then by parent (what follows the first dot), then of everything
-    alone = rows.filter("letters > 0").select("host", F.posexplode(F.slice(_softmax("likelihood"), 1, n)).alias("i", "p"))
+    alone = rows.filter("letters > 0 and host is not null").select("host", F.posexplode(F.slice(_softmax("likelihood"), 1, n)).alias("i", "p"))
     parent = F.when(F.col("host").contains("."), F.regexp_replace("host", r"^[^.]*\.", "")).otherwise(F.lit(""))
     sums = durable(alone.groupBy("host", "i").agg(F.sum("p").alias("s"), F.count("*").alias("n")).withColumn("parent", parent), "hosts")
     every = {r.i: r.s for r in sums.groupBy("i").agg(F.sum("s").alias("s")).collect()}

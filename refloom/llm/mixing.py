@@ -4,16 +4,23 @@ Every source is a queue of its documents in a hashed (shuffled) order, repeated
 for up to ``max_epochs`` epochs.  A document copy carries the virtual finish
 time *cumulative source words / target of the source*; all copies sorted by
 finish time are the mix, cut off when the total budget is used up.  Because the
-targets add up to the budget, the budget is used up at virtual time 1, and the
-document that a source is serving at that instant is cut at the words served.
+targets add up to the budget, the budget is used up at virtual time 1: at any time t
+the queues have served t x target words each, so the running sum of the sorted
+copies reaches the budget there.  The document that a source is serving at that
+instant is cut at the words served, so every source ends within a word of its target.
 
 Cumulative sums never run over a whole source in one task: rows fall into
 hash-range buckets, about sqrt(rows) per source; bucket totals are cumulated
 first (sqrt(rows) numbers per source) and then the rows inside each bucket.
 
-Defined cases: null text has size 0; null source is a source of its own, sorted
-last; null ids are allowed; repeated rows are separate documents; an empty table
-gives an empty result; other columns are ignored, whatever their names.
+Source totals, weights and targets are windows over sources, of which there are some
+dozens to thousands; nothing else stands in one task.
+
+Defined cases: null text has size 0; texts of any length are counted whole; null
+source is a source of its own, sorted last; null ids are allowed, and spread by their
+texts as repeated ids do; repeated rows are separate documents; ties in the order go
+by place, id and text; an empty table gives an empty result; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -75,7 +82,7 @@ def mix(
         F.coalesce(F.col(source_col), F.lit("")).alias("src"),
         F.col(source_col).isNull().alias("src_null"),
         count_spaced(F.col(text_col)).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(source_col)).alias("place"),
+        F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(source_col), F.col(text_col)).alias("place"),
         F.xxhash64(F.col(text_col)).alias("content"),
     )
     rows = durable(rows, "mix-rows")

@@ -47,8 +47,9 @@ def case():
     return docs, items
 
 
-@pytest.mark.parametrize("set_windows", [50_000, 0])
-def test_hits(spark, set_windows):
+@pytest.mark.parametrize(("set_windows", "broadcast"), [(50_000, 1), (0, 4_000_000), (0, 0)])
+def test_hits(spark, monkeypatch, set_windows, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
     docs, items = case()
     d = spark.createDataFrame([(*x, "c", 1) for x in docs], DOCS)
     b = spark.createDataFrame([(*x, 1) for x in items], ITEMS)
@@ -70,3 +71,13 @@ def test_empty(spark):
     d, b = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
     assert decontaminate.judge(d, b).count() == 0
     assert decontaminate.judge(spark.createDataFrame([(1, "a b", "c", 1)], DOCS), b).first().n_hit == 0
+
+
+@pytest.mark.parametrize("set_windows", [50_000, 0])
+def test_clashing_columns_stay(spark, set_windows):
+    schema = "doc_id long, text string, _hit int, content string, hit int, `row` string, w string"
+    d = spark.createDataFrame([(1, "one two three four", 1, "c", 2, "r", "w"), (2, "five", 1, "c", 2, "r", "w")], schema)
+    b = spark.createDataFrame([(1, "one two three", 1)], ITEMS)
+    assert [tuple(r) for r in decontaminate.decontaminate(d, b, set_windows=set_windows).collect()] == [(2, "five", 1, "c", 2, "r", "w")]
+    cut = decontaminate.cut_spans(d, b, set_windows=set_windows)
+    assert cut.columns == d.columns and {r.doc_id: words(r.text) for r in cut.collect()} == {1: ["four"], 2: ["five"]}

@@ -59,3 +59,25 @@ def test_emitted_copies_follow_the_finish_times(spark):
 def test_empty_tables_and_texts(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
     assert [r.taken for r in mixing.mix(frame(spark, [(1, "", "a"), (None, None, None)])).collect()] == [0, 0]
+
+
+def test_the_words_are_those_of_the_sorted_copies_up_to_the_budget(spark):
+    rng = random.Random(8)
+    sizes = {"a": 400, "b": 150, "c": 30, None: 20}
+    rows = [(n * 1000 + k if k % 9 else None, " ".join("w" * rng.randrange(1, 30)), s) for n, (s, c) in enumerate(sizes.items()) for k in range(c)]
+    mixed = mixing.mix(frame(spark, rows))
+    copies = mixing.emit(mixed).collect()
+    budget = sum(len(t.split()) for _, t, _ in rows)
+    assert abs(sum(c.words for c in copies) - budget) <= len(sizes)
+    # at every finish time the running sum of the sorted copies is the time's share of the budget, but for documents in service
+    running = 0
+    for c in copies:
+        running += c.words
+        assert budget * min(c.finish, 1.0) - 29 * len(sizes) - len(sizes) <= running <= budget * min(c.finish, 1.0) + 29 * len(sizes)
+    # cutting the sorted stream of whole documents at the budget takes the same, but for those in service
+    taken = {s: sum(c.words for c in copies if c.source == s) for s in sizes}
+    whole, left = dict.fromkeys(sizes, 0), budget
+    for c in copies:
+        step = min(c.size, left)
+        whole[c.source], left = whole[c.source] + step, left - step
+    assert all(abs(whole[s] - taken[s]) < 30 for s in sizes)

@@ -61,7 +61,7 @@ def _trigrams(texts: pa.Array):
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + 2_000_000, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + 500_000, "right")) - 1)
         bounds = offsets[at : to + 1] - offsets[at]
         part = data[offsets[at] : offsets[to]]
         letters = np.r_[0, np.cumsum(_LETTER[part])][bounds]

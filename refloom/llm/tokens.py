@@ -69,7 +69,7 @@ class Words:
     first_word: np.ndarray  # word offsets of the texts, one more than texts
 
 
-def words_of(texts: pa.Array | pa.ChunkedArray, *, lower: bool = False, slice_bytes: int = 2_000_000) -> Iterator[Words]:
+def words_of(texts: pa.Array | pa.ChunkedArray, *, lower: bool = False, slice_bytes: int = 500_000) -> Iterator[Words]:
     """Words of the texts (null: empty), some texts at a time to bound memory."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0)

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refloom.functions.text import filled
-from refloom.operators.report import service_status, ui_status
+from refloom.operators.report import service_status
+
 
 def _empty() -> Column:
     return F.lit("")
@@ -126,19 +127,77 @@ def ris(row=F.col) -> Column:
     return F.array_join(F.array_compact(lines), "\n")
 
 
+#: The columns of the report table.
+SHEET = ["No.", "Original Reference", "Status", "Found Title", "Found Authors", "Found Year", "Found Journal", "DOI", "Confidence (%)", "Issues", "Retracted", "Predatory", "Source"]
+
+
 def spreadsheet(results: DataFrame) -> DataFrame:
-    """The report table: a row per result."""
-    return results.select(
-        "seq", "raw", ui_status(F.col("exists"), F.col("confidence")).alias("status"), F.col("confidence"), "title", "authors", "year", "journal", "doi",
-        "source", "retracted", "predatory", F.array_join("issues", "; ").alias("issues"),
-    )
+    """The report table: a row per result, numbered; without ``exists`` a reference is still loading."""
+    c, known = F.col, F.col("exists").isNotNull()
+    status = F.when(~c("exists"), "Not Found").when(c("confidence") > 80, "Verified").when(c("confidence") > 50, "Partial Match").otherwise("Mismatch / Error")
+    told = lambda col: F.when(known, F.coalesce(col.cast("string"), _empty())).otherwise(_empty())
+    yes = lambda col: told(F.when(F.coalesce(col, F.lit(False)), "YES").otherwise("NO"))
+    plain = F.regexp_replace(F.when(c("exists"), c("confidence")).otherwise(0.0).cast("string"), r"\.0$", "")
+    values = [
+        F.row_number().over(Window.partitionBy("batch_id").orderBy("seq")), c("raw"), F.when(known, status).otherwise("Loading/Error"),
+        told(c("title")), told(c("authors")), told(c("year")), told(c("journal")), told(c("doi")), told(plain), told(F.array_join("issues", "; ")),
+        yes(c("retracted")), yes(c("predatory")), told(c("source")),
+    ]
+    return results.select("batch_id", *[v.alias(n) for n, v in zip(SHEET, values, strict=True)])
+
+
+#: Marks and names of the service's classes.
+CLASSES = {"verified": ("✅", "Verified", "Verified"), "partial_match": ("⚠️", "Partial Match", "Partial"), "mismatch": ("❌", "Mismatch", "Mismatch"), "not_found": ("🔍", "Not Found", "Not Found")}
+
+
+def _class(part: int) -> Column:
+    return F.coalesce(*[F.when(F.col("_class") == k, v[part]) for k, v in CLASSES.items()])
 
 
 def service_report(results: DataFrame) -> DataFrame:
-    """A Markdown line and a JSON object per result."""
-    status = service_status(F.col("exists"), F.col("source"), F.col("confidence"))
-    line = F.concat(F.lit("- **"), status, F.lit("** "), F.substring("raw", 1, 120))
-    return results.select("seq", line.alias("markdown"), F.to_json(F.struct(status.alias("status"), "raw", "title", "doi", "confidence", "issues")).alias("json"))
+    """Per batch: the Markdown report and the JSON of its results.
+
+    Rows have batch_id, seq, raw, exists, source, confidence, title, authors, year,
+    journal, doi, url, citations, retracted and issues.  A batch of one has no header
+    and no numbers.
+    """
+    c = F.col
+    rows = results.withColumn("_class", service_status(c("exists"), c("source"), c("confidence")))
+    every = Window.partitionBy("batch_id")
+    rows = rows.withColumn("_n", F.row_number().over(every.orderBy("seq"))).withColumn("_all", F.count("*").over(every))
+    plain = F.regexp_replace(c("confidence").cast("string"), r"\.0$", "")
+    there = c("exists") & (c("source") != "NotFound")
+    line = lambda head, col, when=F.lit(True): F.when(there & when, F.concat(F.lit(f"   {head}: "), filled(col.cast("string"))))
+    head = F.concat(F.when(c("_all") > 1, F.concat(F.lit("["), c("_n").cast("string"), F.lit("] "))).otherwise(""), _class(0), F.lit(" **"), _class(1), F.lit("** (confidence: "), plain, F.lit("%)"))
+    lines = F.array(
+        head,
+        F.concat(F.lit("   Input: "), F.substring("raw", 1, 120), F.when(F.length("raw") > 120, "…").otherwise("")),
+        line("Title", c("title")),
+        line("Authors", c("authors")),
+        line("Year", c("year")),
+        line("Journal/Venue", c("journal")),
+        line("DOI", F.concat(F.lit("https://doi.org/"), filled(c("doi")))),
+        line("URL", c("url"), filled(c("doi")).isNull()),
+        line("Citations", c("citations")),
+        line("Source", c("source")),
+        F.when(there & c("retracted"), "   🚨 **RETRACTED/WITHDRAWN**"),
+        F.when(F.size("issues") > 0, F.concat(F.lit("   Issues: "), F.array_join("issues", "; "))),
+    )
+    one = F.to_json(F.struct(c("raw").alias("input"), c("_class").alias("status"), "exists", "title", "authors", "year", "journal", "doi", "source", c("confidence").alias("matchConfidence"), "issues"))
+    rows = rows.withColumn("_text", F.array_join(F.array_compact(lines), "\n")).withColumn("_json", one)
+    parts = lambda col: F.transform(F.array_sort(F.collect_list(F.struct("seq", c(col).alias("x")))), lambda p: p["x"])
+    counted = [F.concat(F.lit(f" | {mark} {short}: "), F.count_if(c("_class") == k).cast("string")) for k, (mark, _, short) in CLASSES.items()]
+    summary = F.concat(F.lit("# Reference Verification Report\n**Total: "), F.count("*").cast("string"), F.lit("**"), *counted, F.lit("\n---\n"))
+    return rows.groupBy("batch_id").agg(
+        F.concat(F.when(F.count("*") > 1, summary).otherwise(""), F.array_join(parts("_text"), "\n\n")).alias("markdown"),
+        F.concat(F.lit("["), F.array_join(parts("_json"), ","), F.lit("]")).alias("json"),
+    )
+
+
+def bib_file(results: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """One .bib text per batch: the entries of what exists and has one."""
+    kept = results.filter(F.col("exists") & (F.coalesce(F.col("bibtex"), _empty()) != ""))
+    return joined_text(kept, batch, "bibtex")
 
 
 def entry_text(kind: Column, key: Column, tags: Column) -> Column:

@@ -91,7 +91,7 @@ def with_odd_spaces(col: Column) -> Column:
 def mutated_title(col: Column, fake: str) -> Column:
     """The first three words, a made-up middle and the last three words."""
     words = F.split(col, " ")
-    return F.concat_ws(" ", F.slice(words, 1, 3), F.lit(fake), F.slice(words, -3, 3))
+    return F.concat_ws(" ", F.slice(words, 1, 3), F.lit(fake), F.slice(words, F.greatest(F.size(words) - 2, F.lit(1)), F.lit(3)))
 
 
 def naive_detects(reference: Column, category: Column) -> Column:

@@ -9,7 +9,7 @@ from refloom.functions.text import filled, plain_key
 
 
 def duplicate_pairs(refs: DataFrame) -> DataFrame:
-    """(batch_id, orig_seq, dup_seq): equal keys, or one of over 20 characters in the other.
+    """(batch_id, orig_seq, dup_seq): equal keys (empty ones too), or one of over 20 characters in the other.
 
     Equal keys are an equi-join.  Containment is blocked: the interior words of
     the shorter key stand whole in the longer one, so both sides meet on the
@@ -20,7 +20,7 @@ def duplicate_pairs(refs: DataFrame) -> DataFrame:
     x, y = keyed.alias("x"), keyed.alias("y")
     earlier = F.col("x.seq") < F.col("y.seq")
     pair = [F.col("x.batch_id").alias("batch_id"), F.least("x.seq", "y.seq").alias("orig_seq"), F.greatest("x.seq", "y.seq").alias("dup_seq")]
-    equal = x.join(y, (F.col("x.batch_id") == F.col("y.batch_id")) & (F.col("x.key") == F.col("y.key")) & earlier & (F.col("x.key") != "")).select(*pair)
+    equal = x.join(y, (F.col("x.batch_id") == F.col("y.batch_id")) & (F.col("x.key") == F.col("y.key")) & earlier).select(*pair)
     long = keyed.filter(F.length("key") > 20).withColumn("words", F.split("key", " "))
     inner = F.slice("words", F.lit(2), F.size("words") - 2)
     anchored = long.filter(F.size("words") >= 3).withColumn("word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w), w.alias("w"))))["w"]).alias("x")
@@ -37,14 +37,43 @@ def duplicate_of(pairs: DataFrame, refs: DataFrame) -> DataFrame:
     return pairs.join(labels, ["batch_id", "orig_seq"]).groupBy("batch_id", F.col("dup_seq").alias("seq")).agg(F.max_by("label", "orig_seq").alias("duplicate_of"))
 
 
+#: Names that are matched as literals; a longer list is joined by words.
+LITERAL_NAMES = 200
+
+
 def on_denylist(results: DataFrame, names: DataFrame, venue_col: str = "venue") -> DataFrame:
     """``results`` with ``predatory``: the venue contains a listed name.
 
-    The list is kept by people; it is read once as literals (at most 10,000).
+    A short list is read once as literals.  A longer one, of any length, is joined:
+    a name of three words or more stands in a venue with its middle words whole, so
+    it meets the venue on its longest middle word; shorter names meet it on every
+    substring of the venue that has their length.
     """
-    listed = [r[0] for r in names.select(plain_key(F.col("name")).alias("k")).filter("k <> ''").distinct().limit(10_000).collect()]
     key = plain_key(F.coalesce(F.col(venue_col), F.lit("")))
-    return results.withColumn("predatory", F.exists(F.array(*[F.lit(x) for x in sorted(listed)]), lambda n: key.contains(n)) if listed else F.lit(False))
+    listed = names.select(plain_key(F.col("name")).alias("k")).filter("k <> ''").distinct()
+    short = [r[0] for r in listed.limit(LITERAL_NAMES + 1).collect()]
+    if len(short) <= LITERAL_NAMES:
+        return results.withColumn("predatory", F.exists(F.array(*[F.lit(x) for x in sorted(short)]), lambda n: key.contains(n)) if short else F.lit(False))
+    venues = results.select(key.alias("v")).distinct()
+    words = F.split("k", " ")
+    middle = F.array_max(F.transform(F.slice(words, F.lit(2), F.size(words) - 2), lambda w: F.struct(F.length(w), w.alias("w"))))["w"]
+    long = listed.filter(F.size(words) >= 3).select("k", middle.alias("w"))
+    by_word = venues.select("v", F.explode(F.array_distinct(F.split("v", " "))).alias("w")).join(long, "w").filter(F.col("v").contains(F.col("k"))).select("v")
+    brief = listed.filter(F.size(words) < 3)
+    lengths = sorted(r[0] for r in brief.select(F.length("k")).distinct().collect())  # as many as names are long
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("v") - n + 1, F.lit(1))), lambda i: F.substring(F.col("v"), i, F.lit(n)))
+    parts = F.array_distinct(F.flatten(F.array(*[cut(n) for n in lengths]))) if lengths else F.array().cast("array<string>")
+    by_part = venues.select("v", F.explode(parts).alias("k")).join(brief, "k").select("v")
+    hit = by_word.unionByName(by_part).distinct()
+    joined = results.withColumn("_venue", key).join(hit.select(F.col("v").alias("_venue"), F.lit(True).alias("_hit")), "_venue", "left")
+    return joined.withColumn("predatory", F.coalesce("_hit", F.lit(False))).drop("_venue", "_hit")
+
+
+def exactly_listed(results: DataFrame, names: DataFrame, venue_col: str = "venue") -> DataFrame:
+    """``results`` with ``listed``: the venue is a listed name, letter for letter but for case."""
+    listed = names.select(F.lower("name").alias("_name"), F.lit(True).alias("_listed")).distinct()
+    joined = results.withColumn("_name", F.lower(F.col(venue_col))).join(listed, "_name", "left")
+    return joined.withColumn("listed", F.coalesce("_listed", F.lit(False))).drop("_name", "_listed")
 
 
 def not_processed(items: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -62,6 +62,36 @@ def select_rows(results: DataFrame, which: str) -> DataFrame:
     return results if which == "all" else results.filter(F.col("exists").isNull() | wanted[which])
 
 
+def by_file_filter(results: DataFrame, which: str) -> DataFrame:
+    """Per file, the results of one class in order; files without any are left out.  all, verified, partial, mismatch or notfound."""
+    return by_file(select_rows(results.withColumn("issues", F.array().cast("array<string>")) if "issues" not in results.columns else results, which))
+
+
+def page_counts(results: DataFrame) -> DataFrame:
+    """The five counters of a file's results: all, verified, partial, mismatch, not found."""
+    every = counts(results)
+    return every.select("total", "verified", "partial", "mismatch", "not_found")
+
+
+def file_totals(files: DataFrame) -> DataFrame:
+    """Files, distinct files and references of (file_id, refs)."""
+    return files.agg(F.count("*").alias("n_rows"), F.count_distinct("file_id").alias("n_files"), F.sum(F.size("refs")).alias("n_refs"))
+
+
+def verdict_counts(rows: DataFrame, verdict_col: str = "verdict") -> DataFrame:
+    """How many references a second look confirms as missing, and how many it finds."""
+    found = F.col(verdict_col)
+    return rows.agg(F.count_if(found).alias("found_after_all"), F.count_if(~found).alias("missing"), F.count("*").alias("total"))
+
+
+def reprobed(rows: DataFrame, hits: DataFrame, least: float = 20.0) -> DataFrame:
+    """Rows that were not found, with the best hit (ref_id, found_title, score) of a second search, if it scores above ``least``."""
+    best = hits.groupBy("ref_id").agg(F.max_by(F.struct("found_title", "score"), F.struct("score", "found_title")).alias("_h"))
+    looked = rows.filter(F.col("status") == "Not Found").join(best, "ref_id", "left")
+    found = F.coalesce(F.col("_h.score") > least, F.lit(False))
+    return looked.withColumn("verdict", found).withColumn("found_title", F.when(found, F.col("_h.found_title")).otherwise("")).drop("_h")
+
+
 def temporal(results: DataFrame, year_col: str = "year") -> DataFrame:
     """min, max, rounded mean, span and number of the years from 1801 to 2099."""
     year = parsed_int(F.col(year_col).cast("string"))

@@ -11,9 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from refloom.functions import extract
 from refloom.functions.extract import parsed_int
 from refloom.functions.similarity import adapter_similarity, author_similarity, free_text_similarity, similarity, title_similarity
 from refloom.functions.text import filled, fold, rounded
+from refloom.operators import validate
+from refloom.operators.stored import stored
 
 #: Largest confidence and venue score (with, without a venue) of a source.
 CAPS = {"SemanticScholar": (95, 90), "OpenAlex": (90, 85), "arXiv": (90, 80), "DBLP": (90, 85)}
@@ -56,7 +59,9 @@ def doi_lookup(refs: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def arxiv_lookup(refs: DataFrame, catalog: DataFrame) -> DataFrame:
     """References with a known arXiv id; a title below 70 does not count."""
-    known = catalog.filter(F.col("arxiv_id").isNotNull()).select("arxiv_id", F.struct(*catalog.columns).alias("found")).dropDuplicates(["arxiv_id"])
+    order = Window.partitionBy("arxiv_id").orderBy("source_rank", "rec_id")
+    known = catalog.filter(F.col("arxiv_id").isNotNull()).withColumn("_n", F.row_number().over(order)).filter("_n = 1")
+    known = known.select("arxiv_id", F.struct(*catalog.columns).alias("found"))
     joined = refs.filter(F.col("arxiv_id").isNotNull()).join(known, "arxiv_id")
     by_doi = F.coalesce(F.lower("doi").startswith("10.48550/arxiv."), F.lit(False))
     score = F.when(filled(F.col("title")).isNotNull(), title_similarity(F.col("title"), F.col("found.title"))).otherwise(F.lit(90).cast("long"))
@@ -104,34 +109,61 @@ def result_score(title_score: Column, author_score: Column, year: Column, found_
     )
 
 
+def _search_title() -> Column:
+    """What is searched for: the title, else the likely title of the text, else the text."""
+    return F.coalesce(filled(F.col("title")), extract.likely_title(F.col("raw")), F.col("raw"))
+
+
 def best_per_source(refs: DataFrame, catalog: DataFrame, k: int = 5) -> DataFrame:
-    """The best of the k candidates of each source; the first wins ties."""
+    """The best of the k candidates of each source, with its field checks; the first wins ties.
+
+    arXiv and DBLP are asked with the first author's name as well.  CrossRef's
+    best is checked field by field and may be rejected; the other sources are
+    scored by title and authors.
+    """
     found = catalog.select("source", "rec_id", F.struct(*catalog.columns).alias("found"))
-    asked = refs.withColumn("_query", F.coalesce(filled(F.col("title")), F.col("raw")))
-    pool = candidates(asked, catalog, k, "_query").join(found, ["source", "rec_id"]).join(asked, "ref_id")
+    asked = stored(refs.withColumn("_query", _search_title()), "asked")  # a long expression that many steps read
+    asked = asked.withColumn("_sharp", F.when(filled(F.col("authors")).isNotNull(), extract.sharp_query(F.col("_query"), F.col("authors"))).otherwise(F.col("_query")))
+    sharp = F.col("source").isin("arXiv", "DBLP")
+    listed = candidates(asked, catalog.filter(~sharp), k, "_query").unionByName(candidates(asked, catalog.filter(sharp), k, "_sharp"))
+    pool = listed.join(found, ["source", "rec_id"]).join(asked, "ref_id")
     one = F.when(F.col("source") == "CrossRef", crossref_score(F.col("title"), F.col("raw"), F.col("year"), F.col("journal"), F.col("found")).cast("double")).otherwise(
         adapter_score(F.col("_query"), F.col("year"), F.col("found")).cast("double")
     )
     order = Window.partitionBy("ref_id", "source").orderBy(F.desc("pick"), "rank")
-    picked = pool.withColumn("pick", one).withColumn("_n", F.row_number().over(order)).filter("_n = 1")
-    title = F.when(filled(F.col("title")).isNotNull(), title_similarity(F.col("title"), F.col("found.title"))).otherwise(free_text_similarity(F.col("raw"), F.col("found.title")))
-    author = author_similarity(F.col("authors"), F.col("found.authors"))
-    picked = picked.withColumn("title_score", title).withColumn("author_score", author)
-    cap = F.coalesce(*[F.when(F.col("source") == s, c[0]) for s, c in CAPS.items()], F.lit(100))
-    venue = F.coalesce(*[F.when(F.col("source") == s, F.when(filled(F.col("found.venue")).isNotNull(), c[1]).otherwise(50)) for s, c in CAPS.items()], F.lit(100))
-    score = result_score(F.col("title_score"), F.col("author_score"), F.col("year"), F.col("found.year"), F.col("journal"), F.col("found.venue"))
-    return picked.select(
-        "ref_id",
-        "source",
-        "source_rank",
-        "rank",
-        "title_score",
-        "author_score",
-        venue.cast("long").alias("journal_score"),
-        F.least(cap.cast("double"), (F.col("title_score") * 2 + F.col("author_score")) / 3).alias("confidence"),
-        score.alias("score"),
-        "found",
+    picked = stored(pool.withColumn("pick", one).withColumn("_n", F.row_number().over(order)).filter("_n = 1"), "picked")
+    fields = ["ref_id", "source", "source_rank", "rank", "title_score", "author_score", "journal_score", "confidence", "score", "retracted", "issues", "found"]
+    year = F.coalesce(filled(F.col("year")), extract.year(F.col("raw")))
+    score = result_score(F.col("title_score"), F.col("author_score"), year, F.col("found.year"), F.col("journal"), F.col("found.venue"))
+    checked = _field_checks(picked.filter("source = 'CrossRef'")).withColumn("score", score).select(*fields)
+
+    title = title_similarity(F.col("_query"), F.col("found.title"))
+    author = author_similarity(F.coalesce(filled(F.col("authors")), F.col("raw")), F.col("found.authors"))
+    others = picked.filter("source <> 'CrossRef'").withColumn("title_score", title).withColumn("author_score", author)
+    cap = F.coalesce(*[F.when(F.col("source") == s, c[0]) for s, c in CAPS.items()])
+    venue = F.coalesce(*[F.when(F.col("source") == s, F.when(filled(F.col("found.venue")).isNotNull(), c[1]).otherwise(50)) for s, c in CAPS.items()])
+    others = others.withColumns(
+        {
+            "journal_score": venue.cast("long"),
+            "confidence": F.least(cap.cast("double"), (F.col("title_score") * 2 + F.col("author_score")) / 3),
+            "score": score,
+            "retracted": F.coalesce("found.retracted", F.lit(False)),
+            "issues": F.when(F.col("author_score") < 50, F.array(F.concat(F.lit("Author Mismatch in "), F.col("source"), F.lit(" fallback")))).otherwise(F.array().cast("array<string>")),
+        }
     )
+    return checked.unionByName(others.select(*fields))
+
+
+def _field_checks(picked: DataFrame) -> DataFrame:
+    """CrossRef's best candidates that pass: the structured check with a title, the free-text check without."""
+    plain = lambda c: F.col(f"found.{c}").alias(f"found_{c}")
+    rows = picked.select(
+        "ref_id", "source", "source_rank", "rank", "raw", "title", "authors", "journal", "year", "found",
+        F.col("found.title").alias("found_title"), plain("families"), plain("givens"), plain("year"), plain("years"),
+        F.coalesce("found.venue", F.lit("")).alias("found_venue"), plain("publisher"), plain("retracted"),
+    )
+    titled = filled(F.col("title")).isNotNull()
+    return validate.check_batch(rows.filter(titled)).unionByName(validate.check_quick(rows.filter(~titled))).filter("accepted")
 
 
 def _winner(pool: DataFrame) -> DataFrame:
@@ -143,40 +175,64 @@ def best_overall(pool: DataFrame, least: int = 70) -> DataFrame:
     """Two phases: a confident winner of the first three sources ends the search,
     else the last two join in.  Candidates need a title of ``least``."""
     pool = pool.filter(F.col("title_score") >= least)
+    pool = pool if "issues" in pool.columns else pool.withColumn("issues", F.array().cast("array<string>"))
     first = _winner(pool.filter(F.col("source_rank") <= 3))
     sure = first.filter((F.col("author_score") >= 70) & (F.col("title_score") >= 85))
     rest = _winner(pool.join(sure.select("ref_id"), "ref_id", "left_anti"))
     won = sure.unionByName(rest)
     crossref = pool.filter(F.col("source") == "CrossRef").select("ref_id", F.col("confidence").alias("_c"))
     better = F.concat(F.lit("Better match found in "), F.col("source"), F.lit(" (CrossRef confidence was "), F.regexp_replace(F.col("_c").cast("string"), r"\.0$", ""), F.lit("%)"))
-    return won.join(crossref, "ref_id", "left").withColumn("issues", F.when((F.col("source") != "CrossRef") & F.col("_c").isNotNull(), F.array(better)).otherwise(F.array().cast("array<string>"))).drop("_c")
+    return won.join(crossref, "ref_id", "left").withColumn("issues", F.when((F.col("source") != "CrossRef") & F.col("_c").isNotNull(), F.array(better)).otherwise(F.col("issues"))).drop("_c")
+
+
+def search(refs: DataFrame, catalog: DataFrame, k: int = 5) -> DataFrame:
+    """The best candidate of all sources for each reference that has one."""
+    found = stored(best_overall(stored(best_per_source(refs, catalog, k), "pool")), "found")
+    return found.select("ref_id", F.lit("search").alias("path"), "confidence", "title_score", "author_score", "journal_score", "retracted", "issues", "found")
+
+
+#: Issues of a reference as a whole.
+NOWHERE = "Title not found in any source (CrossRef, Semantic Scholar, OpenAlex, DBLP, arXiv)"
+BAD_DOI = ("⚠️ The provided DOI (", ") is invalid or points to an unrelated article.")
+
 
+def resolve(refs: DataFrame, catalog: DataFrame, k: int = 5, as_of_year: int | None = None) -> DataFrame:
+    """The waterfall: DOI, arXiv id, search, and search again by the likely title; one row per reference, with its path.
 
-def resolve(refs: DataFrame, catalog: DataFrame, k: int = 5) -> DataFrame:
-    """The waterfall: DOI, arXiv id, search; one row per reference, with its path."""
-    by_doi = doi_lookup(refs, catalog)
+    A reference whose DOI leads nowhere and that no search finds exists still, with
+    confidence 0.  Years after the year following ``as_of_year`` are remarked on
+    where a search decided.
+    """
+    by_doi = stored(doi_lookup(refs, catalog), "by-doi")
     left = refs.join(by_doi.select("ref_id"), "ref_id", "left_anti")
-    by_arxiv = arxiv_lookup(left, catalog)
-    left = left.join(by_arxiv.select("ref_id"), "ref_id", "left_anti")
-    searched = best_overall(best_per_source(left, catalog, k))
-    by_search = searched.select("ref_id", F.lit("search").alias("path"), "confidence", "title_score", "author_score", "journal_score", F.coalesce("found.retracted", F.lit(False)).alias("retracted"), "issues", "found")
-    found = by_doi.unionByName(by_arxiv).unionByName(by_search)
-    lost = refs.filter(F.col("doi").isNotNull()).select("ref_id", F.lit(True).alias("_bad_doi"))
+    by_arxiv = stored(arxiv_lookup(left, catalog), "by-arxiv")
+    left = stored(left.join(by_arxiv.select("ref_id"), "ref_id", "left_anti"), "left")
+    by_search = search(left, catalog, k)
+    lost = left.join(by_search.select("ref_id"), "ref_id", "left_anti").filter(filled(F.col("title")).isNull())
+    again = lost.withColumn("_likely", extract.likely_title(F.col("raw"))).filter(F.col("_likely").isNotNull() & (F.col("_likely") != F.col("raw")))
+    by_retry = search(again.withColumn("raw", F.col("_likely")).drop("_likely"), catalog, k).withColumn("path", F.lit("retry"))
+    found = by_doi.unionByName(by_arxiv).unionByName(by_search).unionByName(by_retry)
+    none = F.array().cast("array<string>")
+    year = F.coalesce(filled(F.col("year")), extract.year(F.col("raw")))
+    searched = F.col("path").isin("search", "retry")
+    future = F.when(searched, validate.future_year_issue(year, as_of_year)) if as_of_year is not None else F.lit(None).cast("string")
+    no_doi = F.col("doi").isNotNull() & ~F.coalesce(F.col("path") == "doi", F.lit(False))
+    bad = F.when(no_doi, F.concat(F.lit(BAD_DOI[0]), F.col("doi"), F.lit(BAD_DOI[1])))
+    nowhere = F.when(F.col("path").isNull() & ~no_doi, F.lit(NOWHERE))
     return (
-        refs.select("ref_id")
+        refs.select("ref_id", "raw", "year", "doi")
         .join(found, "ref_id", "left")
-        .join(lost, "ref_id", "left")
         .select(
             "ref_id",
             F.coalesce("path", F.lit("none")).alias("path"),
-            (F.col("path").isNotNull() | F.col("_bad_doi").isNotNull()).alias("exists"),
+            (F.col("path").isNotNull() | no_doi).alias("exists"),
             F.coalesce("found.source", F.lit("NotFound")).alias("source"),
             F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
             F.coalesce("title_score", F.lit(0).cast("long")).alias("title_score"),
             F.coalesce("author_score", F.lit(0).cast("long")).alias("author_score"),
             F.coalesce("journal_score", F.lit(0).cast("long")).alias("journal_score"),
             F.coalesce("retracted", F.lit(False)).alias("retracted"),
-            F.concat(F.coalesce("issues", F.array().cast("array<string>")), F.when(F.col("_bad_doi").isNotNull() & ~F.coalesce(F.col("path") == "doi", F.lit(False)), F.array(F.lit("DOI not found"))).otherwise(F.array().cast("array<string>"))).alias("issues"),
+            F.concat(F.coalesce("issues", none), F.array_compact(F.array(future, bad, nowhere))).alias("issues"),
             "found",
         )
     )

@@ -15,14 +15,16 @@ from refloom.functions.similarity import free_text_similarity, similarity
 from refloom.functions.text import decode_latex, filled, first_letter_matches, fold, journal_key, rounded, trim, without_metadata
 
 #: Capitalised words of references that are no names.
-NOT_NAMES = (
-    "vol issue doi http https org com www pages page chapter edition eds editor editors proceedings conference symposium workshop series isbn issn "
-    "abstract available accessed online retrieved publishing publisher publishers press books springer elsevier wiley routledge mcgraw pearson academic "
-    "lexington edward elgar sage informa palgrave macmillan kluwer emerald ieee acm taylor francis dekker plenum pergamon addison cambridge oxford harvard "
-    "princeton stanford chicago columbia yale university institute school dordrecht netherlands london york berlin heidelberg translated revised reprint "
-    "forthcoming review journal annals bulletin quarterly international national american european british from with than into upon about between through "
-    "toward towards across beyond"
-).split()
+NOT_NAMES = [
+    "vol", "issue", "doi", "http", "https", "org", "com", "www", "pages", "page", "chapter", "edition", "eds", "editor", "editors", "proceedings",
+    "conference", "symposium", "workshop", "series", "isbn", "issn", "abstract", "available", "accessed", "online", "retrieved", "publishing",
+    "publisher", "publishers", "press", "books", "springer", "elsevier", "wiley", "routledge", "mcgraw", "pearson", "academic", "lexington", "edward",
+    "elgar", "sage", "informa", "palgrave", "macmillan", "kluwer", "emerald", "ieee", "acm", "taylor", "francis", "dekker", "plenum", "pergamon",
+    "addison", "cambridge", "oxford", "harvard", "princeton", "stanford", "chicago", "columbia", "yale", "university", "institute", "school",
+    "dordrecht", "netherlands", "london", "york", "berlin", "heidelberg", "translated", "revised", "reprint", "forthcoming", "review", "journal",
+    "annals", "bulletin", "quarterly", "international", "national", "american", "european", "british", "from", "with", "than", "into", "upon",
+    "about", "between", "through", "toward", "towards", "across", "beyond",
+]
 
 REJECTED = "Result rejected — too many mismatches (likely wrong paper found)"
 
@@ -199,4 +201,4 @@ def decide(rows: DataFrame) -> DataFrame:
 
 def future_year_issue(year: Column, as_of_year: int) -> Column:
     """Issue for a year after next year; the clock is a parameter."""
-    return F.when(parsed_int(year) > as_of_year + 1, F.concat(F.lit("Future year: "), year))
+    return F.when(parsed_int(year) > as_of_year + 1, F.concat(F.lit("⚠️ Year "), year, F.lit(" is in the future — verify this is correct")))

@@ -11,27 +11,10 @@ from pyspark.sql import functions as F
 
 from refloom.functions import extract, similarity, text
 from refloom.operators import citations, corpus, duplicates, parsing, report, resolve, validate
+from refloom.plans.base import QUERIES, SQL, query, table
 from refloom.sources import catalogs
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["QUERIES", "SQL", "flagship"]
 
 # DuckDB building blocks: folding, word sets, similarity of two columns.
 _FOLD = "trim(regexp_replace(lower(strip_accents({0})), '[^a-z0-9_\\s]', '', 'g'), ' ' || chr(10) || chr(9) || chr(13))"
@@ -77,6 +60,9 @@ def fold_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.fold(F.col("text"))).alias("folded"))
 
 
+_PART_SQL = "with p as (select p_partkey::varchar as k, p_name as title, p_brand as family, p_type as given, p_type as venue, (1990 + p_size)::varchar as y from part) "
+
+
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of distinct part names with a first letter in common."""
     names = table(spark, sf_dir, "part").select("p_name", F.substring("p_name", 1, 1).alias("k")).distinct()
@@ -139,7 +125,12 @@ def parse_vancouver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _references(spark, sf_dir, False).withColumn("p", parsing.vancouver_style(F.col("raw"))).select("l_orderkey", "l_linenumber", "p.ref_number", "p.authors", "p.title", "p.journal", "p.year")
 
 
-@query()
+@query(
+    """with r as (select l_orderkey, l_linenumber, c_name || ', A' as people, p_name, p_type, length(p_name) * 1.5 > length(c_name || ', A') * 0.5 as titled
+from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey join customer on o_custkey = c_custkey)
+select l_orderkey, l_linenumber, case when titled then p_name else people end as title, case when titled then people end as authors, 'Journal of ' || p_type || ', 12, 3-9' as journal,
+null::varchar as year, null::varchar as doi, null::int as ref_number from r"""
+)
 def parse_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _references(spark, sf_dir, True).withColumn("p", parsing.generic_style(F.regexp_replace("raw", r"\(\d{4}\)\.", "."))).select("l_orderkey", "l_linenumber", "p.*")
 
@@ -187,14 +178,26 @@ def _part_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""select p_partkey as ref_id, 100.0::double as confidence, 100::bigint as title_score, p_size = 1 as retracted from part where p_partkey % 3 <> 0""")
+@query(
+    """select p_partkey as ref_id, case p_partkey % 4 when 1 then 50.0 when 2 then 80.0 else 100.0 end::double as confidence,
+case p_partkey % 4 when 1 then 0 when 2 then floor(length(p_name) / (length(p_name) + 3) * 100 + 0.5) else 100 end::bigint as title_score, p_size = 1 as retracted,
+case p_partkey % 4 when 1 then 1 when 2 then 1 else 0 end::int + (p_size = 1)::int as n_issues from part where p_partkey % 3 <> 0"""
+)
 def doi_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.doi_lookup(_part_references(spark, sf_dir), _part_catalog(spark, sf_dir)).select("ref_id", "confidence", "title_score", "retracted")
+    """Cited titles are those of the catalog, another one, or have three letters more."""
+    k = F.col("ref_id") % 4
+    refs = _part_references(spark, sf_dir).withColumn("title", F.when(k == 1, "###").when(k == 2, F.concat("title", F.lit("ish"))).otherwise(F.col("title")))
+    found = resolve.doi_lookup(refs, _part_catalog(spark, sf_dir))
+    return found.select("ref_id", "confidence", "title_score", "retracted", F.size("issues").alias("n_issues"))
 
 
 @query("""select case when p_partkey % 3 <> 0 then 'doi' else 'search' end as path, count(*) as n from part group by 1""")
 def waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.resolve(_part_references(spark, sf_dir), _part_catalog(spark, sf_dir)).groupBy("path").agg(F.count("*").alias("n"))
+    """Titles get a word of their own, so that a search has one right answer."""
+    own = lambda key: F.concat(F.col("title"), F.lit(" "), F.md5(key))
+    refs = _part_references(spark, sf_dir).withColumn("title", own(F.concat(F.lit("10.1000/"), F.col("ref_id").cast("string"))))
+    catalog = _part_catalog(spark, sf_dir).withColumn("title", own(F.col("rec_id")))
+    return resolve.resolve(refs, catalog).groupBy("path").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -298,19 +301,27 @@ def citation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _results(spark, sf_dir).withColumn("status", report.ui_status(F.col("exists"), F.col("confidence")))
+    """Results of datasets named after a field and a year, some of them cohorts."""
+    year = F.get(F.array(*[F.lit(y) for y in ("2016", "2023", "2025", "2026", "1998")]), (F.col("ref_id") % 5).cast("int"))
+    field = F.when(F.col("ref_id") % 2 == 0, "cs_ai").otherwise("bio")
+    rows = _results(spark, sf_dir).withColumn("dataset", F.concat_ws("_", field, year))
+    return rows.withColumn("status", report.ui_status(F.col("exists"), F.col("confidence")))
+
+
+_COHORT_SQL = ", w as (select *, (['2016', '2023', '2025', '2026', '1998'])[ref_id % 5 + 1] as yy, case when ref_id % 2 = 0 then 'cs_ai' else 'bio' end as field from s) "
 
 
 @query(
     _RESULTS_SQL
-    + """select case when y in (2016, 2023, 2025) then y::varchar else '2026' end as cohort, count(*) as n, count(*) filter (status = 'Not Found') as not_found,
-count(*) filter (status = 'Not Found') * 100.0::double / count(*) as rate from s group by 1"""
+    + _COHORT_SQL
+    + """select case when yy in ('2016', '2023', '2025') then yy else '2026' end as cohort, count(*) as n, count(*) filter (status = 'Not Found') as not_found,
+count(*) filter (status = 'Not Found') * 100.0::double / count(*) as rate from w group by 1"""
 )
 def cohort_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.cohort_rates(_with_status(spark, sf_dir))
 
 
-@query(_RESULTS_SQL + "select 'venue' as domain, y::varchar as year, avg((status = 'Not Found')::int::double) as rate from s group by y")
+@query(_RESULTS_SQL + _COHORT_SQL + "select field as domain, yy as year, avg((status = 'Not Found')::int::double) as rate from w group by all")
 def domain_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.domain_rates(_with_status(spark, sf_dir))
 
@@ -338,13 +349,17 @@ def detector_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.detector_metrics(rows, "truth", "flag")
 
 
-@query(
-    "select p_partkey, contains(trim(regexp_replace(lower(venue), '[^a-z0-9_\\s]', '', 'g')), 'hindawi') as predatory "
-    "from (select p_partkey, case when p_size % 4 = 0 then 'Hindawi ' || p_type else p_type end as venue from part)"
-)
+_LISTED = [*catalogs.DENYLIST_PUBLISHERS, *catalogs.DENYLIST_JOURNALS]
+
+
+@query(f"select p_partkey, p_partkey % 3 = 0 and p_partkey % {len(_LISTED) + 4} < {len(_LISTED)} as predatory from part")
 def denylist_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    venue = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("Hindawi "), F.col("p_type"))).otherwise(F.col("p_type"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", venue.alias("venue"))
+    """Every listed name in turn (or a harmless one), inside a venue or missing its last letter."""
+    names = F.array(*[F.lit(x) for x in (*_LISTED, "Nature", "Cell", "Science", "Annals of Steel")])
+    name = F.get(names, (F.col("p_partkey") % (len(_LISTED) + 4)).cast("int"))
+    whole = F.concat(F.lit("The "), F.upper(name), F.lit(". "), F.col("p_type"))
+    part = F.concat(F.expr("left(p_type, 3)"), F.lit(" "), F.regexp_replace(name, ".$", ""), F.lit("0"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, whole).otherwise(part).alias("venue"))
     return duplicates.on_denylist(rows, catalogs.denylist(spark)).select("p_partkey", "predatory")
 
 
@@ -353,9 +368,9 @@ def first_k_per_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.first_k(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", 3).select("l_orderkey", "l_linenumber")
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderpriority like '1%')")
 def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    done = table(spark, sf_dir, "orders").filter(F.col("o_orderpriority").startswith("1")).withColumnRenamed("o_custkey", "c_custkey")
     return duplicates.not_processed(table(spark, sf_dir, "customer"), done, "c_custkey").select("c_custkey")
 
 
@@ -365,7 +380,6 @@ def link_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.size(links).cast("long").alias("n_links"), F.md5(F.array_join(links, " ")).alias("links"))
 
 
-_PART_SQL = "with p as (select p_partkey::varchar as k, p_name as title, p_brand as family, p_type as given, p_type as venue, (1990 + p_size)::varchar as y from part) "
 
 
 @query(
@@ -400,11 +414,6 @@ def export_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citations.joined_text(citations.numbered_list(rows, "apa"))
 
 
-@query("select event_type, count(*) as n, round(sum(value), 3) as total from events group by event_type")
-def progressive_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
-
-
 @query()
 def overlap_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _top(spark, sf_dir).select("ref_id", "rec_id", F.col("found").alias("reference"), F.col("title").alias("found_title"))
@@ -431,17 +440,37 @@ def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+_CHECKED_SQL = "with c as (select p_partkey, p_partkey % 4 as k, p_type, contains(p_name, lower(p_type)) as told, (2000 + p_size)::varchar as asked, (2000 + p_size + p_partkey % 4)::varchar as found from part) "
+
+
+@query(
+    _CHECKED_SQL
+    + f"""select p_partkey, 100::bigint as title_score, 80::bigint as author_score, case when k % 2 = 0 then 100 else 70 end::bigint as journal_score,
+case k when 0 then 100 when 3 then 0 else 85 end::bigint as year_score, case k when 0 then 95.0 when 2 then 91.25 else 0.0 end::double as confidence, k % 2 = 0 as accepted,
+case k when 0 then 'Extra/Fake Authors detected: Nobody' when 2 then 'Extra/Fake Authors detected: Nobody | Note: expected ' || asked || ', CrossRef shows ' || found || ' (likely online-first vs print date)'
+else '{validate.REJECTED}' end as issues from c"""
+)
 def batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.check_batch(_checked(spark, sf_dir)).select("p_partkey", "title_score", "author_score", "journal_score", "year_score", "confidence", "accepted", "issues")
+    checked = validate.check_batch(_checked(spark, sf_dir))
+    return checked.select("p_partkey", "title_score", "author_score", "journal_score", "year_score", "confidence", "accepted", F.array_join("issues", " | ").alias("issues"))
 
 
-@query()
+@query(
+    _CHECKED_SQL
+    + """select p_partkey, 100::bigint as title_score, case when k % 2 = 0 or told then 100 else 90 end::bigint as author_score, case when k % 2 = 0 then 100 else 60 end::bigint as journal_score,
+100.0::double as confidence, true as accepted, case k when 0 then '' when 2 then 'Note: year ' || asked || ' vs ' || found || ' (likely online-first vs print date)'
+else case when told then '' else 'Possible Extra/Fake Authors: ' || p_type || ' | ' end || 'Note: CrossRef returned preprint venue "arXiv" | ' ||
+case k when 1 then 'Note: year ' || asked || ' vs ' || found || ' (preprint/published version difference)' else 'Year Mismatch: you wrote ' || asked || ', actual is ' || found end end as issues from c"""
+)
 def quick_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.check_quick(_checked(spark, sf_dir)).select("p_partkey", "title_score", "author_score", "journal_score", "confidence", "accepted", "issues")
+    checked = validate.check_quick(_checked(spark, sf_dir))
+    return checked.select("p_partkey", "title_score", "author_score", "journal_score", "confidence", "accepted", F.array_join("issues", " | ").alias("issues"))
 
 
-@query()
+@query(
+    _PART_SQL
+    + """select '10.1000/' || k as rec_id, 'article' as entry_type, family || y || regexp_replace(string_split(title, ' ')[1], '[^a-zA-Z0-9]', '', 'g') as citation_key, title, y as year from p"""
+)
 def bibtex_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = citations.with_citations(_part_catalog(spark, sf_dir)).select("rec_id", F.col("bibtex").alias("text"))
     return parsing.parse_bibtex(texts).select("rec_id", "entry_type", "citation_key", F.col("tags")["title"].alias("title"), F.col("tags")["year"].alias("year"))
@@ -459,8 +488,8 @@ def author_similarity_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with c as (select l_orderkey as ref_id, l_linenumber::int as source_rank, least(100, l_quantity * 2)::double as t, (l_partkey % 101)::double as a, year(l_shipdate) as y, 1996 as asked
-from (select l_orderkey, l_linenumber, max(l_quantity) as l_quantity, max(l_partkey) as l_partkey, max(l_shipdate) as l_shipdate from lineitem where l_linenumber <= 5 group by all)),
+    """with c as (select l_orderkey as ref_id, ((l_linenumber - 1) % 5 + 1)::int as source_rank, least(100, max(l_quantity) * 2)::double as t, (max(l_partkey) % 101)::double as a,
+year(max(l_shipdate)) as y, 1996 as asked from lineitem group by 1, 2),
 s as (select *, (2 * t + a) / 3 + case abs(y - asked) when 0 then 40 when 1 then 15 when 2 then 5 else 0 end as score from c where t >= 70),
 f as (select * from s where source_rank <= 3 qualify row_number() over (partition by ref_id order by score desc, source_rank) = 1),
 sure as (select * from f where a >= 70 and t >= 85),
@@ -468,18 +497,18 @@ rest as (select * from s where ref_id not in (select ref_id from sure) qualify r
 select ref_id, source_rank, round(score, 6) as score from (select * from sure union all select * from rest)"""
 )
 def source_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines stand for the candidates of up to five sources."""
+    """Order lines stand for the candidates of five sources, in turn; those of one source are merged."""
     names = F.array(*[F.lit(x) for x in sorted(catalogs.SOURCES, key=catalogs.SOURCES.get)])
-    year = F.year("l_shipdate").cast("string")
-    items = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 5").groupBy("l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in ("l_quantity", "l_partkey", "l_shipdate")])
+    items = table(spark, sf_dir, "lineitem").withColumn("source_rank", (F.col("l_linenumber") - 1) % 5 + 1)
+    items = items.groupBy("l_orderkey", "source_rank").agg(*[F.max(c).alias(c) for c in ("l_quantity", "l_partkey", "l_shipdate")])
     lines = items.select(
         F.col("l_orderkey").alias("ref_id"),
-        F.get(names, F.col("l_linenumber") - 1).alias("source"),
-        F.col("l_linenumber").alias("source_rank"),
+        F.get(names, F.col("source_rank") - 1).alias("source"),
+        "source_rank",
         F.least(F.lit(100), F.col("l_quantity") * 2).cast("double").alias("title_score"),
         (F.col("l_partkey") % 101).cast("double").alias("author_score"),
         F.lit(0.0).alias("confidence"),
-        year.alias("y"),
+        F.year("l_shipdate").cast("string").alias("y"),
     )
     score = resolve.result_score(F.col("title_score"), F.col("author_score"), F.lit("1996"), F.col("y"), F.lit(""), F.lit(""))
     return resolve.best_overall(lines.withColumn("score", score)).select("ref_id", F.col("source_rank").cast("int").alias("source_rank"), F.round("score", 6).alias("score"))
@@ -520,10 +549,10 @@ def last_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """select doc_id, md5(replace(replace(replace(text, 'fi', 'ﬁ'), 'fl', 'ﬂ'), 'ff', 'ﬀ')) as ligatures, md5(replace(text, ' ', '  ')) as spaces,
 md5(array_to_string(list_concat(list_concat(w[1:3], ['of Nothing']), w[-3:]), ' ')) as mutated
-from (select doc_id, text, string_split(text, ' ') as w from documents where text is not null) where len(w) >= 3"""
+from (select doc_id, text, string_split(text, ' ') as w from documents)"""
 )
 def adversarial_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter(F.size(F.split("text", " ")) >= 3)
+    docs = table(spark, sf_dir, "documents")
     text_ = F.col("text")
     return docs.select("doc_id", F.md5(corpus.with_ligatures(text_)).alias("ligatures"), F.md5(corpus.with_odd_spaces(text_)).alias("spaces"), F.md5(corpus.mutated_title(text_, "of Nothing")).alias("mutated"))
 
@@ -538,12 +567,4 @@ def edited_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.apply_overrides(rows, edits)
 
 
-@query(
-    _RESULTS_SQL
-    + """, q as (select s.*, o_orderpriority as raw from s join orders on ref_id = o_orderkey)
-select ref_id as seq, '- **' || service || '** ' || left(raw, 120) as markdown from q"""
-)
-def service_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ref_id"), F.col("o_orderpriority").alias("raw"))
-    rows = _results(spark, sf_dir).join(raw, "ref_id").withColumnRenamed("ref_id", "seq").withColumns({"title": F.col("raw"), "doi": F.lit("")})
-    return citations.service_report(rows).select("seq", "markdown")
+from refloom.plans import functions, verification  # noqa: E402, F401

@@ -1,18 +1,28 @@
 """Exact top-k search by inner product with one KD-tree for each shard.
 
-Vectors are dealt to shards of a few thousand; a shard is one packed KD-tree
-with median splits on the widest dimension and tight bounding boxes.  Queries
-come in packed blocks.  A task searches a block in some shards one after the
-other: for each query the leaves are visited best bound first, the bound of a
-box being the sum over dimensions of the larger of q x low and q x high, until
-no bound reaches the query's kth score; that kth score is carried from shard to
-shard.  The best k of all tasks are merged by a window per query.
+Vectors are dealt to shards by space: median splits on the widest dimension of a
+sample of at most ``SAMPLE`` vectors of each length cut it into cells, and every
+vector goes to its cell (to one of several shards of it, by hash, where cells would
+hold more than ``SHARD``).  A shard is one packed KD-tree with median splits and
+tight bounding boxes.  The bound of a box for a query is the sum over dimensions of
+the larger of q x low and q x high.
+
+1. every query is searched in its own cell; its kth score there is its bound;
+2. blocks of queries meet packs of the shards' boxes, and a query visits the shards
+   whose box reaches its kth score;
+3. a visited shard is searched leaf by leaf, best bound first, until no bound
+   reaches the query's kth score, the one it brought or a better one found here.
+
+The best k of all shards are merged by a window per query.  The sample decides only
+which shard a vector lies in, never what is found.
 
 Defined cases: vectors that are null, empty or hold null or non-finite
 components take no part, nor do null ids; vectors only meet vectors of their
 length; a candidate with the query's id is the query's own; repeated query rows
-are one query, repeated candidates each count; ties go to the smaller id; fewer
-than k candidates give all; empty tables give empty results.
+(of one id and vector) are one query, and rows of one id with different vectors are
+searched each and merged under the id; repeated candidates each count; ties go to
+the smaller id; fewer than k candidates give all; empty tables give empty results;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,8 +37,10 @@ from refloom.llm.durable import durable
 SHARD = 4096
 LEAF = 128
 QUERY_BLOCK = 1024
-#: Shards that one task searches in turn.
+#: Boxes in a pack, blocks of queries that one task searches in a shard, vectors that decide the cells.
+PACK = 256
 RUN = 4
+SAMPLE = 20_000
 
 _I = np.int64
 
@@ -39,7 +51,7 @@ def quantised(vector: Column, scale: int = 64) -> Column:
     return F.when(vector.isNotNull() & (F.size(vector) > 0) & F.coalesce(fine, F.lit(False)), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
 
-def _matrix(table) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     ids = np.asarray(table["id"], _I)
     values = table["v"].combine_chunks()
     return ids, np.asarray(values.flatten(), _I).reshape(len(ids), -1)
@@ -67,13 +79,56 @@ def _tree(key, table):
     every = np.concatenate(leaves)
     head = np.array([len(ids), rows.shape[1], len(leaves)], _I)
     blob = b"".join(x.tobytes() for x in (head, ids[every], rows[every], starts, low, high))
-    return pa.table({"dim": [key[0].as_py()], "shard": [key[1].as_py()], "blob": pa.array([blob], pa.binary())})
+    box = np.stack([rows.min(axis=0), rows.max(axis=0)])
+    return pa.table({"dim": [key[0].as_py()], "shard": [key[1].as_py()], "blob": pa.array([blob], pa.binary()), "box": pa.array([box.tobytes()], pa.binary())})
 
 
-def _pack(key, table):
-    ids, rows = _matrix(table)
-    head = np.array([len(ids), rows.shape[1]], _I)
-    return pa.table({"dim": [key[0].as_py()], "block": [key[1].as_py()], "blob": pa.array([head.tobytes() + ids.tobytes() + rows.tobytes()], pa.binary())})
+def cells(rows: np.ndarray, n: int) -> list[tuple[int, int, int, int]]:
+    """Splits (dimension, value, left, right) of a sample into n cells; a negative child -c - 1 is cell c."""
+    splits: list[tuple[int, int, int, int]] = []
+    work, made = [(np.arange(len(rows)), n, -1, 0)], 0
+    while work:
+        some, parts, parent, side = work.pop()
+        spread = np.ptp(rows[some], axis=0) if len(some) > 1 else np.zeros(1)
+        if parts <= 1 or spread.max() == 0:
+            here, made = -made - 1, made + 1
+        else:
+            d = int(np.argmax(spread))
+            values = np.sort(rows[some, d])
+            cut = int(values[len(some) * (parts // 2) // parts])
+            cut = cut if cut > values[0] else int(values[values > values[0]][0])  # both sides hold some
+            here, below = len(splits), rows[some, d] < cut
+            splits.append((d, cut, 0, 0))
+            work += [(some[~below], parts - parts // 2, here, 3), (some[below], parts // 2, here, 2)]
+        if parent >= 0:
+            splits[parent] = tuple(here if i == side else x for i, x in enumerate(splits[parent]))
+    return splits
+
+
+def _place(plans: dict[int, tuple[list, int]]):
+    """Deal vectors (id, v, dim) to the shards of their cells; ``plans`` has splits and shards per cell by length."""
+
+    def run(batches):
+        for batch in batches:
+            dim = np.asarray(batch["dim"], _I)
+            shard = np.zeros(len(dim), _I)
+            for d in np.unique(dim):
+                splits, each = plans[int(d)]
+                at = np.flatnonzero(dim == d)
+                rows = np.asarray(batch["v"].take(pa.array(at)).flatten(), _I).reshape(len(at), int(d))
+                cell, node = np.zeros(len(at), _I), np.zeros(len(at), _I)
+                table = np.array(splits, _I).reshape(-1, 4)
+                live = np.arange(len(at)) if len(table) else np.zeros(0, _I)
+                while len(live):
+                    here = table[node[live]]
+                    child = np.where(rows[live, here[:, 0]] < here[:, 1], here[:, 2], here[:, 3])
+                    cell[live[child < 0]] = -child[child < 0] - 1
+                    node[live] = child
+                    live = live[child >= 0]
+                shard[at] = cell * each + np.asarray(batch["draw"], _I)[at] % each
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["v"], batch["dim"], pa.array(shard)], ["id", "v", "dim", "shard"])
+
+    return run
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -84,8 +139,8 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def search_shard(shard: bytes, ids: np.ndarray, queries: np.ndarray, best: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Improve the best scores and ids (queries x k, best first) by a shard."""
+def search_shard(shard: bytes, ids: np.ndarray, queries: np.ndarray, best: np.ndarray, names: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Improve the best scores and ids (queries x k, best first) by a shard; scores under the floor do not matter."""
     n, d, leaves = np.frombuffer(shard, _I, 3)
     flat = np.frombuffer(shard, _I, -1, 24)
     rows_at, k = int(n), best.shape[1]
@@ -99,7 +154,7 @@ def search_shard(shard: bytes, ids: np.ndarray, queries: np.ndarray, best: np.nd
     live = np.arange(len(queries))
     for step in range(int(leaves)):
         leaf = turn[live, step]
-        open_ = bound[live, leaf] >= best[live, -1]
+        open_ = bound[live, leaf] >= np.maximum(best[live, -1], floor[live])
         live, leaf = live[open_], leaf[open_]
         if not len(live):
             break
@@ -108,7 +163,7 @@ def search_shard(shard: bytes, ids: np.ndarray, queries: np.ndarray, best: np.nd
             s, e = int(starts[x]), int(starts[x + 1])
             scores = _product(queries[some], rows[s:e])
             scores[own[None, s:e] == ids[some, None]] = np.iinfo(_I).min + 1  # no score, and can be negated
-            better = scores.max(axis=1) >= best[some, -1]
+            better = scores.max(axis=1) >= np.maximum(best[some, -1], floor[some])
             some, scores = some[better], scores[better]
             if len(some):
                 all_scores = np.concatenate([best[some], scores], axis=1)
@@ -118,41 +173,103 @@ def search_shard(shard: bytes, ids: np.ndarray, queries: np.ndarray, best: np.nd
     return best, names
 
 
-def _search(k: int):
-    none = np.iinfo(_I).min + 1
+_NONE = np.iinfo(_I).min + 1
+_FOUND = "query_id long, vec_id long, score long, kth long, v array<long>"
+
+
+def _found(ids, queries, best, names, carry: bool) -> pa.Table:
+    """Scores found; with ``carry`` a first row for each query with its kth score and vector."""
+    real = best > _NONE
+    k = best.shape[1]
+    rows = {"query_id": np.repeat(ids, k).reshape(best.shape)[real], "vec_id": names[real], "score": best[real]}
+    n, m = len(rows["score"]), len(ids) if carry else 0
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[np.arange(m + 1) * queries.shape[1], np.full(n, m * queries.shape[1])].astype(np.int32)), pa.array(queries[:m].ravel(), pa.int64()))
+    head = [pa.array(np.r_[ids[:m], rows["query_id"]]), *[pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(rows[c])]) for c in ("vec_id", "score")]]
+    return pa.table([*head, pa.concat_arrays([pa.array(best[:m, -1]), pa.nulls(n, pa.int64())]), lists], ["query_id", "vec_id", "score", "kth", "v"])
+
+
+def _nothing() -> pa.Table:
+    return _found(np.zeros(0, _I), np.zeros((0, 0), _I), np.zeros((0, 1), _I), np.zeros((0, 1), _I), False)
+
+
+def _home(k: int):
+    """The queries of a shard searched in it: what is found, and the kth score of each."""
+
+    def run(key, shards, asked):
+        if not asked.num_rows:
+            return _nothing()
+        ids, queries = _matrix(asked)
+        best, names, floor = np.full((len(ids), k), _NONE), np.full((len(ids), k), np.iinfo(_I).max), np.full(len(ids), _NONE)
+        for blob in shards["blob"]:
+            best, names = search_shard(blob.as_buffer(), ids, queries, best, names, floor)
+        return _found(ids, queries, best, names, True)
+
+    return run
+
+
+def _visits(key, boxes, asked):
+    """Which queries of a block reach which boxes of a pack: one packed row for each shard."""
+    rows = []
+    if boxes.num_rows and asked.num_rows:
+        ids, queries = _matrix(asked)
+        kth, home = np.asarray(asked["kth"], _I), np.asarray(asked["home"], _I)
+        sides = np.frombuffer(b"".join(x.as_py() for x in boxes["box"]), _I).reshape(boxes.num_rows, 2, -1)
+        bound = _product(np.maximum(queries, 0), sides[:, 1]) + _product(np.minimum(queries, 0), sides[:, 0])
+        for i, shard in enumerate(boxes["shard"].to_pylist()):
+            some = np.flatnonzero((bound[:, i] >= kth) & (home != shard))
+            if len(some):
+                head = np.array([len(some), queries.shape[1]], _I)
+                rows.append((shard, b"".join(x.tobytes() for x in (head, ids[some], kth[some], queries[some]))))
+    dim, block = key[0].as_py(), key[2].as_py()
+    return pa.table({"dim": pa.array([dim] * len(rows), pa.int64()), "shard": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([block] * len(rows), pa.int64()), "asked": pa.array([r[1] for r in rows], pa.binary())})
+
+
+def _away(k: int):
+    """The visiting queries searched in a shard."""
 
-    def run(key, shards, block):
-        out = {"query_id": [], "vec_id": [], "score": []}
-        for packed in block["blob"] if shards.num_rows else ():
+    def run(key, shards, visits):
+        parts = [_nothing()]
+        for packed in visits["asked"] if shards.num_rows else ():
             blob = packed.as_buffer()
             n, d = (int(x) for x in np.frombuffer(blob, _I, 2))
-            ids = np.frombuffer(blob, _I, n, 16)
-            queries = np.frombuffer(blob, _I, n * d, 16 + 8 * n).reshape(n, d)
-            best, names = np.full((n, k), none), np.full((n, k), np.iinfo(_I).max)
-            for i in np.argsort(np.asarray(shards["shard"], _I)):
-                best, names = search_shard(shards["blob"][int(i)].as_buffer(), ids, queries, best, names)
-            real = best > none
-            out["query_id"].append(np.repeat(ids, k).reshape(n, k)[real])
-            out["vec_id"].append(names[real])
-            out["score"].append(best[real])
-        return pa.table({c: pa.array(np.concatenate(v) if v else np.zeros(0, _I)) for c, v in out.items()})
+            flat = np.frombuffer(blob, _I, -1, 16)
+            ids, floor, queries = flat[:n], flat[n : 2 * n], flat[2 * n :].reshape(n, d)
+            best, names = np.full((n, k), _NONE), np.full((n, k), np.iinfo(_I).max)
+            best, names = search_shard(shards["blob"][0].as_buffer(), ids, queries, best, names, floor)
+            parts.append(_found(ids, queries, best, names, False))
+        return pa.concat_tables(parts)
 
     return run
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
     """query_id, rank from 1, vec_id, score: the k best candidates of each query."""
-    ready = lambda df: df.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v")).filter("id is not null and v is not null").withColumn("dim", F.size("v").cast("long"))
-    n, m = vectors.count(), queries.count()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-m // QUERY_BLOCK))
-    runs = -(-shards // RUN)
-    place = F.pmod(F.xxhash64("id", "v"), F.lit(shards))
-    trees = durable(ready(vectors).withColumn("shard", place).groupBy("dim", "shard").applyInArrow(_tree, "dim long, shard long, blob binary"), "trees")
-    asked = ready(queries).distinct().withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    packed = durable(asked.groupBy("dim", "block").applyInArrow(_pack, "dim long, block long, blob binary"), "queries")
-    left = trees.withColumn("run", F.floor(F.col("shard") / RUN)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-    right = packed.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)).cast("array<long>")))
-    by = ["dim", "block", "run"]
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_search(k), "query_id long, vec_id long, score long")
+    ready = lambda df: df.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v")).filter("id is not null and v is not null").withColumns({"dim": F.size("v").cast("long"), "draw": F.shiftrightunsigned(F.xxhash64("id", "v"), 1)})
+    every, asked = ready(vectors), ready(queries).distinct()
+    plans: dict[int, tuple[list, int]] = {}
+    for dim, n in sorted((r["dim"], r["count"]) for r in every.unionByName(asked).groupBy("dim").count().collect()):  # as many as lengths
+        some = every.filter(F.col("dim") == dim).orderBy("draw", "id").limit(SAMPLE).select("v").collect()
+        shards = max(1, -(-n // SHARD))
+        most = max(1, min(shards, len(some) // 8))
+        plans[dim] = (cells(np.array([r["v"] for r in some], _I).reshape(len(some), dim), most), max(1, -(-shards // most)))
+    placed = lambda df: df.mapInArrow(_place(plans), "id long, v array<long>, dim long, shard long")
+    trees = durable(placed(every).groupBy("dim", "shard").applyInArrow(_tree, "dim long, shard long, blob binary, box binary"), "trees")
+    homes = durable(placed(asked).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK))))), "queries")
+    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  # both sides of a cogroup come from one table
+    here = fresh(homes.select("dim", "shard", "part").distinct().join(trees, ["dim", "shard"]))  # a shard that very many queries call home is searched in parts
+    near = here.groupBy("dim", "shard", "part").cogroup(homes.groupBy("dim", "shard", "part")).applyInArrow(_home(k), _FOUND)
+    near = durable(near, "near")
+    bounds = near.filter("v is not null and kth is not null").select(F.col("query_id").alias("id"), "v", "kth")
+    away = homes.select("id", "v", "dim", F.col("shard").alias("home"), F.col("part").alias("block")).join(bounds, ["id", "v"], "left").withColumn("kth", F.coalesce("kth", F.lit(int(_NONE))))
+    blocks = away.select("dim", "block").distinct()
+    packs = trees.select("dim", "shard", "box").withColumn("pack", F.floor(F.col("shard") / PACK))
+    boxes = fresh(packs.join(blocks, "dim"))  # boxes alone meet every block
+    visits = away.join(packs.select("dim", "pack").distinct(), "dim")
+    by = ["dim", "pack", "block"]
+    reached = boxes.groupBy(*by).cogroup(visits.groupBy(*by)).applyInArrow(_visits, "dim long, shard long, block long, asked binary")
+    reached = durable(reached.withColumn("run", F.floor(F.col("block") / RUN)), "visits")
+    open_ = fresh(reached.select("dim", "shard", "run").distinct().join(trees.drop("box"), ["dim", "shard"]))
+    far = open_.groupBy("dim", "shard", "run").cogroup(reached.groupBy("dim", "shard", "run")).applyInArrow(_away(k), _FOUND)
+    found = near.unionByName(far).filter("vec_id is not null")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -29,9 +29,9 @@ def brute(rows, queries, k):
     return out
 
 
-@pytest.mark.parametrize(("shard", "leaf", "run"), [(4096, 128, 4), (50, 4, 2), (7, 1, 1)])
-def test_top_k(spark, monkeypatch, shard, leaf, run):
-    for name, value in (("SHARD", shard), ("LEAF", leaf), ("RUN", run), ("QUERY_BLOCK", 5)):
+@pytest.mark.parametrize(("shard", "leaf", "run", "sample"), [(4096, 128, 4, 20_000), (50, 4, 2, 20_000), (7, 1, 1, 100)])
+def test_top_k(spark, monkeypatch, shard, leaf, run, sample):
+    for name, value in (("SHARD", shard), ("LEAF", leaf), ("RUN", run), ("QUERY_BLOCK", 5), ("PACK", 3), ("SAMPLE", sample)):
         monkeypatch.setattr(kdtree, name, value)
     rng = random.Random(6)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(300)]
@@ -52,3 +52,24 @@ def test_large_products_are_whole():
 
     a, b = np.full((1, 4), 2**29, np.int64), np.full((1, 4), 2**29 + 1, np.int64)
     assert kdtree._product(a, b)[0, 0] == 4 * 2**29 * (2**29 + 1)
+
+
+def test_cells_hold_like_shares_and_boxes_prune():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    rows = np.concatenate([rng.normal(c, 5, (500, 3)).astype(np.int64) for c in (-200, 0, 200, 400)])
+    splits = kdtree.cells(rows, 4)
+    v = pa.array(rows.tolist(), pa.list_(pa.int64()))
+    n = len(rows)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), v, pa.array(np.full(n, 3)), pa.array(np.zeros(n, np.int64))], ["id", "v", "dim", "draw"])
+    shard = np.asarray(next(kdtree._place({3: (splits, 1)})([batch]))["shard"])
+    assert sorted(np.bincount(shard).tolist()) == [500] * 4  # each cluster is a cell
+    assert kdtree.cells(np.zeros((50, 2), np.int64), 8) == []  # equal vectors cannot be split
+
+
+def test_one_id_with_two_vectors(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 0.5]), (2, [0.5, 2.0])]
+    got = [tuple(r) for r in kdtree.top_k(frame(spark, rows), frame(spark, rows[:2]), 3).orderBy("rank").collect()]
+    assert [g[:1] + g[2:] for g in got] == [(20, 2, 64 * 128), (20, 1, 64 * 64), (20, 1, 64 * 32)]

@@ -11,7 +11,9 @@ then verified.  Fixed host/path rules come first; the longest one wins.
 Defined cases: a null url, or one without "://", has empty host and path and the
 one token "(none)"; labels with null ids or values are ignored, repeated labels
 count once (the larger value); without positive labels there are no mined rules;
-repeated pages each get a row; other columns are ignored.
+repeated pages each get a row; urls of any length are matched whole; tokens that
+always stand together are mined as one and each stands for the others in a rule;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -90,7 +92,13 @@ def mine_rules(
     least = max(min_count, min_support * n)
     if n < least:
         return spark.createDataFrame([], "items array<string>, support bigint, confidence double")
-    sets = FPGrowth(minSupport=least / n, minConfidence=min_confidence).fit(positive).freqItemsets
+    # tokens that stand in the very same labelled urls are mined as one, else k of them make 2**k combinations
+    held = labelled.select(F.explode("tokens").alias("token"), F.xxhash64("tokens").cast("decimal(38,0)").alias("url"))
+    prints = held.groupBy("token").agg(F.count("*").alias("n"), F.sum("url").alias("print"))
+    twins = durable(prints.groupBy("n", "print").agg(F.min("token").alias("token"), F.array_sort(F.collect_list("token")).alias("twins")).select("token", "twins"), "twins")
+    numbered = positive.withColumn("_row", F.monotonically_increasing_id())
+    narrow = numbered.select("_row", F.explode("items").alias("token")).join(twins.select("token"), "token", "left_semi").groupBy("_row").agg(F.collect_list("token").alias("items"))
+    sets = FPGrowth(minSupport=least / n, minConfidence=min_confidence).fit(narrow.select("items")).freqItemsets
     sets = durable(sets, "itemsets")
     sets = sets.filter(F.col("freq") >= least).select(F.array_sort("items").alias("items"), F.col("freq").alias("support"))
     seen = match(labelled.select("tokens"), sets.select("items")).groupBy("items").agg(F.count("*").alias("of"))
@@ -100,7 +108,12 @@ def mine_rules(
     shorter = shorter.select("whole", "c", F.array_remove("whole", F.col("out")).alias("items"))
     covered = shorter.join(rules.select("items", "confidence"), "items").filter("confidence >= c").select(F.col("whole").alias("items")).distinct()
     base = F.lit(n / max(n_all, 1))
-    return rules.join(covered, "items", "left_anti").filter(F.col("confidence") > base).select("items", "support", "confidence")
+    kept = rules.join(covered, "items", "left_anti").filter(F.col("confidence") > base).select("items", "support", "confidence")
+    # every token stands for its twins again
+    choices = kept.select("*", F.explode("items").alias("token")).join(twins, "token").groupBy("items", "support", "confidence").agg(F.collect_list("twins").alias("choices"))
+    none = F.array(F.array().cast("array<string>"))
+    every = F.aggregate("choices", none, lambda sets, some: F.flatten(F.transform(sets, lambda x: F.transform(some, lambda y: F.concat(x, F.array(y))))))
+    return choices.select(F.explode(every).alias("items"), "support", "confidence").withColumn("items", F.array_sort("items"))
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:

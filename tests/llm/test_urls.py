@@ -75,3 +75,11 @@ def test_match_holds_all_items(spark):
     rules = spark.createDataFrame([(["a", "b"],), (["c"],), (["d"],)], "items array<string>")
     assert sorted((r.id, tuple(r["items"])) for r in urls.match(rows, rules).collect()) == [(1, ("a", "b")), (3, ("a", "b")), (3, ("c",))]
     assert rows.filter(F.col("id") > 9).count() == 0
+
+
+def test_long_common_paths_do_not_blow_up(spark):
+    path = "/".join(f"part{chr(97 + i)}" for i in range(22))
+    pages = [(i, f"http://bad.org/{path}/{i}") for i in range(25)] + [(100 + i, f"http://good.org/x/{i}") for i in range(25)] + [(200, "http://other.org/parta/1"), (201, "http://other.org/z/1")]
+    got = judged(spark, pages, [(i, 1) for i in range(25)] + [(100 + i, 0) for i in range(25)])
+    assert all(got[i].verdict == "block" for i in range(25)) and all(got[100 + i].verdict == "allow" for i in range(25))
+    assert got[200].verdict == "block" and got[201].verdict == "allow"

@@ -113,7 +113,8 @@ regexp_replace(regexp_extract(raw, '^(.+?)\s*\((\d{4})\)', 1), '\.$', '') as aut
 trim(regexp_extract(regexp_extract(raw, '\)\.\s*(.+?)\.\s*(.+?)$', 2), '^([^,\d]+)', 1)) as journal from r"""
 )
 def parse_apa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _references(spark, sf_dir, True).withColumn("p", parsing.apa_style(F.col("raw"))).select("l_orderkey", "l_linenumber", "p.title", "p.authors", "p.year", "p.journal")
+    fields = parsing.apa_fields(parsing.apa_groups(F.col("raw")))
+    return _references(spark, sf_dir, True).select("l_orderkey", "l_linenumber", *[c.alias(n) for n, c in fields.items()])
 
 
 @query(
@@ -122,7 +123,9 @@ def parse_apa(spark: SparkSession, sf_dir: str) -> DataFrame:
 select l_orderkey, l_linenumber, l_linenumber::int as ref_number, p[1] as authors, p[2] as title, trim(regexp_extract(p[3], '^([^;,\d]+)', 1)) as journal, regexp_extract(raw, '\b((?:19|20)\d{2})\b', 1) as year from s"""
 )
 def parse_vancouver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _references(spark, sf_dir, False).withColumn("p", parsing.vancouver_style(F.col("raw"))).select("l_orderkey", "l_linenumber", "p.ref_number", "p.authors", "p.title", "p.journal", "p.year")
+    raw = F.col("raw")
+    fields = parsing.vancouver_fields(parsing.vancouver_parts(raw)) | {"ref_number": extract.number(raw), "year": extract.year(raw)}
+    return _references(spark, sf_dir, False).select("l_orderkey", "l_linenumber", *[c.alias(n) for n, c in fields.items()])
 
 
 @query(

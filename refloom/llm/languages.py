@@ -17,8 +17,10 @@ is "en".  Texts are scored ``CHUNK`` languages at a time.
 
 Defined cases: null or blank texts, and texts without a letter or digit, are
 "und" and rejected; null or unknown declarations, suffixes and hosts are no
-evidence; repeated rows each get a row; with no declared language at all
-everything with text is "und"; other columns are kept.
+evidence, and a null host adds to no prior; repeated rows each get a row; texts of
+any length are scored whole; of equally likely languages the first by code is taken;
+an empty table gives an empty result; with no declared language at all everything
+with text is "und"; of other columns those named in ``carry`` are returned.
 """
 
 from __future__ import annotations

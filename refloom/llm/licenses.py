@@ -10,9 +10,10 @@ corpus hold them, rarest first, and a fitting block must hold one of the first
 (length filter); and the words of the template from its first match on must
 still suffice (positional filter).  What is left is verified by intersection.
 
-Defined cases: null is an empty text; repeated documents each get a row; empty
-tables give an empty result; a template without words fits nothing; other
-columns are ignored.
+Defined cases: null is an empty text; texts of any length are scanned whole; repeated
+documents each get a row, equal texts the same labels; templates that fit alike all
+count; empty tables give an empty result; a template without words fits nothing;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

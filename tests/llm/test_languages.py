@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import random
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from refloom.llm import languages
@@ -86,3 +90,48 @@ def test_every_declared_language_has_a_model(spark, monkeypatch):
     assert [r[:2] for r in whole] == want and all(r[4] for r in whole)
     monkeypatch.setattr(languages, "CHUNK", 32)
     assert run() == whole
+
+
+def posteriors(spark, table):
+    """Language and posterior of (id, text, declared, host) rows, fused in plain Python from the fitted models."""
+    names, counts = languages.train(frame(spark, table), id_col="doc_id", text_col="text", declared_col="lang")
+    models, levels = languages.fit(counts, 0, len(names))
+    n, strength = len(names), languages.STRENGTH
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    scored = []
+    for i, t, declared, host in table:
+        _, _, bins, letters, _ = next(languages._trigrams(pa.array([t or ""])))
+        like = models[:, bins].astype(float).sum(axis=1) * languages.TEMPER
+        scored.append((i, declared, host, like, len(bins) * levels[like.argmax()] * languages.TEMPER, letters[0]))
+    hosts: dict = {}
+    for _, _, host, like, und, letters in scored:
+        if host is not None and letters:
+            hosts.setdefault(host, []).append(soft(np.r_[like, und])[:n])
+    parent = lambda h: h.partition(".")[2]
+    everything = sum((sum(x) for x in hosts.values()), np.zeros(n))
+    overall = (everything + 1 / n) / (everything.sum() + 1)
+    wide = {}
+    for p in {parent(h) for h in hosts}:
+        own = [y for h, x in hosts.items() if parent(h) == p for y in x]
+        wide[p] = (sum(own) + strength * overall) / (len(own) + strength)
+    prior = {h: (sum(x) + strength * wide[parent(h)]) / (len(x) + strength) for h, x in hosts.items()}
+    out = {}
+    for i, declared, host, like, und, letters in scored:
+        told = names.index(declared) if declared in names else None
+        weight = [0.0 if told is None else math.log(languages.DECLARED) if j == told else math.log((1 - languages.DECLARED) / (n - 1)) for j in range(n)]
+        known = like + weight + np.log(prior.get(host, overall) * (1 - languages.UNDETERMINED))
+        fused = soft(np.r_[known, -np.inf if like.argmax() == told else und + math.log(languages.UNDETERMINED)])
+        out[i] = ([*names, "und"][fused.argmax()], fused.max()) if letters else ("und", 1.0)
+    return out
+
+
+def test_posteriors_against_plain_python(spark):
+    rng = random.Random(4)
+    words = {"en": EN.split(), "de": DE.split(), "fr": "le chat est sur le tapis et il fait beau dans la ville".split()}
+    table = [(i, " ".join(rng.choice(words[l]) for _ in range(rng.randrange(1, 12))), rng.choice([l, l, None, "en", "xx"]), rng.choice(["a.org", "b.org", "c.d.de", "plain", None])) for i, l in enumerate(rng.choices(list(words), k=150))]
+    table += [(900, "zq xj vv qq", None, "a.org"), (901, "", "en", "a.org"), (902, None, None, None), (903, "!!", "de", "b.org")]
+    want = posteriors(spark, table)
+    got = languages.identify(frame(spark, table)).collect()
+    assert len(got) == len(table)
+    for r in got:
+        assert (r.language, r.keep) == (want[r.doc_id][0], want[r.doc_id][0] != "und") and r.posterior == pytest.approx(want[r.doc_id][1], rel=1e-5)

@@ -22,7 +22,8 @@ Links are found in two steps:
    pairs are verified on the multisets themselves and joined into components;
 2. every possible pair of nodes from *different* components that share a bucket is
    verified too, so that no link between components is lost, however estimates
-   ranked it.
+   ranked it.  Buckets that are one chunk of whole sketches need no second step: there
+   the forest was ranked by the similarities themselves, so it joins all that is linked.
 
 Buckets of more than CHUNK nodes are split into chunks by a hash of node and
 bucket.  In step 1 a chunk has a forest of its own; in step 2 the nodes outside a
@@ -53,13 +54,16 @@ THRESHOLD = 0.8
 BANDS = 32
 ROWS = 4
 #: Nodes of a bucket that one group holds (on average, where a bucket has more).
-CHUNK = 128
+CHUNK = 512
 #: Element hashes in a sketch.
 SKETCH = 512
 #: Pairs whose sketches are so many standard errors below the threshold are not
 #: verified (a true link passes with probability > 0.9999).
 SIGMAS = 4.0
 
+#: Hashes that are compared at once.
+_COLUMNS = 1 << 13
+
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 
@@ -220,20 +224,21 @@ def similarities(x: Sketches, y: Sketches, threshold: float) -> tuple[np.ndarray
     _, inverse = np.unique(np.r_[x.values, y.values], return_inverse=True)
     left, right = inverse[: len(x.values)], inverse[len(x.values) :]
     size = int(inverse.max(initial=-1)) + 1
-    shared = np.zeros(size, bool)
-    shared[left] = True
-    both = np.zeros(size, bool)
-    both[right] = True
+    shared, both = np.zeros(size, bool), np.zeros(size, bool)
+    shared[left], both[right] = True, True
     shared &= both
-    column = np.cumsum(shared) - 1
-
-    def dense(part, of):
-        out = np.zeros((len(of) - 1, max(1, int(shared.sum()))), np.float32)
-        row, keep = np.repeat(np.arange(len(of) - 1), np.diff(of)), shared[part]
-        out[row[keep], column[part[keep]]] = 1
-        return out
-
-    common = (dense(left, x.offsets) @ dense(right, y.offsets).T).astype(np.float64)
+    column, columns = np.cumsum(shared) - 1, int(shared.sum())
+    row_x, row_y = (np.repeat(np.arange(len(s.n)), np.diff(s.offsets)) for s in (x, y))
+    sides = [(row[shared[part]], column[part[shared[part]]], len(s.n)) for row, part, s in ((row_x, left, x), (row_y, right, y))]
+    common = np.zeros((len(x.n), len(y.n)))
+    for first in range(0, columns, _COLUMNS):
+        dense = []
+        for row, at, n in sides:
+            here = (at >= first) & (at < first + _COLUMNS)
+            block = np.zeros((n, min(_COLUMNS, columns - first)), np.float32)
+            block[row[here], at[here] - first] = 1
+            dense.append(block)
+        common += dense[0] @ dense[1].T
     full = lambda s: np.diff(s.offsets) == SKETCH
     end = lambda s: np.where(full(s), s.values[np.maximum(s.offsets[1:] - 1, 0)].astype(np.int64) if len(s.values) else 0, np.int64(1 << 32))
     ends_x, ends_y = end(x), end(y)
@@ -367,27 +372,28 @@ def classes(
     docs = docs.select(F.col(id_col).alias("id"), node.alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     every = durable(docs.mapInArrow(_sign(bands, rows), f"id {kind}, node binary, n long, keys array<long>"), "every")
     ids = durable(every.select("id", "node"), "ids")
-    signs = every.filter("n > 0").groupBy("node").agg(F.any_value("keys").alias("keys"), F.min("id").alias("holder"))
+    signs = every.filter("n > 0").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.min("id").alias("holder"))
     signs = durable(signs, "signs")
     release(every)
     holder = signs.select("node", F.col("holder").alias("id"))
 
-    members = signs.select("node", F.explode("keys").alias("key"))
+    members = signs.select("node", "holder", "n", F.explode("keys").alias("key"))
     prints = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"print{i}") for i in range(2)]
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"), *prints).filter("size > 1")
-    sizes = sizes.groupBy("size", "print0", "print1").agg(F.min("key").alias("key")).select("key", "size")  # buckets of the same nodes have the same pairs
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.max("n").alias("most"), *prints).filter("size > 1")
+    again = ((F.col("size") > CHUNK) | (F.col("most") >= SKETCH)).alias("again")
+    sizes = sizes.groupBy("size", "most", "print0", "print1").agg(F.min("key").alias("key")).select("key", "size", again)  # buckets of the same nodes have the same pairs
     drawn = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("size") / CHUNK)).alias("chunk")
-    shared = durable(members.join(sizes, "key").select("key", drawn, "size", "node"), "shared")
+    shared = durable(members.join(sizes, "key").select("key", drawn, "size", "again", "node", "holder"), "shared")
     # the texts of all nodes that share a bucket, each once
-    meet = shared.select("node").distinct().join(holder, "node").select(F.col("id").alias("_id"), F.col("node").alias("_node"))
+    meet = shared.select(F.col("holder").alias("_id"), F.col("node").alias("_node")).distinct()
     texts = docs.join(meet, docs["id"].eqNullSafe(F.col("_id")) & (docs["node"] == F.col("_node")), "left_semi").dropDuplicates(["id", "node"])
     texts = durable(texts.select("node", "text"), "texts")
     sketched = durable(texts.select("node", "text").mapInArrow(_sketch, "node binary, n long, sketch array<int>"), "sketches")
-    likely = durable(_grouped(shared.drop("size").join(sketched, "node"), _forests(threshold)), "likely")
+    likely = durable(_grouped(shared.select("key", "chunk", "node").join(sketched, "node"), _forests(threshold)), "likely")
     parts = durable(components(verified(likely, texts, threshold).select("a", "b")), "parts")
 
     # possible pairs across components: what is outside a bucket's largest component against the whole bucket
-    placed = shared.join(parts, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = shared.filter("again").drop("again", "holder").join(parts, "node", "left").withColumn("label", F.coalesce("label", "node"))
     largest = placed.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts"))
     placed = durable(placed.join(largest.filter("parts > 1").drop("parts"), "key"), "placed")
     guests = placed.filter(F.col("label") != F.col("main")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / CHUNK) - 1).cast("array<long>")))

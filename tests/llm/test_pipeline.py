@@ -54,3 +54,18 @@ def test_a_rejected_row_takes_no_clean_row_of_its_id(spark):
     got = corpus_pipeline.language_id(spark, docs, DATA)
     assert got.columns == docs.columns
     assert sorted([tuple(r) for r in got.collect()], key=str) == sorted([rows[0], rows[3], rows[6]], key=str)
+
+
+def test_every_stage_takes_nulls_empty_tables_repeated_rows_and_clashing_columns(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _id string, _text string, content string, node string, `row` string, keep string, _hit int"
+    text = "the cat sat on the mat and they were happy with the weather of that day and so on"
+    more = ("i", "t", "c", "n", "r", "k", 1)
+    rows = [(None, None, None, None, None, *more), (1, text, "en", "a", 80, *more), (1, text, "en", "a", 80, *more), (None, text + " again", "en", None, 86, *more), (2, "", "en", "a", 0, *more), (3, "word " * 30000, "en", "b", 150000, *more)]
+    for name, stage in corpus_pipeline.STAGES:
+        docs = spark.createDataFrame(rows, schema)
+        out = stage(spark, docs, DATA)
+        got = out.collect()
+        assert 0 < len(got) <= len(rows), name
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns and all(tuple(r)[5:] == more for r in got), name
+        assert stage(spark, spark.createDataFrame([], schema), DATA).count() == 0, name

@@ -3,6 +3,12 @@
 Language identification, near-dedup, substring dedup, benchmark decontamination
 and mixing.  Each stage gets what its predecessor kept, written as Parquet in
 the shared folder and read again.
+
+Defined cases, for all stages: a null text is an empty one, has no language and goes
+with the first stage; null and repeated ids are documents of their own, and what a
+stage decides holds for rows, not for ids; of equal texts under equal ids near-dedup
+keeps one; texts of any length are read whole; ties go to the smaller id; an empty
+table passes through; further columns stay, whatever their names, until the mix.
 """
 
 from __future__ import annotations
@@ -19,12 +25,14 @@ from refloom.llm.durable import durable
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents without a recognised language."""
     # ids may be null or repeated: a verdict holds for the rows that share all that it depends on
-    marked = docs.withColumn("_text", F.sha2("text", 256))
-    keys = ["doc_id", "_text", "lang", "source"]
-    judged = languages.identify(marked, carry=("_text", "source")).filter(~F.col("keep"))
-    rejected = judged.select("doc_id", "_text", F.col("declared").alias("lang"), "source").distinct().toDF(*[f"_r{k}" for k in keys])
-    same = functools.reduce(lambda a, b: a & b, [marked[k].eqNullSafe(rejected[f"_r{k}"]) for k in keys])
-    return marked.join(rejected, same, "left_anti").drop("_text")
+    keys = ["doc_id", "lang", "source"]
+    digest = F.sha2("text", 256)
+    facts = docs.select(*keys, "text", digest.alias("_digest"))
+    judged = languages.identify(facts, carry=("_digest", "source")).filter(~F.col("keep"))
+    rejected = judged.select("doc_id", F.col("declared").alias("lang"), "source", F.col("_digest").alias("digest")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), digest.alias("digest_of"))
+    same = functools.reduce(lambda a, b: a & b, [F.col(f"row.{k}").eqNullSafe(rejected[k]) for k in keys], F.col("digest_of").eqNullSafe(rejected["digest"]))
+    return rows.join(rejected, same, "left_anti").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -144,3 +144,30 @@ def test_atom_feed(spark):
     xml = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/abs/1706.03762v5</id><title>Attention\n  is all</title><published>2017-06-12T00:00:00Z</published><author><name>A B</name></author></entry></feed>'
     row = catalogs.atom_entries(spark.createDataFrame([(xml,)], "xml string")).first()
     assert row.title == "Attention is all" and row.year == 2017 and list(row.authors) == ["A B"]
+
+
+def test_a_denylist_of_any_length_is_used_whole(spark):
+    names = [(f"Publisher number {i} of the world",) for i in range(5000)] + [(f"Press{i}",) for i in range(5000)] + [("Last Name",)]
+    listed = spark.createDataFrame(names, "name string")
+    venues = ["The PUBLISHER number 4999 of the world, Inc.", "Publisher number 4999 of the", "xpress4999x", "The last name.", "Nature", "", None]
+    rows = spark.createDataFrame([(v, 1) for v in venues], "venue string, predatory_old int")
+    got = {r.venue: r.predatory for r in duplicates.on_denylist(rows, listed).collect()}
+    assert got == dict(zip(venues, [True, False, True, True, False, False, False], strict=True))
+    short = spark.createDataFrame(names[:3] + names[-1:], "name string")
+    assert sum(r.predatory for r in duplicates.on_denylist(rows, short).collect()) == 1
+
+
+def test_years_beyond_an_int_are_no_years(spark):
+    assert one(spark, extract.parsed_int(F.col("a")), a="99999999999") is None and one(spark, extract.parsed_int(F.col("a")), a=" 12x") == 12
+
+
+def test_empty_titles_are_copies(spark):
+    refs = spark.createDataFrame([("b", 1, "!!!", None), ("b", 2, "???", None)], "batch_id string, seq long, raw string, title string")
+    assert duplicates.duplicate_pairs(refs).count() == 1
+
+
+def test_arxiv_records_of_one_id_are_chosen_in_order(spark):
+    record = "source string, source_rank int, rec_id string, title string, authors array<string>, arxiv_id string"
+    catalog = spark.createDataFrame([("arXiv", 4, "b", "Deep things", ["X"], "1"), ("arXiv", 4, "a", "Deep things", ["X"], "1")], record)
+    refs = spark.createDataFrame([(1, "raw", "Deep things", None, None, None, None, "1")], "ref_id int, raw string, title string, authors string, journal string, year string, doi string, arxiv_id string")
+    assert [r.found.rec_id for r in resolve.arxiv_lookup(refs, catalog).collect()] == ["a"]

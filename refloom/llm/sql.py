@@ -82,6 +82,19 @@ window o as (partition by query_id order by score desc, vec_id)
 qualify row_number() over o <= 20
 """
 
+#: All products: op12 finds all of these where its window covers the table.
+OP12 = """
+with v as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(generate_series(1, len(c.v)), lambda i: q.v[i] * c.v[i])) as score
+  from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v))
+select query_id, (row_number() over o)::int as rank, vec_id, score from s
+window o as (partition by query_id order by score desc, vec_id)
+qualify row_number() over o <= 20
+"""
+
 OP10 = rf"""
 with d as (select doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}) as w from documents),
 x as (select doc_id, i, w[i : i + 12] as g from d, unnest(generate_series(1, len(w) - 12)) as u(i)),
@@ -100,4 +113,5 @@ SQL = {
     "op6_warc": OP6,
     "op8_topk": OP8,
     "op10_substrings": OP10,
+    "op12_curves": OP12,
 }

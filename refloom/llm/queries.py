@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm import curves, decontaminate, kdtree, languages, licenses, minhash, mixing, pitman_yor, substrings, urls, warc
+from refloom.llm import curves, decontaminate, divergence, kdtree, languages, licenses, minhash, mixing, pitman_yor, spelling, substrings, urls, warc
 from refloom.llm.durable import shared_dir
 from refloom.llm.sql import SQL  # noqa: F401
 
@@ -87,9 +87,17 @@ def op12_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curves.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def llm_page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = languages.pages_evidence(table(spark, sf_dir, "pages"))
     return languages.identify(pages, id_col="page_id", host_col="host", suffix_col="suffix")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_mixing, op3_pitman_yor, op4_decontamination, op5_licenses, op6_warc, op7_minhash, op8_topk, op9_language, op10_substrings, op12_curves, llm_page_languages)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_mixing, op3_pitman_yor, op4_decontamination, op5_licenses, op6_warc, op7_minhash, op8_topk, op9_language, op10_substrings, op11_spelling, op12_curves, op13_divergence, llm_page_languages)}

@@ -107,11 +107,60 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_
 from d left join r using (doc_id)
 """
 
+#: The checksum by its table of 256 entries, byte by byte.
+_CRC = """list_reduce(list_concat([4294967295::bigint], list_transform(generate_series(1, strlen(k)::bigint), lambda i: ('0x' || substr(hex(k), 2 * i - 1, 2))::bigint)),
+  lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1]))"""
+
+OP11 = rf"""
+with t as (select list_transform(generate_series(0, 255), lambda i: list_reduce(list_concat([i::bigint], generate_series(0, 7)),
+  lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as entries),
+r as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) as run from documents),
+l as (select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n from r group by 1, 2),
+k as (select run, n, coalesce(doc_id::varchar, '') || ':' || run as k from l),
+c as (select run, n, xor({_CRC}, 4294967295) as h from k, t),
+d as (select case when h % 97 = 0 then left(run, (h % length(run))::bigint) || substr(run, (h % length(run) + 2)::bigint) else run end as word, n from c),
+w as (select word, sum(n)::bigint as n from d group by word having length(word) >= 5 and sum(n) >= 3),
+x as (select word, n, i, left(word, i - 1) || substr(word, i + 1) as v from w, unnest(generate_series(1, length(word))) as u(i)),
+p as (
+  select x.word, w.word as near, w.n as near_n from x join w on x.v = w.word
+  union select w.word, x.word, x.n from x join w on x.v = w.word
+  union select a.word, b.word, b.n from x a join x b on a.v = b.v and a.i = b.i and a.word <> b.word),
+b as (select *, row_number() over (partition by word order by near_n desc, near) as o, count(*) over (partition by word) as n_near from p),
+f as (select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when near_n >= 2 * w.n then near end as form, case when near_n >= 2 * w.n then near_n end::bigint as form_n
+  from w left join (from b where o = 1) b using (word)),
+z as (with recursive z as (select word, word as root, form from f union all select z.word, f.word, f.form from z join f on z.form = f.word) select word, root from z where form is null)
+select word, form, root, n, n_near, form_n from f join z using (word)
+"""
+
+OP13 = r"""
+with d as (select row_number() over () as k, coalesce(lang, '') as lang, coalesce(source, '') as source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+t as (select k, lang, source, unnest(w) as term from d),
+v as (select lang, term from t group by 1, 2 having count(distinct k) >= 10),
+g as (select distinct lang, source from d),
+c as (select lang, source, term, count(*) as n from t semi join v using (lang, term) group by all),
+s as (select lang, count(*) as v from v group by 1),
+a as (select g.lang, g.source, v.term, coalesce(c.n, 0) as n from g join v using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = v.term),
+p as (select a.*, 1 + ((1000000000::hugeint * (n + 2)) // (sum(n) over (partition by lang, source) + 2 * v))::bigint as p from a join s using (lang)),
+l as (select lang, term, sum(n) as n from a group by all),
+q as (select lang, term, 1 + ((1000000000::hugeint * (n + 2)) // (sum(n) over (partition by lang) + 2 * v))::bigint as q from l join s using (lang)),
+pairs as (select x.lang, x.source, 'pair' as part, y.source as item, coalesce(f, 0)::bigint as value
+  from g x join g y on x.lang = y.lang and x.source <> y.source
+  left join (select x.lang, x.source, y.source as other, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) as f from p x join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all) z
+    on z.lang = x.lang and z.source = x.source and z.other = y.source),
+terms as (select lang, source, 'term' as part, term as item, ((p - q) * (p - q)) // (p + q) as value from p join q using (lang, term) where n > 0 and p > q)
+select *, (row_number() over (partition by lang, source order by value desc, item))::int as rank from pairs
+union all
+select *, (row_number() over (partition by lang, source order by value desc, item))::int as rank from terms qualify row_number() over (partition by lang, source order by value desc, item) <= 10
+"""
+
 SQL = {
     "op4_decontamination": OP4,
     "op5_licenses": _op5(),
     "op6_warc": OP6,
     "op8_topk": OP8,
     "op10_substrings": OP10,
+    "op11_spelling": OP11,
     "op12_curves": OP12,
+    "op13_divergence": OP13,
 }

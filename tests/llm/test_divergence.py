@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from refloom.llm import divergence
@@ -57,9 +58,10 @@ def corpus(rng, n):
     return rows + rows[:40]  # repeated rows are documents of their own
 
 
-@pytest.mark.parametrize(("leaves", "block", "cells"), [(200_000, 2048, 1 << 20), (20, 3, 4)])
-def test_all_cases(spark, monkeypatch, leaves, block, cells):
-    monkeypatch.setattr(divergence, "LEAVES", leaves)
+@pytest.mark.parametrize(("terms", "counters", "block", "cells"), [(400_000, 1_000_000, 2048, 1 << 20), (50, 20, 3, 4)])
+def test_all_cases(spark, monkeypatch, terms, counters, block, cells):
+    monkeypatch.setattr(divergence, "TERMS", terms)
+    monkeypatch.setattr(divergence, "COUNTERS", counters)
     monkeypatch.setattr(divergence, "BLOCK", block)
     audit = divergence._audit
     monkeypatch.setattr(divergence, "_audit", lambda top: audit(top, cells))
@@ -86,18 +88,29 @@ def test_empty(spark):
     assert found(spark, [(None, None, None), ("x", None, "b")]) == {("", "", "pair", "b", 0, 1), ("", "b", "pair", "", 0, 1)}
 
 
-def test_trie_is_in_byte_order_and_holds_what_was_added():
+def test_tries_merge_in_byte_order():
     rng = random.Random(1)
-    trie, plain = divergence.Trie(), defaultdict(lambda: defaultdict(lambda: [0, 0]))
-    for _ in range(5000):
-        term = "".join(rng.choice("abé日") for _ in range(rng.randint(1, 5))).encode()
-        source, n = rng.choice("xy"), rng.randint(1, 9)
-        trie.add(term, source, n, 1)
-        plain[term][source][0] += n
-        plain[term][source][1] += 1
-    leaves = list(trie.leaves())
-    assert [t for t, _ in leaves] == sorted(plain)
-    assert all(leaf == plain[t] for t, leaf in leaves) and trie.counters == sum(len(x) for x in plain.values())
+    plain, tables = defaultdict(lambda: [0, Counter()]), []
+    for _ in range(7):
+        rows = defaultdict(lambda: [0, Counter()])
+        for _ in range(300):
+            key, source, n = (rng.choice(["de", "en"]), "".join(rng.choice("abé日") for _ in range(rng.randint(1, 4)))), rng.choice("xy"), rng.randint(1, 9)
+            for leaf in (rows[key], plain[key]):
+                leaf[0] += 1
+                leaf[1][source] += n
+        ordered = sorted(rows.items(), key=lambda r: (r[0][0].encode(), r[0][1].encode()))
+        tables.append([(lang, t, d, sorted(c), [c[x] for x in sorted(c)]) for (lang, t), (d, c) in ordered])
+    stream = sorted((r for t in tables for r in t), key=lambda r: (r[0].encode(), r[1].encode()))
+    batches = [pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*stream[k : k + 9], strict=True), divergence._LEAF, strict=True)], schema=divergence._LEAF) for k in range(0, len(stream), 9)]
+    got = [tuple(r.values()) for t in divergence._merged(batches, 3) for r in t.to_pylist()]
+    want = [(lang, t, d, sorted(c), [c[x] for x in sorted(c)]) for (lang, t), (d, c) in sorted(plain.items(), key=lambda r: (r[0][0].encode(), r[0][1].encode())) if d >= 3]
+    assert got == want
+
+
+def test_front_coding_is_undone_by_the_traversal():
+    terms = sorted({"a", "ab", "abc", "b", "é", "éa", "日本", "日"}, key=str.encode)
+    shared, rest = divergence.front_coded([t.encode() for t in terms])
+    assert list(divergence.traversed(shared, rest)) == terms and sum(map(len, rest)) < sum(len(t.encode()) for t in terms)
 
 
 def test_shares_are_whole_for_large_counts():

@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from refloom.llm.durable import durable
+from refloom.llm.durable import durable, release
 
 #: Fixed value: letters of A-Z, a-z and whatever lies beyond ASCII, in lower-cased UTF-8.
 TERM = re.compile(rb"[a-z\x80-\xff]+")
@@ -261,9 +261,10 @@ def audit(docs: DataFrame, *, least: int = MIN_DOCUMENTS, top: int = TOP) -> Dat
     """lang, source, part (pair or term), item, value, rank."""
     texts = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     groups = durable(texts.select("lang", "source").distinct(), "groups")
-    leaves = texts.mapInArrow(_count, "lang string, term string, documents long, sources array<string>, counts array<long>")
+    leaves = durable(texts.mapInArrow(_count, "lang string, term string, documents long, sources array<string>, counts array<long>"), "leaves")  # ranges are sampled from it
     ranged = leaves.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term")
     blocks = durable(ranged.mapInArrow(_keep(least, BLOCK), "lang string, shared array<int>, rest array<binary>, sizes array<int>, sources array<string>, counts array<long>"), "tries")
+    release(leaves)
     kept = blocks.groupBy("lang").agg(F.sum(F.size("shared")).alias("kept"))
     totals = blocks.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("x")).groupBy("lang", F.col("x.sources").alias("source")).agg(F.sum("x.counts").alias("total"))
     known = groups.join(totals, ["lang", "source"], "left").select("lang", F.struct("source", F.coalesce("total", F.lit(0).cast("long")).alias("total")).alias("x"))

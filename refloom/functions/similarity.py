@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from refloom.functions.text import SPACE, adapter_key, fold, rounded
+from refloom.functions.text import SPACE, adapter_key, bind, fold, rounded, trim
 
 _WORDS = f"[{SPACE}]+"
 
@@ -24,22 +24,35 @@ def edit_similarity(a: Column, b: Column) -> Column:
 def word_overlap(a: Column, b: Column) -> Column:
     """Jaccard similarity of the words; accented letters count as none."""
     clean = lambda c: _tokens(F.regexp_replace(F.lower(c), f"[^a-zA-Z0-9_{SPACE}]", ""))
-    x, y = clean(a), clean(b)
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), rounded(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)) * 100)).otherwise(F.lit(0).cast("long"))
 
+    def score(p):
+        x, y = p["x"], p["y"]
+        return F.when((F.size(x) > 0) & (F.size(y) > 0), rounded(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)) * 100)).otherwise(F.lit(0).cast("long"))
 
-def similarity(a: Column, b: Column) -> Column:
-    """The better of edit similarity of the folded and word overlap of the raw strings."""
-    x, y = fold(a), fold(b)
+    return bind(F.struct(clean(a).alias("x"), clean(b).alias("y")), score)
+
+
+def _better(x: Column, y: Column, a: Column, b: Column) -> Column:
+    """The better of edit similarity of the folded x and y and word overlap of a and b."""
     empty = (F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == "")
     return F.when(empty, F.lit(0).cast("long")).when(x == y, F.lit(100).cast("long")).otherwise(F.greatest(edit_similarity(x, y), word_overlap(a, b)))
 
 
+def similarity(a: Column, b: Column) -> Column:
+    """The better of edit similarity of the folded and word overlap of the raw strings."""
+    return bind(F.struct(fold(a).alias("x"), fold(b).alias("y")), lambda p: _better(p["x"], p["y"], a, b))
+
+
 def title_similarity(expected: Column, found: Column) -> Column:
     """As ``similarity`` of the folded titles; 95 if the expected one contains the found one."""
-    x, y = fold(F.coalesce(expected, F.lit(""))), fold(F.coalesce(found, F.lit("")))
-    score = similarity(x, y)
-    return F.when((score < 90) & x.contains(y) & (F.length(y) > 20), F.lit(95).cast("long")).otherwise(score)
+    folded = F.struct(fold(F.coalesce(expected, F.lit(""))).alias("x"), fold(F.coalesce(found, F.lit(""))).alias("y"))
+
+    def score(p):
+        x, y = p["x"], p["y"]  # folding a folded title changes nothing
+        held = x.contains(y) & (F.length(y) > 20)
+        return bind(_better(x, y, x, y), lambda s: F.when((s < 90) & held, F.lit(95).cast("long")).otherwise(s))
+
+    return bind(folded, score)
 
 
 def family_name(name: Column) -> Column:
@@ -64,36 +77,44 @@ def author_similarity(expected: Column, authors: Column) -> Column:
 
 def adapter_similarity(a: Column, b: Column) -> Column:
     """Common words over the larger word set; 100 if the cleaned strings are equal."""
-    x, y = adapter_key(a), adapter_key(b)
-    p, q = _tokens(x), _tokens(y)
-    most = F.greatest(F.size(p), F.size(q))
-    return F.when(x == y, F.lit(100).cast("long")).when(most > 0, rounded(F.size(F.array_intersect(p, q)) / most * 100)).otherwise(F.lit(0).cast("long"))
+
+    def score(k):
+        return bind(F.struct(_tokens(k["x"]).alias("p"), _tokens(k["y"]).alias("q")), lambda t: shared(k["x"] == k["y"], t["p"], t["q"]))
+
+    def shared(equal, p, q):
+        most = F.greatest(F.size(p), F.size(q))
+        return F.when(equal, F.lit(100).cast("long")).when(most > 0, rounded(F.size(F.array_intersect(p, q)) / most * 100)).otherwise(F.lit(0).cast("long"))
+
+    return bind(F.struct(adapter_key(a).alias("x"), adapter_key(b).alias("y")), score)
 
 
 def free_text_similarity(query: Column, title: Column) -> Column:
     """A found title against the free text that should hold it."""
-    q, t = fold(query), fold(title)
     long = lambda c: F.filter(F.split(c, _WORDS), lambda w: F.length(w) >= 3)
-    share = lambda ws, text: F.when(F.size(ws) > 0, F.size(F.filter(ws, lambda w: text.contains(w))) / F.size(ws)).otherwise(0.0)
-    forward, reverse = share(long(t), q), share(long(q), t)
-    return (
-        F.when(q.contains(t) | t.contains(q), F.lit(100).cast("long"))
-        .when((forward >= 0.8) & (reverse >= 0.4), rounded(85 + forward * 15))
-        .otherwise(similarity(query, title))
-    )
+
+    def share(words, text):
+        return bind(words, lambda ws: F.when(F.size(ws) > 0, F.size(F.filter(ws, lambda w: text.contains(w))) / F.size(ws)).otherwise(0.0))
+
+    def score(p):
+        q, t = p["q"], p["t"]
+        words = F.struct(share(long(t), q).alias("forward"), share(long(q), t).alias("reverse"))
+        enough = lambda s: (s["forward"] >= 0.8) & (s["reverse"] >= 0.4)
+        by_words = bind(words, lambda s: F.when(enough(s), rounded(85 + s["forward"] * 15)).otherwise(_better(q, t, query, title)))
+        return F.when(q.contains(t) | t.contains(q), F.lit(100).cast("long")).otherwise(by_words)
+
+    return bind(F.struct(fold(query).alias("q"), fold(title).alias("t")), score)
 
 
 def windowed_similarity(reference: Column, title: Column) -> Column:
     """1 if the title stands in the reference, else the share of its longer words that do."""
-    r, t = F.lower(reference), F.lower(title)
-    words = F.array_distinct(F.regexp_extract_all(t, F.lit(r"\b\w{4,}\b"), F.lit(0)))
-    there = F.array_distinct(F.regexp_extract_all(r, F.lit(r"\b\w{4,}\b"), F.lit(0)))
-    return (
-        F.when(F.coalesce(F.length(t), F.lit(0)) < 5, 0.0)
-        .when(r.contains(t), 1.0)
-        .when(F.size(words) == 0, 0.0)
-        .otherwise(F.size(F.array_intersect(words, there)) / F.size(words))
-    )
+    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]{4,}"), F.lit(0)))
+
+    def score(p):
+        r, t = p["r"], p["t"]
+        shared = bind(words(t), lambda w: F.when(F.size(w) == 0, 0.0).otherwise(F.size(F.array_intersect(w, words(r))) / F.size(w)))
+        return F.when((r == "") | (F.length(t) < 5), 0.0).when(r.contains(t), 1.0).otherwise(shared)
+
+    return bind(F.struct(F.lower(F.coalesce(reference, F.lit(""))).alias("r"), trim(F.lower(F.coalesce(title, F.lit("")))).alias("t")), score)
 
 
 @F.pandas_udf(DoubleType())

@@ -23,8 +23,19 @@ def _fold_table() -> tuple[str, str]:
 
 _FROM, _TO = _fold_table()
 
-#: The ligatures U+FB00 to U+FB06.
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
+def _compatible_table() -> tuple[str, str, str]:
+    """Characters whose compatibility decomposition (NFKD) holds one ASCII character, those characters, and a map of those that hold more."""
+    one, several = [], []
+    for code in range(0x80, 0x30000):
+        if unicodedata.decomposition(chr(code)):
+            plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+            (one if len(plain) == 1 else several).append((chr(code), plain))
+    several = [(a, b) for a, b in several if b]
+    return "".join(a for a, _ in one), "".join(b for _, b in one), "\x01".join(f"{a}\x02{b}" for a, b in several)
+
+
+_ONE_FROM, _ONE_TO, _SEVERAL = _compatible_table()
 
 #: Lines that begin with one of these are dropped from LaTeX input.
 LATEX_COMMANDS = [
@@ -116,11 +127,16 @@ def adapter_key(col: Column) -> Column:
 
 
 def plain_ascii(col: Column) -> Column:
-    """Ligatures spelled out, accents and other non-ASCII dropped, white space collapsed."""
-    for ligature, letters in LIGATURES.items():
-        col = F.replace(col, F.lit(ligature), F.lit(letters))
-    bare = F.translate(col, _FROM, _TO)
-    return trim(chain(bare, (r"[^\x00-\x7F]", ""), (r"[\n\t]", " "), (r"\r", ""), (" +", " ")))
+    """Compatibility characters as the ASCII they stand for (one or several), other non-ASCII dropped, white space collapsed.
+
+    A character that stands for several is looked up in a constant map, and only in
+    strings that are not ASCII after the one-to-one step.
+    """
+    known = F.str_to_map(F.lit(_SEVERAL), F.lit("\x01"), F.lit("\x02"))
+    letters = lambda t: F.regexp_extract_all(t, F.lit(r"(?s)."), F.lit(0))
+    spelled = lambda t: F.array_join(F.transform(letters(t), lambda c: F.when(c < "\x80", c).otherwise(F.coalesce(F.try_element_at(known, c), F.lit("")))), "")
+    bare = bind(F.translate(col, _ONE_FROM, _ONE_TO), lambda t: F.when(F.octet_length(t) == F.char_length(t), t).otherwise(spelled(t)))
+    return trim(chain(bare, (r"[\n\t]", " "), (r"\r", ""), (" +", " ")))
 
 
 def drop_controls(col: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refloom.functions.text import filled, plain_key
+from refloom.functions.text import bind, filled, plain_key
 
 
 def duplicate_pairs(refs: DataFrame) -> DataFrame:
@@ -37,34 +37,53 @@ def duplicate_of(pairs: DataFrame, refs: DataFrame) -> DataFrame:
     return pairs.join(labels, ["batch_id", "orig_seq"]).groupBy("batch_id", F.col("dup_seq").alias("seq")).agg(F.max_by("label", "orig_seq").alias("duplicate_of"))
 
 
-#: Names that are matched as literals; a longer list is joined by words.
+#: Names that are matched as literals, names in an automaton, venues that one task looks through.
 LITERAL_NAMES = 200
+SHARD_NAMES = 50_000
+PART_VENUES = 100_000
+
+
+def _holding(names, venues):
+    """The venues that hold one of the names: one pass of an automaton (a trie with failure links) over each."""
+    import ahocorasick
+    import pyarrow as pa
+
+    found: list[str] = []
+    if names.num_rows and venues.num_rows:
+        automaton = ahocorasick.Automaton()
+        for name in names["k"].to_pylist():
+            automaton.add_word(name, True)
+        automaton.make_automaton()
+        found = [v for v in venues["v"].to_pylist() if next(automaton.iter(v), None)]
+    return pa.table({"v": pa.array(found, pa.string())})
+
+
+def venues_holding(venues: DataFrame, listed: DataFrame) -> DataFrame:
+    """The (distinct, non-null) venues ``v`` that contain one of the names ``k``.
+
+    Names are dealt to shards, each of which is one automaton whose memory is linear in
+    its names; every venue visits every shard, in parts of bounded size.
+    """
+    shards, parts = (max(1, -(-df.count() // most)) for df, most in ((listed, SHARD_NAMES), (venues, PART_VENUES)))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    names = listed.select("k", F.pmod(F.xxhash64("k"), F.lit(shards)).alias("shard"), every(parts).alias("part"))
+    rows = venues.select("v", every(shards).alias("shard"), F.pmod(F.xxhash64("v"), F.lit(parts)).alias("part"))
+    return names.groupBy("shard", "part").cogroup(rows.groupBy("shard", "part")).applyInArrow(_holding, "v string")
 
 
 def on_denylist(results: DataFrame, names: DataFrame, venue_col: str = "venue") -> DataFrame:
     """``results`` with ``predatory``: the venue contains a listed name.
 
-    A short list is read once as literals.  A longer one, of any length, is joined:
-    a name of three words or more stands in a venue with its middle words whole, so
-    it meets the venue on its longest middle word; shorter names meet it on every
-    substring of the venue that has their length.
+    A short list is read once as literals; a longer one, of any length, becomes
+    automata through which the distinct venues pass.
     """
     key = plain_key(F.coalesce(F.col(venue_col), F.lit("")))
     listed = names.select(plain_key(F.col("name")).alias("k")).filter("k <> ''").distinct()
     short = [r[0] for r in listed.limit(LITERAL_NAMES + 1).collect()]
     if len(short) <= LITERAL_NAMES:
-        return results.withColumn("predatory", F.exists(F.array(*[F.lit(x) for x in sorted(short)]), lambda n: key.contains(n)) if short else F.lit(False))
-    venues = results.select(key.alias("v")).distinct()
-    words = F.split("k", " ")
-    middle = F.array_max(F.transform(F.slice(words, F.lit(2), F.size(words) - 2), lambda w: F.struct(F.length(w), w.alias("w"))))["w"]
-    long = listed.filter(F.size(words) >= 3).select("k", middle.alias("w"))
-    by_word = venues.select("v", F.explode(F.array_distinct(F.split("v", " "))).alias("w")).join(long, "w").filter(F.col("v").contains(F.col("k"))).select("v")
-    brief = listed.filter(F.size(words) < 3)
-    lengths = sorted(r[0] for r in brief.select(F.length("k")).distinct().collect())  # as many as names are long
-    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("v") - n + 1, F.lit(1))), lambda i: F.substring(F.col("v"), i, F.lit(n)))
-    parts = F.array_distinct(F.flatten(F.array(*[cut(n) for n in lengths]))) if lengths else F.array().cast("array<string>")
-    by_part = venues.select("v", F.explode(parts).alias("k")).join(brief, "k").select("v")
-    hit = by_word.unionByName(by_part).distinct()
+        held = lambda v: F.exists(F.array(*[F.lit(x) for x in sorted(short)]), lambda n: v.contains(n))
+        return results.withColumn("predatory", bind(key, held) if short else F.lit(False))
+    hit = venues_holding(results.select(key.alias("v")).distinct(), listed).distinct()
     joined = results.withColumn("_venue", key).join(hit.select(F.col("v").alias("_venue"), F.lit(True).alias("_hit")), "_venue", "left")
     return joined.withColumn("predatory", F.coalesce("_hit", F.lit(False))).drop("_venue", "_hit")
 

@@ -1,9 +1,8 @@
 """Resolving references against catalogs: lookups, blocked top-k, best candidates.
 
 References are (ref_id, raw, title, authors, journal, year, doi, arxiv_id);
-catalogs follow ``sources.catalogs``.  Retrieval blocks on folded title words of
-three characters or more: both sides are exploded to words, joined by word and
-ranked by common words, so the join is an equi-join whose hot words AQE splits.
+catalogs follow ``sources.catalogs``.  Candidates come from ``retrieval`` (shared title
+words by weight) and, where asked for, from ``near_titles`` (few edits, no word needed).
 """
 
 from __future__ import annotations
@@ -16,32 +15,22 @@ from refloom.functions.extract import parsed_int
 from refloom.functions.similarity import adapter_similarity, author_similarity, free_text_similarity, similarity, title_similarity
 from refloom.functions.text import filled, fold, rounded
 from refloom.operators import validate
+from refloom.operators.near_titles import near_titles
+from refloom.operators.retrieval import candidates, title_words  # noqa: F401
 from refloom.operators.stored import stored
 
 #: Largest confidence and venue score (with, without a venue) of a source.
 CAPS = {"SemanticScholar": (95, 90), "OpenAlex": (90, 85), "arXiv": (90, 80), "DBLP": (90, 85)}
 
 
-def title_words(col: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(fold(col), r"\s+"), lambda w: F.length(w) >= 3))
-
-
-def candidates(refs: DataFrame, catalog: DataFrame, k: int = 5, query_col: str = "title") -> DataFrame:
-    """(ref_id, source, rec_id, hits, rank): the k records of each source with most common words."""
-    asked = refs.select("ref_id", F.explode(title_words(F.col(query_col))).alias("word"))
-    listed = catalog.select("source", "source_rank", "rec_id", F.explode(title_words(F.col("title"))).alias("word"))
-    scored = asked.join(listed, "word").groupBy("ref_id", "source", "source_rank", "rec_id").agg(F.count("*").alias("hits"))
-    best = Window.partitionBy("ref_id", "source").orderBy(F.desc("hits"), "rec_id")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-
-
 def doi_lookup(refs: DataFrame, catalog: DataFrame) -> DataFrame:
     """References with a known DOI: 100, or 80 / 50 where the title differs."""
     known = catalog.filter(F.col("doi").isNotNull()).withColumn("_doi", F.lower("doi"))
     order = Window.partitionBy("_doi").orderBy("source_rank", "rec_id")
     known = known.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("_doi", F.struct(*[c for c in catalog.columns]).alias("found"))
     joined = refs.filter(F.col("doi").isNotNull()).withColumn("_doi", F.lower("doi")).join(known, "_doi").drop("_doi")
-    score = title_similarity(F.coalesce(filled(F.col("title")), F.col("raw")), F.col("found.title"))
+    joined = joined.withColumn("_score", title_similarity(F.coalesce(filled(F.col("title")), F.col("raw")), F.col("found.title")))
+    score = F.col("_score")
     retracted = F.coalesce(F.col("found.retracted"), F.lit(False)) | F.coalesce(F.col("found.related"), F.lit(False))
     issue = F.when(score < 70, F.concat(F.lit('⚠️ Title mismatch with DOI metadata. Found: "'), F.col("found.title"), F.lit('"'))).when(score < 85, "Note: Title from DOI slightly differs from input.")
     return joined.select(
@@ -114,18 +103,32 @@ def _search_title() -> Column:
     return F.coalesce(filled(F.col("title")), extract.likely_title(F.col("raw")), F.col("raw"))
 
 
-def best_per_source(refs: DataFrame, catalog: DataFrame, k: int = 5) -> DataFrame:
+def _near_candidates(asked: DataFrame, listed: DataFrame, catalog: DataFrame, k: int, edits: int) -> DataFrame:
+    """For references without any candidate: the k records of each source with the fewest edits."""
+    missing = asked.join(listed.select("ref_id").distinct(), "ref_id", "left_anti").select("ref_id", F.col("_query").alias("title"))
+    near = near_titles(missing, catalog.select(F.struct("source", "source_rank", "rec_id").alias("record"), "title"), edits, catalog_id="record")
+    order = Window.partitionBy("ref_id", "record.source").orderBy("distance", "record.rec_id")
+    near = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    none = F.lit(0).cast("long")
+    return near.select("ref_id", "record.*", none.alias("hits"), none.alias("weight"), "rank")
+
+
+def best_per_source(refs: DataFrame, catalog: DataFrame, k: int = 5, edits: int = 0) -> DataFrame:
     """The best of the k candidates of each source, with its field checks; the first wins ties.
 
     arXiv and DBLP are asked with the first author's name as well.  CrossRef's
     best is checked field by field and may be rejected; the other sources are
-    scored by title and authors.
+    scored by title and authors.  With ``edits``, references that share no word with any
+    record get the records whose titles are so many edits away.
     """
     found = catalog.select("source", "rec_id", F.struct(*catalog.columns).alias("found"))
     asked = stored(refs.withColumn("_query", _search_title()), "asked")  # a long expression that many steps read
     asked = asked.withColumn("_sharp", F.when(filled(F.col("authors")).isNotNull(), extract.sharp_query(F.col("_query"), F.col("authors"))).otherwise(F.col("_query")))
     sharp = F.col("source").isin("arXiv", "DBLP")
     listed = candidates(asked, catalog.filter(~sharp), k, "_query").unionByName(candidates(asked, catalog.filter(sharp), k, "_sharp"))
+    if edits:
+        listed = stored(listed, "listed")
+        listed = listed.unionByName(_near_candidates(asked, listed, catalog, k, edits))
     pool = listed.join(found, ["source", "rec_id"]).join(asked, "ref_id")
     one = F.when(F.col("source") == "CrossRef", crossref_score(F.col("title"), F.col("raw"), F.col("year"), F.col("journal"), F.col("found")).cast("double")).otherwise(
         adapter_score(F.col("_query"), F.col("year"), F.col("found")).cast("double")
@@ -185,9 +188,9 @@ def best_overall(pool: DataFrame, least: int = 70) -> DataFrame:
     return won.join(crossref, "ref_id", "left").withColumn("issues", F.when((F.col("source") != "CrossRef") & F.col("_c").isNotNull(), F.array(better)).otherwise(F.col("issues"))).drop("_c")
 
 
-def search(refs: DataFrame, catalog: DataFrame, k: int = 5) -> DataFrame:
+def search(refs: DataFrame, catalog: DataFrame, k: int = 5, edits: int = 0) -> DataFrame:
     """The best candidate of all sources for each reference that has one."""
-    found = stored(best_overall(stored(best_per_source(refs, catalog, k), "pool")), "found")
+    found = stored(best_overall(stored(best_per_source(refs, catalog, k, edits), "pool")), "found")
     return found.select("ref_id", F.lit("search").alias("path"), "confidence", "title_score", "author_score", "journal_score", "retracted", "issues", "found")
 
 
@@ -196,7 +199,7 @@ NOWHERE = "Title not found in any source (CrossRef, Semantic Scholar, OpenAlex,
 BAD_DOI = ("⚠️ The provided DOI (", ") is invalid or points to an unrelated article.")
 
 
-def resolve(refs: DataFrame, catalog: DataFrame, k: int = 5, as_of_year: int | None = None) -> DataFrame:
+def resolve(refs: DataFrame, catalog: DataFrame, k: int = 5, as_of_year: int | None = None, edits: int = 0) -> DataFrame:
     """The waterfall: DOI, arXiv id, search, and search again by the likely title; one row per reference, with its path.
 
     A reference whose DOI leads nowhere and that no search finds exists still, with
@@ -207,11 +210,13 @@ def resolve(refs: DataFrame, catalog: DataFrame, k: int = 5, as_of_year: int | N
     left = refs.join(by_doi.select("ref_id"), "ref_id", "left_anti")
     by_arxiv = stored(arxiv_lookup(left, catalog), "by-arxiv")
     left = stored(left.join(by_arxiv.select("ref_id"), "ref_id", "left_anti"), "left")
-    by_search = search(left, catalog, k)
+    by_search = search(left, catalog, k, edits)
     lost = left.join(by_search.select("ref_id"), "ref_id", "left_anti").filter(filled(F.col("title")).isNull())
     again = lost.withColumn("_likely", extract.likely_title(F.col("raw"))).filter(F.col("_likely").isNotNull() & (F.col("_likely") != F.col("raw")))
-    by_retry = search(again.withColumn("raw", F.col("_likely")).drop("_likely"), catalog, k).withColumn("path", F.lit("retry"))
-    found = by_doi.unionByName(by_arxiv).unionByName(by_search).unionByName(by_retry)
+    again = stored(again.withColumn("raw", F.col("_likely")).drop("_likely"), "again")
+    found = by_doi.unionByName(by_arxiv).unionByName(by_search)
+    if not again.isEmpty():
+        found = found.unionByName(search(again, catalog, k, edits).withColumn("path", F.lit("retry")))
     none = F.array().cast("array<string>")
     year = F.coalesce(filled(F.col("year")), extract.year(F.col("raw")))
     searched = F.col("path").isin("search", "retry")

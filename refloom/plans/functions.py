@@ -20,7 +20,7 @@ def _around(*pieces: str | Column) -> Column:
 
 @query(
     """select p_partkey, p_name || ' & ' || p_type as query, 'Muller and Jose c c ' || p_name as latex, lower(left(p_name, 1)) as letter, left(lower(p_name), 1) = 'b' as same_letter,
-p_name || chr(10) || p_type as lines, 'fi' || p_name || 'e ff x' as ascii, p_name || chr(10) || p_type as printable, lower(replace(p_name, ' ', '') || replace(p_brand, '#', '')) as alnum,
+p_name || chr(10) || p_type as lines, 'fi' || p_name || 'e ff x x2 12 No A kg TEL' as ascii, p_name || chr(10) || p_type as printable, lower(replace(p_name, ' ', '') || replace(p_brand, '#', '')) as alnum,
 p_type as journal, p_name || '. , in ' || p_type as bare, p_name as unbraced, p_name as title, p_name as author,
 'https://scholar.google.com/scholar?q=' || replace(p_name, ' ', '%20') || '%20x' as link, p_name || chr(10) || chr(10) || p_type as extracted from part"""
 )
@@ -33,7 +33,7 @@ def text_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
         text.first_letter(_around("#7 ", F.upper(name))).alias("letter"),
         text.first_letter_matches(name, brand).alias("same_letter"),
         text.drop_latex_lines(_around("\\begin{x}\n", name, "\n\n  \\vspace{1}\n", kind)).alias("lines"),
-        text.plain_ascii(_around("\ufb01", name, "é\n\t\ufb00  x\u65e5")).alias("ascii"),
+        text.plain_ascii(_around("\ufb01", name, "é\n\t\ufb00  x\u65e5 x\u00b2 \u00bd \u2116 \uff21 \u338f \u2121")).alias("ascii"),
         text.drop_controls(_around(name, "\x01\x1f\n", kind)).alias("printable"),
         text.alnum_key(_around(F.upper(name), "-", brand)).alias("alnum"),
         text.journal_key(_around("// ", kind, " Springer, 12-34.")).alias("journal"),

@@ -24,7 +24,7 @@ _STATUS = "case when conf > 80 then 'Verified' when conf > 50 then 'Partial' els
 
 
 def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five documents with most words in common with each benchmark passage."""
+    """The five documents that share the weightiest words with each benchmark passage."""
     refs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ref_id"), F.col("text").alias("title"))
     docs = table(spark, sf_dir, "documents").select(F.lit("documents").alias("source"), F.lit(1).alias("source_rank"), F.col("doc_id").alias("rec_id"), F.col("text").alias("title"))
     top = resolve.candidates(refs, docs)
@@ -35,21 +35,22 @@ _TOP_SQL = f"""
 with b as (select item_id, text, list_distinct(list_filter(regexp_split_to_array({_FOLD.format('text')}, '\\s+'), lambda w: length(w) >= 3)) as w from benchmark),
 d as (select doc_id, text, list_distinct(list_filter(regexp_split_to_array({_FOLD.format('text')}, '\\s+'), lambda w: length(w) >= 3)) as w from documents),
 bw as (select item_id, unnest(w) as word from b), dw as (select doc_id, unnest(w) as word from d),
-h as (select item_id, doc_id, count(*) as hits from bw join dw using (word) group by all),
-t as (select *, row_number() over (partition by item_id order by hits desc, doc_id) as rank from h qualify rank <= 5)
+iw as (select word, floor(ln(1 + (select count(*) from d) / count(*)) * 1000000 + 0.5)::bigint as weight from dw group by word),
+h as (select item_id, doc_id, count(*) as hits, sum(weight)::bigint as weight from bw join dw using (word) join iw using (word) group by all),
+t as (select *, row_number() over (partition by item_id order by weight desc, doc_id) as rank from h qualify rank <= 5)
 """
 
 
 @query(
     _TOP_SQL
-    + f"""select item_id, doc_id, hits::bigint as hits, rank::int as rank, score, {_STATUS.replace('conf', 'score')} as status
+    + f"""select item_id, doc_id, hits::bigint as hits, weight, rank::int as rank, score, {_STATUS.replace('conf', 'score')} as status
 from (select t.*, {_OVERLAP.replace('x', 'b.w').replace('y', 'd.w')} as score from t join b using (item_id) join d using (doc_id))"""
 )
 def verify_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lambda c: resolve.title_words(F.col(c))
     share = F.size(F.array_intersect(words("title"), words("found"))) / F.size(F.array_union(words("title"), words("found")))
     rows = _top(spark, sf_dir).withColumn("score", text.rounded(share * 100))
-    return rows.select(F.col("ref_id").alias("item_id"), F.col("rec_id").alias("doc_id"), "hits", "rank", "score", report.ui_status(F.lit(True), F.col("score")).alias("status"))
+    return rows.select(F.col("ref_id").alias("item_id"), F.col("rec_id").alias("doc_id"), "hits", "weight", "rank", "score", report.ui_status(F.lit(True), F.col("score")).alias("status"))
 
 
 flagship = verify_flagship
@@ -113,8 +114,8 @@ regexp_replace(regexp_extract(raw, '^(.+?)\s*\((\d{4})\)', 1), '\.$', '') as aut
 trim(regexp_extract(regexp_extract(raw, '\)\.\s*(.+?)\.\s*(.+?)$', 2), '^([^,\d]+)', 1)) as journal from r"""
 )
 def parse_apa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = parsing.apa_fields(parsing.apa_groups(F.col("raw")))
-    return _references(spark, sf_dir, True).select("l_orderkey", "l_linenumber", *[c.alias(n) for n, c in fields.items()])
+    parsed = parsing.apa_style(F.col("raw"))  # a struct: the pattern is matched once a row
+    return _references(spark, sf_dir, True).select("l_orderkey", "l_linenumber", parsed.alias("p")).select("l_orderkey", "l_linenumber", "p.title", "p.authors", "p.year", "p.journal")
 
 
 @query(
@@ -123,9 +124,8 @@ def parse_apa(spark: SparkSession, sf_dir: str) -> DataFrame:
 select l_orderkey, l_linenumber, l_linenumber::int as ref_number, p[1] as authors, p[2] as title, trim(regexp_extract(p[3], '^([^;,\d]+)', 1)) as journal, regexp_extract(raw, '\b((?:19|20)\d{2})\b', 1) as year from s"""
 )
 def parse_vancouver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.col("raw")
-    fields = parsing.vancouver_fields(parsing.vancouver_parts(raw)) | {"ref_number": extract.number(raw), "year": extract.year(raw)}
-    return _references(spark, sf_dir, False).select("l_orderkey", "l_linenumber", *[c.alias(n) for n, c in fields.items()])
+    parsed = parsing.vancouver_style(F.col("raw"))
+    return _references(spark, sf_dir, False).select("l_orderkey", "l_linenumber", parsed.alias("p")).select("l_orderkey", "l_linenumber", "p.ref_number", "p.authors", "p.title", "p.journal", "p.year")
 
 
 @query(
@@ -417,7 +417,12 @@ def export_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citations.joined_text(citations.numbered_list(rows, "apa"))
 
 
-@query()
+@query(
+    _TOP_SQL
+    + r""", o as (select item_id as ref_id, doc_id as rec_id, lower(d.text) as r, trim(lower(b.text)) as t from t join b using (item_id) join d using (doc_id)),
+w as (select *, list_distinct(regexp_extract_all(t, '[\p{L}\p{N}_]{4,}')) as x, list_distinct(regexp_extract_all(r, '[\p{L}\p{N}_]{4,}')) as y from o)
+select ref_id, rec_id, round(overlap, 6) as overlap from (select *, case when length(t) < 5 then 0 when contains(r, t) then 1 when len(x) = 0 then 0 else len(list_intersect(x, y)) / len(x) end::double as overlap from w) where overlap < 0.6"""
+)
 def overlap_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _top(spark, sf_dir).select("ref_id", "rec_id", F.col("found").alias("reference"), F.col("title").alias("found_title"))
     return corpus.overlap_audit(rows).select("ref_id", "rec_id", F.round("overlap", 6).alias("overlap"))
@@ -570,4 +575,4 @@ def edited_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.apply_overrides(rows, edits)
 
 
-from refloom.plans import functions, verification  # noqa: E402, F401
+from refloom.plans import functions, tables, verification  # noqa: E402, F401

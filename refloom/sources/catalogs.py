@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refloom.functions import extract as E
-from refloom.functions.text import catalog_author, catalog_title, filled
+from refloom.functions.text import SPACE, catalog_author, catalog_title, filled, trim
 
 #: The providers in order of precedence.
 SOURCES = {"CrossRef": 1, "SemanticScholar": 2, "OpenAlex": 3, "arXiv": 4, "DBLP": 5}
@@ -160,18 +160,33 @@ def dblp_authors(raw: Column) -> Column:
     return F.filter(F.transform(items, lambda x: catalog_author(name(x))), lambda a: a != "")
 
 
+#: What is read of a feed: elements by local name, attributes with a leading underscore.
+_FEED = (
+    "entry array<struct<id: array<string>, title: array<string>, published: array<string>, author: array<struct<name: array<string>>>, "
+    "primary_category: array<struct<_term: string>>, doi: array<string>, link: array<struct<_rel: string, _href: string, _type: string>>>>"
+)
+
+
 def atom_entries(feeds: DataFrame, xml_col: str = "xml") -> DataFrame:
-    """Records of Atom feeds: id, title, authors, year, category, doi, url, pdfUrl."""
-    entries = feeds.select(F.explode(F.regexp_extract_all(xml_col, F.lit(r"(?s)<entry>(.*?)</entry>"), F.lit(1))).alias("e"))
-    tag = lambda name: F.trim(F.regexp_replace(F.regexp_extract("e", rf"(?s)<{name}[^>]*>(.*?)</{name}>", 1), r"\s+", " "))
-    link = lambda mark: filled(F.regexp_extract(F.regexp_extract("e", rf"<link[^>]*{mark}[^>]*>", 0), r'href="([^"]*)"', 1))
-    return entries.select(
-        F.regexp_extract(tag("id"), r"abs/(.+)$", 1).alias("id"),
-        tag("title").alias("title"),
-        F.transform(F.regexp_extract_all("e", F.lit(r"(?s)<author>\s*<name>(.*?)</name>"), F.lit(1)), lambda a: F.trim(a)).alias("authors"),
-        filled(F.substring(tag("published"), 1, 4)).cast("int").alias("year"),
-        filled(F.regexp_extract("e", r'<arxiv:primary_category[^>]*term="([^"]*)"', 1)).alias("category"),
-        filled(tag("arxiv:doi")).alias("doi"),
-        link('rel="alternate"').alias("url"),
-        link('title="pdf"').alias("pdfUrl"),
-    )
+    """Records of Atom feeds: id, title, authors, year, category, doi, url, pdfUrl.
+
+    Feeds are decoded as XML (entities, CDATA, name spaces); one that is not well formed
+    has no records.  Ids lose the version; of several links of a kind the last counts; an
+    entry without a title is none.
+    """
+    feed = F.from_xml(F.col(xml_col), F.lit(_FEED), {"ignoreNamespace": "true", "attributePrefix": "_"})
+    rows = feeds.select(feed.alias("feed")).select(F.explode("feed.entry").alias("e"))
+    first = lambda c: F.coalesce(F.get(c, 0), F.lit(""))
+    number = F.regexp_extract(trim(first(F.col("e.id"))), r"abs/(.+?)(?:v\d+)?$", 1)
+    link = lambda kind, mark: F.try_element_at(F.filter("e.link", lambda x: (x[kind] == mark) & (x["_href"] != "")), F.lit(-1))["_href"]
+    names = F.filter(F.transform("e.author", lambda a: first(a["name"])), lambda n: n != "")
+    return rows.select(
+        F.coalesce(filled(number), trim(first(F.col("e.id")))).alias("id"),
+        trim(F.regexp_replace(first(F.col("e.title")), f"[{SPACE}]+", " ")).alias("title"),
+        F.coalesce(F.transform(names, trim), F.array().cast("array<string>")).alias("authors"),
+        filled(F.regexp_extract(trim(first(F.col("e.published"))), r"^(\d{4})", 1)).cast("int").alias("year"),
+        filled(F.get(F.col("e.primary_category"), 0)["_term"]).alias("category"),
+        filled(trim(first(F.col("e.doi")))).alias("doi"),
+        link("_rel", "alternate").alias("url"),
+        link("_type", "application/pdf").alias("pdfUrl"),
+    ).filter("title <> ''").withColumns({"url": F.coalesce("url", F.concat(F.lit("https://arxiv.org/abs/"), "id")), "pdfUrl": F.coalesce("pdfUrl", F.concat(F.lit("https://arxiv.org/pdf/"), "id"))})

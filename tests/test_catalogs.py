@@ -64,6 +64,24 @@ def test_atom_authors_keep_their_digits(spark):
     assert list(catalogs.atom_entries(spark.createDataFrame([(xml,)], "xml string")).first().authors) == ["Group 10", "B1"]
 
 
+FEED = """<?xml version="1.0" encoding="UTF-8"?><feed xmlns="http://www.w3.org/2005/Atom" xmlns:arxiv="http://arxiv.org/schemas/atom"><title>query</title>
+<entry><id>http://arxiv.org/abs/2301.12345v2</id><title type="html">A &amp; B &lt; C
+  <![CDATA[x < y]]> d</title><title>not this</title><published>2023-01-17T00:00:00Z</published><author><name>J &#233; Doe</name><arxiv:affiliation>X</arxiv:affiliation></author><author><name> R Roe </name></author>
+<arxiv:doi> 10.1/x </arxiv:doi><link title="doi" href="http://dx" rel="related"/><link href="http://a" rel="alternate" type="text/html"/><link title="pdf" href="http://p" rel="related" type="application/pdf"/>
+<arxiv:primary_category term="cs.CL" scheme="s"/></entry>
+<entry><id>odd</id><title>t2</title></entry><entry><id>http://arxiv.org/abs/1</id><title> </title></entry></feed>"""
+
+
+def test_feeds_are_decoded(spark):
+    rows = spark.createDataFrame([(FEED,), ("<feed><entry><id>1</id><title>never closed</title>",), (None,), ("no & xml",), ("<feed></feed>",)], "xml string")
+    got = {r.id: r for r in catalogs.atom_entries(rows).collect()}
+    assert set(got) == {"2301.12345", "odd"}
+    first, odd = got["2301.12345"], got["odd"]
+    assert (first.title, list(first.authors), first.year, first.category, first.doi) == ("A & B < C x < y d", ["J é Doe", "R Roe"], 2023, "cs.CL", "10.1/x")
+    assert (first.url, first.pdfUrl) == ("http://a", "http://p")
+    assert (list(odd.authors), odd.year, odd.category, odd.doi, odd.url, odd.pdfUrl) == ([], None, None, None, "https://arxiv.org/abs/odd", "https://arxiv.org/pdf/odd")
+
+
 def test_files(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
         z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>One &amp; two</w:t></w:r></w:p><w:p><w:r><w:t>three</w:t></w:r></w:p></w:body></w:document>')

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +82,26 @@ def test_ligatures_are_spelled_out(spark):
     assert one(spark, text.plain_ascii(F.col("a")), a="ﬀ ﬁ ﬂ ﬃ ﬄ ﬅ ﬆ") == "ff fi fl ffi ffl st st"
 
 
+def test_compatibility_characters_are_those_of_unicode(spark):
+    """Every code point, as decomposition and removal of what is not ASCII give it."""
+    marks = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and chr(c) not in "\n\t\r " and not chr(c).isspace()]
+    rows = [(k, "".join(f"<{chr(c)}>" for c in marks[k : k + 2000])) for k in range(0, len(marks), 2000)]
+    got = dict(spark.createDataFrame(rows, "k int, t string").select("k", text.plain_ascii(F.col("t"))).collect())
+    plain = lambda t: re.sub(" +", " ", unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode()).strip()
+    assert got == {k: plain(t) for k, t in rows}
+
+
+def test_a_pattern_is_matched_once_a_row(spark):
+    """The dearest expressions stand once in the optimised plan."""
+    refs = spark.createDataFrame([("Doe, J. (2001). A title. J, 1.",)], "raw string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(refs.select(parsing.apa_style(F.col("raw")).alias("p")).select("p.title", "p.authors", "p.year", "p.journal")).count(r"\((\d{4})\)\.") == 1
+    pairs = spark.createDataFrame([("a", "b")], "a string, b string")
+    assert plan(pairs.select(similarity.title_similarity(F.col("a"), F.col("b")).alias("s"))).count("translate(") == 2
+    venues = spark.createDataFrame([("x",)], "venue string")
+    assert plan(duplicates.on_denylist(venues, catalogs.denylist(spark))).count("lower(") == 1
+
+
 def test_styles(spark):
     assert one(spark, parsing.apa_style(F.col("a")), a="Doe, J. (2016). Foo bar. Nature, 5").title == "Foo bar"
     assert one(spark, parsing.chinese_style(F.col("a")), a="[12] Foo") is None or one(spark, parsing.chinese_style(F.col("a")), a="[12] Foo").title is None
@@ -92,6 +116,31 @@ def test_bibtex(spark):
     assert rows[0].tags["title"] == "Deep {L}earning" and rows[0].tags["year"] == "2015" and rows[0].tags["journal"] == "Nature"
 
 
+@pytest.mark.parametrize(
+    ("source", "entries"),
+    [
+        ('@article{a, title="x } y", year={2001}}', [("article", "a", {"title": "x } y", "year": "2001"})]),
+        ('@a{b, month = jan # " 1"}', []),
+        ("@a{b, t={x}, }", []),
+        ("@a{b, t={x},\n}", [("a", "b", {"t": "x"})]),
+        ("@a{b, t={x {y} z", [("a", "b", {"t": "x {y} z"})]),
+        ('@a{b, t="never closed }', [("a", "b", {"t": "never closed }"})]),
+        ("@a @b{c, t=1}", []),
+        ("@Ab{K:1/x, T = 1, t = {}, t={two\r\nlines}}junk@c{d}", [("Ab", "K:1/x", {"t": "twolines"}), ("c", "d", {})]),
+        ("@comment{just words} @x{y, z = {1}}", [("x", "y", {"z": "1"})]),
+        ("nothing", []),
+        ("", []),
+        (None, []),
+    ],
+)
+def test_bibtex_scanner(source, entries):
+    assert list(parsing.BibtexScanner(source or "").entries()) == entries
+
+
+def test_bibtex_of_null_text(spark):
+    assert parsing.parse_bibtex(spark.createDataFrame([(1, None), (2, "@x{y}")], "id int, text string")).collect() == [(2, 0, "x", "y", {})]
+
+
 @pytest.mark.parametrize(
     ("exists", "source", "confidence", "ui", "service"),
     [
@@ -171,3 +220,40 @@ def test_arxiv_records_of_one_id_are_chosen_in_order(spark):
     catalog = spark.createDataFrame([("arXiv", 4, "b", "Deep things", ["X"], "1"), ("arXiv", 4, "a", "Deep things", ["X"], "1")], record)
     refs = spark.createDataFrame([(1, "raw", "Deep things", None, None, None, None, "1")], "ref_id int, raw string, title string, authors string, journal string, year string, doi string, arxiv_id string")
     assert [r.found.rec_id for r in resolve.arxiv_lookup(refs, catalog).collect()] == ["a"]
+
+
+def test_independence_with_two_groups_is_corrected(spark):
+    rows = spark.createDataFrame([("a", True)] * 10 + [("a", False)] * 20 + [("b", True)] * 15 + [("b", False)] * 5, "k string, f boolean")
+    cells = {r.k: r for r in corpus.contingency(rows, "k", "f").collect()}
+    assert (cells["a"].yes, cells["a"].no, cells["a"].expected_yes, cells["a"].dof) == (10, 20, 15.0, 1)
+    statistic = 4.5**2 / 15 * 2 + 4.5**2 / 10 * 2
+    assert cells["a"].statistic == pytest.approx(statistic) and cells["a"].p_value == pytest.approx(math.erfc(math.sqrt(statistic / 2)))
+
+
+@pytest.mark.parametrize(("dof", "x"), [(1, 0.3), (1, 9.0), (2, 1.0), (2, 40.0), (3, 2.5), (7, 30.0), (10, 4.0), (40, 35.0), (41, 80.0)])
+def test_upper_gamma(spark, dof, x):
+    """Against the closed forms for whole and half arguments."""
+    h = x / 2
+    if dof % 2 == 0:
+        want = math.exp(-h) * sum(h**k / math.factorial(k) for k in range(dof // 2))
+    else:
+        want = math.erfc(math.sqrt(h)) + math.exp(-h) * sum(h ** (k + 0.5) / math.gamma(k + 1.5) for k in range(dof // 2))
+    got = spark.range(1).select(corpus.upper_gamma(F.lit(dof / 2), F.lit(h)).alias("q")).first().q
+    assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_many_denylisted_names_are_one_automaton(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 4)))
+    names = sorted({" ".join(word() for _ in range(rng.randint(1, 4))) for _ in range(12_000)})[:10_000]
+    names = [n for n in names if len(n) >= 6]
+    venues = [" ".join(word() for _ in range(rng.randint(1, 6))) for _ in range(800)] + ["", None]
+    want = {v: any(n in (v or "") for n in names) for v in venues}
+    assert 0 < sum(want.values()) < len(want)
+    rows, listed = spark.createDataFrame([(v,) for v in venues], "venue string"), spark.createDataFrame([(n,) for n in names], "name string")
+    for shard, part in ((50_000, 100_000), (3000, 300)):
+        monkeypatch.setattr(duplicates, "SHARD_NAMES", shard)
+        monkeypatch.setattr(duplicates, "PART_VENUES", part)
+        assert {r.venue: r.predatory for r in duplicates.on_denylist(rows, listed).collect()} == want

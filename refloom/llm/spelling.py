@@ -43,7 +43,7 @@ LEAST_COUNT = 3
 RATIO = 2
 #: Distinct words that a task holds before it sends them, halves in a shard, words that share a half in an automaton.
 HELD = 200_000
-SHARD = 20_000
+SHARD = 4_000
 HOT = 64
 
 

@@ -64,7 +64,7 @@ def corpus(rng, n=300):
     return rows + [(1, None), (2, ""), (3, "z" * 5000 + " " + "z" * 5000 + "1" + "z" * 4999), (4, "z" * 5000 + "日kitten_sitting")] + rows[:20]
 
 
-@pytest.mark.parametrize(("held", "shard", "hot"), [(200_000, 20_000, 64), (50, 40, 64), (50, 40, 2), (200_000, 20_000, 0)])
+@pytest.mark.parametrize(("held", "shard", "hot"), [(200_000, 4_000, 64), (50, 40, 64), (50, 40, 2), (200_000, 4_000, 0)])
 def test_all_cases(spark, monkeypatch, held, shard, hot):
     for name, value in (("HELD", held), ("SHARD", shard), ("HOT", hot)):
         monkeypatch.setattr(spelling, name, value)

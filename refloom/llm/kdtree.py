@@ -14,7 +14,10 @@ the larger of q x low and q x high.
    reaches the query's kth score, the one it brought or a better one found here.
 
 The best k of all shards are merged by a window per query.  The sample decides only
-which shard a vector lies in, never what is found.
+which shard a vector lies in, never what is found.  Of equal vectors the k + 1 with the
+smallest ids are searched: no other can be among the k best of a query, since the query's
+own row is one of them at most; they are counted in salted parts, so that no task
+gathers a vector that very many rows share.
 
 Defined cases: vectors that are null, empty or hold null or non-finite
 components take no part, nor do null ids; vectors only meet vectors of their
@@ -41,6 +44,8 @@ QUERY_BLOCK = 1024
 PACK = 256
 RUN = 4
 SAMPLE = 20_000
+#: Parts that equal vectors are first counted in.
+SALTS = 32
 
 _I = np.int64
 
@@ -242,10 +247,17 @@ def _away(k: int):
     return run
 
 
+def _possible(vectors: DataFrame, k: int) -> DataFrame:
+    """Without the rows that can be no result: of equal vectors all but those of the k + 1 smallest ids."""
+    salted, whole = Window.partitionBy("v", "salt").orderBy("id"), Window.partitionBy("v").orderBy("id")
+    some = vectors.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).withColumn("nth", F.row_number().over(salted)).filter(F.col("nth") <= k + 1)
+    return some.withColumn("nth", F.row_number().over(whole)).filter(F.col("nth") <= k + 1).drop("salt", "nth")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
     """query_id, rank from 1, vec_id, score: the k best candidates of each query."""
     ready = lambda df: df.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v")).filter("id is not null and v is not null").withColumns({"dim": F.size("v").cast("long"), "draw": F.shiftrightunsigned(F.xxhash64("id", "v"), 1)})
-    every, asked = ready(vectors), ready(queries).distinct()
+    every, asked = durable(_possible(ready(vectors), k), "vectors"), ready(queries).distinct()
     plans: dict[int, tuple[list, int]] = {}
     for dim, n in sorted((r["dim"], r["count"]) for r in every.unionByName(asked).groupBy("dim").count().collect()):  # as many as lengths
         some = every.filter(F.col("dim") == dim).orderBy("draw", "id").limit(SAMPLE).select("v").collect()

@@ -73,3 +73,16 @@ def test_one_id_with_two_vectors(spark):
     rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 0.5]), (2, [0.5, 2.0])]
     got = [tuple(r) for r in kdtree.top_k(frame(spark, rows), frame(spark, rows[:2]), 3).orderBy("rank").collect()]
     assert [g[:1] + g[2:] for g in got] == [(20, 2, 64 * 128), (20, 1, 64 * 64), (20, 1, 64 * 32)]
+
+
+def test_half_of_the_rows_equal(spark, monkeypatch):
+    """Equal vectors leave k + 1 rows, so no shard holds them all, and the results are those of all rows."""
+    monkeypatch.setattr(kdtree, "SHARD", 60)
+    rng = random.Random(8)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(300)] + [(1000 + i, [0.0] * 4) for i in range(200)] + [(2000 + i, [0.5, 0.25, 0.5, 0.5]) for i in range(100)]
+    rng.shuffle(rows)
+    queries = [x for x in rows if x[0] % 20 == 0]
+    got = {tuple(r) for r in kdtree.top_k(frame(spark, rows), frame(spark, queries), 7).select("query_id", "rank", "vec_id", "score").collect()}
+    assert got == brute(rows, queries, 7)
+    left = kdtree._possible(frame(spark, rows).selectExpr("vec_id as id", "embedding as v"), 7)
+    assert left.count() == 300 + 8 + 8

@@ -1,14 +1,13 @@
-"""License scans: an exact set-similarity join of text blocks with license templates.
-
-A block is a line of a text, a set of plain words.  A template fits a block if
-at least ``threshold`` of the template's words are in it.  Notices wrapped over
-lines are found in windows of as many words as the template has, which span the
-line breaks.  The join is exact and
-uses three filters: the template's words are ordered by how many blocks of the
-corpus hold them, rarest first, and a fitting block must hold one of the first
-``size - need + 1`` of them (prefix filter); it must have at least ``need`` words
-(length filter); and the words of the template from its first match on must
-still suffice (positional filter).  What is left is verified by intersection.
+"""License scans: exact set-similarity join of text blocks with license templates.
+
+A block is a window of a text with as many words as the template has; line breaks do
+not matter, and words further apart than that do not add up.  A template fits a block if
+at least ``threshold`` of the template's distinct words are in it.  The join is exact and
+uses three filters: the template's words are ordered by how many texts of the corpus
+hold them, rarest first, and a fitting text must hold one of the first ``size - need +
+1`` of them (prefix filter); it must have at least ``need`` words of the template
+(length filter); and the words of the template from its first match on must still
+suffice (positional filter).  What is left is verified window by window.
 
 Defined cases: null is an empty text; texts of any length are scanned whole; repeated
 documents each get a row, equal texts the same labels; templates that fit alike all
@@ -56,12 +55,6 @@ def content_key(text_col: str) -> Column:
     return F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("content")
 
 
-def _blocks(text_col: str):
-    """Array of the distinct words of each line."""
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    return F.transform(lines, lambda x: F.array_distinct(plain_words(x)))
-
-
 def _small_set(words: DataFrame) -> list[str] | None:
     """The words, if they are few enough to travel with the tasks."""
     found = [r[0] for r in words.limit(SET_WORDS + 1).collect()]
@@ -80,10 +73,10 @@ def _prefixes(docs: DataFrame, templates: DataFrame, threshold: float, text_col:
     )
     vocabulary = sets.select(F.explode("set").alias("word")).distinct()
     known = _small_set(vocabulary)
-    held = _blocks(text_col)
+    held = plain_words(F.col(text_col))
     if known is not None:
-        held = F.transform(held, lambda b: F.filter(b, lambda w: w.isin(known)))
-    frequency = docs.select(F.explode(F.flatten(held)).alias("word")).join(hint(vocabulary), "word", "left_semi").groupBy("word").count()
+        held = F.filter(held, lambda w: w.isin(known))
+    frequency = docs.select(F.explode(F.array_distinct(held)).alias("word")).join(hint(vocabulary), "word", "left_semi").groupBy("word").count()
     need = F.ceil(F.size("set") * F.lit(float(threshold)) - F.lit(1e-9)).cast("int")
     ordered = (
         sets.select("template", "label", "span", F.size("set").alias("n"), need.alias("need"), F.explode("set").alias("word"))
@@ -97,38 +90,18 @@ def _prefixes(docs: DataFrame, templates: DataFrame, threshold: float, text_col:
     return index, known, _small_set(index.select("word").distinct())
 
 
-def fitting_blocks(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD, *, text_col: str = "text", small: bool = True, prefixes=None) -> DataFrame:
-    """Every (content, block, template, label, containment) at or above the threshold."""
-    hint = F.broadcast if small else (lambda df: df)
-    index, _, rare = prefixes or _prefixes(docs, templates, threshold, text_col, hint)
-    blocks = F.transform(_blocks(text_col), lambda b, i: F.struct(i.alias("block"), b.alias("words")))
-    if rare is not None:  # only blocks with a prefix word leave the row
-        blocks = F.filter(blocks, lambda b: F.exists(b["words"], lambda w: w.isin(rare)))
-    blocks = docs.select(content_key(text_col), F.inline(blocks))
-    candidates = (
-        blocks.select("content", "block", "words", F.explode("words").alias("word"))
-        .join(hint(index), "word")
-        .filter(F.size("words") >= F.col("need"))
-        .filter(F.col("n") - F.col("at") >= F.col("need"))
-        .filter(~F.arrays_overlap(F.slice("ordered", F.lit(1), F.col("at")), "words"))  # its first match only
-    )
-    overlap = F.size(F.array_intersect("ordered", "words"))
-    return candidates.withColumn("overlap", overlap).filter("overlap >= need").select("content", "block", "template", "label", (F.col("overlap") / F.col("n")).alias("containment"))
-
-
 def fitting_windows(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD, *, text_col: str = "text", small: bool = True, prefixes=None) -> DataFrame:
-    """Every (content, template, label, containment) of the best window of a text of several lines.
+    """Every (content, template, label, containment) of the best window of a text, at or above the threshold.
 
-    A window has as many words as the template and does not stop at line breaks.
-    The same filters choose the texts, each taken as one set; a best window
-    starts at a word of the template.
+    The filters choose the texts, each taken as one set; a best window starts at a word
+    of the template.
     """
     hint = F.broadcast if small else (lambda df: df)
     index, known, rare = prefixes or _prefixes(docs, templates, threshold, text_col, hint)
     held = F.transform(plain_words(F.col(text_col)), lambda w, i: F.struct(i.alias("at"), w.alias("w")))
     if known is not None:
         held = F.filter(held, lambda x: x["w"].isin(known))
-    texts = docs.filter(F.contains(F.col(text_col), F.lit("\n"))).select(content_key(text_col), held.alias("held"))
+    texts = docs.select(content_key(text_col), held.alias("held"))
     texts = texts.withColumn("words", F.array_distinct("held.w"))
     first = F.col("words") if rare is None else F.filter("words", lambda w: w.isin(rare))
     candidates = (
@@ -167,13 +140,8 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, threshold: float =
         templates = docs.sparkSession.createDataFrame(TEMPLATES, "label string, text string")
     small = templates.limit(BROADCAST_TEMPLATES + 1).count() <= BROADCAST_TEMPLATES
     prefixes = _prefixes(docs, templates, threshold, text_col, F.broadcast if small else (lambda df: df))
-    found = [f(docs, templates, threshold, text_col=text_col, small=small, prefixes=prefixes).select("content", "label", "containment") for f in (fitting_blocks, fitting_windows)]
-    fits = (
-        found[0]
-        .union(found[1])
-        .groupBy("content")
-        .agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
-    )
+    fits = fitting_windows(docs, templates, threshold, text_col=text_col, small=small, prefixes=prefixes)
+    fits = fits.groupBy("content").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
     none = F.array().cast("array<string>")
     rows = docs.select(F.col(id_col), content_key(text_col), plain_words(F.col(text_col)).alias("w"))
     rows = rows.select(id_col, "content", F.size("w").cast("long").alias("n_words"), F.when(F.array_contains("w", "license"), _places("w")).alias("places"))

@@ -39,11 +39,10 @@ def _op5() -> str:
     )
     return rf"""
 with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all({_LOWER}, {_PLAIN}) as w from documents),
-t as (select label, list_distinct(regexp_extract_all({_LOWER}, {_PLAIN})) as w from (values {templates}) as v(label, text)),
-l as (select doc_id, list_distinct(regexp_extract_all({_LOWER}, {_PLAIN})) as w
-      from (select doc_id, unnest(string_split(text, chr(10))) as text from d)),
-f as (select l.doc_id, t.label, max(len(list_intersect(l.w, t.w)) / len(t.w)) as c
-      from l join t on len(list_intersect(l.w, t.w)) >= ceil(len(t.w) * {THRESHOLD} - 1e-9) group by 1, 2),
+t as (select label, list_distinct(w) as w, len(w) as span from (select label, regexp_extract_all({_LOWER}, {_PLAIN}) as w from (values {templates}) as v(label, text))),
+c as (select doc_id, d.w, label, t.w as tw, span from d join t on len(list_intersect(list_distinct(d.w), t.w)) >= ceil(len(t.w) * {THRESHOLD} - 1e-9)),
+o as (select doc_id, label, len(tw) as n, len(list_intersect(w[i : i + span - 1], tw)) as o from c, unnest(generate_series(1, len(w))) as u(i) where list_contains(tw, w[i])),
+f as (select doc_id, label, max(o / n) as c from o where o >= ceil(n * {THRESHOLD} - 1e-9) group by 1, 2),
 p as ({places}),
 b as (select doc_id, count(*)::bigint as n_base, min(wpos) as first_word, max(wpos) as last_word,
              string_agg(distinct label, ',' order by label) as base_labels from p group by 1),

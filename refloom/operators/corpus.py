@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refloom.functions.extract import audit_years
 from refloom.functions.similarity import sequence_ratio, windowed_similarity
+from refloom.functions.text import bind
 
 
 def cohort(dataset: Column) -> Column:
@@ -120,3 +121,55 @@ def mutated_title(col: Column, fake: str) -> Column:
     """The first three words, a made-up middle and the last three words."""
     words = F.split(col, " ")
     return F.concat_ws(" ", F.slice(words, 1, 3), F.lit(fake), F.slice(words, F.greatest(F.size(words) - 2, F.lit(1)), F.lit(3)))
+
+
+#: Made-up topics of mutated titles.
+TOPICS = [
+    "Quantum Gravity", "Sub-surface Thermal Anomalies", "CRISPR-Cas9 Gene Editing", "Supra-molecular Polymers", "Dark Matter Halos",
+    "Neuro-morphic Computing", "Super-conducting Qubits", "Metagenomic Sequencing", "Zero-Knowledge Proofs", "Topological Insulators",
+]
+#: Made-up references in which ``{first}`` and ``{last}`` are page numbers.
+FABRICATIONS = [
+    "Marlow, E., & Quist, A. (2024). Attention as a model of coral growth. Journal of Imagined Biology, 42(8), {first}-{last}.",
+    "Okafor, L., Brandt, S., & Ivers, T. (2023). Deep residual maps for the diagnosis of rivers. Annals of Improbable Medicine, 85, {first}-{last}.",
+    "Petrov, D. (2025). Boosted trees and the price of rain. Quarterly Review of Weather Finance, 14(5), {first}-{last}.",
+]
+
+
+def corrupted(ref: Column) -> Column:
+    """Ligatures where there are letters for them, else doubled spaces and broken lines."""
+    spread = F.replace(F.replace(ref, F.lit(" "), F.lit("  ")), F.lit("."), F.lit(".\n"))
+    return bind(with_ligatures(ref), lambda x: F.when(x.rlike("[ﬀ-ﬂ]"), x).otherwise(spread))
+
+
+def mutated(ref: Column, one: Column, other: Column) -> Column:
+    """First and last three words around a made-up title; a whole made-up reference for short ones."""
+    words = F.filter(F.split(ref, r"\s+"), lambda w: w != "")
+    ends = lambda w: F.concat_ws(" ", F.slice(w, 1, 3), F.concat(one, F.lit(" in "), other, F.lit(".")), F.slice(w, -3, 3))
+    short = F.concat(F.lit("Smith, J. and Doe, A. "), one, F.lit(": A Comprehensive Review. Journal of Applied Physics, 2025."))
+    return bind(words, lambda w: F.when(F.size(w) > 5, ends(w)).otherwise(short))
+
+
+def benchmark_cases(rows: DataFrame, n: int = 100, seed: int = 42, *, key: str = "ref_id", ref: str = "reference", templates: list[str] | None = None) -> DataFrame:
+    """(test_id, category, reference, truth): n clean, n corrupted, n mutated and n made-up references.
+
+    The first three strata are the 3n rows of least md5 of seed and key, in that order:
+    exact sizes, disjoint, the same on every run, and found without sorting all rows.
+    Null references are no cases.
+    """
+    templates = FABRICATIONS if templates is None else templates
+    drawn = rows.filter(F.col(ref).isNotNull()).withColumn("_draw", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
+    drawn = drawn.orderBy("_draw", F.col(key)).limit(3 * n).withColumn("_at", F.row_number().over(Window.orderBy("_draw", F.col(key))) - 1)  # 3n rows
+    topic = lambda at: F.get(F.array(*[F.lit(t) for t in TOPICS]), (at % len(TOPICS)).cast("int"))
+    stratum, number = F.floor(F.col("_at") / n), F.col("_at") % n + 1
+    text = F.when(stratum == 0, F.col(ref)).when(stratum == 1, corrupted(F.col(ref))).otherwise(mutated(F.col(ref), topic(number), topic(number * 7 + 3)))
+    name = F.when(stratum == 0, "TN_CLEAN_").when(stratum == 1, "TN_ADV_").otherwise("TP_MUT_")
+    kind = F.when(stratum == 0, "True Negative (Clean)").when(stratum == 1, "True Negative (Adversarial)").otherwise("Ground Truth Positive (Mutated)")
+    real = drawn.select(F.concat(name, number.cast("string")).alias("test_id"), kind.alias("category"), text.alias("reference"), (stratum < 2).alias("truth"))
+    page = lambda t, mark, start: F.replace(t, F.lit(mark), (start + F.col("id")).cast("string"))
+    base = F.get(F.array(*[F.lit(t) for t in templates]), (F.col("id") % len(templates)).cast("int"))
+    made = rows.sparkSession.range(n).select(
+        F.concat(F.lit("TP_LLM_"), (F.col("id") + 1).cast("string")).alias("test_id"), F.lit("Ground Truth Positive (LLM Fabricated)").alias("category"),
+        page(page(base, "{first}", F.lit(1000)), "{last}", F.lit(1015)).alias("reference"), F.lit(False).alias("truth"),
+    )
+    return real.unionByName(made)

@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from refloom.functions import sql
 from refloom.operators import corpus, near_titles, parsing, upsert
 from refloom.operators.stored import shared_folder
 from refloom.plans.base import query, table
 from refloom.sources import workbooks
+from refloom.streaming import tracked
 
 
 @query(
@@ -83,3 +85,53 @@ def contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, expected counts and the test of independence; with five groups the p value is exp(-x/2) (1 + x/2)."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("key"), (F.col("o_orderstatus") == "F").alias("flag"))
     return corpus.contingency(rows, "key", "flag")
+
+
+@query(
+    """with e as (select user_id, event_id as spot, event_type = 'error' and event_id % 5 = 0 as stop from events), s as (select user_id, min(spot) filter (stop) as stop_at, count(*) filter (not stop) as total from e group by all),
+d as (select user_id, total, stop_at is not null as stopped, count(*) filter (not stop and (stop_at is null or spot < stop_at)) as done from e join s using (user_id) group by all)
+select user_id::varchar as file_id, done, total, case when total > 0 then floor(done / total * 100 + 0.5) else 0 end::bigint as percent, stopped from d"""
+)
+def tracked_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as results of a file for each user, some of them stop marks, tracked by a stream."""
+    folder = f"{shared_folder(spark)}/tracked-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("file_id"), F.col("event_id").alias("at"), ((F.col("event_type") == "error") & (F.col("event_id") % 5 == 0)).alias("stop"))
+    none = F.lit(None).cast("long")
+    marks = events.select("file_id", "at", F.when(F.col("stop"), "stop").otherwise("result").alias("kind"), none.alias("n"))
+    parsed = events.groupBy("file_id").agg(F.count_if(~F.col("stop")).alias("n")).select("file_id", F.lit(-1).cast("long").alias("at"), F.lit("parsed").alias("kind"), "n")
+    parsed.unionByName(marks).write.parquet(f"{folder}/in")
+    tracked.track(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state")
+    return tracked.latest(spark, f"{folder}/out")
+
+
+@query(
+    """with d as (select o_orderkey as k, o_orderpriority || ' ' || o_custkey || case when o_orderkey % 2 = 0 then ' of the waffle office' else ' on the long road. End' end as r from orders where o_orderkey % 9 > 0),
+s as (select *, row_number() over (order by md5('42:' || k), k) - 1 as spot from d qualify spot < 60),
+t as (select ['Quantum Gravity', 'Sub-surface Thermal Anomalies', 'CRISPR-Cas9 Gene Editing', 'Supra-molecular Polymers', 'Dark Matter Halos', 'Neuro-morphic Computing', 'Super-conducting Qubits', 'Metagenomic Sequencing', 'Zero-Knowledge Proofs', 'Topological Insulators'] as topics),
+n as (select *, spot // 20 as st, spot % 20 + 1 as no, list_filter(string_split(r, ' '), lambda w: w <> '') as w from s, t)
+select case st when 0 then 'TN_CLEAN_' when 1 then 'TN_ADV_' else 'TP_MUT_' end || no::bigint as test_id, case st when 0 then 'True Negative (Clean)' when 1 then 'True Negative (Adversarial)' else 'Ground Truth Positive (Mutated)' end as category,
+case st when 0 then r when 1 then case when k % 2 = 0 then replace(replace(replace(r, 'fi', 'ﬁ'), 'fl', 'ﬂ'), 'ff', 'ﬀ') else replace(replace(r, ' ', '  '), '.', '.' || chr(10)) end
+else array_to_string(w[1:3], ' ') || ' ' || topics[no % 10 + 1] || ' in ' || topics[(no * 7 + 3) % 10 + 1] || '. ' || array_to_string(w[-3:], ' ') end as reference, st < 2 as truth from n
+union all select 'TP_LLM_' || (i + 1), 'Ground Truth Positive (LLM Fabricated)', 'Doe, J. (2024). Nothing at all. J, 1, ' || (1000 + i) || '-' || (1015 + i) || '.', false from range(20) x(i)"""
+)
+def benchmark_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seeded benchmark of clean, corrupted, mutated and made-up references."""
+    key = F.col("o_orderkey")
+    tail = F.when(key % 2 == 0, " of the waffle office").otherwise(" on the long road. End")
+    reference = F.when(key % 9 > 0, F.concat("o_orderpriority", F.lit(" "), F.col("o_custkey").cast("string"), tail))
+    return corpus.benchmark_cases(table(spark, sf_dir, "orders").select(key.alias("ref_id"), reference.alias("reference")), 20, templates=["Doe, J. (2024). Nothing at all. J, 1, {first}-{last}."])
+
+
+@query(
+    """with n as (select p_partkey, p_name, case p_partkey % 3 when 0 then p_name when 1 then replace(p_name, 'e', 'é') else p_type end as b, p_brand from part)
+select p_partkey, lower(b) = replace(lower(b), 'é', 'e') as plain, case when p_partkey % 3 < 2 then 100::bigint else -1 end as same, p_partkey % 2 = 0 as listed from n"""
+)
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions called from SQL text alone."""
+    sql.register(spark)
+    table(spark, sf_dir, "part").createOrReplaceTempView("refloom_part")
+    return spark.sql(
+        """with n as (select p_partkey, p_name, case p_partkey % 3 when 0 then p_name when 1 then replace(p_name, 'e', 'é') else p_type end as b, p_brand from refloom_part)
+        select p_partkey, lower(b) = fold_text(b) as plain, case when p_partkey % 3 < 2 then title_similarity(p_name, b) else -1L end as same,
+        author_similarity(concat('Vaswani, A. and ', p_brand), array(concat('Ashish Vaswani'), case when p_partkey % 2 = 0 then 'A Vaswani 0001' else 'Nobody Else' end)) = 100 as listed from n"""
+    )

@@ -2,39 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from refloom.functions.text import bind, filled, plain_key
 
 
+#: Characters at the start of a short key that the longer one must hold.
+GRAM = 20
+
+
+def _keyed(refs: DataFrame) -> DataFrame:
+    return refs.select("batch_id", "seq", plain_key(F.coalesce(filled(F.col("title")), F.col("raw"))).alias("key"))
+
+
+def _links(keyed: DataFrame) -> DataFrame:
+    """(batch_id, inner, outer): different keys of over 20 characters of a batch, one inside the other.
+
+    The interior words of the inner key stand whole in the outer one, so both meet on the
+    inner key's longest interior word; keys of under three words meet the outer key on
+    their first ``GRAM`` characters.  Repeated keys are compared once.
+    """
+    long = keyed.filter(F.length("key") > 20).select("batch_id", "key").distinct().withColumn("words", F.split("key", " "))
+    middle = F.array_max(F.transform(F.slice("words", F.lit(2), F.size("words") - 2), lambda w: F.struct(F.length(w), w.alias("w"))))["w"]
+    at = ["batch_id", "part"]
+    anchored = long.filter(F.size("words") >= 3).select("batch_id", middle.alias("part"), F.col("key").alias("inner"))
+    words = long.select("batch_id", F.explode(F.array_distinct("words")).alias("part"), F.col("key").alias("outer"))
+    short = long.filter(F.size("words") < 3).select("batch_id", F.substring("key", 1, GRAM).alias("part"), F.col("key").alias("inner"))
+    grams = F.transform(F.sequence(F.lit(1), F.length("key") - GRAM + 1), lambda i: F.substring("key", i, F.lit(GRAM)))
+    spread = long.join(short.select("batch_id").distinct(), "batch_id", "left_semi").select("batch_id", F.explode(F.array_distinct(grams)).alias("part"), F.col("key").alias("outer"))
+    inside = (F.col("inner") != F.col("outer")) & F.col("outer").contains(F.col("inner"))
+    return anchored.join(words, at).filter(inside).drop("part").unionByName(short.join(spread, at).filter(inside).drop("part")).distinct()
+
+
 def duplicate_pairs(refs: DataFrame) -> DataFrame:
     """(batch_id, orig_seq, dup_seq): equal keys (empty ones too), or one of over 20 characters in the other.
 
-    Equal keys are an equi-join.  Containment is blocked: the interior words of
-    the shorter key stand whole in the longer one, so both sides meet on the
-    shorter key's longest interior word; keys of under three words are compared
-    with the keys of their batch.
+    As many rows as there are pairs; ``last_originals`` gives the duplicates without them.
     """
-    keyed = refs.select("batch_id", "seq", plain_key(F.coalesce(filled(F.col("title")), F.col("raw"))).alias("key"))
+    keyed = _keyed(refs)
     x, y = keyed.alias("x"), keyed.alias("y")
-    earlier = F.col("x.seq") < F.col("y.seq")
     pair = [F.col("x.batch_id").alias("batch_id"), F.least("x.seq", "y.seq").alias("orig_seq"), F.greatest("x.seq", "y.seq").alias("dup_seq")]
-    equal = x.join(y, (F.col("x.batch_id") == F.col("y.batch_id")) & (F.col("x.key") == F.col("y.key")) & earlier).select(*pair)
-    long = keyed.filter(F.length("key") > 20).withColumn("words", F.split("key", " "))
-    inner = F.slice("words", F.lit(2), F.size("words") - 2)
-    anchored = long.filter(F.size("words") >= 3).withColumn("word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w), w.alias("w"))))["w"]).alias("x")
-    spread = long.select("batch_id", "seq", "key", F.explode(F.array_distinct("words")).alias("word")).alias("y")
-    inside = (F.col("x.seq") != F.col("y.seq")) & F.col("y.key").contains(F.col("x.key"))
-    held = anchored.join(spread, (F.col("x.batch_id") == F.col("y.batch_id")) & (F.col("x.word") == F.col("y.word")) & inside).select(*pair)
-    short = long.filter(F.size("words") < 3).alias("x").join(long.alias("y"), (F.col("x.batch_id") == F.col("y.batch_id")) & inside).select(*pair)
-    return equal.unionByName(held).unionByName(short).distinct()
-
-
-def duplicate_of(pairs: DataFrame, refs: DataFrame) -> DataFrame:
-    """(batch_id, seq, duplicate_of): the label of the last original of each duplicate."""
-    labels = refs.select("batch_id", F.col("seq").alias("orig_seq"), F.coalesce(F.nullif("ref_number", F.lit(0)), F.col("seq") + 1).alias("label"))
-    return pairs.join(labels, ["batch_id", "orig_seq"]).groupBy("batch_id", F.col("dup_seq").alias("seq")).agg(F.max_by("label", "orig_seq").alias("duplicate_of"))
+    equal = x.join(y, (F.col("x.batch_id") == F.col("y.batch_id")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.seq") < F.col("y.seq"))).select(*pair)
+    links = _links(keyed)
+    held = links.join(keyed.withColumnRenamed("key", "inner").withColumnRenamed("seq", "a"), ["batch_id", "inner"]).join(keyed.withColumnRenamed("key", "outer").withColumnRenamed("seq", "b"), ["batch_id", "outer"])
+    return equal.unionByName(held.filter("a <> b").select("batch_id", F.least("a", "b").alias("orig_seq"), F.greatest("a", "b").alias("dup_seq"))).distinct()
+
+
+def last_originals(refs: DataFrame) -> DataFrame:
+    """(batch_id, seq, duplicate_of): the label of the last earlier reference that each repeats.
+
+    Among equal keys that is the one before; among linked keys the rows of both are read
+    in order of their place, so the work grows with the rows and not with their pairs.
+    """
+    keyed = _keyed(refs)
+    equal = keyed.withColumn("orig_seq", F.lag("seq").over(Window.partitionBy("batch_id", "key").orderBy("seq"))).filter("orig_seq is not null").select("batch_id", "seq", "orig_seq")
+    links = _links(keyed)
+    both = links.select("batch_id", F.struct("inner", "outer").alias("link"), F.explode(F.array(F.struct(F.lit(True).alias("within"), F.col("inner").alias("key")), F.struct(F.lit(False).alias("within"), F.col("outer").alias("key")))).alias("x"))
+    rows = both.select("batch_id", "link", "x.within", "x.key").join(keyed, ["batch_id", "key"])
+    before = Window.partitionBy("batch_id", "link").orderBy("seq", "within").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda within: F.max(F.when(F.col("within") == within, F.col("seq"))).over(before)
+    crossed = rows.withColumn("orig_seq", F.when(F.col("within"), last(False)).otherwise(last(True))).filter("orig_seq < seq").select("batch_id", "seq", "orig_seq")
+    found = equal.unionByName(crossed).groupBy("batch_id", "seq").agg(F.max("orig_seq").alias("orig_seq"))
+    return found.join(_labels(refs), ["batch_id", "orig_seq"]).select("batch_id", "seq", "duplicate_of")
+
+
+def _labels(refs: DataFrame) -> DataFrame:
+    return refs.select("batch_id", F.col("seq").alias("orig_seq"), F.coalesce(F.nullif("ref_number", F.lit(0)), F.col("seq") + 1).alias("duplicate_of"))
 
 
 #: Names that are matched as literals, names in an automaton, venues that one task looks through.

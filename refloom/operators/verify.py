@@ -31,7 +31,7 @@ def verify_batch(inputs: DataFrame, catalog: DataFrame, denylist: DataFrame, as_
     """
     refs = stored(references(inputs), "references")
     checked = resolve.resolve(refs.select("ref_id", "raw", "title", "authors", "journal", "year", "doi", "arxiv_id"), catalog, k, as_of_year)
-    copies = duplicates.duplicate_of(duplicates.duplicate_pairs(refs.select("batch_id", "seq", "raw", "title")), refs)
+    copies = duplicates.last_originals(refs)
     rows = refs.select("ref_id", "batch_id", "seq", "raw", F.col("journal").alias("_cited"), F.col("doi").alias("_doi")).join(checked, "ref_id").join(copies, ["batch_id", "seq"], "left")
     rows = rows.select(
         "batch_id", "seq", "ref_id", "raw", "path", "exists", "source", "confidence", "title_score", "author_score", "journal_score", "retracted", "issues", "duplicate_of",

@@ -530,7 +530,7 @@ select batch_id, seq, arg_max(coalesce(nullif(num, 0), orig + 1), orig)::bigint
 )
 def duplicate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = table(spark, sf_dir, "part").select(F.col("p_brand").alias("batch_id"), F.col("p_partkey").alias("seq"), F.col("p_name").alias("raw"), F.col("p_name").alias("title"), F.col("p_size").alias("ref_number"))
-    return duplicates.duplicate_of(duplicates.duplicate_pairs(refs), refs).select("batch_id", "seq", F.col("duplicate_of").cast("long").alias("duplicate_of"))
+    return duplicates.last_originals(refs).select("batch_id", "seq", F.col("duplicate_of").cast("long").alias("duplicate_of"))
 
 
 @query(

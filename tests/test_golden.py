@@ -257,3 +257,28 @@ def test_many_denylisted_names_are_one_automaton(spark, monkeypatch):
         monkeypatch.setattr(duplicates, "SHARD_NAMES", shard)
         monkeypatch.setattr(duplicates, "PART_VENUES", part)
         assert {r.venue: r.predatory for r in duplicates.on_denylist(rows, listed).collect()} == want
+
+
+def test_last_originals_are_those_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(11)
+    stems = ["learning representations of graphs", "learning representations", "deep learning representations of graphs again", "internationalization of standards", "xinternationalization ofx", "internationalizationof", "", "short", "the art of learning representations of graphs"]
+    rows = [(b, i, "raw", rng.choice(stems), rng.choice([None, 0, 7, i + 100])) for b in ("x", "y") for i in range(60)]
+    refs = spark.createDataFrame(rows, "batch_id string, seq long, raw string, title string, ref_number long")
+    want = {}
+    for b, j, _, t, _ in rows:
+        for b2, i, _, u, label in rows:
+            p, q = u or "raw", t or "raw"
+            if b2 == b and i < j and (p == q or (len(p) > 20 and len(q) > 20 and (p in q or q in p))):
+                want[b, j] = label or i + 1  # the last one stays
+    assert {(r.batch_id, r.seq): r.duplicate_of for r in duplicates.last_originals(refs).collect()} == want
+    pairs = {(r.batch_id, r.orig_seq, r.dup_seq) for r in duplicates.duplicate_pairs(refs).collect()}
+    assert {(b, j) for b, _, j in pairs} == set(want)
+
+
+def test_copies_make_no_pairs(spark):
+    """Three thousand equal references give three thousand rows."""
+    refs = spark.range(3000).select(F.lit(1).alias("batch_id"), F.col("id").alias("seq"), F.lit("r").alias("raw"), F.lit("one and the same long title of all").alias("title"), F.lit(None).cast("int").alias("ref_number"))
+    got = duplicates.last_originals(refs)
+    assert got.count() == 2999 and got.filter("duplicate_of <> seq").count() == 0

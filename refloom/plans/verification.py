@@ -83,6 +83,22 @@ def catalog_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _catalog(_papers(spark, sf_dir)).select("source", "rec_id", "title", F.array_join("authors", "|").alias("authors"), "year", "venue", "doi", "citations", "retracted")
 
 
+@query(
+    _PAPERS_SQL
+    + """, c as (select 'CrossRef' as source, '10.1000/' || k as id, title as t, venue as v, year as y, 'https://doi.org/10.1000/' || k as link, 'Doe, J' as mla, 'DOE, J' as iso, 'Doe, J' as bib, 'article' as kind, 'journal={' || venue || '}' as own, '10.1000/' || k as doi from p where k % 6 in (0, 1, 3)
+union all select 'SemanticScholar', k::varchar, title, venue, year, 'https://doi.org/10.1000/' || k, 'J Doe', 'J DOE', 'J Doe', 'article', 'journal={' || venue || '}', '10.1000/' || k from p where k % 6 = 4
+union all select 'OpenAlex', k::varchar, 'Retracted: ' || reverse(title), venue, year, 'https://doi.org/10.1000/' || k, 'J Doe', 'J DOE', 'J Doe', 'article', 'journal={' || venue || '}', '10.1000/' || k from p where k % 6 = 2
+union all select 'arXiv', arxiv_id, title || ' & <', 'arXiv preprint arXiv:' || arxiv_id, year, 'http://arxiv.org/abs/' || arxiv_id, 'J Doe', 'J DOE', 'J Doe', 'misc', 'eprint={' || arxiv_id || '},' || chr(10) || '  archivePrefix={arXiv},' || chr(10) || '  primaryClass={cs.AI}', null from p where k % 6 = 5
+union all select 'DBLP', 'k/' || k, reverse(title), venue, year, 'https://doi.org/10.1000/' || k, 'Jo Doe', 'JO DOE', 'Jo Doe', 'inproceedings', 'booktitle={' || venue || '}', '10.1000/' || k from p where k % 6 = 2)
+select source, id as rec_id, 'Doe, J. (' || y || '). ' || t || '. ' || v || '. ' || link as apa, mla || '. "' || t || '." ' || v || ', ' || y || '. ' || link || '.' as mla, iso || '. ' || t || '. ' || v || ', ' || y || '. ' || link as iso690,
+'@' || kind || '{Doe' || y || regexp_replace(string_split(t, ' ')[1], '[^a-zA-Z0-9]', '', 'g') || ',' || chr(10) || '  title={' || t || '},' || chr(10) || '  author={' || bib || '},' || chr(10) || '  year={' || y || '},' || chr(10) || '  ' || own
+|| coalesce(',' || chr(10) || '  doi={' || doi || '}', '') || chr(10) || '}' as bibtex from c"""
+)
+def catalog_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four styles of the records of all five catalogs."""
+    return citations.with_citations(_catalog(_papers(spark, sf_dir))).select("source", "rec_id", "apa", "mla", "iso690", "bibtex")
+
+
 def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four references of each batch, one line each, and the first of them again."""
     papers = _papers(spark, sf_dir)

@@ -66,10 +66,9 @@ def _scored(reading: DataFrame, wanted: DataFrame, records: DataFrame) -> DataFr
     postings = records.select("source", "rec_id", F.explode("words").alias("word"))
     met = reading.select("query", "source", "word").join(postings, ["source", "word"]).select("query", "source", "rec_id").distinct()
     both = met.join(records, ["source", "rec_id"]).join(wanted, ["query", "source"])
-    shared = F.filter("wanted", lambda t: F.array_contains("words", t["word"]))
-    return both.select(
-        "query", "source", "source_rank", "rec_id", F.size(shared).cast("long").alias("hits"), F.aggregate(shared, F.lit(0).cast("long"), lambda s, t: s + t["weight"]).alias("score")
-    ).dropDuplicates(["query", "source", "rec_id"])
+    both = both.select("query", "source", "source_rank", "rec_id", "wanted", F.array_intersect(F.transform("wanted", lambda t: t["word"]), "words").alias("shared"))
+    total = F.aggregate("wanted", F.lit(0).cast("long"), lambda s, t: s + F.when(F.array_contains("shared", t["word"]), t["weight"]).otherwise(0))
+    return both.select("query", "source", "source_rank", "rec_id", F.size("shared").cast("long").alias("hits"), total.alias("score")).dropDuplicates(["query", "source", "rec_id"])
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:

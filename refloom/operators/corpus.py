@@ -30,6 +30,12 @@ def domain_rates(rows: DataFrame) -> DataFrame:
     return rows.groupBy(domain.alias("domain"), year.alias("year")).agg(F.avg((F.col("status") == "Not Found").cast("double")).alias("rate"))
 
 
+def year_rates(rows: DataFrame) -> DataFrame:
+    """Not-found rate in percent by the year at the end of the dataset's name; rows without status or dataset do not count."""
+    known = rows.dropna(subset=["status", "dataset"])
+    return known.groupBy(F.substring_index("dataset", "_", -1).alias("year")).agg(F.count("*").alias("n"), (F.avg((F.col("status") == "Not Found").cast("double")) * 100).alias("rate"))
+
+
 def crosstab(rows: DataFrame, key: str, flag: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count_if(F.col(flag)).alias("yes"), F.count_if(~F.col(flag)).alias("no"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refloom.functions.extract import parsed_int
-from refloom.functions.text import rounded
+from refloom.functions.text import filled, plain_ascii, rounded
 
 
 def ui_status(exists: Column, confidence: Column) -> Column:
@@ -119,6 +119,34 @@ def first_k(rows: DataFrame, key: str, order: str, k: int = 50) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= k).drop("_n")
 
 
+#: Characters of a reference in a corpus row, and of the text of a web probe.
+ROW_CHARS = 500
+PROBE_CHARS = 100
+
+
+def corpus_rows(results: DataFrame) -> DataFrame:
+    """A row of the corpus table for each result: the first ``ROW_CHARS`` of the reference, blanks for nulls, class without mismatches.
+
+    Results have file_name, dataset, seq, raw, exists, confidence, title, journal, year, doi,
+    retracted, predatory and source; the first 50 references of a file count, and of
+    those the ones of 15 characters or more.
+    """
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    yes = lambda c: F.when(F.coalesce(F.col(c), F.lit(False)), "YES").otherwise("NO")
+    known = first_k(results, "file_name", "seq").filter(F.length("raw") >= 15)
+    status = batch_status(F.col("exists"), F.col("confidence"))
+    return known.select(
+        F.col("file_name").alias("Paper File"), F.col("dataset").alias("Dataset"), F.substring("raw", 1, ROW_CHARS).alias("Original Reference"), F.when(status == "Partial", "Partial Match").otherwise(status).alias("Status"),
+        blank("title").alias("Found Title"), blank("journal").alias("Found Journal"), blank("year").alias("Year"), blank("doi").alias("DOI"), F.coalesce("confidence", F.lit(0.0)).alias("Confidence %"),
+        yes("retracted").alias("Retracted"), yes("predatory").alias("Predatory"), blank("source").alias("Source"),
+    )
+
+
+def probe_text(ref: Column) -> Column:
+    """What a web probe asks for: the start of the cleaned reference; null for nothing."""
+    return F.substring(filled(plain_ascii(ref)), 1, PROBE_CHARS)
+
+
 def apply_overrides(results: DataFrame, overrides: DataFrame) -> DataFrame:
     """Edited citations replace computed ones, by ref_id."""
     fields = ["apa", "mla", "iso690", "bibtex"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refloom.functions import sql
-from refloom.operators import corpus, near_titles, parsing, upsert
+from refloom.operators import corpus, near_titles, parsing, report, upsert
 from refloom.operators.stored import shared_folder
 from refloom.plans.base import query, table
 from refloom.sources import workbooks
@@ -135,3 +135,48 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         select p_partkey, lower(b) = fold_text(b) as plain, case when p_partkey % 3 < 2 then title_similarity(p_name, b) else -1L end as same,
         author_similarity(concat('Vaswani, A. and ', p_brand), array(concat('Ashish Vaswani'), case when p_partkey % 2 = 0 then 'A Vaswani 0001' else 'Nobody Else' end)) = 100 as listed from n"""
     )
+
+
+@query(
+    """with r as (select p_partkey, 'Doe, J. (2001). ' || p_name || ' of the first kind, J Roe, A. (2002). ' || p_type || ' goes on. K, 2.' as one, 'Poe, E. (2003). ' || p_name || ' once more. L, 3.' as two, 'Low, B. (2004). Glued to it. M, 4.' as three, 'a line after a blank begins one' as four from part)
+select p_partkey, i::int as ref_no, [one, two, three, four][i] as reference from r, range(1, 5) as u(i)"""
+)
+def author_year_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections without numbers: author-year lines and blank lines begin references, glued ones are parted."""
+    name, kind = F.col("p_name"), F.col("p_type")
+    lines = ["Doe, J. (2001). ", name, " of the first\nkind, J\nRoe, A. (2002). ", kind, " goes on. K, 2.\nPoe, E. (2003). ", name, " once more. L, 3. Low, B. (2004). Glued to it. M, 4.\n\na line after a blank begins one\n\ntoo short"]
+    section = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in lines])
+    return parsing.split_references(table(spark, sf_dir, "part").select("p_partkey", section.alias("section")), "p_partkey", unglue=True)
+
+
+@query(
+    """with r as (select o_custkey::varchar as f, o_orderkey as k, row_number() over (partition by o_custkey order by o_orderkey) as n, repeat(o_orderpriority || ' ', o_orderkey % 90) as raw, o_orderstatus <> 'P' as e, floor(o_totalprice)::bigint % 101 as conf from orders)
+select f || '.pdf' as file, count(*) as n, sum(length(left(raw, 500)))::bigint as chars, count(*) filter (not e) as missing, count(*) filter (e and conf > 80) as verified, count(*) filter (e and conf <= 80) as partial, count(*) filter (k % 11 = 0) as retracted, sum(conf)::double as conf,
+md5(string_agg(left(trim(raw), 100), '|' order by k)) as probes from r where n <= 50 and length(raw) >= 15 group by f"""
+)
+def corpus_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as results of papers, one for each customer, in the rows of the corpus table."""
+    orders = table(spark, sf_dir, "orders")
+    key, none = F.col("o_orderkey"), F.lit(None).cast("string")
+    results = orders.select(
+        F.concat(F.col("o_custkey").cast("string"), F.lit(".pdf")).alias("file_name"), F.lit("Arxiv_CS_2016").alias("dataset"), key.alias("seq"), F.repeat(F.concat("o_orderpriority", F.lit(" ")), (key % 90).cast("int")).alias("raw"), (F.col("o_orderstatus") != "P").alias("exists"),
+        (F.floor("o_totalprice") % 101).cast("double").alias("confidence"), none.alias("title"), none.alias("journal"), key.cast("string").alias("year"), none.alias("doi"), (key % 11 == 0).alias("retracted"), F.lit(None).cast("boolean").alias("predatory"), none.alias("source"),
+    )
+    probes = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("Year").cast("long").alias("k"), report.probe_text(F.col("Original Reference")).alias("t")))), lambda x: x["t"]), "|")
+    return (
+        report.corpus_rows(results)
+        .groupBy(F.col("Paper File").alias("file"))
+        .agg(
+            F.count("*").alias("n"), F.sum(F.length("Original Reference")).cast("long").alias("chars"), F.count_if(F.col("Status") == "Not Found").alias("missing"), F.count_if(F.col("Status") == "Verified").alias("verified"),
+            F.count_if(F.col("Status") == "Partial Match").alias("partial"), F.count_if(F.col("Retracted") == "YES").alias("retracted"), F.sum("Confidence %").alias("conf"), F.md5(probes).alias("probes"),
+        )
+    )
+
+
+@query("select (2016 + o_orderkey % 4)::varchar as year, count(*) as n, avg((o_orderstatus = 'P')::int) * 100 as rate from orders where o_orderkey % 5 > 0 and o_orderkey % 7 > 0 group by 1")
+def year_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not-found rate by year alone; rows without status or dataset are left out."""
+    key = F.col("o_orderkey")
+    status = F.when(key % 5 > 0, F.when(F.col("o_orderstatus") == "P", "Not Found").otherwise("Verified"))
+    dataset = F.when(key % 7 > 0, F.concat(F.lit("Arxiv_CS_"), (2016 + key % 4).cast("string")))
+    return corpus.year_rates(table(spark, sf_dir, "orders").select(status.alias("status"), dataset.alias("dataset")))

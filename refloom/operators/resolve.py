@@ -17,7 +17,7 @@ from refloom.functions.text import filled, fold, rounded
 from refloom.operators import validate
 from refloom.operators.near_titles import near_titles
 from refloom.operators.retrieval import candidates, title_words  # noqa: F401
-from refloom.operators.stored import stored
+from refloom.operators.stored import Scratch, stored
 
 #: Largest confidence and venue score (with, without a venue) of a source.
 CAPS = {"SemanticScholar": (95, 90), "OpenAlex": (90, 85), "arXiv": (90, 80), "DBLP": (90, 85)}
@@ -190,7 +190,8 @@ def best_overall(pool: DataFrame, least: int = 70) -> DataFrame:
 
 def search(refs: DataFrame, catalog: DataFrame, k: int = 5, edits: int = 0) -> DataFrame:
     """The best candidate of all sources for each reference that has one."""
-    found = stored(best_overall(stored(best_per_source(refs, catalog, k, edits), "pool")), "found")
+    with Scratch() as scratch:
+        found = scratch.keep(stored(best_overall(stored(best_per_source(refs, catalog, k, edits), "pool")), "found"))
     return found.select("ref_id", F.lit("search").alias("path"), "confidence", "title_score", "author_score", "journal_score", "retracted", "issues", "found")
 
 

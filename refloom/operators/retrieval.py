@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refloom.functions.text import fold
-from refloom.operators.stored import stored
+from refloom.operators.stored import Scratch, stored
 
 #: Postings that a query reads up to each round; its rarest word is always read in the first, what is beyond the last in one more.
 ROUNDS = (256, 16_384)
@@ -95,6 +95,8 @@ def candidates(refs: DataFrame, catalog: DataFrame, k: int = 5, query_col: str =
     """(ref_id, source, source_rank, rec_id, hits, weight, rank): the k records of each source with the weightiest shared words."""
     words = F.array_sort(title_words(F.col(query_col)))
     keyed = refs.select("ref_id", words.alias("words")).filter(F.size("words") > 0).withColumn("query", F.sha2(F.array_join("words", " "), 256))
-    keyed = stored(keyed, "queries")
-    found = search(keyed.select("query", "words").distinct(), indexed(catalog), k)
-    return keyed.select("ref_id", "query").join(found, "query").select("ref_id", "source", "source_rank", "rec_id", "hits", F.col("score").alias("weight"), "rank")
+    with Scratch() as scratch:
+        keyed = stored(keyed, "queries")
+        found = search(keyed.select("query", "words").distinct(), indexed(catalog), k)
+        named = keyed.select("ref_id", "query").join(found, "query").select("ref_id", "source", "source_rank", "rec_id", "hits", F.col("score").alias("weight"), "rank")
+        return scratch.keep(stored(named, "candidates"))

@@ -37,3 +37,20 @@ def test_a_better_source_replaces_the_issues(spark):
         "r3": ("DBLP", ["alone"]),
         "r4": ("arXiv", ["Better match found in arXiv (CrossRef confidence was 50%)"]),
     }
+
+
+def test_a_search_leaves_one_table(spark, tmp_path, monkeypatch):
+    """What a search stores on its way is deleted; what it returns can still be read."""
+    from refloom.operators import stored
+    from tests.test_retrieval import resolve_catalog
+
+    monkeypatch.setattr(stored, "shared_folder", lambda _: str(tmp_path))
+    catalog = resolve_catalog(spark, [("d1", "Deep learning for protein folding"), ("d2", "Shallow ideas")])
+    refs = spark.createDataFrame([(1, "x", "Deep learning for protein folding", None, None, None, None, None)], "ref_id long, raw string, title string, authors string, journal string, year string, doi string, arxiv_id string")
+    found = resolve.search(refs, catalog)
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["found"] and found.count() == 1
+    with stored.Scratch() as outer, stored.Scratch() as inner:
+        kept = inner.keep(stored.stored(spark.range(3), "kept"))
+        stored.stored(spark.range(3), "gone")
+        assert outer.paths == {} or kept._stored_path in outer.paths
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["found"]

@@ -142,6 +142,15 @@ FABRICATIONS = [
 ]
 
 
+#: Prefix of the ids and category of each stratum of a benchmark.
+STRATA = [
+    ("TN_CLEAN_", "True Negative (Clean)"),
+    ("TN_ADV_", "True Negative (Adversarial)"),
+    ("TP_MUT_", "Ground Truth Positive (Mutated)"),
+    ("TP_LLM_", "Ground Truth Positive (LLM Fabricated)"),
+]
+
+
 def corrupted(ref: Column) -> Column:
     """Ligatures where there are letters for them, else doubled spaces and broken lines."""
     spread = F.replace(F.replace(ref, F.lit(" "), F.lit("  ")), F.lit("."), F.lit(".\n"))
@@ -169,13 +178,12 @@ def benchmark_cases(rows: DataFrame, n: int = 100, seed: int = 42, *, key: str =
     topic = lambda at: F.get(F.array(*[F.lit(t) for t in TOPICS]), (at % len(TOPICS)).cast("int"))
     stratum, number = F.floor(F.col("_at") / n), F.col("_at") % n + 1
     text = F.when(stratum == 0, F.col(ref)).when(stratum == 1, corrupted(F.col(ref))).otherwise(mutated(F.col(ref), topic(number), topic(number * 7 + 3)))
-    name = F.when(stratum == 0, "TN_CLEAN_").when(stratum == 1, "TN_ADV_").otherwise("TP_MUT_")
-    kind = F.when(stratum == 0, "True Negative (Clean)").when(stratum == 1, "True Negative (Adversarial)").otherwise("Ground Truth Positive (Mutated)")
+    name, kind = (F.get(F.array(*[F.lit(x[i]) for x in STRATA]), stratum.cast("int")) for i in (0, 1))
     real = drawn.select(F.concat(name, number.cast("string")).alias("test_id"), kind.alias("category"), text.alias("reference"), (stratum < 2).alias("truth"))
     page = lambda t, mark, start: F.replace(t, F.lit(mark), (start + F.col("id")).cast("string"))
     base = F.get(F.array(*[F.lit(t) for t in templates]), (F.col("id") % len(templates)).cast("int"))
     made = rows.sparkSession.range(n).select(
-        F.concat(F.lit("TP_LLM_"), (F.col("id") + 1).cast("string")).alias("test_id"), F.lit("Ground Truth Positive (LLM Fabricated)").alias("category"),
+        F.concat(F.lit(STRATA[3][0]), (F.col("id") + 1).cast("string")).alias("test_id"), F.lit(STRATA[3][1]).alias("category"),
         page(page(base, "{first}", F.lit(1000)), "{last}", F.lit(1015)).alias("reference"), F.lit(False).alias("truth"),
     )
     return real.unionByName(made)

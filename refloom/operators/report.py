@@ -125,7 +125,7 @@ PROBE_CHARS = 100
 
 
 def corpus_rows(results: DataFrame) -> DataFrame:
-    """A row of the corpus table for each result: the first ``ROW_CHARS`` of the reference, blanks for nulls, class without mismatches.
+    """A row of the corpus table for each result (its column names are fixed): the first ``ROW_CHARS`` of the reference, blanks for nulls, class without mismatches.
 
     Results have file_name, dataset, seq, raw, exists, confidence, title, journal, year, doi,
     retracted, predatory and source; the first 50 references of a file count, and of

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from refloom.functions.text import SPACE, adapter_key, bind, fold, rounded, trim
+from refloom.functions.text import SPACE, adapter_key, bind, fold, rounded, trim, word_characters
 
 _WORDS = f"[{SPACE}]+"
 
@@ -23,7 +23,7 @@ def edit_similarity(a: Column, b: Column) -> Column:
 
 def word_overlap(a: Column, b: Column) -> Column:
     """Jaccard similarity of the words; accented letters count as none."""
-    clean = lambda c: _tokens(F.regexp_replace(F.lower(c), f"[^a-zA-Z0-9_{SPACE}]", ""))
+    clean = lambda c: _tokens(word_characters(F.lower(c)))
 
     def score(p):
         x, y = p["x"], p["y"]
@@ -63,16 +63,16 @@ def family_name(name: Column) -> Column:
 
 def author_similarity(expected: Column, authors: Column) -> Column:
     """Share of the found authors whose family name stands in the expected ones."""
-    text = fold(F.coalesce(expected, F.lit("")))
     families = F.filter(F.transform(authors, family_name), lambda f: F.length(f) > 1)
-    hits = F.size(F.filter(families, lambda f: text.contains(f)))
+    folded = F.struct(fold(F.coalesce(expected, F.lit(""))).alias("text"), families.alias("families"))
+    counts = bind(folded, lambda p: F.struct(F.size(F.filter(p["families"], lambda f: p["text"].contains(f))).alias("hits"), F.size(p["families"]).alias("all")))
     others = expected.rlike(r"(?i)et\s+al|and\s+others")
-    return (
-        F.when((F.coalesce(expected, F.lit("")) == "") | (F.coalesce(F.size(authors), F.lit(0)) <= 0), F.lit(100).cast("long"))
-        .when(F.size(families) == 0, F.lit(0).cast("long"))
-        .when(others & (hits > 0), F.lit(100).cast("long"))
-        .otherwise(rounded(hits / F.size(families) * 100))
-    )
+
+    def score(n):
+        return F.when(n["all"] == 0, F.lit(0).cast("long")).when(others & (n["hits"] > 0), F.lit(100).cast("long")).otherwise(rounded(n["hits"] / n["all"] * 100))
+
+    none = (F.coalesce(expected, F.lit("")) == "") | (F.coalesce(F.size(authors), F.lit(0)) <= 0)
+    return F.when(none, F.lit(100).cast("long")).otherwise(bind(counts, score))
 
 
 def adapter_similarity(a: Column, b: Column) -> Column:

@@ -7,12 +7,14 @@ retracted).  Issues are appended in the order of the checks.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refloom.functions.extract import is_preprint, parsed_int
 from refloom.functions.similarity import free_text_similarity, similarity
-from refloom.functions.text import decode_latex, filled, first_letter_matches, fold, journal_key, rounded, trim, without_metadata
+from refloom.functions.text import bind, decode_latex, filled, first_letter, fold, journal_key, rounded, trim, without_metadata
 
 #: Capitalised words of references that are no names.
 NOT_NAMES = [
@@ -37,35 +39,57 @@ def found_families(families: Column) -> Column:
     return F.filter(F.transform(families, fold), lambda f: F.length(f) > 1)
 
 
+def first_letters(givens: Column) -> Column:
+    """The first letters of the given names that are not blank."""
+    return F.transform(F.filter(givens, lambda g: F.length(trim(g)) > 0), first_letter)
+
+
+def _given(name: Column, letters: Column) -> Column:
+    """A given name begins as ``name`` does."""
+    return bind(F.when(F.size(letters) != 0, first_letter(name)).otherwise(""), lambda a: F.exists(letters, lambda g: (a != "") & (g == a)))
+
+
 def extra_authors(authors: Column, families: Column, givens: Column) -> Column:
     """Expected names that match no found family or given name."""
     listed = F.filter(F.transform(F.split(decode_latex(authors), r"(?i)[,&]|\sand\s"), trim), lambda a: F.length(a) > 1)
-    fam = found_families(families)
+    known = F.struct(found_families(families).alias("families"), first_letters(givens).alias("letters"))
+
+    def fake(a, p):
+        family = bind(fold(a), lambda n: F.exists(p["families"], lambda r: r.contains(n) | n.contains(r)))
+        other = bind(F.lower(a), lambda low: low.contains("et al") | low.contains("others") | low.contains("al."))
+        return ~family & ~_given(a, p["letters"]) & ~other
+
+    return bind(known, lambda p: F.filter(listed, lambda a: fake(a, p)))
 
-    def fake(a):
-        n = fold(a)
-        family = F.exists(fam, lambda r: r.contains(n) | n.contains(r))
-        given = F.exists(F.filter(givens, lambda g: F.length(trim(g)) > 0), lambda g: first_letter_matches(a, g))
-        low = F.lower(a)
-        return ~family & ~given & ~low.contains("et al") & ~low.contains("others") & ~low.contains("al.")
 
-    return F.filter(listed, fake)
+def _held(text: Column, families: Column) -> Column:
+    """Struct (hits, all): the found families that stand in a folded text, and all of them."""
+    both = F.struct(text.alias("text"), found_families(families).alias("families"))
+    return bind(both, lambda p: F.struct(F.size(F.filter(p["families"], lambda f: p["text"].contains(f))).alias("hits"), F.size(p["families"]).alias("all")))
 
 
 def batch_author_score(authors: Column, families: Column) -> Column:
-    text, fam = fold(authors), found_families(families)
-    hits = F.size(F.filter(fam, lambda f: text.contains(f)))
     others = authors.rlike(r"(?i)\bet\s+al\.?|and\s+others\b")
-    return F.when(hits > 0, F.when(others, _long(100)).otherwise(F.least(_long(100), rounded(hits / F.size(fam) * 100)))).otherwise(similarity(authors, F.array_join(families, ", ")))
+
+    def score(n):
+        return F.when(n["hits"] > 0, F.when(others, _long(100)).otherwise(F.least(_long(100), rounded(n["hits"] / n["all"] * 100)))).otherwise(similarity(authors, F.array_join(families, ", ")))
+
+    return bind(_held(fold(authors), families), score)
 
 
 def batch_journal_score(journal: Column, venue: Column, title_score: Column) -> Column:
     """Struct (score, issue); no expected journal is 100."""
-    cleaned = journal_key(journal)
     venue = F.coalesce(venue, F.lit(""))
-    score = similarity(cleaned, venue)
-    a, b = fold(cleaned), fold(venue)
-    score = F.when((score < 90) & (a.contains(b) | b.contains(a)), _long(95)).otherwise(score)
+    score = bind(F.struct(journal_key(journal).alias("j"), venue.alias("v")), lambda p: bind(F.struct(similarity(p["j"], p["v"]).alias("s"), fold(p["j"]).alias("a"), fold(p["v"]).alias("b")), _lifted))
+    return bind(score, lambda s: _journal_result(journal, venue, s, title_score))
+
+
+def _lifted(p: Column) -> Column:
+    """The similarity of two venues; 95 at least if one holds the other."""
+    return F.when((p["s"] < 90) & (p["a"].contains(p["b"]) | p["b"].contains(p["a"])), _long(95)).otherwise(p["s"])
+
+
+def _journal_result(journal: Column, venue: Column, score: Column, title_score: Column) -> Column:
     version = (score < 50) & (is_preprint(journal) != is_preprint(venue)) & (title_score > 70)
     note = F.concat(F.lit('Version difference: "'), journal, F.lit('" vs "'), venue, F.lit('" (preprint/published)'))
     given = filled(journal).isNotNull()
@@ -120,36 +144,36 @@ def check_batch(rows: DataFrame) -> DataFrame:
 
 def fake_authors(text: Column, rows: dict[str, Column]) -> Column:
     """Capitalised words of free text that nothing found explains."""
-    fam = found_families(rows["families"])
-    inside = lambda n, col: (F.coalesce(fold(col), F.lit("")) != "") & fold(col).contains(n)
+    names = {c: F.coalesce(fold(rows[c]), F.lit("")) for c in ("title", "venue", "publisher")}
+    known = F.struct(found_families(rows["families"]).alias("families"), first_letters(rows["givens"]).alias("letters"), *[x.alias(c) for c, x in names.items()])
 
-    def fake(t):
-        n = fold(t)
-        family = F.exists(fam, lambda r: r.contains(n) | n.contains(r))
-        given = F.exists(F.filter(rows["givens"], lambda g: F.length(trim(g)) > 0), lambda g: first_letter_matches(t, g))
-        known = inside(n, rows["title"]) | inside(n, rows["venue"]) | inside(n, rows["publisher"]) | F.coalesce(rows["year"].contains(t), F.lit(False))
-        return (F.length(n) >= 4) & t.rlike("^[A-Z]") & ~n.isin(NOT_NAMES) & ~F.coalesce(known, F.lit(False)) & ~family & ~given
+    def fake(t, n, p):
+        family = F.exists(p["families"], lambda r: r.contains(n) | n.contains(r))
+        told = functools.reduce(lambda a, b: a | b, [(p[c] != "") & p[c].contains(n) for c in names]) | F.coalesce(rows["year"].contains(t), F.lit(False))
+        return (F.length(n) >= 4) & ~n.isin(NOT_NAMES) & ~told & ~family & ~_given(t, p["letters"])
 
-    return F.array_distinct(F.filter(F.split(without_metadata(text), r"[\s,.:;()]+"), fake))
+    capital = F.filter(F.split(without_metadata(text), r"[\s,.:;()]+"), lambda t: t.rlike("^[A-Z]"))
+    return F.array_distinct(bind(known, lambda p: F.filter(capital, lambda t: bind(fold(t), lambda n: fake(t, n, p)))))
 
 
 def check_quick(rows: DataFrame) -> DataFrame:
     """Free-text check of ``raw``: adds scores, confidence, accepted and issues."""
     c = F.col
-    text = fold(c("raw"))
-    score = free_text_similarity(c("raw"), c("found_title"))
-    rows = rows.withColumn("title_score", F.when((score < 95) & text.contains(fold(c("found_title"))), _long(95)).otherwise(score))
-    fam = found_families(c("found_families"))
-    hits, others = F.size(F.filter(fam, lambda f: text.contains(f))), c("raw").rlike(r"(?i)\bet\s+al\.?")
-    author = F.when(hits == F.size(fam), _long(100)).when(hits > 0, F.when(others, _long(100)).otherwise(rounded(hits / F.size(fam) * 100))).otherwise(_long(0))
-    none = (hits == 0) & (F.size(fam) > 0) & (c("title_score") > 80)
+    # columns that several expressions read: each is computed once
+    rows = rows.withColumn("_text", fold(c("raw"))).withColumn("_score", free_text_similarity(c("raw"), c("found_title")))
+    rows = rows.withColumn("title_score", F.when((c("_score") < 95) & c("_text").contains(fold(c("found_title"))), _long(95)).otherwise(c("_score")))
+    rows = rows.withColumn("_held", bind(_held(c("_text"), c("found_families")), lambda n: F.array(n["hits"], n["all"])))
+    hits, all_, others = F.get("_held", F.lit(0)), F.get("_held", F.lit(1)), c("raw").rlike(r"(?i)\bet\s+al\.?")
+    author = F.when(hits == all_, _long(100)).when(hits > 0, F.when(others, _long(100)).otherwise(rounded(hits / all_ * 100))).otherwise(_long(0))
+    none = (hits == 0) & (all_ > 0) & (c("title_score") > 80)
     found = {"families": c("found_families"), "givens": c("found_givens"), "title": c("found_title"), "venue": c("found_venue"), "publisher": c("found_publisher"), "year": c("found_year")}
     rows = rows.withColumn("_fake", fake_authors(c("raw"), found))
     few = F.size("_fake").between(1, 5)
     rows = rows.withColumn("author_score", author - F.when(few, 10 * F.size("_fake")).otherwise(0))
     venue_words = F.filter(F.split(fold(c("found_venue")), r"\s+"), lambda w: F.length(w) >= 4)
     has_venue = F.length(F.coalesce(c("found_venue"), F.lit(""))) > 3
-    held = F.exists(venue_words, lambda w: text.contains(w))
+    rows = rows.withColumn("_told", F.exists(venue_words, lambda w: c("_text").contains(w)))
+    held = c("_told")
     rows = rows.withColumn("journal_score", F.when(~has_venue, _long(50)).when(held, _long(100)).when(is_preprint(c("found_venue")), _long(60)).otherwise(_long(0)))
     venue_note = F.when(has_venue & ~held & (c("title_score") > 70), F.when(is_preprint(c("found_venue")), F.concat(F.lit('Note: CrossRef returned preprint venue "'), c("found_venue"), F.lit('"'))).otherwise(F.concat(F.lit('Journal Mismatch: actual is "'), c("found_venue"), F.lit('"'))))
     asked = F.regexp_extract_all(c("raw"), F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1))
@@ -176,7 +200,7 @@ def check_quick(rows: DataFrame) -> DataFrame:
     overall = F.when(c("title_score") > 80, F.when(c("author_score") >= 90, c("title_score").cast("double")).otherwise(c("title_score") - (100 - c("author_score")) * 0.5)).otherwise((c("title_score") + c("author_score")) / 2)
     overall = F.greatest(F.lit(0.0), overall - F.when((c("journal_score") == 0) & (c("title_score") > 60), 15).otherwise(0))
     rows = rows.withColumn("year_score", F.lit(None).cast("long")).withColumn("confidence", F.least(F.lit(100.0), overall)).withColumn("issues", issues)
-    return decide(rows).drop("_fake")
+    return decide(rows).drop("_fake", "_text", "_score", "_held", "_told")
 
 
 def decide(rows: DataFrame) -> DataFrame:
@@ -186,8 +210,7 @@ def decide(rows: DataFrame) -> DataFrame:
     lifted = F.when(sure & (c("confidence") <= 80), F.greatest(F.lit(65.0), c("confidence"))).otherwise(c("confidence"))
     gate = c("title_score") < 70
     rejected = ~sure & ((lifted < 40) | (F.size("issues") >= 3))
-    title = fold(c("found_title"))
-    retracted = title.contains("retract") | title.contains("withdraw") | F.coalesce(c("found_retracted"), F.lit(False))
+    retracted = bind(fold(c("found_title")), lambda t: t.contains("retract") | t.contains("withdraw")) | F.coalesce(c("found_retracted"), F.lit(False))
     note = F.when(retracted, F.array(F.lit("🚨 WARNING: This article has been RETRACTED or WITHDRAWN."))).otherwise(F.array().cast("array<string>"))
     return (
         rows.withColumn("_conf", lifted)

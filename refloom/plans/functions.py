@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from refloom.functions import extract, similarity, text
 from refloom.operators import citations, corpus, parsing, report
-from refloom.plans.base import query, table
+from refloom.plans.base import query, spread, table
 
 
 def _columns() -> list[Column]:
@@ -26,7 +26,7 @@ p_type as journal, p_name || '. , in ' || p_type as bare, p_name as unbraced, p_
 )
 def text_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, brand, kind, key = _columns()
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part")).select(
         "p_partkey",
         text.clean_query(_around("{\\textbf{", name, "}}~\\&  ", kind)).alias("query"),
         text.decode_latex(_around('M{\\"u}ller and Jos\\\'{e} \\v{c} \\c{c} ', name)).alias("latex"),
@@ -59,7 +59,7 @@ def text_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.when(key % 2 == 0, '["Ada Low 0001", {"text": "B. High"}]').otherwise('{"text": "One"}')
     from refloom.sources.catalogs import dblp_authors
 
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part")).select(
         "p_partkey",
         extract.arxiv_id_of_doi(_around("10.48550/arXiv.2101.", number, "v3")).alias("arxiv_id"),
         F.array_join(extract.years(_around("in 1850, ", year, " and 1999")), ",").alias("years"),
@@ -84,7 +84,7 @@ def text_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def similarity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, brand, kind, key = _columns()
     tail = "of the long winded study of things"
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part")).select(
         "p_partkey",
         similarity.title_similarity(_around(name, " ", tail), F.lit(tail)).alias("contained"),
         similarity.free_text_similarity(_around(brand, " ", name, " ", kind), name).alias("inside"),
@@ -112,7 +112,7 @@ def parse_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _around("Doe, J. (2001). ", name, ". Journal of ", kind, ", 12, 3-9.\n[2]. Roe A. ", name, ". Annals of ", kind, ". 1999;12(3):9.\n[3] Li W. ", name, "[J]. Steel Letters, 2005")
     one = _around("Smith J. The making of ", name, " in mills. Journal of ", kind, ". 2003")
     bib = _around("@article{k12, title={{", name, "}}, author={Poe, E.},\n journal={", kind, "}, year={2010}}")
-    texts = table(spark, sf_dir, "part").select("p_partkey", F.when(key % 3 == 0, lines).when(key % 3 == 1, one).otherwise(bib).alias("text"))
+    texts = spread(table(spark, sf_dir, "part")).select("p_partkey", F.when(key % 3 == 0, lines).when(key % 3 == 1, one).otherwise(bib).alias("text"))
     return parsing.parse_input(texts).select("p_partkey", "seq", "parsed.title", "parsed.authors", "parsed.journal", "parsed.year", "parsed.ref_number")
 
 
@@ -125,7 +125,7 @@ def extract_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, brand, kind, key = _columns()
     file = F.when(key % 3 == 1, "a.txt").otherwise("A.PDF")
     body = _around("Some introduction of a paper on ", name, "\nREFERENCES\n[1] ", name, " of the first kind\n[2] ", kind, " of the second kind")
-    files = table(spark, sf_dir, "part").select(key.alias("file_id"), file.alias("file_name"), F.when(key % 3 == 2, "short").otherwise(body).alias("text"))
+    files = spread(table(spark, sf_dir, "part")).select(key.alias("file_id"), file.alias("file_name"), F.when(key % 3 == 2, "short").otherwise(body).alias("text"))
     out = parsing.extract_files(files)
     heading = F.when(F.col("error").isNull(), F.col("heading")).otherwise("")
     split = F.array_join(parsing.split_simple(F.concat(F.lit("\n"), "section")), "|")
@@ -138,7 +138,7 @@ def extract_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bibtex_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, brand, kind, key = _columns()
     tags = F.create_map(F.lit("year"), F.col("p_size").cast("string"), F.lit("title"), name)
-    return table(spark, sf_dir, "part").select("p_partkey", citations.entry_text(F.lit("book"), brand, tags).alias("entry"))
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", citations.entry_text(F.lit("book"), brand, tags).alias("entry"))
 
 
 @query(
@@ -148,7 +148,7 @@ def strict_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A found title that is wholly other, or a found year two off."""
     name, brand, kind, key = _columns()
     year = 2000 + F.col("p_size") % 20
-    rows = table(spark, sf_dir, "part").select(
+    rows = spread(table(spark, sf_dir, "part")).select(
         "p_partkey", _around(name, " (", year, ")").alias("reference"), F.when(key % 2 == 1, "QQQQQQQQQQQQQQQQQQ").otherwise(_around(name, " x")).alias("found_title"), (year + (key % 3).cast("int")).alias("found_year")
     )
     return corpus.strict_audit(rows).select("p_partkey", "title_off", "year_off")

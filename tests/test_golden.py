@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -282,3 +283,31 @@ def test_copies_make_no_pairs(spark):
     refs = spark.range(3000).select(F.lit(1).alias("batch_id"), F.col("id").alias("seq"), F.lit("r").alias("raw"), F.lit("one and the same long title of all").alias("title"), F.lit(None).cast("int").alias("ref_number"))
     got = duplicates.last_originals(refs)
     assert got.count() == 2999 and got.filter("duplicate_of <> seq").count() == 0
+
+
+def test_classes_count_the_links_of_the_pairs_and_copies_make_none(spark):
+    titles = ["a study of very long things", "more on a study of very long things indeed", "another of the very long studies", "short one", "a study of very long things"]
+    refs = spark.createDataFrame([("b", i, "", titles[i % 5]) for i in range(40)] + [("c", 0, "", titles[0])], "batch_id string, seq long, raw string, title string")
+    linked = Counter()
+    for r in duplicates.duplicate_pairs(refs).collect():
+        linked.update([(r.batch_id, r.orig_seq), (r.batch_id, r.dup_seq)])
+    got = {(r.batch_id, r.seq): r for r in duplicates.duplicate_classes(refs).collect()}
+    assert len(got) == 41 and {k: r.n_links for k, r in got.items() if r.n_links} == linked
+    assert (got["b", 5].class_id, got["b", 5].linked, got["b", 6].class_id, got["b", 6].linked) == (0, [1], 1, [0])
+    many = spark.range(20_000).selectExpr("'b' as batch_id", "id as seq", "'' as raw", "'the very same long title of all' as title")  # 200 million pairs
+    assert duplicates.duplicate_classes(many).agg({"n_links": "sum", "class_id": "max"}).first().asDict() == {"sum(n_links)": 20_000 * 19_999, "max(class_id)": 0}
+
+
+def test_folding_is_that_of_the_patterns(spark):
+    """Every character of the first planes, alone and between letters, against the plain definitions."""
+    space = "[ \t\n\x0b\f\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+    rows = [(c, f"{c} A{c}b-{c}Z9_.{c}") for c in map(chr, [*range(1, 0xD800), *range(0xE000, 0x10000), 0x1F600])]
+    df = spark.createDataFrame(rows, "c string, s string").repartition(16)
+    strip = lambda x: re.sub(f"^{space}+|{space}+\\Z", "", x)
+    marks = lambda x: "".join(ch for ch in x if not 0x300 <= ord(ch) <= 0x36F)
+    table = dict(zip(map(ord, text._FROM), text._TO, strict=True))
+    folded = lambda x: strip(re.sub(f"(?!{space})[^a-z0-9_]", "", marks(x).translate(table).lower()))
+    got = df.select("s", text.fold(F.col("s")).alias("f"), text.trim(F.col("s")).alias("t"), text.plain_key(F.col("s")).alias("p"), F.lower("s").alias("low")).collect()
+    keep = lambda x: re.sub(f"(?!{space})[^a-zA-Z0-9_]", "", x)
+    for r in got:
+        assert (r.f, r.t, r.p) == (folded(r.s), strip(r.s), strip(re.sub(f"{space}+", " ", keep(r.low)))), ascii(r.s)

@@ -12,11 +12,13 @@ path, so any store that Arrow knows will do.
 Defined cases: null cells stay empty and are read as null; the empty string is a cell of
 its own; a folder with more rows than a sheet holds, or that several tasks hold, goes to
 numbered files; characters that spreadsheets refuse are dropped; no rows, no file; a
-column ``file_name`` of the schema is the name of the file that a row was read from.
+column ``file_name`` of the schema is the name of the file that a row was read from, and
+``workbook`` that of the workbook whose numbered files they are: each file has it as its title.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
 import zipfile
@@ -35,11 +37,15 @@ SHEET_ROWS = 1_048_575
 _PARTS = {
     "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
     '<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>'
-    '<Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
-    "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+    '<Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>'
+    '<Override PartName="/docProps/core.xml" ContentType="application/vnd.openxmlformats-package.core-properties+xml"/></Types>',
+    "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/>'
+    '<Relationship Id="r2" Type="http://schemas.openxmlformats.org/package/2006/relationships/metadata/core-properties" Target="docProps/core.xml"/></Relationships>',
     "xl/workbook.xml": '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Results" sheetId="1" r:id="r1"/></sheets></workbook>',
     "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
 }
+_CORE = "docProps/core.xml"
+_TITLE = "http://purl.org/dc/elements/1.1/"
 _SHEET = "xl/worksheets/sheet1.xml"
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REFUSED = re.compile(r"[\x00-\x08\x0B\x0C\x0E-\x1F￾￿]")
@@ -73,9 +79,10 @@ def _cell(at: str, value) -> str:
 class Sheet:
     """A workbook of one sheet, written row by row to a stream."""
 
-    def __init__(self, stream, names: list[str]):
+    def __init__(self, stream, names: list[str], title: str):
         self.stream, self.book, self.rows = stream, zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED), 0
-        for part, xml in _PARTS.items():
+        core = f'<cp:coreProperties xmlns:cp="http://schemas.openxmlformats.org/package/2006/metadata/core-properties" xmlns:dc="{_TITLE}"><dc:title>{escape(title)}</dc:title></cp:coreProperties>'
+        for part, xml in (*_PARTS.items(), (_CORE, core)):
             self.book.writestr(part, f'<?xml version="1.0" encoding="UTF-8"?>{xml}')
         self.columns = [column_name(i) for i in range(len(names))]
         self.sheet = self.book.open(_SHEET, "w", force_zip64=True)
@@ -131,6 +138,12 @@ def sheet_rows(stream) -> Iterator[list[str | None]]:
                 row.clear()
 
 
+def workbook_title(stream) -> str | None:
+    """The title of a workbook, if it has one."""
+    with zipfile.ZipFile(stream) as book:
+        return ElementTree.fromstring(book.read(_CORE)).findtext(f"{{{_TITLE}}}title") if _CORE in book.namelist() else None
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     files: list[tuple[str, str]]  # temporary path, name without ending
@@ -156,7 +169,7 @@ class _Writer(DataSourceWriter):
                 if sheet is not None:
                     sheet.close()
                 files.append((f"{temporary}/{uuid.uuid4().hex}", re.sub(r"[^\w.\-]", "_", name)))
-                sheet, now = Sheet(store.open_output_stream(files[-1][0]), self.names), name
+                sheet, now = Sheet(store.open_output_stream(files[-1][0]), self.names, files[-1][1]), name
             sheet.add(values)
         if sheet is not None:
             sheet.close()
@@ -174,9 +187,13 @@ class _Writer(DataSourceWriter):
         groups: dict[str, list[str]] = {}
         for temporary, name in (f for m in messages if m for f in m.files):
             groups.setdefault(name, []).append(temporary)
+        taken = {f"{path}/{name}.xlsx" for name, files in groups.items() if len(files) == 1} | set(_files(self.path))
         for name, files in groups.items():
-            for n, file in enumerate(files, 1):
-                store.move(file, f"{path}/{name}.xlsx" if len(files) == 1 else f"{path}/{name}-{n}.xlsx")
+            free = (f for n in itertools.count(1) if (f := f"{path}/{name}-{n}.xlsx") not in taken)  # another workbook can be called so
+            for file in files:
+                at = f"{path}/{name}.xlsx" if len(files) == 1 else next(free)
+                store.move(file, at)
+                taken.add(at)
         self._clear()
 
     def abort(self, messages) -> None:
@@ -208,6 +225,10 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _File):
         store, _ = _store(self.path)
+        own = {"file_name": partition.path.rsplit("/", 1)[-1]}
+        with store.open_input_file(partition.path) as stream:
+            title = workbook_title(stream)
+        own["workbook"] = f"{title}.xlsx" if title else own["file_name"]
         with store.open_input_file(partition.path) as stream:
             rows = sheet_rows(stream)
             place = {name: i for i, name in enumerate(next(rows, []))}
@@ -216,7 +237,7 @@ class _Reader(DataSourceReader):
                 for name, cast in self.fields:
                     at = place.get(name)
                     value = cells[at] if at is not None and at < len(cells) else None
-                    values.append(partition.path.rsplit("/", 1)[-1] if name == "file_name" else None if value is None else cast(value))
+                    values.append(own[name] if name in own and at is None else None if value is None else cast(value))
                 yield tuple(values)
 
 
@@ -255,12 +276,16 @@ class Workbooks(DataSource):
 def write_by_folder(rows: DataFrame, path: str, folder: str, *, merged: str | None = "merged") -> None:
     """One workbook for each value of ``folder``, and one of all rows; both are written by tasks, none through the driver.
 
-    Rows of a folder go to one task in order of the other columns as they come; the union
-    is one sheet, hence one task, up to a sheet's rows, and numbered sheets beyond.
+    Up to a sheet's rows, a folder and the union of all are a sheet each, hence a task each; beyond,
+    they are dealt to numbered files, which tasks write at once.
     """
     spark = rows.sparkSession
     spark.dataSource.register(Workbooks)
-    rows.repartition(F.col(folder)).sortWithinPartitions(folder).write.format("workbook").option("folder", folder).mode("append").save(path)
+    large = {r[0]: -(-r[1] // SHEET_ROWS) for r in rows.groupBy(folder).count().filter(F.col("count") > SHEET_ROWS).collect()}  # a row for a million rows at most
+    part = F.lit(0).cast("long")
+    for name, sheets in large.items():
+        part = F.when(F.col(folder).eqNullSafe(F.lit(name)), F.pmod(F.xxhash64(*rows.columns), F.lit(sheets))).otherwise(part)
+    rows.repartition(F.col(folder), part).sortWithinPartitions(folder).write.format("workbook").option("folder", folder).mode("append").save(path)
     if merged:
         sheets = max(1, -(-rows.count() // SHEET_ROWS))
         rows.repartition(sheets).write.format("workbook").option("name", merged).mode("append").save(path)

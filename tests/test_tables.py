@@ -40,6 +40,15 @@ def test_full_sheets_roll_to_numbered_files(spark, tmp_path):
     assert workbooks.read(spark, str(tmp_path), "id long").agg(F.sum("id")).first()[0] == 300
 
 
+def test_numbered_files_read_as_one_workbook(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(workbooks, "SHEET_ROWS", 10)
+    rows = spark.range(60).select("id", F.when(F.col("id") < 5, "few-1").when(F.col("id") < 20, "few").otherwise("many").alias("dataset"))
+    workbooks.write_by_folder(rows, str(tmp_path), "dataset")
+    back = workbooks.read(spark, str(tmp_path), "id long, workbook string, file_name string")
+    assert {tuple(r) for r in back.groupBy("workbook").agg(F.count("*"), F.sum("id")).collect()} == {("few-1.xlsx", 5, 10), ("few.xlsx", 15, 180), ("many.xlsx", 40, 1580), ("merged.xlsx", 60, 1770)}
+    assert len({p.name for p in tmp_path.iterdir() if p.name.startswith("merged-")}) >= 6
+
+
 def test_a_failed_write_leaves_no_file(spark, tmp_path):
     spark.dataSource.register(workbooks.Workbooks)
     bad = spark.range(100).repartition(4).select("id", F.when(F.col("id") == 77, F.raise_error(F.lit("broken"))).otherwise("x").cast("string").alias("title"))

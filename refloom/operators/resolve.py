@@ -47,14 +47,14 @@ def doi_lookup(refs: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def arxiv_lookup(refs: DataFrame, catalog: DataFrame) -> DataFrame:
-    """References with a known arXiv id; a title below 70 does not count."""
-    order = Window.partitionBy("arxiv_id").orderBy("source_rank", "rec_id")
-    known = catalog.filter(F.col("arxiv_id").isNotNull()).withColumn("_n", F.row_number().over(order)).filter("_n = 1")
-    known = known.select("arxiv_id", F.struct(*catalog.columns).alias("found"))
+    """References with a known arXiv id, of several records the one with the nearest title; a title below 70 does not count."""
+    known = catalog.filter(F.col("arxiv_id").isNotNull()).select("arxiv_id", F.struct(*catalog.columns).alias("found"))
     joined = refs.filter(F.col("arxiv_id").isNotNull()).join(known, "arxiv_id")
     by_doi = F.coalesce(F.lower("doi").startswith("10.48550/arxiv."), F.lit(False))
     score = F.when(filled(F.col("title")).isNotNull(), title_similarity(F.col("title"), F.col("found.title"))).otherwise(F.lit(90).cast("long"))
-    return joined.withColumn("_s", score).filter(by_doi | filled(F.col("title")).isNull() | (F.col("_s") >= 70)).select(
+    order = Window.partitionBy("ref_id").orderBy(F.desc("_s"), "found.source_rank", "found.rec_id", "found.title")
+    joined = joined.withColumn("_s", score).withColumn("_n", F.row_number().over(order)).filter("_n = 1")
+    return joined.filter(by_doi | filled(F.col("title")).isNull() | (F.col("_s") >= 70)).select(
         "ref_id",
         F.lit("arxiv").alias("path"),
         F.when(by_doi, 100.0).otherwise(F.least(F.lit(100), F.col("_s") + 5).cast("double")).alias("confidence"),

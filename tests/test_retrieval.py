@@ -104,3 +104,10 @@ def resolve_catalog(spark, rows):
 
     schema = "key string, title string, authors array<string>, year int, venue string, type string, doi string, url string, eeUrl string"
     return catalogs.dblp(spark.createDataFrame([(k, t, ["Jo Ho"], 2018, "J", "a", None, "u", None) for k, t in rows], schema))
+
+
+def test_of_records_with_one_arxiv_id_the_nearest_title_counts(spark):
+    titles = ["Shallow ideas on nothing", "Deep learning for protein folding", "Another paper of a wholly other kind"]
+    catalog = resolve_catalog(spark, [(f"k{i}", t) for i, t in enumerate(titles)]).withColumn("arxiv_id", F.lit("2101.10000"))
+    refs = spark.createDataFrame([(i, "x", t, None, None, None, None, "2101.10000") for i, t in enumerate(titles)], "ref_id long, raw string, title string, authors string, journal string, year string, doi string, arxiv_id string")
+    assert {(r.ref_id, r.title) for r in resolve.arxiv_lookup(refs, catalog).select("ref_id", "found.title").collect()} == set(enumerate(titles))

@@ -3,9 +3,7 @@
 Tokens are white-space separated words, A-Z lower-cased, and an end token, which
 is the empty word.  Restaurants form a hierarchy:
 
-* a restaurant for each context, the word before.  Every word with at least one
-  in ``CONTEXTS`` of the training tokens is a context of its own (so there are at
-  most ``CONTEXTS``), as is the start of a text; the rarer words share one;
+* a restaurant for each context, the word before or the start of a text;
 * all of them share one parent, the context-free restaurant of words;
 * its base spells a word byte by byte, each byte given the one before, with the
   frequencies of the distinct training words, so every byte string has a
@@ -21,13 +19,16 @@ sweep before): a generalised Stirling number of customers and tables, times
 probability and strength for every table.  Dishes of more than ``EXACT`` customers
 are seated in growing groups instead.  Seatings go on from sweep to sweep: a task
 replays the earlier sweeps of its words from their seeds and totals, so nothing
-but totals is kept.  Probabilities are averaged over the last ``SAMPLES`` states;
+but totals is kept.  All tasks know the totals of the ``CONTEXTS`` most frequent
+words as contexts; those of the others are held by the parts of these words, which
+after each sweep add up what all parts send and tell each part what it asks for.  Probabilities are averaged over the last ``SAMPLES`` states;
 in each state they use the totals of that same state, so that they sum to one over
 all words in every context.
 
 Words live in hashed parts, so no context or word gathers in one task beyond its
 own distinct entries.  What tasks share is bounded: totals of CONTEXTS + 2
-restaurants for each sweep and 257 x 257 byte pairs.  Word counts themselves are
+restaurants for each sweep and 257 x 257 byte pairs.  Of a context dealt out by word
+tables change only where a pair occurs more than once, so only those are sent anew.  Word counts themselves are
 never broadcast: blocks of documents ask the parts for the words they hold.
 
 Defined cases: a null text is empty and has only its end token; a null id is in
@@ -42,6 +43,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,7 +54,7 @@ from refloom.llm.tokens import RangeHash, mix64, words_of
 #: Strengths of the context restaurants and of the words'; their discounts are
 #: estimated from all counts, n1 / (n1 + 2 n2).
 S1, S0 = 20.0, 10.0
-#: A context of its own has one in so many of all training tokens at least.
+#: So many contexts, the most frequent, have their totals known to all tasks; those of the others are dealt out by word.
 CONTEXTS = 4096
 #: Sweeps of the sampler, and how many of the last states are averaged.
 SWEEPS = 4
@@ -66,8 +68,33 @@ PART_BYTES = 16_000_000
 _U, _I = np.uint64, np.int64
 _STOP = 256  # end of word, and what stands before a word
 _SIDE = 257
-#: Numbers of the two contexts that are no word: any rarer word, and the start of a text.
+#: Numbers of two contexts: the start of a text, and, where 16 bits are kept, any that is known by its hash.
 _RARE, _START = 0, 1
+#: Contexts that all tasks know have numbers below this, the others are hashes beyond it.
+_HASHED = 1 << 16
+
+
+def _hash(h: np.ndarray) -> np.ndarray:
+    """Hashes of words, none of which looks like the number of a context."""
+    return np.where(h < _U(_HASHED), h + _U(_HASHED), h)
+
+
+def _dealt(context: np.ndarray) -> np.ndarray:
+    """Which contexts are known by their hash and dealt out by word."""
+    return (context < 0) | (context >= _HASHED)
+
+
+def _pack(context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts as how many are dealt out, 16 bits of each, and the hashes of those dealt out."""
+    dealt = _dealt(context)
+    return np.array([dealt.sum()], _U), np.where(dealt, _RARE, context).astype(np.uint16), context[dealt]
+
+
+def _unpack(short: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    context = short.astype(_I)
+    if len(hashes):
+        context[short == _RARE] = hashes
+    return context
 
 
 def stirling(discount: float, size: int = EXACT) -> np.ndarray:
@@ -101,7 +128,8 @@ def _seat(rng, customers, attraction, discount):
 def draw_tables(rng, customers: np.ndarray, parent: np.ndarray, others: np.ndarray, strength: float, discount: float, table: np.ndarray) -> np.ndarray:
     """A draw of the tables of each dish given its customers, the parent's probability and the other dishes' tables."""
     out = np.minimum(customers, 1.0)
-    toss = rng.random(len(customers))
+    toss = np.zeros(len(customers))
+    toss[customers > 1] = rng.random((customers > 1).sum())
     many = np.flatnonzero(customers > EXACT)
     out[many] = _seat(rng, customers[many], (strength + discount * others[many]) * parent[many], discount)
     few = np.flatnonzero((customers > 1) & (customers <= EXACT))
@@ -150,26 +178,27 @@ def spell(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _tokens(texts: pa.Array, heads: np.ndarray):
     """Slices of texts as (first text, text, hash, context, start, end, data), the end tokens last.
 
-    ``heads`` are the sorted hashes of the words that are contexts.
+    ``heads`` are the sorted hashes of the words that are contexts by number, others are by hash.
     """
-    end = RangeHash(np.zeros(0, _U)).of(np.zeros(1, _I), np.zeros(1, _I))
+    end = _hash(RangeHash(np.zeros(0, _U)).of(np.zeros(1, _I), np.zeros(1, _I)))
     for w in words_of(texts, lower=True):
         n = len(w.text_start) - 1
-        own = np.full(len(w.hash), _RARE, np.uint16)
+        hashes = _hash(w.hash)
+        own = hashes.view(_I)
         if len(heads) and len(own):
-            at = np.minimum(np.searchsorted(heads, w.hash), len(heads) - 1)
-            own = np.where(heads[at] == w.hash, at + 2, _RARE).astype(np.uint16)
-        context = np.full(len(own), _START, np.uint16)
+            at = np.minimum(np.searchsorted(heads, hashes), len(heads) - 1)
+            own = np.where(heads[at] == hashes, at + 2, own)
+        context = np.full(len(own), _START, _I)
         context[1:] = own[:-1]
         filled = np.diff(w.first_word) > 0
         context[w.first_word[:-1][filled]] = _START
-        final = np.full(n, _START, np.uint16)
+        final = np.full(n, _START, _I)
         final[filled] = own[w.first_word[1:][filled] - 1]
         zero = np.zeros(n, _I)
         yield (
             w.first_text,
             np.r_[w.text_of, np.arange(n)],
-            np.r_[w.hash, np.repeat(end, n)],
+            np.r_[hashes, np.repeat(end, n)],
             np.r_[context, final],
             np.r_[w.start, zero],
             np.r_[w.end, zero],
@@ -180,17 +209,16 @@ def _tokens(texts: pa.Array, heads: np.ndarray):
 def _count_words(batches):
     """Counts of the words of a batch, the end token left out."""
     for batch in batches:
-        found = [w.hash for w in words_of(batch.column(0), lower=True)]
+        found = [_hash(w.hash) for w in words_of(batch.column(0), lower=True)]
         h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, _U), np.zeros(0, _I))
         yield pa.RecordBatch.from_arrays([pa.array(h.view(_I)), pa.array(n.astype(_I))], ["word", "n"])
 
 
-def contexts(texts: DataFrame, size: int) -> np.ndarray:
-    """Sorted hashes of the words with at least one in ``size`` of all words: at most ``size``."""
-    words = durable(texts.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
-    total = words.agg(F.sum("n").alias("n")).first()["n"] or 0
-    found = words.filter(F.col("n") * size >= total).select("word").collect()
-    return np.sort(np.array([r["word"] for r in found], _I).view(_U))
+def contexts(texts: DataFrame, size: int) -> tuple[np.ndarray, bool]:
+    """Sorted hashes of the ``size`` most frequent words, and whether there are more."""
+    words = texts.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = words.orderBy(F.desc("n"), "word").limit(size + 1).collect()
+    return np.sort(np.array([r["word"] for r in found[:size]], _I).view(_U)), len(found) > size
 
 
 def _gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,12 +231,16 @@ def _gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
 
 def _distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sort order, places of the first of each group, and group of each sorted entry."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
+    place = np.zeros(len(keys[0]), _I)
     for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
+        code, names = pd.factorize(k)  # only distinct values are compared, the rest is one sort of numbers
+        rank = np.empty(len(names), _I)
+        rank[np.argsort(names)] = np.arange(len(names))
+        place *= len(names)
+        place += rank[code]
+    order = np.argsort(place)
+    place = place[order]
+    new = np.r_[True, place[1:] != place[:-1]] if len(place) else np.zeros(0, bool)
     return order, np.flatnonzero(new), np.cumsum(new) - 1
 
 
@@ -219,7 +251,7 @@ class Bag:
         order, first, group = _distinct(hashes, context)
         self.count = np.bincount(group, count[order], len(first)).astype(np.float64)
         picked = order[first]
-        hashes, self.context = hashes[picked], context[picked]
+        hashes, self.context = hashes[picked], context[picked].astype(_I)
         new = np.r_[True, hashes[1:] != hashes[:-1]] if len(hashes) else np.zeros(0, bool)
         self.word = np.cumsum(new) - 1
         self.hash = hashes[new]
@@ -236,20 +268,31 @@ class Bag:
             word = np.searchsorted(words, self.word[pairs])
             per_word = np.bincount(word, minlength=len(words))
             counts = self.count[pairs].astype(_U if wide else np.uint32)
-            arrays = (np.array([wide], _U), self.hash[words], np.diff(offsets).astype(np.uint32), per_word.astype(np.uint16), self.context[pairs], counts, data)
+            n_dealt, short, dealt = _pack(self.context[pairs])
+            arrays = (np.array([wide], _U), n_dealt, self.hash[words], np.diff(offsets).astype(np.uint32), per_word.astype(np.uint32), short, dealt, counts, data)
             yield int(p), len(words), len(pairs), b"".join(a.tobytes() for a in arrays)
 
 
 def _read(blob, words: int, pairs: int):
     """hash, length, word of each pair, context, count, bytes."""
-    buffer, at, out = blob if isinstance(blob, bytes) else blob.as_buffer(), 8, []
-    wide = np.frombuffer(buffer, _U, 1)[0] > 0
-    for kind, n in ((_U, words), (np.uint32, words), (np.uint16, words), (np.uint16, pairs), (_U if wide else np.uint32, pairs)):
+    buffer, at, out = blob if isinstance(blob, bytes) else blob.as_buffer(), 16, []
+    wide, dealt = (int(x) for x in np.frombuffer(buffer, _U, 2))
+    for kind, n in ((_U, words), (np.uint32, words), (np.uint32, words), (np.uint16, pairs), (_I, dealt), (_U if wide else np.uint32, pairs)):
         out.append(np.frombuffer(buffer, kind, n, at))
         at += n * np.dtype(kind).itemsize
-    h, length, per_word, context, count = out
+    h, length, per_word, short, hashes, count = out
     data = np.frombuffer(buffer, np.uint8, -1, at) if at < len(memoryview(buffer)) else np.zeros(0, np.uint8)
-    return h, length, np.repeat(np.arange(words), per_word), context, count.astype(np.float64), data
+    return h, length, np.repeat(np.arange(words), per_word), _unpack(short, hashes), count.astype(np.float64), data
+
+
+def _fields(buffer, *kinds) -> list[np.ndarray]:
+    """Arrays of (type, length) that stand one after the other, after the number of contexts dealt out, for which -1 stands."""
+    dealt, at, out = int(np.frombuffer(buffer, _U, 1)[0]), 8, []
+    for kind, n in kinds:
+        n = dealt if n < 0 else n
+        out.append(np.frombuffer(buffer, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return out
 
 
 _BAGS = "part long, words long, pairs long, blob binary"
@@ -271,7 +314,7 @@ def _merge(bags) -> Bag:
         base += len(data)
     if not parts:
         none = np.zeros(0, _I)
-        return Bag(none.astype(_U), none.astype(np.uint16), none, none.astype(np.uint8), none, none)
+        return Bag(none.astype(_U), none, none, none.astype(np.uint8), none, none)
     return Bag(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
@@ -314,75 +357,193 @@ class Totals:
         return (S0 + self.d0 * self.all_tables) / (S0 + self.all_customers)
 
 
-def _states(seed: int, part: int, word, context, count, spelled, totals: Sequence[Totals]):
-    """The states of a part's words: (tables of pairs, customers of words, tables of words), one more than totals."""
+def _states(seed: int, part: int, word, context, count, spelled, totals: Sequence[Totals], told: Sequence[np.ndarray] = (), single=0):
+    """The states of a part's words: (tables of pairs, customers of words, tables of words), one more than totals.
+
+    ``told`` are for each of the totals the tables of the contexts that are dealt out, by pair;
+    ``single`` the number of each word's pairs that occur once and are not listed: they have one table each.
+    """
     n = len(spelled)
-    t1, c0, t0 = np.ones(len(count)), np.bincount(word, minlength=n).astype(float), np.ones(n)
+    t1, c0, t0 = np.ones(len(count)), np.bincount(word, minlength=n).astype(float) + single, np.ones(n)
     yield t1, c0, t0
     if not totals:
         return
     d1, d0 = totals[0].d1, totals[0].d0
     low, high = stirling(d1), stirling(d0)
+    dealt = _dealt(context)
+    number = np.where(dealt, _RARE, context)
     for k, now in enumerate(totals):
         rng = np.random.default_rng([seed, k, part])
         p = (np.maximum(c0 - d0 * t0, 0) + (S0 + d0 * now.all_tables) * spelled) / (S0 + now.all_customers)
-        t1 = draw_tables(rng, count, p[word], now.tables[context] - t1, S1, d1, low)
-        c0 = np.bincount(word, t1, n)
+        tables = now.tables[number]
+        if len(told):
+            tables[dealt] = told[k]
+        t1 = draw_tables(rng, count, p[word], tables - t1, S1, d1, low)
+        c0 = np.bincount(word, t1, n) + single
         t0 = draw_tables(rng, c0, spelled, now.all_tables - t0, S0, d0, high)
         yield t1, c0, t0
 
 
-_SUMS = "kind int, cell long, value double"
+#: Sums of a state, and what parts send to the parts of contexts (4).
+_SUMS = "kind int, cell long, value double, sender long, blob binary"
+
+
+def _sent(part: int, parts: int, state: int, context, count, tables):
+    """(to, blob) for the parts of contexts: their tables here at first, later those beyond one a pair; and which are asked for."""
+    some = _dealt(context) & ((count > 1) | (state == 0))
+    names, at = np.unique(context[some], return_inverse=True)
+    value = np.bincount(at, tables[some] - (state > 0), len(names)).astype(_I)
+    asked = np.bincount(at, count[some] > 1, len(names)) > 0
+    to = (names.view(_U) % _U(parts)).astype(_I)
+    for p in np.unique(to):
+        own = to == p
+        yield int(p), np.array([own.sum()], _I).tobytes() + names[own].tobytes() + value[own].tobytes() + asked[own].tobytes()
+
+
+_TELLS = "part long, sender long, blob binary"
+
+
+def _add(key, table):
+    """Sums of what all parts sent: to each what it asks for, in its order, and all with their names for the part itself (sender -1)."""
+    got = []
+    for blob in table["blob"]:
+        buffer = blob.as_buffer()
+        n = int(np.frombuffer(buffer, _I, 1)[0])
+        got.append((np.frombuffer(buffer, _I, n, 8), np.frombuffer(buffer, _I, n, 8 + 8 * n), np.frombuffer(buffer, bool, n, 8 + 16 * n)))
+    names, at = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True)
+    sums = np.zeros(len(names), _I)
+    np.add.at(sums, at, np.concatenate([x[1] for x in got]))
+    me = key[0].as_py()
+    rows, s = [(me, -1, names.tobytes() + sums.tobytes())], 0
+    for sender, (n, _, asked) in zip(table["sender"].to_pylist(), got, strict=True):
+        rows.append((sender, me, sums[at[s : s + len(n)][asked]].tobytes()))
+        s += len(n)
+    return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("part", pa.int64()), ("sender", pa.int64()), ("blob", pa.binary())))})
+
+
+def _pair_tables(told: list, parts: int, context, count) -> list[np.ndarray]:
+    """By state: the tables of the context of each pair whose context is dealt out (0 where nothing is drawn)."""
+    here = context[_dealt(context)]
+    asked = np.unique(context[_dealt(context) & (count > 1)])
+    order = np.argsort(asked.view(_U) % _U(parts), kind="stable")  # replies come by sender
+    out = []
+    for k in sorted({x["state"] for x in told}):
+        value = np.zeros(len(asked))
+        replies = sorted((x for x in told if x["state"] == k and x["sender"] >= 0), key=lambda x: x["sender"])
+        value[order] = np.concatenate([np.frombuffer(x["blob"], _I) for x in replies]) if len(asked) else 0
+        value += out[0] if k else 0
+        out.append(value)
+    at = np.searchsorted(asked, here)
+    drawn = np.isin(here, asked)
+    found = []
+    for value in out:
+        found.append(np.zeros(len(here)))
+        found[-1][drawn] = value[at[drawn]]
+    return found
+
+
+def _word_tables(told: list, h, states: int) -> np.ndarray:
+    """By state: the tables of each word of a part as a context, where it is dealt out."""
+    out = np.zeros((states, len(h)))
+    for x in told:
+        if x["sender"] < 0:
+            names, sums = np.frombuffer(x["blob"], _I).reshape(2, -1)
+            out[x["state"], np.searchsorted(h, names.view(_U))] = sums
+    out[1:] += out[0]
+    return out
+
 
+def _sums(part: int, sums, sent) -> pa.RecordBatch:
+    sent = list(sent)
+    kind = np.concatenate([*[np.full(len(c), k, np.int32) for k, c, _ in sums], np.full(len(sent), 4, np.int32)])
+    cell = np.concatenate([*[c for _, c, _ in sums], np.array([to for to, _ in sent], _I)]).astype(_I)
+    value = np.concatenate([*[v for _, _, v in sums], np.zeros(len(sent))]).astype(float)
+    blobs = [None] * (len(kind) - len(sent)) + [b for _, b in sent]
+    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(cell), pa.array(value), pa.array(np.full(len(kind), part, _I)), pa.array(blobs, pa.binary())], ["kind", "cell", "value", "sender", "blob"])
 
-def _sweep(seed: int, totals: Sequence[Totals], spelling: Spelling | None, size: int):
-    """Sums of the state after the sweeps so far: customers (0) and tables (1) of contexts, the words' restaurant (2), byte pairs (3)."""
+
+def _begin(size: int, parts: int):
+    """Sums of the first state, one table a pair: customers (0) and tables (1) of contexts, the words' restaurant (2), byte pairs (3)."""
 
     def run(batches):
         for batch in batches:
             for part, words, pairs, blob in zip(*(batch.column(i) for i in range(4)), strict=True):
                 _, length, word, context, count, data = _read(blob, words.as_py(), pairs.as_py())
-                offsets = np.r_[0, np.cumsum(length.astype(_I))]
-                spelled = np.exp(spelling.log(data, offsets)) if spelling else np.ones(len(length))
-                *_, (t1, c0, t0) = _states(seed, part.as_py(), word, context, count, spelled, totals)
+                number, c0 = np.where(_dealt(context), _RARE, context), np.bincount(word, minlength=len(length))
+                cells, n = np.unique(spell(data, np.r_[0, np.cumsum(length.astype(_I))])[0], return_counts=True)
                 sums = [
-                    (0, np.arange(size), np.bincount(context, count, size)),
-                    (1, np.arange(size), np.bincount(context, t1, size)),
-                    (2, np.arange(7), np.array([c0.sum(), t0.sum(), len(length), *((x == k).sum() for x in (count, c0) for k in (1, 2))], float)),
+                    (0, np.arange(size), np.bincount(number, count, size)),
+                    (1, np.arange(size), np.bincount(number, minlength=size)),
+                    (2, np.arange(7), np.array([c0.sum(), len(length), len(length), *((x == k).sum() for x in (count, c0) for k in (1, 2))], float)),
+                    (3, cells, n),
                 ]
-                if spelling is None:
-                    cells, n = np.unique(spell(data, offsets)[0], return_counts=True)
-                    sums.append((3, cells, n))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([np.full(len(c), k, np.int32) for k, c, _ in sums])), pa.array(np.concatenate([c for _, c, _ in sums]).astype(_I)), pa.array(np.concatenate([v for _, _, v in sums]).astype(float))],
-                    ["kind", "cell", "value"],
-                )
+                yield _sums(part.as_py(), sums, _sent(part.as_py(), parts, 0, context, count, np.ones(len(count))))
+
+    return run
+
+
+def _thin(spelling: Spelling):
+    """What sweeps need: per word what its spelling gives and its pairs that occur once, and the other pairs."""
+
+    def run(batches):
+        for batch in batches:
+            for part, words, pairs, blob in zip(*(batch.column(i) for i in range(4)), strict=True):
+                _, length, word, context, count, data = _read(blob, words.as_py(), pairs.as_py())
+                spelled, many, n = np.exp(spelling.log(data, np.r_[0, np.cumsum(length.astype(_I))])), count > 1, len(length)
+                n_dealt, short, dealt = _pack(context[many])
+                arrays = (n_dealt, spelled, *(np.bincount(word[x], minlength=n).astype(np.uint32) for x in (~many, many)), short, dealt, count[many])
+                yield from _bags([(part.as_py(), n, int(many.sum()), b"".join(a.tobytes() for a in arrays))]).to_batches()
+
+    return run
+
+
+def _sweep(seed: int, totals: Sequence[Totals], size: int, parts: int):
+    """Sums of the state after the sweeps so far: tables of contexts beyond one a pair (1), the words' restaurant (2)."""
+
+    def run(batches):
+        for batch in batches:
+            for part, words, pairs, blob, told in zip(*(batch.column(i) for i in range(5)), strict=True):
+                n, m, part = words.as_py(), pairs.as_py(), part.as_py()
+                spelled, single, per_word, short, dealt, count = _fields(blob.as_buffer(), (np.float64, n), (np.uint32, n), (np.uint32, n), (np.uint16, m), (_I, -1), (np.float64, m))
+                context, word = _unpack(short, dealt), np.repeat(np.arange(n), per_word)
+                *_, (t1, c0, t0) = _states(seed, part, word, context, count, spelled, totals, _pair_tables(told.as_py() or [], parts, context, count), single)
+                sums = [(1, np.arange(size), np.bincount(np.where(_dealt(context), _RARE, context), t1 - 1, size)), (2, np.arange(7), np.array([c0.sum(), t0.sum(), n, 0, 0, 0, 0], float))]
+                yield _sums(part, sums, _sent(part, parts, len(totals), context, count, t1))
 
     return run
 
 
 def predictive(state, now: Totals, d1: float, d0: float, word, context, count, spelled) -> tuple[np.ndarray, np.ndarray]:
     """Of a state: P(word), and what P(word | context) has beyond the parent's share."""
+    p, own = _shares(state, now, d1, d0, count, spelled)
+    return p, own / (S1 + now.customers[context])
+
+
+def _shares(state, now: Totals, d1: float, d0: float, count, spelled) -> tuple[np.ndarray, np.ndarray]:
+    """P(word), and what a pair keeps of its customers."""
     t1, c0, t0 = state
-    p = (np.maximum(c0 - d0 * t0, 0) + (S0 + d0 * now.all_tables) * spelled) / (S0 + now.all_customers)
-    return p, np.maximum(count - d1 * t1, 0) / (S1 + now.customers[context])
+    return (np.maximum(c0 - d0 * t0, 0) + (S0 + d0 * now.all_tables) * spelled) / (S0 + now.all_customers), np.maximum(count - d1 * t1, 0)
 
 
-def _settle(seed: int, totals: Sequence[Totals], spelling: Spelling):
-    """Per word: hash, count, P(word) in each sample; per pair: word, context, averaged own share."""
+def _settle(seed: int, totals: Sequence[Totals], spelling: Spelling, parts: int):
+    """Per word: hash, count, P(word) and its parent's share as a context in each sample; per pair: word, context, customers kept on average."""
 
     def run(batches):
         d1, d0 = totals[0].d1, totals[0].d0
         for batch in batches:
             rows = []
-            for part, words, pairs, blob in zip(*(batch.column(i) for i in range(4)), strict=True):
+            for part, words, pairs, blob, told in zip(*(batch.column(i) for i in range(5)), strict=True):
                 h, length, word, context, count, data = _read(blob, words.as_py(), pairs.as_py())
                 spelled = np.exp(spelling.log(data, np.r_[0, np.cumsum(length.astype(_I))]))
-                states = list(_states(seed, part.as_py(), word, context, count, spelled, totals[:-1]))[-SAMPLES:]
-                found = [predictive(x, now, d1, d0, word, context, count, spelled) for x, now in zip(states, totals[-SAMPLES:], strict=True)]
-                own = np.mean([x[1] for x in found], axis=0)
-                ps = np.stack([x[0] for x in found])
-                arrays = (h, np.bincount(word, count, len(h)), ps, np.bincount(word, minlength=len(h)).astype(np.uint16), context, own.astype(np.float32))
+                told = told.as_py() or []
+                states = list(_states(seed, part.as_py(), word, context, count, spelled, totals[:-1], _pair_tables(told, parts, context, count)))[-SAMPLES:]
+                found = [_shares(x, now, d1, d0, count, spelled) for x, now in zip(states, totals[-SAMPLES:], strict=True)]
+                kept = np.mean([x[1] for x in found], axis=0)
+                ps = np.stack([x[0] for x in found]).astype(np.float32)
+                seen = np.bincount(word, count, len(h))
+                back = ((S1 + d1 * _word_tables(told, h, len(totals))[-SAMPLES:]) / (S1 + seen)).astype(np.float32)
+                n_dealt, short, dealt = _pack(context)
+                arrays = (n_dealt, h, seen.astype(_I), ps, back, np.bincount(word, minlength=len(h)).astype(np.uint32), short, dealt, kept.astype(np.float32))
                 rows.append((part.as_py(), len(h), len(word), b"".join(a.tobytes() for a in arrays)))
             yield from _bags(rows).to_batches()
 
@@ -393,11 +554,10 @@ _ASKS = "part long, block long, words long, pairs long, blob binary"
 
 
 def _pairs(texts, parts: int, heads: np.ndarray):
-    """Distinct (word, context) pairs of a block, by part, and what each token is."""
-    found = list(_tokens(texts, heads))
-    h = np.concatenate([x[2] for x in found])
-    context = np.concatenate([x[3] for x in found])
-    text = np.concatenate([x[1] + x[0] for x in found])
+    """Distinct (word, context) pairs of a block, by part, what each token is, and where its word stands."""
+    found = [(h, context, (text + first).astype(np.int32), (data, start.astype(np.int32), end.astype(np.int32))) for first, text, h, context, start, end, data in _tokens(texts, heads)]
+    h, context, text = (np.concatenate([x[i] for x in found]) for i in range(3))
+    found = [x[3] for x in found]
     order, first, group = _distinct(h % _U(parts), h, context)
     of = np.empty(len(order), _I)
     of[order] = group
@@ -406,15 +566,22 @@ def _pairs(texts, parts: int, heads: np.ndarray):
 
 def _ask(parts: int, heads: np.ndarray):
     def run(key, table):
-        _, h, context, _, _, _ = _pairs(table["text"], parts, heads)
+        found = []
+        for _, _, h, context, *_ in _tokens(table["text"], heads):
+            order, first, _ = _distinct(h, context)
+            found.append((h[order[first]], context[order[first]]))
+        h, context = (np.concatenate([x[i] for x in found]) for i in range(2))
+        order, first, _ = _distinct(h % _U(parts), h, context)
+        h, context = h[order[first]], context[order[first]]
         part = (h % _U(parts)).astype(_I)
         cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         rows = []
         for s, e in zip(cut, np.r_[cut[1:], len(h)], strict=True):
             new = np.r_[True, h[s + 1 : e] != h[s : e - 1]]
             words = h[s:e][new]
-            per_word = np.diff(np.r_[np.flatnonzero(new), e - s]).astype(np.uint16)
-            rows.append((int(part[s]), len(words), int(e - s), words.tobytes() + per_word.tobytes() + context[s:e].tobytes()))
+            per_word = np.diff(np.r_[np.flatnonzero(new), e - s]).astype(np.uint32)
+            n_dealt, short, dealt = _pack(context[s:e])
+            rows.append((int(part[s]), len(words), int(e - s), b"".join(a.tobytes() for a in (n_dealt, words, per_word, short, dealt))))
         out = _bags(rows)
         return out.add_column(1, "block", pa.array([key[0].as_py()] * len(rows), pa.int64()))
 
@@ -424,37 +591,32 @@ def _ask(parts: int, heads: np.ndarray):
 _TOLD = "part long, block long, words long, pairs long, blob binary"
 
 
-def _tell(totals: Sequence[Totals]):
-    """Log10 probability of each pair asked for (NaN: a word not in training), and the count of each word."""
-    back = np.stack([t.back() for t in totals[-SAMPLES:]])
+def _tell(samples: int):
+    """What each pair asked for keeps; of each word the count (0: not in training), P(word), and its parent's share as a context."""
 
     def run(key, model, asks):
-        h, count, ps, word, context, own = np.zeros(0, _U), np.zeros(0), np.zeros((len(back), 0)), np.zeros(0, _I), np.zeros(0, np.uint16), np.zeros(0, np.float32)
+        h, count, ps, back, word, context, kept = np.zeros(0, _U), np.zeros(0, _I), np.zeros((samples, 0), np.float32), np.zeros((samples, 0), np.float32), np.zeros(0, _I), np.zeros(0, _I), np.zeros(0, np.float32)
         for words, pairs, blob in zip(model["words"].to_pylist(), model["pairs"].to_pylist(), model["blob"], strict=True):
-            buffer, at, got = blob.as_buffer(), 0, []
-            for kind, n in ((_U, words), (np.float64, words), (np.float64, words * len(back)), (np.uint16, words), (np.uint16, pairs), (np.float32, pairs)):
-                got.append(np.frombuffer(buffer, kind, n, at))
-                at += n * np.dtype(kind).itemsize
-            h, count, ps, per_word, context, own = got
-            ps, word = ps.reshape(len(back), words), np.repeat(np.arange(words), per_word)
-        pair = word * (1 << 16) + context
+            kinds = (_U, words), (_I, words), (np.float32, words * samples), (np.float32, words * samples), (np.uint32, words), (np.uint16, pairs), (_I, -1), (np.float32, pairs)
+            h, count, ps, back, per_word, short, dealt, kept = _fields(blob.as_buffer(), *kinds)
+            ps, back = ps.reshape(samples, words), back.reshape(samples, words)
+            word, context = np.repeat(np.arange(words), per_word), _unpack(short, dealt)
+        names = np.unique(context)
+        pair = word * len(names) + np.searchsorted(names, context)
         rows = []
         for block, words, pairs, blob in zip(asks["block"].to_pylist(), asks["words"].to_pylist(), asks["pairs"].to_pylist(), asks["blob"], strict=True):
-            buffer = blob.as_buffer()
-            wanted = np.frombuffer(buffer, _U, words, 0)
-            per_word = np.frombuffer(buffer, np.uint16, words, 8 * words)
-            asked = np.frombuffer(buffer, np.uint16, pairs, 10 * words)
-            value, seen = np.full(pairs, np.nan), np.zeros(words)
+            wanted, per_word, short, dealt = _fields(blob.as_buffer(), (_U, words), (np.uint32, words), (np.uint16, pairs), (_I, -1))
+            value, seen, p, b = np.zeros(pairs, np.float32), np.zeros(words, _I), np.zeros((samples, words), np.float32), np.ones((samples, words), np.float32)
             if len(h):
+                asked = _unpack(short, dealt)
                 at = np.minimum(np.searchsorted(h, wanted), len(h) - 1)
                 known = h[at] == wanted
-                seen = np.where(known, count[at], 0)
-                at, known = np.repeat(at, per_word), np.repeat(known, per_word)
-                ask = at * (1 << 16) + asked
+                seen, p, b = np.where(known, count[at], 0), np.where(known, ps[:, at], p), np.where(known, back[:, at], b)
+                name = np.minimum(np.searchsorted(names, asked), len(names) - 1)
+                ask = np.repeat(at, per_word) * len(names) + name
                 place = np.minimum(np.searchsorted(pair, ask), len(pair) - 1)
-                chance = (back[:, asked] * ps[:, at]).mean(axis=0) + np.where(pair[place] == ask, own[place], 0.0)
-                value = np.where(known, np.log10(chance), np.nan)
-            rows.append((key[0].as_py(), block, words, pairs, value.astype(np.float32).tobytes() + seen.astype(_I).tobytes()))
+                value = np.where((pair[place] == ask) & (names[name] == asked) & np.repeat(known, per_word), kept[place], value)
+            rows.append((key[0].as_py(), block, words, pairs, b"".join(a.tobytes() for a in (value, seen, p, b))))
         return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("part", pa.int64()), ("block", pa.int64()), ("words", pa.int64()), ("pairs", pa.int64()), ("blob", pa.binary())))})
 
     return run
@@ -462,31 +624,42 @@ def _tell(totals: Sequence[Totals]):
 
 def _score(parts: int, heads: np.ndarray, totals: Sequence[Totals], spelling: Spelling):
     samples = totals[-SAMPLES:]
-    unseen = np.log10(np.mean([t.back() * t.root() for t in samples], axis=0))  # what spelling gets in each context
+    shares, roots = np.stack([t.back() for t in samples]), np.array([t.root() for t in samples])
     n_train, n_distinct = float(samples[0].customers.sum()), samples[0].words
     floor = np.log10(n_train + 0.1 * (n_distinct + 1))
 
     def run(key, table, told):
         found, h, context, sample, of, text = _pairs(table["text"], parts, heads)
         order = np.argsort(np.asarray(told["part"], _I))
-        value, seen = [], []
+        got = []
         blobs, words, pairs = told["blob"], told["words"].to_pylist(), told["pairs"].to_pylist()
         for i in order:
-            buffer, n = blobs[int(i)].as_buffer(), pairs[i]
-            value.append(np.frombuffer(buffer, np.float32, n))
-            seen.append(np.frombuffer(buffer, _I, words[i], 4 * n))
-        value, seen = np.concatenate(value).astype(np.float64), np.concatenate(seen)
-        seen = seen[np.cumsum(np.r_[False, h[1:] != h[:-1]])]
+            buffer, n, w = blobs[int(i)].as_buffer(), pairs[i], words[i]
+            sides = np.frombuffer(buffer, np.float32, 2 * w * len(samples), 4 * n + 8 * w).reshape(2, len(samples), w)
+            got.append((np.frombuffer(buffer, np.float32, n), np.frombuffer(buffer, _I, w, 4 * n), sides))
+        kept, seen, sides = (np.concatenate(x, axis=-1) for x in zip(*got, strict=True))
+        new = np.r_[True, h[1:] != h[:-1]]
+        word = np.cumsum(new) - 1
+        # a context that is dealt out is a word of the block
+        dealt = _dealt(context)
+        number, by_hash = np.where(dealt, _RARE, context), np.argsort(h[new])
+        at = by_hash[np.searchsorted(h[new][by_hash], context[dealt].view(_U))]
+        back, customers = shares[:, number], samples[0].customers[number]
+        back[:, dealt], customers[dealt] = sides[1][:, at], seen[at]
+        chance = kept / (S1 + customers) + (back * sides[0][:, word]).mean(axis=0)
         # words that training lacks are spelled here
-        bases = np.cumsum([0] + [len(x[2]) for x in found])
-        unknown = np.flatnonzero(np.isnan(value))
+        bases = np.cumsum([0] + [len(start) for _, start, _ in found])
+        unknown = np.flatnonzero(seen[word] == 0)
+        chance[unknown] = (back[:, unknown] * roots[:, None]).mean(axis=0)
+        value = np.log10(chance)
         slot = np.searchsorted(bases, sample[unknown], "right") - 1
         for s in np.unique(slot):
             some = unknown[slot == s]
             at = sample[some] - bases[s]
-            data, offsets = _gather(found[s][6], found[s][4][at], found[s][5][at])
-            value[some] = unseen[context[some]] + spelling.log(data, offsets) / np.log(10)
-        n = table.num_rows
+            data, start, end = found[s]
+            data, offsets = _gather(data, start[at], end[at])
+            value[some] += spelling.log(data, offsets) / np.log(10)
+        n, seen = table.num_rows, seen[word]
         base = np.log10(seen + 0.1) - floor
         return pa.table(
             {
@@ -509,20 +682,30 @@ def held_out(id_col: str):
 
 
 def train(texts: DataFrame, parts: int, *, contexts_: int = CONTEXTS, sweeps: int = SWEEPS, seed: int = 7) -> tuple[DataFrame, np.ndarray, list[Totals], Spelling]:
-    """The words in parts, the words that are contexts, the totals of all states, and the spelling."""
-    heads = contexts(texts, contexts_)
+    """The words in parts with what these are told, the words that are contexts by number, the totals of all states, and the spelling."""
+    heads, more = contexts(texts, contexts_)
     bags = texts.mapInArrow(_count(parts, heads), _BAGS)
-    model = durable(bags.groupBy("part").applyInArrow(_part, _BAGS), "words")
-    size, totals, spelling = len(heads) + 2, [], None
-    for _ in range(sweeps + 1):
-        sums = model.mapInArrow(_sweep(seed, totals, spelling, size), _SUMS).groupBy("kind", "cell").agg(F.sum("value").alias("value"))
-        got = sums.toPandas()  # two numbers for each context, and the byte pairs
+    words = durable(bags.groupBy("part").applyInArrow(_part, _BAGS), "words")
+    size, totals, told = len(heads) + 2, [], None
+    nothing = F.lit(None).cast("array<struct<state:int,sender:long,blob:binary>>").alias("told")
+    with_told = lambda df, rows: df.select("*", nothing) if rows is None else df.join(rows.groupBy("part").agg(F.collect_list("x").alias("told")), "part", "left")
+    for k in range(sweeps + 1):
+        # between sweeps parts only need what they asked for, not the names of all contexts
+        out = words.mapInArrow(_begin(size, parts), _SUMS) if k == 0 else with_told(thin, told.filter("x.sender >= 0") if more else None).mapInArrow(_sweep(seed, totals, size, parts), _SUMS)
+        out = durable(out, "sweep") if more else out
+        got = out.filter("kind < 4").groupBy("kind", "cell").agg(F.sum("value").alias("value")).toPandas()  # two numbers for each context by number, and the byte pairs
         pick = lambda kind, n: np.bincount(got.cell[got.kind == kind], got.value[got.kind == kind], n)  # noqa: B023, E731
-        totals.append(Totals(pick(0, size), pick(1, size), pick(2, 7)))
-        spelling = spelling or Spelling(pick(3, _SIDE * _SIDE))
+        if k == 0:
+            customers, tables, spelling = pick(0, size), pick(1, size), Spelling(pick(3, _SIDE * _SIDE))
+            thin = durable(words.mapInArrow(_thin(spelling), _BAGS), "thin") if sweeps else None
+        totals.append(Totals(customers, tables if k == 0 else tables + pick(1, size), pick(2, 7)))
+        if more:
+            now = durable(out.filter("kind = 4").select(F.col("cell").alias("to"), "sender", "blob").groupBy("to").applyInArrow(_add, _TELLS), "told")
+            now = now.select("part", F.struct(F.lit(k).alias("state"), "sender", "blob").alias("x"))
+            told = now if told is None else told.unionByName(now)
     for t in totals:
         t.d1, t.d0 = totals[0].d1, totals[0].d0
-    return model, heads, totals, spelling
+    return with_told(words, told), heads, totals, spelling
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", contexts_: int = CONTEXTS, sweeps: int = SWEEPS, seed: int = 7) -> DataFrame:
@@ -532,11 +715,11 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", co
     size = total["bytes"] or 0
     blocks, parts = max(1, -(-size // BLOCK_BYTES), -(-total["n"] // BLOCK_DOCS)), max(1, -(-size // PART_BYTES))
     model, heads, totals, spelling = train(rows.filter(~F.col("held_out")).select("text"), parts, contexts_=contexts_, sweeps=sweeps, seed=seed)
-    settled = model.mapInArrow(_settle(seed, totals, spelling), _BAGS)
+    settled = model.mapInArrow(_settle(seed, totals, spelling, parts), _BAGS)
     # null and repeated ids spread by their texts
     by_block = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))).groupBy("block")
     asks = by_block.applyInArrow(_ask(parts, heads), _ASKS)
-    told = settled.groupBy("part").cogroup(asks.groupBy("part")).applyInArrow(_tell(totals), _TOLD)
+    told = settled.groupBy("part").cogroup(asks.groupBy("part")).applyInArrow(_tell(len(totals[-SAMPLES:])), _TOLD)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scored = by_block.cogroup(told.groupBy("block")).applyInArrow(_score(parts, heads, totals, spelling), schema)

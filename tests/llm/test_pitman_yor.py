@@ -175,3 +175,17 @@ def test_counts_beyond_32_bits_are_kept():
         [(_, words, pairs, blob)] = bag.split(1)
         back = pitman_yor._read(pa.scalar(blob, pa.binary()), words, pairs)
         assert back[4].tolist() == [big, 1, 2] and back[0].tolist() == [1, 2] and back[5].tobytes() == b"onetwo"
+
+
+def test_contexts_dealt_out_by_word_are_contexts_of_their_own(spark, monkeypatch):
+    rows = corpus(300)
+    monkeypatch.setattr(pitman_yor, "PART_BYTES", 20_000)
+    run = lambda **x: {(str(r.doc_id), r.n_tokens): r for r in pitman_yor.score(frame(spark, rows), **x).collect()}
+    # without a sweep nothing is drawn: which contexts all tasks know makes no difference
+    one, other = run(sweeps=0), run(sweeps=0, contexts_=5)
+    assert {k: r.score for k, r in other.items()} == pytest.approx({k: r.score for k, r in one.items()}, rel=1e-5, abs=1e-3)
+    # with sweeps other numbers are drawn for the same model: scores differ as those of two seeds do
+    one, other = run(), run(contexts_=5)
+    tokens_ = sum(r.n_tokens for r in one.values())
+    assert max(abs(other[k].score - one[k].score) / k[1] for k in one if k[1] >= 10) < 0.1
+    assert abs(sum(r.score for r in other.values()) - sum(r.score for r in one.values())) / tokens_ < 0.005

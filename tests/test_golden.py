@@ -322,3 +322,13 @@ def test_sections_are_split_within_their_row(spark, unglue):
     assert "Window" not in plan and "Aggregate" not in plan
     texts = ["Doe, J. (2001). One thing of many. J, 1", "Roe, A. (2002). Another thing. K, 2."], ["head of the list", "[1] first of its kind", "[2] second of its kind"]
     assert [tuple(r) for r in got.collect()] == [(1, i, x) for part in texts for i, x in enumerate(part, 1)]
+
+
+def test_years_stand_alone_and_are_searched_once_a_row(spark):
+    old = r"(?<![A-Za-z0-9_])(?:19|20)\d{2}(?![A-Za-z0-9_])"
+    odd = ["", "1999", "a1999", "19991", "x 2001y 2003", "é1999é", "_2001 2002_", "119 1920-1930", "2001\n2002", "\n1999", "192020", "\U0001f60019991999 2000"]
+    rows = spark.createDataFrame([(a + b + c,) for a in odd for b in ("", " ", "a") for c in odd], "s string").select("s", extract.years(F.col("s")).alias("got"))
+    assert [r.got for r in rows.collect()] == [re.findall(old, r.s) for r in rows.collect()]
+    for style, n in ((parsing.apa_style, 0), (parsing.vancouver_style, 1), (parsing.generic_style, 1)):
+        plan = rows.select(style(F.col("s")).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+        assert (plan.count(extract.YEAR), plan.count(f"{extract.NUMBER}, 1)")) == (n, 1), style

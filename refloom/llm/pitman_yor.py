@@ -29,7 +29,8 @@ Words live in hashed parts, so no context or word gathers in one task beyond its
 own distinct entries.  What tasks share is bounded: totals of CONTEXTS + 2
 restaurants for each sweep and 257 x 257 byte pairs.  Of a context dealt out by word
 tables change only where a pair occurs more than once, so only those are sent anew.  Word counts themselves are
-never broadcast: blocks of documents ask the parts for the words they hold.
+never broadcast: blocks of documents ask the parts for the words they hold, in
+``WAVES`` turns, so that what is asked and told is on disk for a share of the blocks at a time.
 
 Defined cases: a null text is empty and has only its end token; a null id is in
 training; repeated rows count each; texts of any length are scored whole, some
@@ -40,7 +41,8 @@ names.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -48,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refloom.llm.durable import durable
+from refloom.llm.durable import durable, release, tidied
 from refloom.llm.tokens import RangeHash, mix64, words_of
 
 #: Strengths of the context restaurants and of the words'; their discounts are
@@ -64,6 +66,10 @@ EXACT = 128
 BLOCK_BYTES = 12_000_000
 BLOCK_DOCS = 4096
 PART_BYTES = 16_000_000
+#: Ranges of hashes by which the bags of a part are merged.
+RANGES = 8
+#: Turns in which blocks are scored, at most, of this many blocks at least.
+WAVES, WAVE_BLOCKS = 4, 4
 
 _U, _I = np.uint64, np.int64
 _STOP = 256  # end of word, and what stands before a word
@@ -257,6 +263,17 @@ class Bag:
         self.hash = hashes[new]
         self.data, self.offsets = _gather(data, start[picked][new], end[picked][new])
 
+    @classmethod
+    def joined(cls, bags: Sequence[Bag]) -> Bag:
+        """Bags of ascending ranges of hashes as one."""
+        out = cls.__new__(cls)
+        for name in ("count", "context", "hash", "data"):
+            setattr(out, name, np.concatenate([getattr(x, name) for x in bags]))
+        words, size = (np.cumsum([0] + [len(getattr(x, k)) for x in bags]) for k in ("hash", "data"))
+        out.word = np.concatenate([x.word + n for x, n in zip(bags, words, strict=False)])
+        out.offsets = np.r_[0, np.concatenate([x.offsets[1:] + n for x, n in zip(bags, size, strict=False)])]
+        return out
+
     def split(self, parts: int):
         """(part, words, pairs, blob) of the words of each part; counts take 32 bits, or 64 where one of them needs it."""
         wide = bool(self.count.max(initial=0) >= 2**32)
@@ -305,17 +322,21 @@ def _bags(rows) -> pa.RecordBatch:
     )
 
 
-def _merge(bags) -> Bag:
-    """One bag of many (hash, length, word, context, count, data)."""
-    parts, base = [], 0
-    for h, length, word, context, count, data in bags:
-        offsets = np.r_[0, np.cumsum(length.astype(_I))]
-        parts.append((h[word], context, count, data, offsets[word] + base, offsets[word.astype(_I) + 1] + base))
-        base += len(data)
-    if not parts:
-        none = np.zeros(0, _I)
-        return Bag(none.astype(_U), none, none, none.astype(np.uint8), none, none)
-    return Bag(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+def _merge(bags: Callable[[], Iterable[tuple]], ranges: int = 1) -> Bag:
+    """One bag of many (hash, length, word, context, count, data), made by ranges of hashes so that one range is unpacked at a time."""
+    bounds, made = [_U(i * 2**64 // ranges) for i in range(ranges)], []
+    for i, low in enumerate(bounds):
+        found, base = [], 0
+        for h, length, word, context, count, data in bags():
+            first, last = np.searchsorted(h, low), np.searchsorted(h, bounds[i + 1]) if i + 1 < ranges else len(h)
+            pairs, offsets = slice(*np.searchsorted(word, (first, last))), np.r_[0, np.cumsum(length.astype(_I))]
+            at, start = word[pairs], base - offsets[first]
+            found.append((h[at], context[pairs].copy(), count[pairs].copy(), data[offsets[first] : offsets[last]], offsets[at] + start, offsets[at + 1] + start))
+            base += offsets[last] - offsets[first]
+        columns = [list(x) for x in zip(*found, strict=True)] or [[np.zeros(0, k)] for k in (_U, _I, _I, np.uint8, _I, _I)]
+        del found
+        made.append(Bag(*(np.concatenate(columns.pop(0)) for _ in range(6))))
+    return made[0] if ranges == 1 else Bag.joined(made)
 
 
 def _count(parts: int, heads: np.ndarray):
@@ -328,15 +349,16 @@ def _count(parts: int, heads: np.ndarray):
                 for part, words, pairs, blob in Bag(h, context, np.ones(len(h)), data, start, end).split(parts):
                     held.setdefault(part, []).append((blob, words, pairs))
             for part in sorted(held):
-                bag = _merge(_read(*x) for x in held.pop(part))
+                blobs = held.pop(part)
+                bag = _merge(lambda: (_read(*x) for x in blobs))  # noqa: B023
                 yield from _bags((part, *rest) for _, *rest in bag.split(1)).to_batches()
 
     return run
 
 
 def _part(key, table):
-    rows = zip(table["blob"], table["words"].to_pylist(), table["pairs"].to_pylist(), strict=True)
-    bag = _merge(_read(b, w, p) for b, w, p in rows)
+    rows = list(zip(table["blob"], table["words"].to_pylist(), table["pairs"].to_pylist(), strict=True))
+    bag = _merge(lambda: (_read(*x) for x in rows), RANGES)
     return _bags(bag.split(1)).set_column(0, "part", pa.array([key[0].as_py()], pa.int64())) if len(bag.hash) else _bags([])
 
 
@@ -685,24 +707,28 @@ def train(texts: DataFrame, parts: int, *, contexts_: int = CONTEXTS, sweeps: in
     """The words in parts with what these are told, the words that are contexts by number, the totals of all states, and the spelling."""
     heads, more = contexts(texts, contexts_)
     bags = texts.mapInArrow(_count(parts, heads), _BAGS)
-    words = durable(bags.groupBy("part").applyInArrow(_part, _BAGS), "words")
+    words = durable(bags.groupBy("part").applyInArrow(_part, _BAGS), "words", tidy=True)
     size, totals, told = len(heads) + 2, [], None
     nothing = F.lit(None).cast("array<struct<state:int,sender:long,blob:binary>>").alias("told")
     with_told = lambda df, rows: df.select("*", nothing) if rows is None else df.join(rows.groupBy("part").agg(F.collect_list("x").alias("told")), "part", "left")
     for k in range(sweeps + 1):
         # between sweeps parts only need what they asked for, not the names of all contexts
         out = words.mapInArrow(_begin(size, parts), _SUMS) if k == 0 else with_told(thin, told.filter("x.sender >= 0") if more else None).mapInArrow(_sweep(seed, totals, size, parts), _SUMS)
-        out = durable(out, "sweep") if more else out
-        got = out.filter("kind < 4").groupBy("kind", "cell").agg(F.sum("value").alias("value")).toPandas()  # two numbers for each context by number, and the byte pairs
+        out = durable(out, "sweep", tidy=True) if more else out
+        with tidied(words.sparkSession):
+            got = out.filter("kind < 4").groupBy("kind", "cell").agg(F.sum("value").alias("value")).toPandas()  # two numbers for each context by number, and the byte pairs
         pick = lambda kind, n: np.bincount(got.cell[got.kind == kind], got.value[got.kind == kind], n)  # noqa: B023, E731
         if k == 0:
             customers, tables, spelling = pick(0, size), pick(1, size), Spelling(pick(3, _SIDE * _SIDE))
-            thin = durable(words.mapInArrow(_thin(spelling), _BAGS), "thin") if sweeps else None
+            thin = durable(words.mapInArrow(_thin(spelling), _BAGS), "thin", tidy=True) if sweeps else None
         totals.append(Totals(customers, tables if k == 0 else tables + pick(1, size), pick(2, 7)))
         if more:
-            now = durable(out.filter("kind = 4").select(F.col("cell").alias("to"), "sender", "blob").groupBy("to").applyInArrow(_add, _TELLS), "told")
+            now = durable(out.filter("kind = 4").select(F.col("cell").alias("to"), "sender", "blob").groupBy("to").applyInArrow(_add, _TELLS), "told", tidy=True)
+            release(out)
             now = now.select("part", F.struct(F.lit(k).alias("state"), "sender", "blob").alias("x"))
             told = now if told is None else told.unionByName(now)
+    if sweeps:
+        release(thin)
     for t in totals:
         t.d1, t.d0 = totals[0].d1, totals[0].d0
     return with_told(words, told), heads, totals, spelling
@@ -715,15 +741,20 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", co
     size = total["bytes"] or 0
     blocks, parts = max(1, -(-size // BLOCK_BYTES), -(-total["n"] // BLOCK_DOCS)), max(1, -(-size // PART_BYTES))
     model, heads, totals, spelling = train(rows.filter(~F.col("held_out")).select("text"), parts, contexts_=contexts_, sweeps=sweeps, seed=seed)
-    settled = model.mapInArrow(_settle(seed, totals, spelling, parts), _BAGS)
+    settled = durable(model.mapInArrow(_settle(seed, totals, spelling, parts), _BAGS), "model", tidy=True)
+    release(model)
     # null and repeated ids spread by their texts
-    by_block = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))).groupBy("block")
-    asks = by_block.applyInArrow(_ask(parts, heads), _ASKS)
-    told = settled.groupBy("part").cogroup(asks.groupBy("part")).applyInArrow(_tell(len(totals[-SAMPLES:])), _TOLD)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = by_block.cogroup(told.groupBy("block")).applyInArrow(_score(parts, heads, totals, spelling), schema)
-    return scored.withColumnRenamed("id", id_col)
+    waves, scored = max(1, min(WAVES, blocks // WAVE_BLOCKS)), []
+    for wave in range(waves):
+        by_block = rows.filter(F.col("block") % waves == wave).groupBy("block")
+        asks = by_block.applyInArrow(_ask(parts, heads), _ASKS)
+        told = settled.groupBy("part").cogroup(asks.groupBy("part")).applyInArrow(_tell(len(totals[-SAMPLES:])), _TOLD)
+        scored.append(durable(by_block.cogroup(told.groupBy("block")).applyInArrow(_score(parts, heads, totals, spelling), schema), "scored", tidy=True))
+    release(settled)
+    return reduce(DataFrame.unionByName, scored).withColumnRenamed("id", id_col)
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

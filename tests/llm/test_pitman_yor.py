@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import os
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -12,6 +14,7 @@ import pyarrow as pa
 import pytest
 
 from refloom.llm import pitman_yor
+from refloom.llm.durable import shared_dir
 from tests.llm.brute import SPACED, UPPER
 
 SCHEMA = "doc_id long, text string, score double, id int"
@@ -189,3 +192,37 @@ def test_contexts_dealt_out_by_word_are_contexts_of_their_own(spark, monkeypatch
     tokens_ = sum(r.n_tokens for r in one.values())
     assert max(abs(other[k].score - one[k].score) / k[1] for k in one if k[1] >= 10) < 0.1
     assert abs(sum(r.score for r in other.values()) - sum(r.score for r in one.values())) / tokens_ < 0.005
+
+
+def test_blocks_are_scored_in_turns_and_only_scores_stay_on_disk(spark, monkeypatch):
+    rows = corpus(300)
+    monkeypatch.setattr(pitman_yor, "BLOCK_DOCS", 20)
+    folder = shared_dir(spark).removeprefix("file:")
+    run = lambda: sorted((str(r.doc_id), r.n_tokens, r.score) for r in pitman_yor.score(frame(spark, rows), contexts_=20).collect())
+    before = set(os.listdir(folder))
+    turns = run()
+    assert sorted(x.partition("-")[0] for x in set(os.listdir(folder)) - before) == ["scored"] * pitman_yor.WAVES
+    monkeypatch.setattr(pitman_yor, "WAVES", 1)
+    assert run() == turns
+
+
+def test_bags_of_a_part_are_merged_by_ranges():
+    rng = np.random.default_rng(3)
+    names = np.sort(rng.integers(1 << 16, 1 << 64, 20_000, np.uint64, endpoint=False))
+    blobs = []
+    for _ in range(20):
+        word = rng.integers(0, len(names), 40_000)
+        bag = pitman_yor.Bag(names[word], rng.integers(0, 3000, 40_000), np.ones(40_000), np.frombuffer(names.tobytes(), np.uint8), word * 8, word * 8 + 8)
+        blobs += [(blob, words, pairs) for _, words, pairs, blob in bag.split(1)]
+    pairs = sum(x[2] for x in blobs)
+    found = []
+    for ranges in (1, pitman_yor.RANGES):
+        tracemalloc.start()
+        found.append(pitman_yor._merge(lambda: (pitman_yor._read(*x) for x in blobs), ranges))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert peak < 80 * pairs  # 8 arrays of all pairs
+    one, many = found
+    for name in ("hash", "word", "context", "count", "data", "offsets"):
+        assert np.array_equal(getattr(one, name), getattr(many, name))
+    assert one.count.sum() == 20 * 40_000

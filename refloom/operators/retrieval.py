@@ -93,7 +93,9 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 def _classes(words: DataFrame, records: DataFrame, k: int) -> DataFrame:
     """(source, rec_id, words, members): the sets of the frequent ``words`` that records hold, under a key in the place of an id, and their k first records."""
-    spread = records.select("source", "source_rank", "rec_id", _key(F.col("words")).alias("whole"), F.explode("words").alias("word")).join(words, ["source", "word"], "left_semi")
+    # the key of all words is made once a record: beside an explode it would be made for every word
+    keyed = records.select("source", "source_rank", "rec_id", _key(F.col("words")).alias("whole"), "words")
+    spread = keyed.select("source", "source_rank", "rec_id", "whole", F.explode("words").alias("word")).join(words, ["source", "word"], "left_semi")
     sets = spread.groupBy("source", "source_rank", "rec_id", "whole").agg(F.array_sort(F.collect_set("word")).alias("words"))
     rows = sets.select("source", "source_rank", "rec_id", _key(F.col("words")).alias("class"), "words").distinct()
     first = Window.partitionBy("source", "class").orderBy("rec_id", "source_rank")

@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from refloom.functions.text import fold
+from refloom.functions.text import _FOREIGN, SPACES, fold
 from refloom.operators import near_titles, resolve, retrieval
 
 
@@ -111,3 +111,22 @@ def test_of_records_with_one_arxiv_id_the_nearest_title_counts(spark):
     catalog = resolve_catalog(spark, [(f"k{i}", t) for i, t in enumerate(titles)]).withColumn("arxiv_id", F.lit("2101.10000"))
     refs = spark.createDataFrame([(i, "x", t, None, None, None, None, "2101.10000") for i, t in enumerate(titles)], "ref_id long, raw string, title string, authors string, journal string, year string, doi string, arxiv_id string")
     assert {(r.ref_id, r.title) for r in resolve.arxiv_lookup(refs, catalog).select("ref_id", "found.title").collect()} == set(enumerate(titles))
+
+
+def test_the_key_of_a_record_is_not_made_for_every_word(spark):
+    records = spark.createDataFrame([("s", 1, "a", ["one", "two"]), ("s", 1, "b", ["one", "two", "three"])], "source string, source_rank int, rec_id string, words array<string>")
+    words = spark.createDataFrame([("s", "one")], "source string, word string")
+    found = retrieval._classes(words, records, 5)
+    assert [(r.words, [m.rec_id for m in r.members]) for r in found.collect()] == [(["one"], ["a", "b"])]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.rindex("md5(")
+
+
+def test_folding_drops_runs_of_foreign_characters_and_keeps_spaces(spark):
+    kept = "".join(c for c in SPACES if not c.isascii())
+    odd = "".join(chr(c) for c in [*range(0x80, 0x250), *range(0x1670, 0x1690), *range(0x1FF0, 0x2070), *range(0x2FF0, 0x3010), *range(0xFEF0, 0xFF10), 0x1F600, 0x10FFFF])
+    rows = spark.createDataFrame([(f"a{odd}b",), (f"a{kept}b",), ("x".join(odd),), (None,), ("",)], "t string")
+    got = [r.new for r in rows.select(F.regexp_replace("t", _FOREIGN, "").alias("new")).collect()]
+    assert got == [None if r.t is None else "".join(c for c in r.t if c.isascii() or c in kept) for r in rows.collect()]
+    # of ASCII characters a single range is asked
+    assert _FOREIGN.startswith("[\\x{80}-\\x{10FFFF}&&")

@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refloom.llm.durable import durable, release, tidied
+from refloom.llm.durable import LARGE, TIDY, durable, release, settings
 from refloom.llm.tokens import RangeHash, mix64, words_of
 
 #: Strengths of the context restaurants and of the words'; their discounts are
@@ -707,23 +707,23 @@ def train(texts: DataFrame, parts: int, *, contexts_: int = CONTEXTS, sweeps: in
     """The words in parts with what these are told, the words that are contexts by number, the totals of all states, and the spelling."""
     heads, more = contexts(texts, contexts_)
     bags = texts.mapInArrow(_count(parts, heads), _BAGS)
-    words = durable(bags.groupBy("part").applyInArrow(_part, _BAGS), "words", tidy=True)
+    words = durable(bags.groupBy("part").applyInArrow(_part, _BAGS), "words", TIDY, file_rows=1)
     size, totals, told = len(heads) + 2, [], None
     nothing = F.lit(None).cast("array<struct<state:int,sender:long,blob:binary>>").alias("told")
     with_told = lambda df, rows: df.select("*", nothing) if rows is None else df.join(rows.groupBy("part").agg(F.collect_list("x").alias("told")), "part", "left")
     for k in range(sweeps + 1):
         # between sweeps parts only need what they asked for, not the names of all contexts
         out = words.mapInArrow(_begin(size, parts), _SUMS) if k == 0 else with_told(thin, told.filter("x.sender >= 0") if more else None).mapInArrow(_sweep(seed, totals, size, parts), _SUMS)
-        out = durable(out, "sweep", tidy=True) if more else out
-        with tidied(words.sparkSession):
+        out = durable(out, "sweep", TIDY | LARGE) if more else out
+        with settings(words.sparkSession, TIDY if more else TIDY | LARGE):
             got = out.filter("kind < 4").groupBy("kind", "cell").agg(F.sum("value").alias("value")).toPandas()  # two numbers for each context by number, and the byte pairs
         pick = lambda kind, n: np.bincount(got.cell[got.kind == kind], got.value[got.kind == kind], n)  # noqa: B023, E731
         if k == 0:
             customers, tables, spelling = pick(0, size), pick(1, size), Spelling(pick(3, _SIDE * _SIDE))
-            thin = durable(words.mapInArrow(_thin(spelling), _BAGS), "thin", tidy=True) if sweeps else None
+            thin = durable(words.mapInArrow(_thin(spelling), _BAGS), "thin", TIDY | LARGE, file_rows=1) if sweeps else None
         totals.append(Totals(customers, tables if k == 0 else tables + pick(1, size), pick(2, 7)))
         if more:
-            now = durable(out.filter("kind = 4").select(F.col("cell").alias("to"), "sender", "blob").groupBy("to").applyInArrow(_add, _TELLS), "told", tidy=True)
+            now = durable(out.filter("kind = 4").select(F.col("cell").alias("to"), "sender", "blob").groupBy("to").applyInArrow(_add, _TELLS), "told", TIDY)
             release(out)
             now = now.select("part", F.struct(F.lit(k).alias("state"), "sender", "blob").alias("x"))
             told = now if told is None else told.unionByName(now)
@@ -741,7 +741,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", co
     size = total["bytes"] or 0
     blocks, parts = max(1, -(-size // BLOCK_BYTES), -(-total["n"] // BLOCK_DOCS)), max(1, -(-size // PART_BYTES))
     model, heads, totals, spelling = train(rows.filter(~F.col("held_out")).select("text"), parts, contexts_=contexts_, sweeps=sweeps, seed=seed)
-    settled = durable(model.mapInArrow(_settle(seed, totals, spelling, parts), _BAGS), "model", tidy=True)
+    settled = durable(model.mapInArrow(_settle(seed, totals, spelling, parts), _BAGS), "model", TIDY | LARGE, file_rows=1)
     release(model)
     # null and repeated ids spread by their texts
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
@@ -752,7 +752,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", co
         by_block = rows.filter(F.col("block") % waves == wave).groupBy("block")
         asks = by_block.applyInArrow(_ask(parts, heads), _ASKS)
         told = settled.groupBy("part").cogroup(asks.groupBy("part")).applyInArrow(_tell(len(totals[-SAMPLES:])), _TOLD)
-        scored.append(durable(by_block.cogroup(told.groupBy("block")).applyInArrow(_score(parts, heads, totals, spelling), schema), "scored", tidy=True))
+        scored.append(durable(by_block.cogroup(told.groupBy("block")).applyInArrow(_score(parts, heads, totals, spelling), schema), "scored", TIDY))
     release(settled)
     return reduce(DataFrame.unionByName, scored).withColumnRenamed("id", id_col)
 

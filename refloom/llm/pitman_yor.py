@@ -41,6 +41,7 @@ names.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
@@ -558,7 +559,7 @@ def _settle(seed: int, totals: Sequence[Totals], spelling: Spelling, parts: int)
                 h, length, word, context, count, data = _read(blob, words.as_py(), pairs.as_py())
                 spelled = np.exp(spelling.log(data, np.r_[0, np.cumsum(length.astype(_I))]))
                 told = told.as_py() or []
-                states = list(_states(seed, part.as_py(), word, context, count, spelled, totals[:-1], _pair_tables(told, parts, context, count)))[-SAMPLES:]
+                states = deque(_states(seed, part.as_py(), word, context, count, spelled, totals[:-1], _pair_tables(told, parts, context, count)), SAMPLES)
                 found = [_shares(x, now, d1, d0, count, spelled) for x, now in zip(states, totals[-SAMPLES:], strict=True)]
                 kept = np.mean([x[1] for x in found], axis=0)
                 ps = np.stack([x[0] for x in found]).astype(np.float32)

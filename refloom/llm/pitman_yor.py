@@ -17,9 +17,8 @@ draws it anew for every dish from its conditional given the customers, the
 parent's probability and the tables of all other dishes (in the totals of the
 sweep before): a generalised Stirling number of customers and tables, times
 probability and strength for every table.  Dishes of more than ``EXACT`` customers
-are seated in growing groups instead.  Seatings go on from sweep to sweep: a task
-replays the earlier sweeps of its words from their seeds and totals, so nothing
-but totals is kept.  All tasks know the totals of the ``CONTEXTS`` most frequent
+are seated in growing groups instead.  Seatings go on from sweep to sweep: each
+part keeps its state for the next sweep, and the last ones for the average.  All tasks know the totals of the ``CONTEXTS`` most frequent
 words as contexts; those of the others are held by the parts of these words, which
 after each sweep add up what all parts send and tell each part what it asks for.  Probabilities are averaged over the last ``SAMPLES`` states;
 in each state they use the totals of that same state, so that they sum to one over
@@ -41,7 +40,6 @@ names.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
@@ -52,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refloom.llm.durable import LARGE, TIDY, durable, release, settings
-from refloom.llm.tokens import RangeHash, mix64, words_of
+from refloom.llm.tokens import RangeHash, mix64, trimmed, words_of
 
 #: Strengths of the context restaurants and of the words'; their discounts are
 #: estimated from all counts, n1 / (n1 + 2 n2).
@@ -64,19 +62,23 @@ SWEEPS = 4
 SAMPLES = 3
 #: Customers of a dish up to which its tables are drawn from the exact conditional.
 EXACT = 128
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 4_000_000
 BLOCK_DOCS = 4096
-PART_BYTES = 16_000_000
+PART_BYTES = 8_000_000
+#: The model of a part is handed on in pieces of so many bytes.
+PIECE = 250_000
 #: Ranges of hashes by which the bags of a part are merged.
-RANGES = 8
+RANGES = 4
 #: Turns in which blocks are scored, at most, of this many blocks at least.
-WAVES, WAVE_BLOCKS = 4, 4
+WAVES, WAVE_BLOCKS = 3, 4
 
 _U, _I = np.uint64, np.int64
 _STOP = 256  # end of word, and what stands before a word
 _SIDE = 257
 #: Numbers of two contexts: the start of a text, and, where 16 bits are kept, any that is known by its hash.
 _RARE, _START = 0, 1
+#: Senders of what a part has for itself: sums of its words as contexts, and its state.
+_OWN, _STATE = -1, -2
 #: Contexts that all tasks know have numbers below this, the others are hashes beyond it.
 _HASHED = 1 << 16
 
@@ -187,14 +189,14 @@ def _tokens(texts: pa.Array, heads: np.ndarray):
 
     ``heads`` are the sorted hashes of the words that are contexts by number, others are by hash.
     """
+    known = pd.Index(heads)
     end = _hash(RangeHash(np.zeros(0, _U)).of(np.zeros(1, _I), np.zeros(1, _I)))
     for w in words_of(texts, lower=True):
         n = len(w.text_start) - 1
         hashes = _hash(w.hash)
         own = hashes.view(_I)
-        if len(heads) and len(own):
-            at = np.minimum(np.searchsorted(heads, hashes), len(heads) - 1)
-            own = np.where(heads[at] == hashes, at + 2, own)
+        at = known.get_indexer(hashes)
+        own = np.where(at >= 0, at + 2, own)
         context = np.full(len(own), _START, _I)
         context[1:] = own[:-1]
         filled = np.diff(w.first_word) > 0
@@ -213,17 +215,31 @@ def _tokens(texts: pa.Array, heads: np.ndarray):
         )
 
 
+def _lean(work):
+    """The same work on batches, after which nothing that was freed stays with the worker."""
+
+    def run(batches):
+        yield from work(batches)
+        trimmed()
+
+    return run
+
+
 def _count_words(batches):
     """Counts of the words of a batch, the end token left out."""
     for batch in batches:
-        found = [_hash(w.hash) for w in words_of(batch.column(0), lower=True)]
-        h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, _U), np.zeros(0, _I))
+        found = [(np.zeros(0, _U), np.zeros(0, _I))]
+        for w in words_of(batch.column(0), lower=True):
+            code, h = pd.factorize(_hash(w.hash))
+            found.append((h, np.bincount(code, minlength=len(h))))
+        code, h = pd.factorize(np.concatenate([x[0] for x in found]))
+        n = np.bincount(code, np.concatenate([x[1] for x in found]), len(h))
         yield pa.RecordBatch.from_arrays([pa.array(h.view(_I)), pa.array(n.astype(_I))], ["word", "n"])
 
 
 def contexts(texts: DataFrame, size: int) -> tuple[np.ndarray, bool]:
     """Sorted hashes of the ``size`` most frequent words, and whether there are more."""
-    words = texts.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = texts.mapInArrow(_lean(_count_words), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     found = words.orderBy(F.desc("n"), "word").limit(size + 1).collect()
     return np.sort(np.array([r["word"] for r in found[:size]], _I).view(_U)), len(found) > size
 
@@ -236,15 +252,21 @@ def _gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return data[index], offsets
 
 
-def _distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sort order, places of the first of each group, and group of each sorted entry."""
-    place = np.zeros(len(keys[0]), _I)
-    for k in keys:
-        code, names = pd.factorize(k)  # only distinct values are compared, the rest is one sort of numbers
-        rank = np.empty(len(names), _I)
-        rank[np.argsort(names)] = np.arange(len(names))
-        place *= len(names)
-        place += rank[code]
+def _ranked(values: np.ndarray, parts: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in the order of their parts, then their own, and which of them each value is."""
+    code, names = pd.factorize(values)  # only distinct values are compared
+    order = np.argsort(names) if parts == 1 else np.lexsort((names, names % _U(parts)))
+    rank = np.empty(len(names), _I)
+    rank[order] = np.arange(len(names))
+    return names[order], rank[code]
+
+
+def _distinct(hashes: np.ndarray, context: np.ndarray, parts: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sort order by part, hash and context, places of the first of each group, and group of each sorted entry."""
+    place = _ranked(hashes, parts)[1]
+    names, code = _ranked(context)
+    place *= len(names)
+    place += code
     order = np.argsort(place)
     place = place[order]
     new = np.r_[True, place[1:] != place[:-1]] if len(place) else np.zeros(0, bool)
@@ -277,18 +299,25 @@ class Bag:
 
     def split(self, parts: int):
         """(part, words, pairs, blob) of the words of each part; counts take 32 bits, or 64 where one of them needs it."""
-        wide = bool(self.count.max(initial=0) >= 2**32)
-        part = (self.hash % _U(parts)).astype(_I)
-        for p in np.unique(part):
-            words = np.flatnonzero(part == p)
-            data, offsets = _gather(self.data, self.offsets[words], self.offsets[words + 1])
-            pairs = np.flatnonzero(part[self.word] == p)
-            word = np.searchsorted(words, self.word[pairs])
-            per_word = np.bincount(word, minlength=len(words))
-            counts = self.count[pairs].astype(_U if wide else np.uint32)
-            n_dealt, short, dealt = _pack(self.context[pairs])
-            arrays = (np.array([wide], _U), n_dealt, self.hash[words], np.diff(offsets).astype(np.uint32), per_word.astype(np.uint32), short, dealt, counts, data)
-            yield int(p), len(words), len(pairs), b"".join(a.tobytes() for a in arrays)
+        kind = _U if self.count.max(initial=0) >= 2**32 else np.uint32
+        per_word = np.bincount(self.word, minlength=len(self.hash))
+        hashes, context, count, data, offsets = self.hash, self.context, self.count, self.data, self.offsets
+        pairs = np.r_[0, np.cumsum(per_word)]
+        part = np.zeros(len(hashes), _I)
+        if parts > 1:  # all is put in the order of the parts once, each of which is then a range
+            part = (hashes % _U(parts)).astype(_I)
+            order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+            data, offsets = _gather(data, offsets[order], offsets[order + 1])
+            moved, _ = _gather(np.arange(len(context)), pairs[order], pairs[order + 1])
+            part, hashes, per_word, context, count = part[order], hashes[order], per_word[order], context[moved], count[moved]
+            pairs = np.r_[0, np.cumsum(per_word)]
+        length = np.diff(offsets).astype(np.uint32)
+        cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else part
+        for s, e in zip(cut, np.r_[cut[1:], len(part)], strict=False):
+            n_dealt, short, dealt = _pack(context[pairs[s] : pairs[e]])
+            counts = count[pairs[s] : pairs[e]].astype(kind)
+            arrays = (np.array([kind is _U], _U), n_dealt, hashes[s:e], length[s:e], per_word[s:e].astype(np.uint32), short, dealt, counts, data[offsets[s] : offsets[e]])
+            yield int(part[s]), int(e - s), len(counts), b"".join(a.tobytes() for a in arrays)
 
 
 def _read(blob, words: int, pairs: int):
@@ -343,7 +372,7 @@ def _merge(bags: Callable[[], Iterable[tuple]], ranges: int = 1) -> Bag:
 def _count(parts: int, heads: np.ndarray):
     """The bag of each batch of texts; slices are packed by part at once, so that only one part is unpacked at a time."""
 
-    def run(batches):
+    def work(batches):
         for batch in batches:
             held: dict[int, list] = {}
             for _, _, h, context, start, end, data in _tokens(batch.column(0), heads):
@@ -354,7 +383,7 @@ def _count(parts: int, heads: np.ndarray):
                 bag = _merge(lambda: (_read(*x) for x in blobs))  # noqa: B023
                 yield from _bags((part, *rest) for _, *rest in bag.split(1)).to_batches()
 
-    return run
+    return _lean(work)
 
 
 def _part(key, table):
@@ -380,14 +409,15 @@ class Totals:
         return (S0 + self.d0 * self.all_tables) / (S0 + self.all_customers)
 
 
-def _states(seed: int, part: int, word, context, count, spelled, totals: Sequence[Totals], told: Sequence[np.ndarray] = (), single=0):
+def _states(seed: int, part: int, word, context, count, spelled, totals: Sequence[Totals], told: Sequence[np.ndarray] = (), single=0, after: int = 0, state=None):
     """The states of a part's words: (tables of pairs, customers of words, tables of words), one more than totals.
 
     ``told`` are for each of the totals the tables of the contexts that are dealt out, by pair;
-    ``single`` the number of each word's pairs that occur once and are not listed: they have one table each.
+    ``single`` the number of each word's pairs that occur once and are not listed: they have one table each;
+    ``state`` that after so many sweeps, from which these go on.
     """
     n = len(spelled)
-    t1, c0, t0 = np.ones(len(count)), np.bincount(word, minlength=n).astype(float) + single, np.ones(n)
+    t1, c0, t0 = state or (np.ones(len(count)), np.bincount(word, minlength=n).astype(float) + single, np.ones(n))
     yield t1, c0, t0
     if not totals:
         return
@@ -396,7 +426,7 @@ def _states(seed: int, part: int, word, context, count, spelled, totals: Sequenc
     dealt = _dealt(context)
     number = np.where(dealt, _RARE, context)
     for k, now in enumerate(totals):
-        rng = np.random.default_rng([seed, k, part])
+        rng = np.random.default_rng([seed, after + k, part])
         p = (np.maximum(c0 - d0 * t0, 0) + (S0 + d0 * now.all_tables) * spelled) / (S0 + now.all_customers)
         tables = now.tables[number]
         if len(told):
@@ -407,14 +437,14 @@ def _states(seed: int, part: int, word, context, count, spelled, totals: Sequenc
         yield t1, c0, t0
 
 
-#: Sums of a state, and what parts send to the parts of contexts (4).
+#: Sums of a state, what parts send to the parts of contexts (4), and the state itself (5).
 _SUMS = "kind int, cell long, value double, sender long, blob binary"
 
 
 def _sent(part: int, parts: int, state: int, context, count, tables):
     """(to, blob) for the parts of contexts: their tables here at first, later those beyond one a pair; and which are asked for."""
     some = _dealt(context) & ((count > 1) | (state == 0))
-    names, at = np.unique(context[some], return_inverse=True)
+    names, at = _ranked(context[some])
     value = np.bincount(at, tables[some] - (state > 0), len(names)).astype(_I)
     asked = np.bincount(at, count[some] > 1, len(names)) > 0
     to = (names.view(_U) % _U(parts)).astype(_I)
@@ -433,11 +463,11 @@ def _add(key, table):
         buffer = blob.as_buffer()
         n = int(np.frombuffer(buffer, _I, 1)[0])
         got.append((np.frombuffer(buffer, _I, n, 8), np.frombuffer(buffer, _I, n, 8 + 8 * n), np.frombuffer(buffer, bool, n, 8 + 16 * n)))
-    names, at = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True)
+    names, at = _ranked(np.concatenate([x[0] for x in got]))
     sums = np.zeros(len(names), _I)
     np.add.at(sums, at, np.concatenate([x[1] for x in got]))
     me = key[0].as_py()
-    rows, s = [(me, -1, names.tobytes() + sums.tobytes())], 0
+    rows, s = [(me, _OWN, names.tobytes() + sums.tobytes())], 0
     for sender, (n, _, asked) in zip(table["sender"].to_pylist(), got, strict=True):
         rows.append((sender, me, sums[at[s : s + len(n)][asked]].tobytes()))
         s += len(n)
@@ -450,7 +480,7 @@ def _pair_tables(told: list, parts: int, context, count) -> list[np.ndarray]:
     asked = np.unique(context[_dealt(context) & (count > 1)])
     order = np.argsort(asked.view(_U) % _U(parts), kind="stable")  # replies come by sender
     out = []
-    for k in sorted({x["state"] for x in told}):
+    for k in sorted({x["state"] for x in told if x["sender"] >= 0}):
         value = np.zeros(len(asked))
         replies = sorted((x for x in told if x["state"] == k and x["sender"] >= 0), key=lambda x: x["sender"])
         value[order] = np.concatenate([np.frombuffer(x["blob"], _I) for x in replies]) if len(asked) else 0
@@ -469,16 +499,25 @@ def _word_tables(told: list, h, states: int) -> np.ndarray:
     """By state: the tables of each word of a part as a context, where it is dealt out."""
     out = np.zeros((states, len(h)))
     for x in told:
-        if x["sender"] < 0:
+        if x["sender"] == _OWN:
             names, sums = np.frombuffer(x["blob"], _I).reshape(2, -1)
             out[x["state"], np.searchsorted(h, names.view(_U))] = sums
     out[1:] += out[0]
     return out
 
 
-def _sums(part: int, sums, sent) -> pa.RecordBatch:
-    sent = list(sent)
+def _held(told: list, state: int, words: int, pairs: int):
+    """The state of a part after so many sweeps, as it was kept; None at the beginning."""
+    for x in told:
+        if x["sender"] == _STATE and x["state"] == state:
+            return tuple(np.frombuffer(x["blob"], float, n, 8 * at) for n, at in ((pairs, 0), (words, pairs), (words, pairs + words)))
+    return None
+
+
+def _sums(part: int, sums, sent, state=()) -> pa.RecordBatch:
+    sent = [*sent, *([(part, b"".join(x.tobytes() for x in state))] if state else [])]
     kind = np.concatenate([*[np.full(len(c), k, np.int32) for k, c, _ in sums], np.full(len(sent), 4, np.int32)])
+    kind[len(kind) - bool(state) :] = 5
     cell = np.concatenate([*[c for _, c, _ in sums], np.array([to for to, _ in sent], _I)]).astype(_I)
     value = np.concatenate([*[v for _, _, v in sums], np.zeros(len(sent))]).astype(float)
     blobs = [None] * (len(kind) - len(sent)) + [b for _, b in sent]
@@ -488,27 +527,28 @@ def _sums(part: int, sums, sent) -> pa.RecordBatch:
 def _begin(size: int, parts: int):
     """Sums of the first state, one table a pair: customers (0) and tables (1) of contexts, the words' restaurant (2), byte pairs (3)."""
 
-    def run(batches):
+    def work(batches):
         for batch in batches:
             for part, words, pairs, blob in zip(*(batch.column(i) for i in range(4)), strict=True):
                 _, length, word, context, count, data = _read(blob, words.as_py(), pairs.as_py())
                 number, c0 = np.where(_dealt(context), _RARE, context), np.bincount(word, minlength=len(length))
-                cells, n = np.unique(spell(data, np.r_[0, np.cumsum(length.astype(_I))])[0], return_counts=True)
+                n = np.bincount(spell(data, np.r_[0, np.cumsum(length.astype(_I))])[0], minlength=_SIDE * _SIDE)
+                cells = np.flatnonzero(n)
                 sums = [
                     (0, np.arange(size), np.bincount(number, count, size)),
                     (1, np.arange(size), np.bincount(number, minlength=size)),
                     (2, np.arange(7), np.array([c0.sum(), len(length), len(length), *((x == k).sum() for x in (count, c0) for k in (1, 2))], float)),
-                    (3, cells, n),
+                    (3, cells, n[cells]),
                 ]
                 yield _sums(part.as_py(), sums, _sent(part.as_py(), parts, 0, context, count, np.ones(len(count))))
 
-    return run
+    return _lean(work)
 
 
 def _thin(spelling: Spelling):
     """What sweeps need: per word what its spelling gives and its pairs that occur once, and the other pairs."""
 
-    def run(batches):
+    def work(batches):
         for batch in batches:
             for part, words, pairs, blob in zip(*(batch.column(i) for i in range(4)), strict=True):
                 _, length, word, context, count, data = _read(blob, words.as_py(), pairs.as_py())
@@ -517,23 +557,25 @@ def _thin(spelling: Spelling):
                 arrays = (n_dealt, spelled, *(np.bincount(word[x], minlength=n).astype(np.uint32) for x in (~many, many)), short, dealt, count[many])
                 yield from _bags([(part.as_py(), n, int(many.sum()), b"".join(a.tobytes() for a in arrays))]).to_batches()
 
-    return run
+    return _lean(work)
 
 
-def _sweep(seed: int, totals: Sequence[Totals], size: int, parts: int):
-    """Sums of the state after the sweeps so far: tables of contexts beyond one a pair (1), the words' restaurant (2)."""
+def _sweep(seed: int, sweep: int, now: Totals, size: int, parts: int):
+    """The state after one more sweep (5) and its sums: tables of contexts beyond one a pair (1), the words' restaurant (2)."""
 
-    def run(batches):
+    def work(batches):
         for batch in batches:
             for part, words, pairs, blob, told in zip(*(batch.column(i) for i in range(5)), strict=True):
                 n, m, part = words.as_py(), pairs.as_py(), part.as_py()
                 spelled, single, per_word, short, dealt, count = _fields(blob.as_buffer(), (np.float64, n), (np.uint32, n), (np.uint32, n), (np.uint16, m), (_I, -1), (np.float64, m))
                 context, word = _unpack(short, dealt), np.repeat(np.arange(n), per_word)
-                *_, (t1, c0, t0) = _states(seed, part, word, context, count, spelled, totals, _pair_tables(told.as_py() or [], parts, context, count), single)
+                told = told.as_py() or []
+                tables, state = _pair_tables(told, parts, context, count), _held(told, sweep, n, m)
+                *_, (t1, c0, t0) = _states(seed, part, word, context, count, spelled, [now], tables[-1:], single, sweep, state)
                 sums = [(1, np.arange(size), np.bincount(np.where(_dealt(context), _RARE, context), t1 - 1, size)), (2, np.arange(7), np.array([c0.sum(), t0.sum(), n, 0, 0, 0, 0], float))]
-                yield _sums(part, sums, _sent(part, parts, len(totals), context, count, t1))
+                yield _sums(part, sums, _sent(part, parts, sweep + 1, context, count, t1), (t1, c0, t0))
 
-    return run
+    return _lean(work)
 
 
 def predictive(state, now: Totals, d1: float, d0: float, word, context, count, spelled) -> tuple[np.ndarray, np.ndarray]:
@@ -548,29 +590,34 @@ def _shares(state, now: Totals, d1: float, d0: float, count, spelled) -> tuple[n
     return (np.maximum(c0 - d0 * t0, 0) + (S0 + d0 * now.all_tables) * spelled) / (S0 + now.all_customers), np.maximum(count - d1 * t1, 0)
 
 
-def _settle(seed: int, totals: Sequence[Totals], spelling: Spelling, parts: int):
+def _settle(totals: Sequence[Totals], spelling: Spelling):
     """Per word: hash, count, P(word) and its parent's share as a context in each sample; per pair: word, context, customers kept on average."""
 
-    def run(batches):
+    def work(batches):
         d1, d0 = totals[0].d1, totals[0].d0
+        samples = range(len(totals))[-SAMPLES:]
         for batch in batches:
-            rows = []
             for part, words, pairs, blob, told in zip(*(batch.column(i) for i in range(5)), strict=True):
                 h, length, word, context, count, data = _read(blob, words.as_py(), pairs.as_py())
                 spelled = np.exp(spelling.log(data, np.r_[0, np.cumsum(length.astype(_I))]))
                 told = told.as_py() or []
-                states = deque(_states(seed, part.as_py(), word, context, count, spelled, totals[:-1], _pair_tables(told, parts, context, count)), SAMPLES)
-                found = [_shares(x, now, d1, d0, count, spelled) for x, now in zip(states, totals[-SAMPLES:], strict=True)]
-                kept = np.mean([x[1] for x in found], axis=0)
-                ps = np.stack([x[0] for x in found]).astype(np.float32)
+                per_word, many = np.bincount(word, minlength=len(h)), count > 1
+                kept, ps = np.zeros(len(count)), np.zeros((len(samples), len(h)), np.float32)
+                for i, k in enumerate(samples):
+                    t1, (some, c0, t0) = np.ones(len(count)), _held(told, k, len(h), int(many.sum())) or (1.0, per_word, np.ones(len(h)))
+                    t1[many] = some
+                    ps[i], own = _shares((t1, c0, t0), totals[k], d1, d0, count, spelled)
+                    kept += own
+                kept /= len(samples)
                 seen = np.bincount(word, count, len(h))
                 back = ((S1 + d1 * _word_tables(told, h, len(totals))[-SAMPLES:]) / (S1 + seen)).astype(np.float32)
                 n_dealt, short, dealt = _pack(context)
-                arrays = (n_dealt, h, seen.astype(_I), ps, back, np.bincount(word, minlength=len(h)).astype(np.uint32), short, dealt, kept.astype(np.float32))
-                rows.append((part.as_py(), len(h), len(word), b"".join(a.tobytes() for a in arrays)))
-            yield from _bags(rows).to_batches()
+                arrays = (n_dealt, h, seen.astype(_I), ps, back, per_word.astype(np.uint32), short, dealt, kept.astype(np.float32))
+                blob = b"".join(a.tobytes() for a in arrays)
+                for at in range(0, len(blob), PIECE):
+                    yield from _bags([(part.as_py(), len(h), len(word), blob[at : at + PIECE])]).append_column("at", pa.array([at], pa.int64())).to_batches()
 
-    return run
+    return _lean(work)
 
 
 _ASKS = "part long, block long, words long, pairs long, blob binary"
@@ -581,20 +628,18 @@ def _pairs(texts, parts: int, heads: np.ndarray):
     found = [(h, context, (text + first).astype(np.int32), (data, start.astype(np.int32), end.astype(np.int32))) for first, text, h, context, start, end, data in _tokens(texts, heads)]
     h, context, text = (np.concatenate([x[i] for x in found]) for i in range(3))
     found = [x[3] for x in found]
-    order, first, group = _distinct(h % _U(parts), h, context)
+    order, first, group = _distinct(h, context, parts)
     of = np.empty(len(order), _I)
     of[order] = group
     return found, h[order[first]], context[order[first]], order[first], of, text
 
 
 def _ask(parts: int, heads: np.ndarray):
-    def run(key, table):
-        found = []
-        for _, _, h, context, *_ in _tokens(table["text"], heads):
-            order, first, _ = _distinct(h, context)
-            found.append((h[order[first]], context[order[first]]))
+    def work(key, table):
+        found = [(h, context) for _, _, h, context, *_ in _tokens(table["text"], heads)]
         h, context = (np.concatenate([x[i] for x in found]) for i in range(2))
-        order, first, _ = _distinct(h % _U(parts), h, context)
+        del found
+        order, first, _ = _distinct(h, context, parts)
         h, context = h[order[first]], context[order[first]]
         part = (h % _U(parts)).astype(_I)
         cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
@@ -608,7 +653,7 @@ def _ask(parts: int, heads: np.ndarray):
         out = _bags(rows)
         return out.add_column(1, "block", pa.array([key[0].as_py()] * len(rows), pa.int64()))
 
-    return run
+    return lambda key, table: trimmed(work(key, table))
 
 
 _TOLD = "part long, block long, words long, pairs long, blob binary"
@@ -617,15 +662,18 @@ _TOLD = "part long, block long, words long, pairs long, blob binary"
 def _tell(samples: int):
     """What each pair asked for keeps; of each word the count (0: not in training), P(word), and its parent's share as a context."""
 
-    def run(key, model, asks):
+    def work(key, model, asks):
         h, count, ps, back, word, context, kept = np.zeros(0, _U), np.zeros(0, _I), np.zeros((samples, 0), np.float32), np.zeros((samples, 0), np.float32), np.zeros(0, _I), np.zeros(0, _I), np.zeros(0, np.float32)
-        for words, pairs, blob in zip(model["words"].to_pylist(), model["pairs"].to_pylist(), model["blob"], strict=True):
+        if model.num_rows:
+            words, pairs = (model[x][0].as_py() for x in ("words", "pairs"))
+            blob = b"".join(x.as_buffer() for x in model.sort_by("at")["blob"])
             kinds = (_U, words), (_I, words), (np.float32, words * samples), (np.float32, words * samples), (np.uint32, words), (np.uint16, pairs), (_I, -1), (np.float32, pairs)
-            h, count, ps, back, per_word, short, dealt, kept = _fields(blob.as_buffer(), *kinds)
+            h, count, ps, back, per_word, short, dealt, kept = _fields(blob, *kinds)
             ps, back = ps.reshape(samples, words), back.reshape(samples, words)
             word, context = np.repeat(np.arange(words), per_word), _unpack(short, dealt)
-        names = np.unique(context)
-        pair = word * len(names) + np.searchsorted(names, context)
+        names, pair = _ranked(context)
+        pair += word * len(names)
+        at_name = pd.Index(names)
         rows = []
         for block, words, pairs, blob in zip(asks["block"].to_pylist(), asks["words"].to_pylist(), asks["pairs"].to_pylist(), asks["blob"], strict=True):
             wanted, per_word, short, dealt = _fields(blob.as_buffer(), (_U, words), (np.uint32, words), (np.uint16, pairs), (_I, -1))
@@ -635,14 +683,14 @@ def _tell(samples: int):
                 at = np.minimum(np.searchsorted(h, wanted), len(h) - 1)
                 known = h[at] == wanted
                 seen, p, b = np.where(known, count[at], 0), np.where(known, ps[:, at], p), np.where(known, back[:, at], b)
-                name = np.minimum(np.searchsorted(names, asked), len(names) - 1)
+                name = at_name.get_indexer(asked)
                 ask = np.repeat(at, per_word) * len(names) + name
                 place = np.minimum(np.searchsorted(pair, ask), len(pair) - 1)
-                value = np.where((pair[place] == ask) & (names[name] == asked) & np.repeat(known, per_word), kept[place], value)
+                value = np.where((pair[place] == ask) & (name >= 0) & np.repeat(known, per_word), kept[place], value)
             rows.append((key[0].as_py(), block, words, pairs, b"".join(a.tobytes() for a in (value, seen, p, b))))
         return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("part", pa.int64()), ("block", pa.int64()), ("words", pa.int64()), ("pairs", pa.int64()), ("blob", pa.binary())))})
 
-    return run
+    return lambda key, model, asks: trimmed(work(key, model, asks))
 
 
 def _score(parts: int, heads: np.ndarray, totals: Sequence[Totals], spelling: Spelling):
@@ -651,7 +699,7 @@ def _score(parts: int, heads: np.ndarray, totals: Sequence[Totals], spelling: Sp
     n_train, n_distinct = float(samples[0].customers.sum()), samples[0].words
     floor = np.log10(n_train + 0.1 * (n_distinct + 1))
 
-    def run(key, table, told):
+    def work(key, table, told):
         found, h, context, sample, of, text = _pairs(table["text"], parts, heads)
         order = np.argsort(np.asarray(told["part"], _I))
         got = []
@@ -666,14 +714,21 @@ def _score(parts: int, heads: np.ndarray, totals: Sequence[Totals], spelling: Sp
         # a context that is dealt out is a word of the block
         dealt = _dealt(context)
         number, by_hash = np.where(dealt, _RARE, context), np.argsort(h[new])
-        at = by_hash[np.searchsorted(h[new][by_hash], context[dealt].view(_U))]
-        back, customers = shares[:, number], samples[0].customers[number]
-        back[:, dealt], customers[dealt] = sides[1][:, at], seen[at]
-        chance = kept / (S1 + customers) + (back * sides[0][:, word]).mean(axis=0)
+        names, at = _ranked(context[dealt].view(_U))
+        at = by_hash[np.searchsorted(h[new][by_hash], names)][at]
+        customers = samples[0].customers[number]
+        customers[dealt] = seen[at]
         # words that training lacks are spelled here
         bases = np.cumsum([0] + [len(start) for _, start, _ in found])
         unknown = np.flatnonzero(seen[word] == 0)
-        chance[unknown] = (back[:, unknown] * roots[:, None]).mean(axis=0)
+        chance, spelled = np.zeros(len(h)), np.zeros(len(unknown))
+        for share, root, p, own in zip(shares, roots, *sides, strict=True):  # one sample is spread over the pairs at a time
+            back = share[number]
+            back[dealt] = own[at]
+            chance += back * p[word]
+            spelled += back[unknown] * root
+        chance = kept / (S1 + customers) + chance / len(samples)
+        chance[unknown] = spelled / len(samples)
         value = np.log10(chance)
         slot = np.searchsorted(bases, sample[unknown], "right") - 1
         for s in np.unique(slot):
@@ -696,7 +751,7 @@ def _score(parts: int, heads: np.ndarray, totals: Sequence[Totals], spelling: Sp
             }
         )
 
-    return run
+    return lambda key, table, told: trimmed(work(key, table, told))
 
 
 def held_out(id_col: str):
@@ -708,31 +763,43 @@ def train(texts: DataFrame, parts: int, *, contexts_: int = CONTEXTS, sweeps: in
     """The words in parts with what these are told, the words that are contexts by number, the totals of all states, and the spelling."""
     heads, more = contexts(texts, contexts_)
     bags = texts.mapInArrow(_count(parts, heads), _BAGS)
-    words = durable(bags.groupBy("part").applyInArrow(_part, _BAGS), "words", TIDY, file_rows=1)
-    size, totals, told = len(heads) + 2, [], None
+    words = durable(bags.groupBy("part").applyInArrow(lambda key, table: trimmed(_part(key, table)), _BAGS), "words", TIDY, file_rows=1)
+    size, totals, outs, tells = len(heads) + 2, [], {}, {}
     nothing = F.lit(None).cast("array<struct<state:int,sender:long,blob:binary>>").alias("told")
-    with_told = lambda df, rows: df.select("*", nothing) if rows is None else df.join(rows.groupBy("part").agg(F.collect_list("x").alias("told")), "part", "left")
+
+    def with_told(df: DataFrame, rows: Sequence[DataFrame]) -> DataFrame:
+        return df.join(reduce(DataFrame.unionByName, rows).groupBy("part").agg(F.collect_list("x").alias("told")), "part", "left") if rows else df.select("*", nothing)
+
+    def known(states: Iterable[int], side: str) -> list[DataFrame]:
+        """What parts are told of the first state and of these, and these states themselves."""
+        kept = [outs[k].filter("kind = 5").select(F.col("sender").alias("part"), F.struct(F.lit(k).alias("state"), F.lit(_STATE).cast("long").alias("sender"), "blob").alias("x")) for k in states if k in outs]
+        return [tells[k].filter(side) for k in sorted({0, *states}) if k in tells] + kept
+
     for k in range(sweeps + 1):
         # between sweeps parts only need what they asked for, not the names of all contexts
-        out = words.mapInArrow(_begin(size, parts), _SUMS) if k == 0 else with_told(thin, told.filter("x.sender >= 0") if more else None).mapInArrow(_sweep(seed, totals, size, parts), _SUMS)
-        out = durable(out, "sweep", TIDY | LARGE) if more else out
-        with settings(words.sparkSession, TIDY if more else TIDY | LARGE):
+        out = words.mapInArrow(_begin(size, parts), _SUMS) if k == 0 else with_told(thin, known([k - 1], "x.sender >= 0")).mapInArrow(_sweep(seed, k - 1, totals[-1], size, parts), _SUMS)
+        out = durable(out, "sweep", TIDY | LARGE)
+        with settings(words.sparkSession, TIDY):
             got = out.filter("kind < 4").groupBy("kind", "cell").agg(F.sum("value").alias("value")).toPandas()  # two numbers for each context by number, and the byte pairs
         pick = lambda kind, n: np.bincount(got.cell[got.kind == kind], got.value[got.kind == kind], n)  # noqa: B023, E731
         if k == 0:
             customers, tables, spelling = pick(0, size), pick(1, size), Spelling(pick(3, _SIDE * _SIDE))
             thin = durable(words.mapInArrow(_thin(spelling), _BAGS), "thin", TIDY | LARGE, file_rows=1) if sweeps else None
         totals.append(Totals(customers, tables if k == 0 else tables + pick(1, size), pick(2, 7)))
+        totals[k].d1, totals[k].d0 = totals[0].d1, totals[0].d0
         if more:
             now = durable(out.filter("kind = 4").select(F.col("cell").alias("to"), "sender", "blob").groupBy("to").applyInArrow(_add, _TELLS), "told", TIDY)
-            release(out)
-            now = now.select("part", F.struct(F.lit(k).alias("state"), "sender", "blob").alias("x"))
-            told = now if told is None else told.unionByName(now)
+            tells[k] = now.select("part", F.struct(F.lit(k).alias("state"), "sender", "blob").alias("x"))
+        # the last states are averaged; of the others the next sweep needs the last, and what was told of the first
+        outs[k] = out
+        for old in [k - 1] if 0 < k - 1 <= sweeps - SAMPLES else []:
+            for table in (outs.pop(old), *([tells.pop(old)] if more else [])):
+                release(table)
+        if k == 0:
+            release(outs.pop(0))
     if sweeps:
         release(thin)
-    for t in totals:
-        t.d1, t.d0 = totals[0].d1, totals[0].d0
-    return with_told(words, told), heads, totals, spelling
+    return with_told(words, known(range(max(0, sweeps + 1 - SAMPLES), sweeps + 1), f"x.sender = {_OWN}")), heads, totals, spelling
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", contexts_: int = CONTEXTS, sweeps: int = SWEEPS, seed: int = 7) -> DataFrame:
@@ -742,7 +809,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", co
     size = total["bytes"] or 0
     blocks, parts = max(1, -(-size // BLOCK_BYTES), -(-total["n"] // BLOCK_DOCS)), max(1, -(-size // PART_BYTES))
     model, heads, totals, spelling = train(rows.filter(~F.col("held_out")).select("text"), parts, contexts_=contexts_, sweeps=sweeps, seed=seed)
-    settled = durable(model.mapInArrow(_settle(seed, totals, spelling, parts), _BAGS), "model", TIDY | LARGE, file_rows=1)
+    settled = durable(model.mapInArrow(_settle(totals, spelling), _BAGS + ", at long"), "model", TIDY | LARGE)
     release(model)
     # null and repeated ids spread by their texts
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))

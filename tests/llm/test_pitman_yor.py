@@ -226,3 +226,39 @@ def test_bags_of_a_part_are_merged_by_ranges():
     for name in ("hash", "word", "context", "count", "data", "offsets"):
         assert np.array_equal(getattr(one, name), getattr(many, name))
     assert one.count.sum() == 20 * 40_000
+
+
+def small_part():
+    rng = np.random.default_rng(4)
+    names = np.sort(rng.integers(1 << 16, 1 << 64, 60, np.uint64, endpoint=False))
+    word, context = rng.integers(0, 60, 3000), rng.integers(0, 9, 3000)
+    bag = pitman_yor.Bag(names[word], context, np.ones(3000), np.frombuffer(names.tobytes(), np.uint8), word * 8, word * 8 + 8)
+    spelling = pitman_yor.Spelling(np.zeros(257 * 257))
+    sums = np.array([len(bag.count), 60, 60, 5, 3, 2, 1], float)
+    totals = [pitman_yor.Totals(np.bincount(context, minlength=9).astype(float), np.full(9, 30.0), sums) for _ in range(3)]
+    return bag, spelling, totals
+
+
+def test_a_sweep_goes_on_from_the_kept_state():
+    bag, spelling, totals = small_part()
+    spelled = np.exp(spelling.log(bag.data, bag.offsets))
+    at_once = list(pitman_yor._states(7, 1, bag.word, bag.context, bag.count, spelled, totals))
+    state = None
+    for k, now in enumerate(totals):
+        *_, state = pitman_yor._states(7, 1, bag.word, bag.context, bag.count, spelled, [now], (), 0, k, state)
+        assert all(np.array_equal(x, y) for x, y in zip(state, at_once[k + 1], strict=True))
+
+
+def test_the_model_of_a_part_is_handed_on_in_pieces(monkeypatch):
+    bag, spelling, totals = small_part()
+    [(part, words, pairs, blob)] = bag.split(1)
+    batch = pa.RecordBatch.from_arrays([pa.array([part]), pa.array([words]), pa.array([pairs]), pa.array([blob], pa.binary()), pa.array([None])], ["part", "words", "pairs", "blob", "told"])
+    asked = (np.array([0], np.uint64), bag.hash[:5], np.full(5, 2, np.uint32), np.tile([3, 4], 5).astype(np.uint16))
+    asks = pa.table({"block": [0], "words": [5], "pairs": [10], "blob": pa.array([b"".join(a.tobytes() for a in asked)], pa.binary())})
+    told = []
+    for size in (1 << 30, 100):
+        monkeypatch.setattr(pitman_yor, "PIECE", size)
+        rows = pa.Table.from_batches(pitman_yor._settle(totals[:1], spelling)(iter([batch])))
+        assert max(len(x.as_py()) for x in rows["blob"]) <= size and (len(rows) > 1) == (size == 100)
+        told.append(pitman_yor._tell(1)((pa.scalar(0),), rows.take(list(range(len(rows)))[::-1]), asks))
+    assert told[0].equals(told[1])

@@ -135,3 +135,16 @@ def test_posteriors_against_plain_python(spark):
     assert len(got) == len(table)
     for r in got:
         assert (r.language, r.keep) == (want[r.doc_id][0], want[r.doc_id][0] != "und") and r.posterior == pytest.approx(want[r.doc_id][1], rel=1e-5)
+
+
+def test_python_gets_a_bounded_number_of_texts_at_a_time(spark, monkeypatch):
+    used, real = {}, languages.durable
+
+    def noted(df, name, conf=None):
+        used[name] = conf
+        return real(df, name, conf)
+
+    monkeypatch.setattr(languages, "durable", noted)
+    rows = [(i, "some words of a text", "en", "a.b") for i in range(20)]
+    languages.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert {used[x]["spark.sql.execution.arrow.maxRecordsPerBatch"] for x in ("trigrams", "likelihoods")} == {"1000"}

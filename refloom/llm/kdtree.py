@@ -8,11 +8,16 @@ tight bounding boxes.  The bound of a box for a query is the sum over dimensions
 the larger of q x low and q x high.
 
 1. every query is searched in its own cell; its kth score there is its bound;
-2. blocks of queries meet packs of the shards' boxes, and a query visits the shards
-   whose box reaches its kth score;
+2. runs of packed blocks of queries meet packs of shards; of a pack a query visits the
+   shards whose box reaches its kth score, one after the other, and what it finds in one
+   is its bound in the next;
 3. a visited shard is searched leaf by leaf, best bound first, until no bound
    reaches the query's kth score, the one it brought or a better one found here.
 
+Shards and blocks are rows of bytes in the narrowest integers that hold them, a few to a
+file, since a scan decodes the rows of a file together; a task holds one pack and one run
+at a time, whatever the size of the table, and gives at most k rows for a query and pack.
+
 The best k of all shards are merged by a window per query.  The sample decides only
 which shard a vector lies in, never what is found.  Of equal vectors the k + 1 with the
 smallest ids are searched: no other can be among the k best of a query, since the query's
@@ -40,10 +45,13 @@ from refloom.llm.durable import durable
 SHARD = 4096
 LEAF = 128
 QUERY_BLOCK = 1024
-#: Boxes in a pack, blocks of queries that one task searches in a shard, vectors that decide the cells.
-PACK = 256
+#: Shards in a pack and blocks in a run, at most; groups of a pack and a run, at least, where there are so many shards and runs; vectors that decide the cells.
+PACK = 16
 RUN = 4
+GROUPS = 64
 SAMPLE = 20_000
+#: Packed shards and blocks in a file, at most.
+FILE_ROWS = 16
 #: Parts that equal vectors are first counted in.
 SALTS = 32
 
@@ -56,6 +64,20 @@ def quantised(vector: Column, scale: int = 64) -> Column:
     return F.when(vector.isNotNull() & (F.size(vector) > 0) & F.coalesce(fine, F.lit(False)), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
 
+def _most(a: np.ndarray) -> int:
+    return max(int(a.max(initial=0)), -int(a.min(initial=0)))
+
+
+def _narrow(rows: np.ndarray) -> np.ndarray:
+    """Rows in the narrowest integers that hold them."""
+    return rows.astype(next((t for t in (np.int8, np.int16, np.int32) if _most(rows) <= np.iinfo(t).max), _I))
+
+
+def _packed(head: list[int], wide: list[np.ndarray], narrow: list[np.ndarray]) -> bytes:
+    """Whole numbers, then arrays of longs, then arrays of one narrower type, whose width is the first number."""
+    return b"".join(x.tobytes() for x in (np.array([narrow[0].itemsize, *head], _I), *wide, *narrow))
+
+
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     ids = np.asarray(table["id"], _I)
     values = table["v"].combine_chunks()
@@ -79,13 +101,25 @@ def _tree(key, table):
         half = len(some) // 2
         work += [some[by[half:]], some[by[:half]]]
     starts = np.cumsum([0] + [len(x) for x in leaves]).astype(_I)
-    low = np.array([rows[x].min(axis=0) for x in leaves], _I)
-    high = np.array([rows[x].max(axis=0) for x in leaves], _I)
-    every = np.concatenate(leaves)
-    head = np.array([len(ids), rows.shape[1], len(leaves)], _I)
-    blob = b"".join(x.tobytes() for x in (head, ids[every], rows[every], starts, low, high))
-    box = np.stack([rows.min(axis=0), rows.max(axis=0)])
-    return pa.table({"dim": [key[0].as_py()], "shard": [key[1].as_py()], "blob": pa.array([blob], pa.binary()), "box": pa.array([box.tobytes()], pa.binary())})
+    small, every = _narrow(rows), np.concatenate(leaves)
+    low, high = (np.array([getattr(small[x], side)(axis=0) for x in leaves], small.dtype) for side in ("min", "max"))
+    blob = _packed([len(ids), rows.shape[1], len(leaves)], [ids[every], starts], [small[every], low, high])
+    return pa.table({"dim": [key[0].as_py()], "shard": [key[1].as_py()], "blob": pa.array([blob], pa.binary())})
+
+
+class Shard:
+    """A packed shard, read where it lies: ids, rows, starts and boxes of its leaves."""
+
+    def __init__(self, blob) -> None:
+        width, n, d, leaves = (int(x) for x in np.frombuffer(blob, _I, 4))
+        longs = np.frombuffer(blob, _I, n + leaves + 1, 32)
+        self.ids, self.starts = longs[:n], longs[n:]
+        flat = np.frombuffer(blob, f"i{width}", -1, 32 + longs.nbytes).reshape(-1, d)
+        self.rows, self.low, self.high = flat[:n], flat[n : n + leaves], flat[n + leaves :]
+
+    def reach(self, queries: np.ndarray) -> np.ndarray:
+        """The most that a row of the shard can score with each query."""
+        return _bounds(queries, self.low.min(axis=0, keepdims=True), self.high.max(axis=0, keepdims=True))[:, 0]
 
 
 def cells(rows: np.ndarray, n: int) -> list[tuple[int, int, int, int]]:
@@ -137,44 +171,53 @@ def _place(plans: dict[int, tuple[list, int]]):
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T in whole numbers: by doubles where they are exact."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    if most < 2.0**53:
-        return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(_I)
-    return a @ b.T
+    """a @ b.T in whole numbers: by floats or doubles where they are exact."""
+    most = _most(a) * _most(b) * a.shape[1]
+    if most < 2**53:
+        real = np.float32 if most < 2**24 else np.float64
+        return (a.astype(real) @ b.T.astype(real)).astype(_I)
+    return a.astype(_I) @ b.T.astype(_I)
+
 
+def _bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The most that a row of each box can score with each query."""
+    return _product(np.maximum(queries, 0), high) + _product(np.minimum(queries, 0), low)
 
-def search_shard(shard: bytes, ids: np.ndarray, queries: np.ndarray, best: np.ndarray, names: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def _merge(best: np.ndarray, names: np.ndarray, at: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+    """Take scores and ids of the queries ``at`` among their k best."""
+    k, some = best.shape[1], np.unique(at)
+    at = np.concatenate([np.repeat(some, k), at])
+    scores, ids = np.concatenate([best[some].ravel(), scores]), np.concatenate([names[some].ravel(), ids])
+    order = np.lexsort((ids, -scores, at))
+    first = np.searchsorted(at[order], some)
+    order = order[first[:, None] + np.arange(k)]  # each query has k at least
+    best[some], names[some] = scores[order], ids[order]
+
+
+def search_shard(shard: Shard, ids: np.ndarray, queries: np.ndarray, best: np.ndarray, names: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Improve the best scores and ids (queries x k, best first) by a shard; scores under the floor do not matter."""
-    n, d, leaves = np.frombuffer(shard, _I, 3)
-    flat = np.frombuffer(shard, _I, -1, 24)
-    rows_at, k = int(n), best.shape[1]
-    own, rows = flat[:n], flat[rows_at : rows_at + n * d].reshape(n, d)
-    at = rows_at + int(n * d)
-    starts = flat[at : at + leaves + 1]
-    low = flat[at + leaves + 1 : at + leaves + 1 + leaves * d].reshape(leaves, d)
-    high = flat[at + leaves + 1 + leaves * d :].reshape(leaves, d)
-    bound = _product(np.maximum(queries, 0), high) + _product(np.minimum(queries, 0), low)
+    bound = _bounds(queries, shard.low, shard.high)
     turn = np.argsort(-bound, axis=1, kind="stable")
-    live = np.arange(len(queries))
-    for step in range(int(leaves)):
-        leaf = turn[live, step]
-        open_ = bound[live, leaf] >= np.maximum(best[live, -1], floor[live])
-        live, leaf = live[open_], leaf[open_]
+    live, step, width = np.arange(len(queries)), 0, 1
+    while step < bound.shape[1]:  # one leaf, then two, then four: the first ones give a bound, of the others many are read or none
+        leaf, least = turn[live, step : step + width], np.maximum(best[live, -1], floor[live])
+        open_ = bound[live[:, None], leaf] >= least[:, None]
+        some = open_[:, 0]
+        live, leaf, least, open_ = live[some], leaf[some], least[some], open_[some]
         if not len(live):
             break
-        for x in np.unique(leaf):
-            some = live[leaf == x]
-            s, e = int(starts[x]), int(starts[x + 1])
-            scores = _product(queries[some], rows[s:e])
-            scores[own[None, s:e] == ids[some, None]] = np.iinfo(_I).min + 1  # no score, and can be negated
-            better = scores.max(axis=1) >= np.maximum(best[some, -1], floor[some])
-            some, scores = some[better], scores[better]
-            if len(some):
-                all_scores = np.concatenate([best[some], scores], axis=1)
-                all_names = np.concatenate([names[some], np.broadcast_to(own[s:e], scores.shape)], axis=1)
-                order = np.lexsort((all_names, -all_scores), axis=1)[:, :k]
-                best[some], names[some] = np.take_along_axis(all_scores, order, 1), np.take_along_axis(all_names, order, 1)
+        found = []
+        for x in np.unique(leaf[open_]):
+            here = ((leaf == x) & open_).any(axis=1)
+            some, own = live[here], shard.ids[shard.starts[x] : shard.starts[x + 1]]
+            scores = _product(queries[some], shard.rows[shard.starts[x] : shard.starts[x + 1]])
+            row, place = np.nonzero((scores >= least[here, None]) & (own[None] != ids[some, None]))
+            found.append((some[row], scores[row, place], own[place]))
+        at, scores, own = (np.concatenate(x) for x in zip(*found, strict=True))
+        if len(at):
+            _merge(best, names, at, scores, own)
+        step, width = step + width, width * 2
     return best, names
 
 
@@ -206,41 +249,36 @@ def _home(k: int):
         ids, queries = _matrix(asked)
         best, names, floor = np.full((len(ids), k), _NONE), np.full((len(ids), k), np.iinfo(_I).max), np.full(len(ids), _NONE)
         for blob in shards["blob"]:
-            best, names = search_shard(blob.as_buffer(), ids, queries, best, names, floor)
+            best, names = search_shard(Shard(blob.as_buffer()), ids, queries, best, names, floor)
         return _found(ids, queries, best, names, True)
 
     return run
 
 
-def _visits(key, boxes, asked):
-    """Which queries of a block reach which boxes of a pack: one packed row for each shard."""
-    rows = []
-    if boxes.num_rows and asked.num_rows:
-        ids, queries = _matrix(asked)
-        kth, home = np.asarray(asked["kth"], _I), np.asarray(asked["home"], _I)
-        sides = np.frombuffer(b"".join(x.as_py() for x in boxes["box"]), _I).reshape(boxes.num_rows, 2, -1)
-        bound = _product(np.maximum(queries, 0), sides[:, 1]) + _product(np.minimum(queries, 0), sides[:, 0])
-        for i, shard in enumerate(boxes["shard"].to_pylist()):
-            some = np.flatnonzero((bound[:, i] >= kth) & (home != shard))
-            if len(some):
-                head = np.array([len(some), queries.shape[1]], _I)
-                rows.append((shard, b"".join(x.tobytes() for x in (head, ids[some], kth[some], queries[some]))))
-    dim, block = key[0].as_py(), key[2].as_py()
-    return pa.table({"dim": pa.array([dim] * len(rows), pa.int64()), "shard": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([block] * len(rows), pa.int64()), "asked": pa.array([r[1] for r in rows], pa.binary())})
+def _block(key, asked):
+    """A block of queries as one packed row."""
+    ids, queries = _matrix(asked)
+    kth, home = np.asarray(asked["kth"], _I), np.asarray(asked["home"], _I)
+    blob = _packed([*queries.shape], [ids, kth, home], [_narrow(queries)])
+    return pa.table({"dim": [key[0].as_py()], "block": [key[1].as_py()], "asked": pa.array([blob], pa.binary())})
 
 
 def _away(k: int):
-    """The visiting queries searched in a shard."""
+    """The blocks of a run searched in the shards of a pack, but for every query's own."""
 
-    def run(key, shards, visits):
+    def run(key, pack, blocks):
         parts = [_nothing()]
-        for packed in visits["asked"] if shards.num_rows else ():
+        shards = [(x, Shard(blob.as_buffer())) for x, blob in zip(pack["shard"].to_pylist(), pack["blob"], strict=True)]
+        for packed in blocks["asked"] if shards else ():
             blob = packed.as_buffer()
-            n, d = (int(x) for x in np.frombuffer(blob, _I, 2))
-            flat = np.frombuffer(blob, _I, -1, 16)
-            ids, floor, queries = flat[:n], flat[n : 2 * n], flat[2 * n :].reshape(n, d)
+            width, n, d = (int(x) for x in np.frombuffer(blob, _I, 3))
+            ids, floor, home = np.frombuffer(blob, _I, 3 * n, 24).reshape(3, n)
+            queries = np.frombuffer(blob, f"i{width}", -1, 24 + 24 * n).reshape(n, d)
             best, names = np.full((n, k), _NONE), np.full((n, k), np.iinfo(_I).max)
-            best, names = search_shard(shards["blob"][0].as_buffer(), ids, queries, best, names, floor)
+            for x, shard in shards:
+                some = np.flatnonzero((home != x) & (shard.reach(queries) >= np.maximum(best[:, -1], floor)))
+                if len(some):
+                    best[some], names[some] = search_shard(shard, ids[some], queries[some], best[some], names[some], floor[some])
             parts.append(_found(ids, queries, best, names, False))
         return pa.concat_tables(parts)
 
@@ -257,31 +295,37 @@ def _possible(vectors: DataFrame, k: int) -> DataFrame:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
     """query_id, rank from 1, vec_id, score: the k best candidates of each query."""
     ready = lambda df: df.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v")).filter("id is not null and v is not null").withColumns({"dim": F.size("v").cast("long"), "draw": F.shiftrightunsigned(F.xxhash64("id", "v"), 1)})
+    spark = vectors.sparkSession
     every, asked = durable(_possible(ready(vectors), k), "vectors"), ready(queries).distinct()
     plans: dict[int, tuple[list, int]] = {}
+    shards_of: dict[int, int] = {}
     for dim, n in sorted((r["dim"], r["count"]) for r in every.unionByName(asked).groupBy("dim").count().collect()):  # as many as lengths
         some = every.filter(F.col("dim") == dim).orderBy("draw", "id").limit(SAMPLE).select("v").collect()
         shards = max(1, -(-n // SHARD))
         most = max(1, min(shards, len(some) // 8))
         plans[dim] = (cells(np.array([r["v"] for r in some], _I).reshape(len(some), dim), most), max(1, -(-shards // most)))
+        shards_of[dim] = (len(plans[dim][0]) + 1) * plans[dim][1]
     placed = lambda df: df.mapInArrow(_place(plans), "id long, v array<long>, dim long, shard long")
-    trees = durable(placed(every).groupBy("dim", "shard").applyInArrow(_tree, "dim long, shard long, blob binary, box binary"), "trees")
-    homes = durable(placed(asked).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK))))), "queries")
-    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  # both sides of a cogroup come from one table
-    here = fresh(homes.select("dim", "shard", "part").distinct().join(trees, ["dim", "shard"]))  # a shard that very many queries call home is searched in parts
-    near = here.groupBy("dim", "shard", "part").cogroup(homes.groupBy("dim", "shard", "part")).applyInArrow(_home(k), _FOUND)
-    near = durable(near, "near")
+    every_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    trees = durable(placed(every).groupBy("dim", "shard").applyInArrow(_tree, "dim long, shard long, blob binary"), "trees", file_rows=FILE_ROWS)
+    homes = durable(placed(asked), "queries")
+    # a shard that very many queries call home is searched in parts
+    parts = durable(homes.groupBy("dim", "shard").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("parts")), "parts")
+    here = trees.join(parts, ["dim", "shard"]).select("dim", "shard", "blob", every_of(F.col("parts")).alias("part"))
+    asked_here = homes.join(parts, ["dim", "shard"]).select("dim", "shard", "id", "v", F.pmod(F.xxhash64("id"), "parts").alias("part"))
+    by = ["dim", "shard", "part"]
+    near = durable(here.groupBy(*by).cogroup(asked_here.groupBy(*by)).applyInArrow(_home(k), _FOUND), "near")
     bounds = near.filter("v is not null and kth is not null").select(F.col("query_id").alias("id"), "v", "kth")
-    away = homes.select("id", "v", "dim", F.col("shard").alias("home"), F.col("part").alias("block")).join(bounds, ["id", "v"], "left").withColumn("kth", F.coalesce("kth", F.lit(int(_NONE))))
-    blocks = away.select("dim", "block").distinct()
-    packs = trees.select("dim", "shard", "box").withColumn("pack", F.floor(F.col("shard") / PACK))
-    boxes = fresh(packs.join(blocks, "dim"))  # boxes alone meet every block
-    visits = away.join(packs.select("dim", "pack").distinct(), "dim")
-    by = ["dim", "pack", "block"]
-    reached = boxes.groupBy(*by).cogroup(visits.groupBy(*by)).applyInArrow(_visits, "dim long, shard long, block long, asked binary")
-    reached = durable(reached.withColumn("run", F.floor(F.col("block") / RUN)), "visits")
-    open_ = fresh(reached.select("dim", "shard", "run").distinct().join(trees.drop("box"), ["dim", "shard"]))
-    far = open_.groupBy("dim", "shard", "run").cogroup(reached.groupBy("dim", "shard", "run")).applyInArrow(_away(k), _FOUND)
+    n_blocks = max(1, -(-homes.count() // QUERY_BLOCK))
+    away = homes.select("id", "v", "dim", F.col("shard").alias("home"), F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block")).join(bounds, ["id", "v"], "left").withColumn("kth", F.coalesce("kth", F.lit(int(_NONE))))
+    blocks = durable(away.groupBy("dim", "block").applyInArrow(_block, "dim long, block long, asked binary"), "blocks", file_rows=FILE_ROWS)
+    runs = -(-n_blocks // RUN)
+    pack = {dim: max(1, min(PACK, n * runs // GROUPS)) for dim, n in shards_of.items()}
+    sizes = spark.createDataFrame([(dim, pack[dim], -(-n // pack[dim])) for dim, n in shards_of.items()], "dim long, pack_size long, packs long")
+    by = ["dim", "pack", "run"]
+    open_ = trees.join(F.broadcast(sizes), "dim").select("dim", F.floor(F.col("shard") / F.col("pack_size")).alias("pack"), "shard", "blob", every_of(F.lit(runs).cast("long")).alias("run"))
+    visits = blocks.join(F.broadcast(sizes), "dim").select("dim", every_of(F.col("packs")).alias("pack"), "asked", F.floor(F.col("block") / RUN).alias("run"))
+    far = open_.groupBy(*by).cogroup(visits.groupBy(*by)).applyInArrow(_away(k), _FOUND)
     found = near.unionByName(far).filter("vec_id is not null")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -86,3 +86,43 @@ def test_half_of_the_rows_equal(spark, monkeypatch):
     assert got == brute(rows, queries, 7)
     left = kdtree._possible(frame(spark, rows).selectExpr("vec_id as id", "embedding as v"), 7)
     assert left.count() == 300 + 8 + 8
+
+
+def test_packed_rows_are_narrow_and_few_to_a_file(spark, monkeypatch):
+    """A scan decodes the rows of a file together: however many shards there are, a file holds FILE_ROWS of them at most."""
+    for name, value in (("SHARD", 20), ("QUERY_BLOCK", 2), ("FILE_ROWS", 3)):
+        monkeypatch.setattr(kdtree, name, value)
+    written = {}
+    keep = kdtree.durable
+    monkeypatch.setattr(kdtree, "durable", lambda df, name, *a, **k: written.setdefault(name, keep(df, name, *a, **k)))
+    rng = random.Random(9)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(600)]
+    kdtree.top_k(frame(spark, rows), frame(spark, rows[:40])).count()
+    for name, column in (("trees", "blob"), ("blocks", "asked")):
+        table = written[name]
+        most = table.selectExpr("_metadata.file_path as f").groupBy("f").count().selectExpr("max(count)", "sum(count)").first()
+        assert most[0] <= 3 < most[1]
+        assert table.selectExpr(f"max(length({column}))").first()[0] < 20 * 8 * 8  # a shard's components as longs alone
+
+
+def test_a_pack_gives_k_rows_a_query():
+    """What a query finds in one shard of a pack is its bound in the next, and its own shard is passed over."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows = rng.integers(-64, 64, (400, 5))
+    table = lambda at, **more: pa.table({"id": at, "v": pa.array(rows[at].tolist(), pa.list_(pa.int64())), **more})
+    pack = pa.concat_tables([kdtree._tree((pa.scalar(5), pa.scalar(x)), table(np.arange(100 * x, 100 * x + 100))) for x in range(4)])
+    asked = np.array([7, 107, 207])
+    block = kdtree._block((pa.scalar(5), pa.scalar(0)), table(asked, kth=np.full(3, kdtree._NONE), home=asked // 100))
+    got = kdtree._away(6)(None, pack, block).to_pylist()
+    for q in asked:
+        others = [(-int(rows[q] @ rows[i]), i) for i in range(400) if i // 100 != q // 100]
+        assert [(-r["score"], r["vec_id"]) for r in got if r["query_id"] == q] == sorted(others)[:6]
+
+
+def test_wide_components(spark):
+    rows = [(i, [float(2**k * (i % 7 - 3)) for k in (0, 9, 22)]) for i in range(60)]
+    got = {tuple(r) for r in kdtree.top_k(frame(spark, rows), frame(spark, rows[:21:20]), 5).select("query_id", "rank", "vec_id", "score").collect()}
+    assert got == brute(rows, rows[:21:20], 5)

@@ -24,18 +24,22 @@ def edit_similarity(a: Column, b: Column) -> Column:
 def word_overlap(a: Column, b: Column) -> Column:
     """Jaccard similarity of the words; accented letters count as none."""
     clean = lambda c: _tokens(word_characters(F.lower(c)))
+    return _overlap(clean(a), clean(b))
 
+
+def _overlap(a: Column, b: Column) -> Column:
     def score(p):
         x, y = p["x"], p["y"]
         return F.when((F.size(x) > 0) & (F.size(y) > 0), rounded(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)) * 100)).otherwise(F.lit(0).cast("long"))
 
-    return bind(F.struct(clean(a).alias("x"), clean(b).alias("y")), score)
+    return bind(F.struct(a.alias("x"), b.alias("y")), score)
 
 
-def _better(x: Column, y: Column, a: Column, b: Column) -> Column:
+def _better(x: Column, y: Column, a: Column, b: Column, overlap: Column | None = None) -> Column:
     """The better of edit similarity of the folded x and y and word overlap of a and b."""
     empty = (F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == "")
-    return F.when(empty, F.lit(0).cast("long")).when(x == y, F.lit(100).cast("long")).otherwise(F.greatest(edit_similarity(x, y), word_overlap(a, b)))
+    overlap = word_overlap(a, b) if overlap is None else overlap
+    return F.when(empty, F.lit(0).cast("long")).when(x == y, F.lit(100).cast("long")).otherwise(F.greatest(edit_similarity(x, y), overlap))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -43,14 +47,42 @@ def similarity(a: Column, b: Column) -> Column:
     return bind(F.struct(fold(a).alias("x"), fold(b).alias("y")), lambda p: _better(p["x"], p["y"], a, b))
 
 
+def forms(col: Column) -> Column:
+    """What the similarities read of a string, for strings that are compared many times: empty, folded, key and words."""
+    key = adapter_key(col)
+    return F.struct((F.coalesce(col, F.lit("")) == "").alias("empty"), fold(col).alias("folded"), key.alias("key"), _tokens(key).alias("words"))
+
+
+def similarity_of_forms(a: Column, b: Column) -> Column:
+    """``similarity`` of two strings by their ``forms``."""
+    x, y = a["folded"], b["folded"]
+    none = F.lit(0).cast("long")
+    return F.when(a["empty"] | b["empty"], none).when(x == y, F.lit(100).cast("long")).otherwise(F.greatest(edit_similarity(x, y), _overlap(a["words"], b["words"])))
+
+
+def adapter_similarity_of_forms(a: Column, b: Column) -> Column:
+    """``adapter_similarity`` of two strings by their ``forms``."""
+    return _shared_words(a["key"] == b["key"], a["words"], b["words"])
+
+
+def free_text_similarity_of_forms(query: Column, title: Column) -> Column:
+    """``free_text_similarity`` of two strings by their ``forms``."""
+    return _free_text(query["folded"], title["folded"], similarity_of_forms(query, title))
+
+
 def title_similarity(expected: Column, found: Column) -> Column:
     """As ``similarity`` of the folded titles; 95 if the expected one contains the found one."""
-    folded = F.struct(fold(F.coalesce(expected, F.lit(""))).alias("x"), fold(F.coalesce(found, F.lit(""))).alias("y"))
+    return folded_title_similarity(fold(F.coalesce(expected, F.lit(""))), fold(F.coalesce(found, F.lit(""))))
+
+
+def folded_title_similarity(expected: Column, found: Column) -> Column:
+    """``title_similarity`` of titles that are folded already."""
+    folded = F.struct(expected.alias("x"), found.alias("y"))
 
     def score(p):
-        x, y = p["x"], p["y"]  # folding a folded title changes nothing
+        x, y = p["x"], p["y"]  # folding a folded title changes nothing, nor does cleaning its words
         held = x.contains(y) & (F.length(y) > 20)
-        return bind(_better(x, y, x, y), lambda s: F.when((s < 90) & held, F.lit(95).cast("long")).otherwise(s))
+        return bind(_better(x, y, x, y, _overlap(_tokens(x), _tokens(y))), lambda s: F.when((s < 90) & held, F.lit(95).cast("long")).otherwise(s))
 
     return bind(folded, score)
 
@@ -79,30 +111,31 @@ def adapter_similarity(a: Column, b: Column) -> Column:
     """Common words over the larger word set; 100 if the cleaned strings are equal."""
 
     def score(k):
-        return bind(F.struct(_tokens(k["x"]).alias("p"), _tokens(k["y"]).alias("q")), lambda t: shared(k["x"] == k["y"], t["p"], t["q"]))
-
-    def shared(equal, p, q):
-        most = F.greatest(F.size(p), F.size(q))
-        return F.when(equal, F.lit(100).cast("long")).when(most > 0, rounded(F.size(F.array_intersect(p, q)) / most * 100)).otherwise(F.lit(0).cast("long"))
+        return bind(F.struct(_tokens(k["x"]).alias("p"), _tokens(k["y"]).alias("q")), lambda t: _shared_words(k["x"] == k["y"], t["p"], t["q"]))
 
     return bind(F.struct(adapter_key(a).alias("x"), adapter_key(b).alias("y")), score)
 
 
+def _shared_words(equal: Column, p: Column, q: Column) -> Column:
+    most = F.greatest(F.size(p), F.size(q))
+    return F.when(equal, F.lit(100).cast("long")).when(most > 0, rounded(F.size(F.array_intersect(p, q)) / most * 100)).otherwise(F.lit(0).cast("long"))
+
+
 def free_text_similarity(query: Column, title: Column) -> Column:
     """A found title against the free text that should hold it."""
+    return bind(F.struct(fold(query).alias("q"), fold(title).alias("t")), lambda p: _free_text(p["q"], p["t"], _better(p["q"], p["t"], query, title)))
+
+
+def _free_text(q: Column, t: Column, better: Column) -> Column:
     long = lambda c: F.filter(F.split(c, _WORDS), lambda w: F.length(w) >= 3)
 
     def share(words, text):
         return bind(words, lambda ws: F.when(F.size(ws) > 0, F.size(F.filter(ws, lambda w: text.contains(w))) / F.size(ws)).otherwise(0.0))
 
-    def score(p):
-        q, t = p["q"], p["t"]
-        words = F.struct(share(long(t), q).alias("forward"), share(long(q), t).alias("reverse"))
-        enough = lambda s: (s["forward"] >= 0.8) & (s["reverse"] >= 0.4)
-        by_words = bind(words, lambda s: F.when(enough(s), rounded(85 + s["forward"] * 15)).otherwise(_better(q, t, query, title)))
-        return F.when(q.contains(t) | t.contains(q), F.lit(100).cast("long")).otherwise(by_words)
-
-    return bind(F.struct(fold(query).alias("q"), fold(title).alias("t")), score)
+    words = F.struct(share(long(t), q).alias("forward"), share(long(q), t).alias("reverse"))
+    enough = lambda s: (s["forward"] >= 0.8) & (s["reverse"] >= 0.4)
+    by_words = bind(words, lambda s: F.when(enough(s), rounded(85 + s["forward"] * 15)).otherwise(better))
+    return F.when(q.contains(t) | t.contains(q), F.lit(100).cast("long")).otherwise(by_words)
 
 
 def windowed_similarity(reference: Column, title: Column) -> Column:

@@ -12,7 +12,18 @@ from pyspark.sql import functions as F
 
 from refloom.functions import extract
 from refloom.functions.extract import parsed_int
-from refloom.functions.similarity import adapter_similarity, author_similarity, free_text_similarity, similarity, title_similarity
+from refloom.functions.similarity import (
+    adapter_similarity,
+    adapter_similarity_of_forms,
+    author_similarity,
+    folded_title_similarity,
+    forms,
+    free_text_similarity,
+    free_text_similarity_of_forms,
+    similarity,
+    similarity_of_forms,
+    title_similarity,
+)
 from refloom.functions.text import filled, fold, rounded
 from refloom.operators import validate
 from refloom.operators.near_titles import near_titles
@@ -48,10 +59,11 @@ def doi_lookup(refs: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def arxiv_lookup(refs: DataFrame, catalog: DataFrame) -> DataFrame:
     """References with a known arXiv id, of several records the one with the nearest title; a title below 70 does not count."""
-    known = catalog.filter(F.col("arxiv_id").isNotNull()).select("arxiv_id", F.struct(*catalog.columns).alias("found"))
-    joined = refs.filter(F.col("arxiv_id").isNotNull()).join(known, "arxiv_id")
+    folded = fold(F.coalesce("title", F.lit("")))  # once a row: an id can have many records and references
+    known = catalog.filter(F.col("arxiv_id").isNotNull()).select("arxiv_id", folded.alias("_y"), F.struct(*catalog.columns).alias("found"))
+    joined = refs.filter(F.col("arxiv_id").isNotNull()).withColumn("_x", folded).join(known, "arxiv_id")
     by_doi = F.coalesce(F.lower("doi").startswith("10.48550/arxiv."), F.lit(False))
-    score = F.when(filled(F.col("title")).isNotNull(), title_similarity(F.col("title"), F.col("found.title"))).otherwise(F.lit(90).cast("long"))
+    score = F.when(filled(F.col("title")).isNotNull(), folded_title_similarity(F.col("_x"), F.col("_y"))).otherwise(F.lit(90).cast("long"))
     order = Window.partitionBy("ref_id").orderBy(F.desc("_s"), "found.source_rank", "found.rec_id", "found.title")
     joined = joined.withColumn("_s", score).withColumn("_n", F.row_number().over(order)).filter("_n = 1")
     return joined.filter(by_doi | filled(F.col("title")).isNull() | (F.col("_s") >= 70)).select(
@@ -67,10 +79,12 @@ def arxiv_lookup(refs: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
-def crossref_score(title: Column, raw: Column, year: Column, journal: Column, found) -> Column:
-    """3 x title + year (40, or 10 next to it; 30 for free text) + a fifth of the journal."""
+def crossref_score(title: Column, raw: Column, year: Column, journal: Column, found, title_part: Column | None = None, venue_part: Column | None = None) -> Column:
+    """3 x title + year (40, or 10 next to it; 30 for free text) + a fifth of the journal; the similarities can be given."""
     has_title = filled(title).isNotNull()
-    title_part = F.when(has_title, similarity(title, found["title"])).otherwise(free_text_similarity(raw, found["title"]))
+    if title_part is None:
+        title_part = F.when(has_title, similarity(title, found["title"])).otherwise(free_text_similarity(raw, found["title"]))
+    venue_part = similarity(journal, found["venue"]) if venue_part is None else venue_part
     asked = filled(year)
     near = F.abs(parsed_int(year) - parsed_int(found["year"])) <= 1
     free_years = F.regexp_extract_all(raw, F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1))
@@ -78,13 +92,13 @@ def crossref_score(title: Column, raw: Column, year: Column, journal: Column, fo
         F.when(~has_title & F.arrays_overlap(free_years, found["years"]), 30).otherwise(0)
     )
     both = filled(journal).isNotNull() & filled(found["venue"]).isNotNull()
-    return title_part * 3 + F.coalesce(year_part, F.lit(0)) + F.when(both, rounded(similarity(journal, found["venue"]) * 0.2)).otherwise(F.lit(0))
+    return title_part * 3 + F.coalesce(year_part, F.lit(0)) + F.when(both, rounded(venue_part * 0.2)).otherwise(F.lit(0))
 
 
-def adapter_score(title: Column, year: Column, found) -> Column:
-    """Common title words, + 20 for the year, + 5 next to it."""
+def adapter_score(title: Column, year: Column, found, title_part: Column | None = None) -> Column:
+    """Common title words (their similarity can be given), + 20 for the year, + 5 next to it."""
     gap = F.abs(parsed_int(year) - parsed_int(found["year"]))
-    return adapter_similarity(title, found["title"]) + F.coalesce(F.when(gap == 0, 20).when(gap == 1, 5), F.lit(0))
+    return (adapter_similarity(title, found["title"]) if title_part is None else title_part) + F.coalesce(F.when(gap == 0, 20).when(gap == 1, 5), F.lit(0))
 
 
 def result_score(title_score: Column, author_score: Column, year: Column, found_year: Column, journal: Column, venue: Column) -> Column:
@@ -113,15 +127,42 @@ def _near_candidates(asked: DataFrame, listed: DataFrame, catalog: DataFrame, k:
     return near.select("ref_id", "record.*", none.alias("hits"), none.alias("weight"), "rank")
 
 
-def best_per_source(refs: DataFrame, catalog: DataFrame, k: int = 5, edits: int = 0) -> DataFrame:
+def _picked(listed: DataFrame, asked: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The best candidate of each reference and source, with all columns of both and ``_title``, CrossRef's title score.
+
+    What the scores read of a title or venue is made once a row, not once a candidate,
+    and only that meets the candidates; the rest is joined to the best ones.
+    """
+    numbered = stored(catalog.withColumn("_rec", F.monotonically_increasing_id()), "numbered")
+    briefs = stored(numbered.select("_rec", "source", "rec_id", F.struct("year", "years", "venue").alias("found"), forms(F.col("title")).alias("_found"), forms(F.col("venue")).alias("_place")), "briefs")
+    no_title = filled(F.col("title")).isNull()
+    own = ["ref_id", "title", F.when(no_title, F.col("raw")).alias("raw"), "year", "journal"]
+    text = F.when(no_title, F.col("raw")).otherwise(F.col("title"))
+    wanted = stored(asked.select(*own, forms(text).alias("_asked"), forms(F.col("journal")).alias("_venue"), forms(F.col("_query")).alias("_words")), "wanted")
+    crossref, c = F.col("source") == "CrossRef", F.col
+    title = F.when(no_title, free_text_similarity_of_forms(c("_asked"), c("_found"))).otherwise(similarity_of_forms(c("_asked"), c("_found")))
+    score = lambda: crossref_score(c("title"), c("raw"), c("year"), c("journal"), c("found"), c("_title"), similarity_of_forms(c("_venue"), c("_place")))
+    key = ["ref_id", "source", "_rec", "rank", "_title", "pick"]
+    by_field = listed.filter(crossref).select("ref_id", "source", "rec_id", "rank").join(briefs, ["source", "rec_id"]).join(wanted.drop("_words"), "ref_id")
+    by_field = by_field.withColumn("_title", title).withColumn("pick", score().cast("double")).select(*key)
+    by_word = listed.filter(~crossref).select("ref_id", "source", "rec_id", "rank").join(briefs.drop("_place"), ["source", "rec_id"]).join(wanted.select("ref_id", "year", "_words"), "ref_id")
+    words = adapter_similarity_of_forms(c("_words"), c("_found"))
+    by_word = by_word.withColumn("_title", F.lit(None).cast("long")).withColumn("pick", adapter_score(F.lit(None), c("year"), c("found"), words).cast("double")).select(*key)
+    order = Window.partitionBy("ref_id", "source").orderBy(F.desc("pick"), "rank")
+    best = by_field.unionByName(by_word).withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("source")
+    found = numbered.select("_rec", "source", "source_rank", F.struct(*catalog.columns).alias("found"))
+    return stored(best.join(found, "_rec").join(asked, "ref_id"), "picked")
+
+
+def best_per_source(refs: DataFrame, catalog: DataFrame, k: int = 5, edits: int = 0, least: int = 0) -> DataFrame:
     """The best of the k candidates of each source, with its field checks; the first wins ties.
 
     arXiv and DBLP are asked with the first author's name as well.  CrossRef's
     best is checked field by field and may be rejected; the other sources are
     scored by title and authors.  With ``edits``, references that share no word with any
-    record get the records whose titles are so many edits away.
+    record get the records whose titles are so many edits away.  Candidates with a title score
+    below ``least`` are left out before their other fields are looked at.
     """
-    found = catalog.select("source", "rec_id", F.struct(*catalog.columns).alias("found"))
     asked = stored(refs.withColumn("_query", _search_title()), "asked")  # a long expression that many steps read
     asked = asked.withColumn("_sharp", F.when(filled(F.col("authors")).isNotNull(), extract.sharp_query(F.col("_query"), F.col("authors"))).otherwise(F.col("_query")))
     sharp = F.col("source").isin("arXiv", "DBLP")
@@ -129,20 +170,17 @@ def best_per_source(refs: DataFrame, catalog: DataFrame, k: int = 5, edits: int
     if edits:
         listed = stored(listed, "listed")
         listed = listed.unionByName(_near_candidates(asked, listed, catalog, k, edits))
-    pool = listed.join(found, ["source", "rec_id"]).join(asked, "ref_id")
-    one = F.when(F.col("source") == "CrossRef", crossref_score(F.col("title"), F.col("raw"), F.col("year"), F.col("journal"), F.col("found")).cast("double")).otherwise(
-        adapter_score(F.col("_query"), F.col("year"), F.col("found")).cast("double")
-    )
-    order = Window.partitionBy("ref_id", "source").orderBy(F.desc("pick"), "rank")
-    picked = stored(pool.withColumn("pick", one).withColumn("_n", F.row_number().over(order)).filter("_n = 1"), "picked")
+    picked = _picked(listed, asked, catalog)
     fields = ["ref_id", "source", "source_rank", "rank", "title_score", "author_score", "journal_score", "confidence", "score", "retracted", "issues", "found"]
     year = F.coalesce(filled(F.col("year")), extract.year(F.col("raw")))
     score = result_score(F.col("title_score"), F.col("author_score"), year, F.col("found.year"), F.col("journal"), F.col("found.venue"))
-    checked = _field_checks(picked.filter("source = 'CrossRef'")).withColumn("score", score).select(*fields)
+    gated = stored(picked.filter(f"source = 'CrossRef' and _title >= {validate.LEAST_TITLE}"), "gated")  # the check rejects all others
+    checked = _field_checks(gated).withColumn("score", score).select(*fields)
 
     title = title_similarity(F.col("_query"), F.col("found.title"))
     author = author_similarity(F.coalesce(filled(F.col("authors")), F.col("raw")), F.col("found.authors"))
-    others = picked.filter("source <> 'CrossRef'").withColumn("title_score", title).withColumn("author_score", author)
+    others = picked.filter("source <> 'CrossRef'").withColumn("title_score", title)
+    others = stored(others, "others").filter(F.col("title_score") >= least).withColumn("author_score", author)
     cap = F.coalesce(*[F.when(F.col("source") == s, c[0]) for s, c in CAPS.items()])
     venue = F.coalesce(*[F.when(F.col("source") == s, F.when(filled(F.col("found.venue")).isNotNull(), c[1]).otherwise(50)) for s, c in CAPS.items()])
     others = others.withColumns(
@@ -166,7 +204,8 @@ def _field_checks(picked: DataFrame) -> DataFrame:
         F.coalesce("found.venue", F.lit("")).alias("found_venue"), plain("publisher"), plain("retracted"),
     )
     titled = filled(F.col("title")).isNotNull()
-    return validate.check_batch(rows.filter(titled)).unionByName(validate.check_quick(rows.filter(~titled))).filter("accepted")
+    # written first: the filter would go before the checks with all of their expressions in it, several times over
+    return stored(validate.check_batch(rows.filter(titled)).unionByName(validate.check_quick(rows.filter(~titled))), "checked").filter("accepted")
 
 
 def _winner(pool: DataFrame) -> DataFrame:
@@ -174,7 +213,11 @@ def _winner(pool: DataFrame) -> DataFrame:
     return pool.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
-def best_overall(pool: DataFrame, least: int = 70) -> DataFrame:
+#: Fixed value: the least title score of a candidate that can win.
+LEAST = 70
+
+
+def best_overall(pool: DataFrame, least: int = LEAST) -> DataFrame:
     """Two phases: a confident winner of the first three sources ends the search,
     else the last two join in.  Candidates need a title of ``least``."""
     pool = pool.filter(F.col("title_score") >= least)
@@ -191,7 +234,7 @@ def best_overall(pool: DataFrame, least: int = 70) -> DataFrame:
 def search(refs: DataFrame, catalog: DataFrame, k: int = 5, edits: int = 0) -> DataFrame:
     """The best candidate of all sources for each reference that has one."""
     with Scratch() as scratch:
-        found = scratch.keep(stored(best_overall(stored(best_per_source(refs, catalog, k, edits), "pool")), "found"))
+        found = scratch.keep(stored(best_overall(stored(best_per_source(refs, catalog, k, edits, LEAST), "pool")), "found"))
     return found.select("ref_id", F.lit("search").alias("path"), "confidence", "title_score", "author_score", "journal_score", "retracted", "issues", "found")
 
 
@@ -207,6 +250,7 @@ def resolve(refs: DataFrame, catalog: DataFrame, k: int = 5, as_of_year: int | N
     confidence 0.  Years after the year following ``as_of_year`` are remarked on
     where a search decided.
     """
+    catalog = stored(catalog, "catalog")  # every step reads it
     by_doi = stored(doi_lookup(refs, catalog), "by-doi")
     left = refs.join(by_doi.select("ref_id"), "ref_id", "left_anti")
     by_arxiv = stored(arxiv_lookup(left, catalog), "by-arxiv")

@@ -28,6 +28,8 @@ NOT_NAMES = [
     "about", "between", "through", "toward", "towards", "across", "beyond",
 ]
 
+#: Fixed value: the least title score that is accepted.
+LEAST_TITLE = 70
 REJECTED = "Result rejected — too many mismatches (likely wrong paper found)"
 
 
@@ -208,7 +210,7 @@ def decide(rows: DataFrame) -> DataFrame:
     c = F.col
     sure = (c("title_score") > 85) & (c("author_score") > 80)
     lifted = F.when(sure & (c("confidence") <= 80), F.greatest(F.lit(65.0), c("confidence"))).otherwise(c("confidence"))
-    gate = c("title_score") < 70
+    gate = c("title_score") < LEAST_TITLE
     rejected = ~sure & ((lifted < 40) | (F.size("issues") >= 3))
     retracted = bind(fold(c("found_title")), lambda t: t.contains("retract") | t.contains("withdraw")) | F.coalesce(c("found_retracted"), F.lit(False))
     note = F.when(retracted, F.array(F.lit("🚨 WARNING: This article has been RETRACTED or WITHDRAWN."))).otherwise(F.array().cast("array<string>"))

@@ -130,3 +130,31 @@ def test_folding_drops_runs_of_foreign_characters_and_keeps_spaces(spark):
     assert got == [None if r.t is None else "".join(c for c in r.t if c.isascii() or c in kept) for r in rows.collect()]
     # of ASCII characters a single range is asked
     assert _FOREIGN.startswith("[\\x{80}-\\x{10FFFF}&&")
+
+
+def test_forms_score_as_the_strings_do(spark):
+    from refloom.functions import similarity as s
+
+    odd = [None, "", " ", "—", "Déjà vu", "deja  VU", "The data of a long study, again", "the_data of long   study", "again study long a of data The", " x　", "a", "1. Doe J. Déjà vu. Nature. 2001"]
+    pairs = spark.createDataFrame([(a, b) for a in odd for b in odd], "a string, b string")
+    formed = pairs.select("a", "b", s.forms(F.col("a")).alias("x"), s.forms(F.col("b")).alias("y"))
+    for plain, by_forms in ((s.similarity, s.similarity_of_forms), (s.adapter_similarity, s.adapter_similarity_of_forms), (s.free_text_similarity, s.free_text_similarity_of_forms)):
+        rows = formed.select("a", "b", plain(F.col("a"), F.col("b")).alias("plain"), by_forms(F.col("x"), F.col("y")).alias("formed")).collect()
+        assert [r for r in rows if r.plain != r.formed] == []
+
+
+def test_checks_and_scores_are_made_once_a_row(spark, monkeypatch):
+    """No filter goes before the checks with their expressions in it, and a candidate's title is not folded again for every reference."""
+    from refloom.sources import catalogs
+
+    schema = "DOI string, title array<string>, author array<struct<family:string,given:string>>, container_title array<string>, published array<array<int>>, published_print array<array<int>>, published_online array<array<int>>, issued array<array<int>>, created array<array<int>>, URL string, publisher string, update_to array<struct<type:string>>, is_retracted_by array<string>, is_referenced_by_count int"
+    item = lambda d, t: (d, [t], [("Doe", "J")], ["Nature"], *[[[2001]]] * 5, "u", "X", [], [], 1)
+    titles = ["Deep learning for protein folding", "Deep learning of other things entirely", "Shallow ideas"]
+    catalog = catalogs.crossref(spark.createDataFrame([item(f"10.1/{i}", t) for i, t in enumerate(titles)], schema)).unionByName(resolve_catalog(spark, [("d0", titles[0])]))
+    refs = spark.createDataFrame([(1, "x", titles[0], "Doe, J.", "Nature", "2001", None, None), (2, f"Doe J. {titles[2]}. Nature. 2001", None, None, None, None, None, None), (3, "y", "Deep nothing", "Doe, J.", None, None, None, None)], "ref_id long, raw string, title string, authors string, journal string, year string, doi string, arxiv_id string")
+    plans, keep = {}, resolve.stored
+    monkeypatch.setattr(resolve, "stored", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and keep(df, name))
+    found = {(r.ref_id, r.found.source, r.found.title) for r in resolve.best_per_source(refs, catalog).collect()}
+    assert found == {(1, "CrossRef", titles[0]), (1, "DBLP", titles[0]), (2, "CrossRef", titles[2]), (3, "DBLP", titles[0])}
+    assert plans["checked"].count("levenshtein(") <= 6 and "translate(" not in plans["picked"]
+    assert {(r.ref_id, r.found.source) for r in resolve.best_per_source(refs, catalog, least=70).collect()} == {(1, "CrossRef"), (1, "DBLP"), (2, "CrossRef")}
